@@ -36,13 +36,19 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard
+
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sharding
 
     return sharding.shard_rows(_table(spark, sf_dir, "documents"), 16)
 
 
-QUERIES = {f.__name__: f for f in (op4_chat_formatting, op7_toxicity, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op4_chat_formatting, op7_toxicity, op9_ngram_jaccard, op10_sharding)}
 
 ORACLES = {
     "op4_chat_formatting": r"""
