@@ -7,7 +7,7 @@ hashes. Documents with equal sets form a class, known by a 64-bit hash of the se
    fixed order of shingles. The order puts shingles seen often last (a bounded list of heavy ones; any list is valid),
    then goes by hash. Classes that share a prefix shingle form a tile, sorted by size and cut into bands of ratio t.
 2. Each member of a tile is first compared with its band's leader and its neighbour in size: a linear number of pairs.
-3. What is still apart then meets in tiles split into blocks: sizes and the bit counts of parity bitmaps (2 bits a
+3. What is still apart then meets in tiles split into blocks: sizes and the bit counts of parity bitmaps (8 bits a
    shingle or more; popcount(x xor y) <= |x minus y| + |y minus x|) bound the overlap from above, for all
    pairs between different components, without writing a pair down that the bound excludes.
 4. Pairs left are verified by intersecting sorted arrays; arrays are made again from the texts of the few documents
@@ -37,6 +37,7 @@ HEAVY_LEAST = 32
 LOCAL_LEAST = 4
 WINDOW = 1 << 22
 BLOCK = 256
+BITS_EACH = 8
 BLOOM_BITS = 1 << 25
 
 
@@ -57,8 +58,8 @@ def set_class(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parity bits of a set: a power of two of at least 2 bits an element, 64 to 2**16 bits."""
-    width = 1 << min(16, max(6, math.ceil(math.log2(2 * max(len(s), 1)))))
+    """Parity bits of a set: a power of two of at least BITS_EACH bits an element, 64 to 2**16 bits."""
+    width = 1 << min(16, max(6, math.ceil(math.log2(BITS_EACH * max(len(s), 1)))))
     odd = np.bincount((s >> _U(20)).astype(np.int64) & (width - 1), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
