@@ -15,6 +15,14 @@ def _id_mod(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, teach=_id_mod(3) != 1)
+    return langid.identify(docs, model).select("doc_id", (_id_mod(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import embedding
 
@@ -32,6 +40,13 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest(pii.find_spans(docs, pii.fit(docs)))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -54,7 +69,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"), 16)
 
 
-QUERIES = {f.__name__: f for f in (op3_embedding_near_dedup, op4_chat_formatting, op7_toxicity, op9_ngram_jaccard, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_embedding_near_dedup, op4_chat_formatting, op6_pii, op7_toxicity, op9_ngram_jaccard, op10_sharding)}
 
 ORACLES = {
     "op4_chat_formatting": r"""
