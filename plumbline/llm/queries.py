@@ -57,6 +57,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    shards = decontaminate.index(_table(spark, sf_dir, "benchmark"))
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), shards)
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import jaccard
 
@@ -69,7 +76,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"), 16)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_embedding_near_dedup, op4_chat_formatting, op6_pii, op7_toxicity, op9_ngram_jaccard, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_embedding_near_dedup, op4_chat_formatting, op6_pii, op7_toxicity, op8_benchmark_decontamination, op9_ngram_jaccard, op10_sharding)}
 
 ORACLES = {
     "op4_chat_formatting": r"""
