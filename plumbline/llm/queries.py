@@ -23,6 +23,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", (_id_mod(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def tokenizer_files() -> tuple:
+    """The public byte-level vocabulary: tokenizer file, the same as ranks, and its pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_files())
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import embedding
 
@@ -76,7 +89,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"), 16)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_embedding_near_dedup, op4_chat_formatting, op6_pii, op7_toxicity, op8_benchmark_decontamination, op9_ngram_jaccard, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_embedding_near_dedup, op4_chat_formatting, op6_pii, op7_toxicity, op8_benchmark_decontamination, op9_ngram_jaccard, op10_sharding)}
 
 ORACLES = {
     "op4_chat_formatting": r"""
