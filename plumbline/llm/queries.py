@@ -53,6 +53,13 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    got = lm.score_documents(_table(spark, sf_dir, "documents"), teach=_id_mod(10) != 0)
+    return got.select("doc_id", (_id_mod(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
@@ -89,7 +96,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"), 16)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_embedding_near_dedup, op4_chat_formatting, op6_pii, op7_toxicity, op8_benchmark_decontamination, op9_ngram_jaccard, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_embedding_near_dedup, op4_chat_formatting, op5_lm_scoring, op6_pii, op7_toxicity, op8_benchmark_decontamination, op9_ngram_jaccard, op10_sharding)}
 
 ORACLES = {
     "op4_chat_formatting": r"""

@@ -158,3 +158,32 @@ def sum_by_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums under n+1 offsets, empty rows included."""
     total = np.concatenate([[0], np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+class HashTable:
+    """Distinct 64-bit hashes to their positions; lookups of whole arrays by linear probing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(np.ceil(np.log2(max(len(keys), 1)))) + 2)
+        size = 1 << self.bits
+        self.keys, self.at = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        left = np.arange(len(keys), dtype=np.int32)
+        slot = (mix(keys) >> _U(64 - self.bits)).astype(np.int64)
+        while len(left):
+            free = self.at[slot] < 0
+            self.at[slot[free]] = left[free]
+            won = self.at[slot] == left
+            self.keys[slot[won]] = keys[left[won]]
+            left, slot = left[~won], (slot[~won] + 1) & (size - 1)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Positions of hashes, -1 where unknown."""
+        out = np.full(len(h), -1, np.int32)
+        left, slot = np.arange(len(h)), (mix(h) >> _U(64 - self.bits)).astype(np.int64)
+        while len(left):
+            at = self.at[slot]
+            same = (self.keys[slot] == h[left]) & (at >= 0)
+            out[left[same]] = at[same]
+            on = ~same & (at >= 0)
+            left, slot = left[on], (slot[on] + 1) & (len(self.at) - 1)
+        return out
