@@ -7,7 +7,7 @@ hashes. Documents with equal sets form a class, known by a 64-bit hash of the se
    fixed order of shingles. The order puts shingles seen often last (a bounded list of heavy ones; any list is valid),
    then goes by hash. Classes that share a prefix shingle form a tile, sorted by size and cut into bands of ratio t.
 2. Each member of a tile is first compared with its band's leader and its neighbour in size: a linear number of pairs.
-3. What is still apart then meets in tiles split into blocks: sizes and the bit counts of parity bitmaps (8 bits a
+3. What is still apart then meets in tiles split into blocks: sizes and the bit counts of parity bitmaps (2 bits a
    shingle or more; popcount(x xor y) <= |x minus y| + |y minus x|) bound the overlap from above, for all
    pairs between different components, without writing a pair down that the bound excludes.
 4. Pairs left are verified by intersecting sorted arrays; arrays are made again from the texts of the few documents
@@ -37,7 +37,7 @@ HEAVY_LEAST = 32
 LOCAL_LEAST = 4
 WINDOW = 1 << 22
 BLOCK = 256
-BITS_EACH = 8
+BITS_EACH = 2
 BLOOM_BITS = 1 << 25
 
 
@@ -186,6 +186,18 @@ def _tiles(postings: DataFrame, percent: int) -> DataFrame:
     return found.groupBy("tile", "cls").agg(F.min("size").alias("size"), F.min("leader").alias("leader"), F.min("prev").alias("prev"))
 
 
+def _commonest(counts: DataFrame) -> np.ndarray:
+    """Keys of the highest counts, HEAVY_MOST at most: by a histogram of counts, so that nothing is sorted in one task."""
+    step = F.floor(F.log2("c") * 8)
+    sizes = {r[0]: r[1] for r in counts.groupBy(step.alias("s")).count().collect()}
+    kept, least = 0, None
+    for s in sorted(sizes, reverse=True):
+        if kept + sizes[s] > HEAVY_MOST:
+            break
+        kept, least = kept + sizes[s], s
+    return counts.where(step >= least).select("key").toArrow()["key"].to_numpy() if least is not None else np.zeros(0, np.int64)
+
+
 def _ordered(frame: DataFrame, a: str, b: str) -> DataFrame:
     return frame.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b")
 
@@ -213,8 +225,11 @@ def _bitmap_pass(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFram
     return both.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
-def _block_pairs(apart: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that the bounds allow, from tiles (tile, cls, size, root, bits) split into blocks."""
+def _block_pairs(tiles: DataFrame, roots: DataFrame, classes: DataFrame, percent: int, best: int | None) -> DataFrame:
+    """Pairs of different components that the bounds allow, from tiles split into blocks; the ``best`` of any two components in a block, or all."""
+    apart = tiles.select("tile", "cls").join(roots, F.col("cls") == F.col("node"), "left").select("tile", "cls", F.coalesce("root", "cls").alias("root"))
+    mixed = apart.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("tile")
+    apart = apart.join(mixed, "tile", "left_semi").join(classes.select("cls", "size", "bits"), "cls")
     counts = apart.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     dealt = apart.join(counts, "tile").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
@@ -227,7 +242,7 @@ def _block_pairs(apart: DataFrame, percent: int) -> DataFrame:
         words = [np.frombuffer(bits[k], np.uint64) for k in order]
         size, root, cls, block = size[order].astype(np.int64), root[order], cls[order], block[order]
         i, j = key[1].as_py(), key[2].as_py()
-        a, b = [], []
+        a, b, lead = [], [], []
         for width in sorted({len(w) for w in words}):  # partners of each bitmap width, the smaller of the two
             wide = np.array([k for k, w in enumerate(words) if len(w) >= width])
             folded = np.stack([fold(words[k], width) for k in wide])
@@ -238,10 +253,21 @@ def _block_pairs(apart: DataFrame, percent: int) -> DataFrame:
                 near = near[(wide[near] > k) | np.array([len(words[x]) > width for x in wide[near]], bool)]
                 if len(near):
                     xor = np.bitwise_count(folded[near] ^ folded[p]).sum(axis=1, dtype=np.int64)
-                    good = wide[near[similar(size[wide[near]], size[k], most_overlap(size[wide[near]], size[k], xor), percent)]]
-                    a.append(np.full(len(good), cls[k]))
-                    b.append(cls[good])
+                    most = most_overlap(size[wide[near]], size[k], xor)
+                    fits = similar(size[wide[near]], size[k], most, percent)
+                    good = wide[near[fits]]
+                    a.append(np.full(len(good), k))
+                    b.append(good)
+                    lead.append((most / (size[wide[near]] + size[k] - most))[fits])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        if best and len(a):
+            lead = np.concatenate(lead)
+            lo, hi = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+            order = np.lexsort((-lead, hi, lo))
+            first = np.concatenate([[True], (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])])
+            rank = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+            a, b = a[order[rank < best]], b[order[rank < best]]
+        a, b = cls[a], cls[b]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return dealt.groupBy("tile", "i", "j").applyInArrow(run, "a long, b long")
@@ -336,22 +362,21 @@ def jaccard_components(docs: DataFrame, percent: int = 80, n: int = 5, id_col: s
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     described = cut(_describe(docs, n), "shingle-sets")
     rows = described.where("kind = 0")
-    heavy = (
-        described.where("kind = 1").groupBy("key").agg(F.sum("size").alias("c")).where(F.col("c") >= HEAVY_LEAST)
-        .orderBy(F.desc("c"), "key").limit(HEAVY_MOST).select("key").toPandas()["key"].to_numpy(np.int64)
-    )
+    heavy = _commonest(described.where("kind = 1").groupBy("key").agg(F.sum("size").alias("c")).where(F.col("c") >= HEAVY_LEAST))
     sent = spark.sparkContext.broadcast(np.sort(heavy.view(np.uint64)))
     classes = cut(rows.where("cls is not null").groupBy("cls").agg(F.min("key").alias("low"), F.first("size").alias("size"), F.first("bits").alias("bits")), "classes")
     tiles = cut(_tiles(_postings(docs, sent, n, percent), percent), "tiles")
     stars = _ordered(tiles, "leader", "cls").union(_ordered(tiles, "prev", "cls")).distinct()
     first = cut(_verify(cut(_bitmap_pass(stars, classes, percent), "pairs"), docs, n, percent), "links")
     roots = cut(components(first), "roots")
-    apart = tiles.select("tile", "cls").join(roots, F.col("cls") == F.col("node"), "left").select("tile", "cls", F.coalesce("root", "cls").alias("root"))
-    mixed = apart.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("tile")
-    apart = apart.join(mixed, "tile", "left_semi").join(classes.select("cls", "size", "bits"), "cls")
-    more = cut(_block_pairs(apart, percent).distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
-    second = _verify(more, docs, n, percent)
-    roots = cut(components(first.union(second)), "roots")
+    links, tried = first, stars
+    for best in (2, None):
+        more = cut(_block_pairs(tiles, roots, classes, percent, best).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if more.isEmpty():
+            continue
+        links = cut(links.union(_verify(more, docs, n, percent)), "links")
+        tried = tried.union(more)
+        roots = cut(components(links), "roots")
     low = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "low", F.coalesce("root", "cls").alias("root"))
     least = low.groupBy("root").agg(F.min("low").alias("component_id"))
     named = low.join(least, "root").select("cls", "component_id")
