@@ -384,3 +384,20 @@ def jaccard_components(docs: DataFrame, percent: int = 80, n: int = 5, id_col: s
         rows.select(F.col("key").alias("doc_id"), F.col("size").alias("n_shingles"), "cls").join(named, "cls", "left")
         .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     )
+
+
+def keep_representatives(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group: the document with the least id, and of repeated rows (same id and text) the first.
+
+    Ids name documents: rows that share an id are kept or dropped together. Rows with a null id are kept.
+    """
+    found = jaccard_components(docs, percent, n, id_col, text_col)
+    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
+    kept = docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    again = docs.groupBy(F.col(id_col).alias("__again")).count().where("count > 1 and __again is not null").select("__again")
+    if again.isEmpty():
+        return kept
+    again = cut(again, "repeated-ids")
+    once = kept.join(again, kept[id_col] == F.col("__again"), "left_anti")
+    rest = kept.join(again, kept[id_col] == F.col("__again"), "left_semi").withColumn("__text", F.xxhash64(text_col))
+    return once.unionByName(rest.dropDuplicates([id_col, "__text"]).drop("__text"))

@@ -120,3 +120,17 @@ def score_documents(docs: DataFrame, model: Model | None, text_col: str = "text"
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got)], [*part.schema.names, "toxic_score"])
 
     return kept.mapInArrow(run, out)
+
+
+def keep_clean(docs: DataFrame, model: Model | None, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score under ``threshold``, unchanged and in place: no shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        dense = model.dense() if model else None
+        for part in tk.slices(batches, text_col):
+            raw, offsets = tk.string_buffers(part.column(part.schema.get_field_index(text_col)))
+            yield part.filter(pa.array(scores(dense, model.bias, raw, offsets) < threshold)) if model else part
+
+    return docs.mapInArrow(run, docs.schema)
