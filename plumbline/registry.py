@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans.oracles import ORACLES
+from .plans.queries import QUERIES
+
 FLAGSHIP = "dependency_verdicts"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
