@@ -28,10 +28,18 @@ def _struct(major, minor, patch, release, pre) -> Column:
     return F.struct(major.cast(_NUM).alias("major"), minor.cast(_NUM).alias("minor"), patch.cast(_NUM).alias("patch"), release.cast("int").alias("release"), pre.alias("pre"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: inside lambdas Spark shares no common subexpressions."""
+    return F.transform(F.array(value), body)[0]
+
+
 def components(c: Column) -> Column:
     """struct(major, minor, patch: null if absent or a wildcard; parts; release; pre), or null if invalid."""
     text = F.split_part(F.regexp_replace(F.regexp_replace(c, r"\A\s+|\s+\z", ""), r"\A[vV]", ""), F.lit("+"), F.lit(1))
-    core = F.split_part(text, F.lit("-"), F.lit(1))
+    return _let(text, lambda t: _let(F.struct(t.alias("text"), F.split_part(t, F.lit("-"), F.lit(1)).alias("core")), lambda x: _parsed(x["text"], x["core"])))
+
+
+def _parsed(text: Column, core: Column) -> Column:
     parts = F.split(core, r"\.")
     has_pre = F.contains(text, F.lit("-"))
 
@@ -61,14 +69,17 @@ def _full(k: Column) -> Column:
 
 def parse_version(c: Column) -> Column:
     """The comparable version struct, or null."""
-    k = components(c)
-    return F.when(k.isNotNull(), _full(k))
+    return _let(components(c), lambda k: F.when(k.isNotNull(), _full(k)))
 
 
 def _comparators(token: Column) -> Column:
     """array(struct(op, ver)) of one range token, or null if it is invalid. Caret, tilde and bare forms give two bounds."""
     op = F.regexp_extract(token, r"\A(>=|<=|!=|==|>|<|=|\^|~)", 1)
-    k = components(F.substring(token, F.length(op) + 1, F.length(token)))
+    bound = F.struct(op.alias("op"), components(F.substring(token, F.length(op) + 1, F.length(token))).alias("k"))
+    return _let(bound, lambda x: _bounds(x["op"], x["k"]))
+
+
+def _bounds(op: Column, k: Column) -> Column:
     zero, one = F.lit(0).cast(_NUM), F.lit(1).cast(_NUM)
     major, minor, patch = k["major"], k["minor"], k["patch"]
     m, n, p = F.coalesce(major, zero), F.coalesce(minor, zero), F.coalesce(patch, zero)
@@ -94,12 +105,13 @@ def compile_range(c: Column) -> Column:
 
     def group(text: Column) -> Column:
         tokens = F.filter(F.split(F.replace(text, F.lit(","), F.lit(" ")), r"\s+"), lambda t: t != "")
-        every = F.transform(tokens, _comparators)
         anything = F.array(F.struct(F.lit(">=").alias("op"), _plain(zero, zero, zero).alias("ver")))
-        return F.when(F.exists(every, lambda x: x.isNull()), F.lit(None)).when(F.size(tokens) == 0, anything).otherwise(F.flatten(every))
+        return _let(
+            F.transform(tokens, _comparators),
+            lambda every: F.when(F.exists(every, lambda x: x.isNull()), F.lit(None)).when(F.size(every) == 0, anything).otherwise(F.flatten(every)),
+        )
 
-    groups = F.transform(F.split(c, r"\|\|"), group)
-    return F.when(~F.exists(groups, lambda g: g.isNull()), groups)
+    return _let(F.transform(F.split(c, r"\|\|"), group), lambda groups: F.when(~F.exists(groups, lambda g: g.isNull()), groups))
 
 
 def matches(compiled: Column, version: Column) -> Column:
@@ -128,7 +140,10 @@ def segments(c: Column) -> Column:
 
 def newer(a: Column, b: Column) -> Column:
     """Whether version text a is above b."""
-    va, vb = parse_version(a), parse_version(b)
+    return _let(F.struct(parse_version(a).alias("a"), parse_version(b).alias("b")), lambda x: _newer(x["a"], x["b"], a, b))
+
+
+def _newer(va: Column, vb: Column, a: Column, b: Column) -> Column:
     return F.when(va.isNotNull() & vb.isNotNull(), va > vb).otherwise(segments(a) > segments(b))
 
 

@@ -28,6 +28,12 @@ def vkey(v: str) -> str:
     return f"[{part(1)}, {part(2)}, {part(3)}, CASE WHEN contains({v}, '-') THEN 0 ELSE 1 END, CASE WHEN contains({v}, '-') THEN CAST(split_part({v}, 'rc.', 2) AS BIGINT) ELSE 0 END]"
 
 
+def vnum(v: str) -> str:
+    """A number that orders release versions with parts under 1000."""
+    core = f"split_part({v}, '-', 1)"
+    return f"(CAST(split_part({core}, '.', 1) AS BIGINT) * 1000000 + CAST(split_part({core}, '.', 2) AS BIGINT) * 1000 + CAST(split_part({core}, '.', 3) AS BIGINT))"
+
+
 REACH = "CASE WHEN ecosystem IN ('crates', 'maven') THEN 'unknown' WHEN l_partkey % 2 = 0 THEN 'used' ELSE 'unused' END"
 VERDICTS = f"""{DEPS}, {ADVS}, {FLAGS},
 d AS (SELECT DISTINCT project, ecosystem, name, version, direct, l_partkey, {REACH} AS reachability FROM deps),
@@ -44,7 +50,7 @@ ORACLES = {
     "ci_gate": f"""WITH {VERDICTS} SELECT project, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE verdict = 0) AS BIGINT) AS safe, CAST(count(*) FILTER (WHERE verdict = 1) AS BIGINT) AS review,
  CAST(count(*) FILTER (WHERE verdict = 2) AS BIGINT) AS prompt, CAST(count(*) FILTER (WHERE verdict = 3) AS BIGINT) AS blocked, max(verdict) < 3 AS passed FROM verdicts GROUP BY project""",
     "ci_findings": f"WITH {VERDICTS} SELECT project, ecosystem, name, version, {NAMES} AS verdict FROM verdicts WHERE verdict >= 3",
-    "verdict_cube": f"WITH {VERDICTS} SELECT ecosystem, CAST(verdict AS BIGINT) AS verdict, CAST(count(*) AS BIGINT) AS n FROM verdicts GROUP BY CUBE (ecosystem, verdict)",
+    "verdict_cube": f"WITH {VERDICTS} SELECT ecosystem, name AS verdict, CAST(count(*) AS BIGINT) AS n FROM (SELECT ecosystem, {NAMES} AS name FROM verdicts) GROUP BY CUBE (ecosystem, name)",
     "max_severity": f"""WITH {DEPS}, {ADVS}, d AS (SELECT DISTINCT ecosystem, name, version FROM deps) SELECT d.ecosystem, d.name, d.version, CAST(coalesce(max(sev), 0) AS BIGINT) AS severity, CAST(count(id) AS BIGINT) AS n_advisories
  FROM d LEFT JOIN advs a ON d.ecosystem = a.ecosystem AND d.name = a.name GROUP BY 1, 2, 3""",
     "advisory_merge": f"""WITH {ADVS}, ghsa AS (SELECT ecosystem, name, CASE WHEN p_partkey % 2 = 0 THEN id ELSE 'GHSA-' || p_partkey END AS id, 'ghsa' AS source FROM advs WHERE p_partkey % 5 < 3)
@@ -68,8 +74,8 @@ ORACLES = {
  SELECT version, r AS range, CASE r WHEN '^1.2.0' THEN k >= [1,2,0,1,0] AND k < [2,0,0,1,0] WHEN '~2.3' THEN k >= [2,3,0,1,0] AND k < [2,4,0,1,0] WHEN '>=1.0.0 <3.0.0 || 4.x' THEN (k >= [1,0,0,1,0] AND k < [3,0,0,1,0]) OR (k >= [4,0,0,1,0] AND k < [5,0,0,1,0])
  WHEN '!=3.1.4' THEN k <> [3,1,4,1,0] WHEN '> 1.0' THEN false WHEN '*' THEN true WHEN '2.1.3' THEN k = [2,1,3,1,0] WHEN '^0.3' THEN k >= [0,3,0,1,0] AND k < [0,4,0,1,0] END AS satisfies
  FROM k, (SELECT unnest(['^1.2.0','~2.3','>=1.0.0 <3.0.0 || 4.x','!=3.1.4','> 1.0','*','2.1.3','^0.3']) AS r)""",
-    "max_satisfying": f"""WITH {DEPS}, d AS (SELECT DISTINCT ecosystem, name, version FROM deps)
- SELECT ecosystem, name, max_by(version, {vkey('version')}) AS best FROM d WHERE NOT contains(version, '-') AND {vkey('version')} >= [1,2,0,1,0] AND {vkey('version')} < [4,0,0,1,0] GROUP BY 1, 2""",
+    "max_satisfying": f"""WITH {DEPS}, d AS (SELECT DISTINCT ecosystem, name, version FROM deps), k AS (SELECT *, {vnum('version')} AS k FROM d WHERE NOT contains(version, '-'))
+ SELECT ecosystem, name, max_by(version, k) AS best FROM k WHERE k >= 1002000 AND k < 4000000 GROUP BY 1, 2""",
     "fix_plan": f"""WITH {DEPS}, {ADVS}, d AS (SELECT DISTINCT ecosystem, name, version FROM deps), j AS (SELECT d.*, fixed_in, CASE WHEN fixed_in = '' THEN false ELSE {vkey('fixed_in')} > {vkey('version')} END AS fwd FROM d JOIN advs USING (ecosystem, name))
  SELECT ecosystem, name, version, max_by(CASE WHEN fwd THEN fixed_in END, CASE WHEN fwd THEN {vkey("CASE WHEN fixed_in = '' THEN '0.0.0' ELSE fixed_in END")} END) AS target_version, CAST(count(*) FILTER (WHERE fwd) AS BIGINT) AS n_resolved, CAST(count(*) FILTER (WHERE NOT fwd) AS BIGINT) AS n_unresolved FROM j GROUP BY 1, 2, 3""",
     "upgrade_commands": f"""WITH {ADVS} SELECT id, CASE ecosystem WHEN 'npm' THEN 'npm install ' || name || '@' || fixed_in WHEN 'pypi' THEN 'pip install ' || name || '==' || fixed_in WHEN 'crates' THEN 'cargo update -p ' || name || ' --precise ' || fixed_in
@@ -93,10 +99,10 @@ ORACLES = {
     "typosquats": """WITH n AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) || (p_partkey % 7) AS name FROM part UNION SELECT unnest(['lodahs','reqests','expres','lodash','axois','raect'])),
  t AS (SELECT unnest(['lodash','express','axios','requests','react']) AS t UNION SELECT DISTINCT lower(split_part(p_name, ' ', 1)) FROM part WHERE p_partkey % 3 = 0)
  SELECT 'npm' AS ecosystem, name, t AS near FROM n, t WHERE levenshtein(name, t) <= 2 AND name NOT IN (SELECT t FROM t)""",
-    "maintainer_signals": """WITH r AS (SELECT o_custkey, o_orderkey, o_orderdate AS at, o_orderpriority AS pub, CAST(o_totalprice AS BIGINT) % 2000 AS dl, lag(o_orderdate) OVER w AS pat, lag(o_orderpriority) OVER w AS ppub FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, '1.0.' || o_orderkey)),
- s AS (SELECT *, (CASE WHEN epoch(TIMESTAMP '1998-08-02') - epoch(at) BETWEEN 0 AND 604800 THEN 1 ELSE 0 END) + (CASE WHEN pat IS NOT NULL AND epoch(at) - epoch(pat) >= 180 * 86400 THEN 1 ELSE 0 END) + (CASE WHEN dl > 0 AND dl < 1000 THEN 1 ELSE 0 END) AS pts FROM r)
+    "maintainer_signals": """WITH r AS (SELECT o_custkey, o_orderkey, o_orderdate AS pubat, o_orderpriority AS pub, CAST(floor(o_totalprice) AS BIGINT) % 2000 AS dl, lag(o_orderdate) OVER w AS pat, lag(o_orderpriority) OVER w AS ppub FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, '1.0.' || o_orderkey)),
+ s AS (SELECT *, (CASE WHEN (epoch(TIMESTAMP '1998-08-02') - epoch(pubat)) BETWEEN 0 AND 604800 THEN 1 ELSE 0 END) + (CASE WHEN pat IS NOT NULL AND epoch(pubat) - epoch(pat) >= 180 * 86400 THEN 1 ELSE 0 END) + (CASE WHEN dl > 0 AND dl < 1000 THEN 1 ELSE 0 END) AS pts FROM r)
  SELECT 'pkg-' || o_custkey AS name, '1.0.' || o_orderkey AS version, CAST(pts AS BIGINT) AS hijack_points, pts >= 2 AS hijack_risk, (ppub IS NOT NULL AND ppub <> pub) AS maintainer_changed FROM s""",
-    "go_retracted": f"WITH {DEPS} SELECT DISTINCT ecosystem, name, version FROM deps WHERE ecosystem = 'go' AND ({vkey('version')} BETWEEN [1,0,0,1,0] AND [2,3,5,1,0] OR version = '4.1.1') AND l_partkey % 10 = 0",
+    "go_retracted": f"WITH {DEPS} SELECT DISTINCT ecosystem, name, version FROM deps WHERE ecosystem = 'go' AND ((2 * {vnum('version')} + CASE WHEN contains(version, '-') THEN 0 ELSE 1 END BETWEEN 2000001 AND 4006011) OR version = '4.1.1') AND l_partkey % 10 = 0",
     "binary_droppers": "SELECT p_partkey FROM part WHERE p_size % 8 IN (1, 2, 4) OR (p_size % 8 = 3 AND p_partkey % 2 = 1)",
     "dependency_sources": "SELECT p_partkey, CASE WHEN p_size % 6 IN (0, 1, 2) THEN 'vcs' WHEN p_size % 6 IN (3) THEN 'local' ELSE 'registry' END AS dep_source, p_size % 6 IN (0, 1, 2) AND p_partkey % 2 = 0 AS git_dep_in_optional FROM part",
     "source_patterns": """SELECT doc_id, cap AS capability FROM documents, (SELECT unnest(['obfuscated-payload','suspicious-url','install-hook-suspicious','known-malware-ioc']) AS cap)
@@ -138,7 +144,7 @@ ORACLES = {
     "go_sum_lock": "SELECT DISTINCT 'p' || l_orderkey || '/go.sum' AS path, 'example.com/m' || l_partkey AS name, 'v1.' || l_linenumber || '.0' AS version FROM lineitem",
     "gradle_lock": "SELECT 'p' || l_orderkey || '/gradle.lockfile' AS path, 'org.x:a' || l_partkey AS name, '2.' || l_linenumber AS version FROM lineitem",
     "cargo_lock": "SELECT 'p' || l_orderkey || '/Cargo.lock' AS path, 'c' || l_partkey AS name, '0.' || l_linenumber || '.1' AS version FROM lineitem",
-    "npm_lock": "SELECT 'p' || l_orderkey || '/package-lock.json' AS path, 'n' || l_partkey AS name, '3.' || l_linenumber || '.0' AS version, bool_or(l_linenumber = 1) OVER (PARTITION BY l_orderkey, l_partkey) AS direct FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber FROM lineitem)",
+    "npm_lock": "SELECT DISTINCT 'p' || l_orderkey || '/package-lock.json' AS path, 'n' || l_partkey AS name, '3.' || l_linenumber || '.0' AS version, (l_orderkey, l_partkey) IN (SELECT (l_orderkey, l_partkey) FROM lineitem WHERE l_linenumber = 1) AS direct FROM lineitem",
     "gem_lock": "SELECT 'p' || l_orderkey || '/Gemfile.lock' AS path, 'g' || l_partkey AS name, '4.' || l_linenumber AS version, max(CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey, l_partkey) = 1 AS direct FROM lineitem",
     "audit_tail": "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",
     "audit_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2",

@@ -53,7 +53,7 @@ def ci_findings(spark, d):
 
 
 def verdict_cube(spark, d):
-    return _longs(RP.verdict_cube(_verdicts(spark, d)), "verdict")
+    return RP.verdict_cube(_verdicts(spark, d).withColumn("verdict", S.verdict_name(F.col("verdict"))))
 
 
 def max_severity(spark, d):
@@ -385,8 +385,12 @@ def cargo_lock(spark, d):
 
 
 def npm_lock(spark, d):
-    line = """concat(if(l_linenumber = 1, concat('"":{"dependencies":{"n', l_partkey, '":"*"}},'), ''), '"node_modules/z/node_modules/n', l_partkey, if(l_linenumber = 1, '', concat('/node_modules/n', l_partkey)), '":{"version":"3.', l_linenumber, '.0"}')"""
-    return L.npm(_lock(spark, d, "package-lock.json", line, sep=",", head='{"lockfileVersion":3,"packages":{', foot="}}")).select("path", "name", "version", "direct")
+    at = "concat('node_modules/z', if(l_linenumber = 1, '', concat('/node_modules/y', l_linenumber)), '/node_modules/n', l_partkey)"
+    rows = T(spark, d, "lineitem").selectExpr("l_orderkey", f"""concat('"', {at}, '":{{"version":"3.', l_linenumber, '.0"}}') as entry""", """if(l_linenumber = 1, concat('"n', l_partkey, '":"*"'), null) as dep""")
+    files = rows.groupBy("l_orderkey").agg(F.array_join(F.collect_set("entry"), ",").alias("entries"), F.array_join(F.collect_set("dep"), ",").alias("deps"))
+    text = F.concat(F.lit('{"lockfileVersion":3,"packages":{"":{"dependencies":{'), "deps", F.lit("}},"), "entries", F.lit("}}"))
+    files = files.select(F.concat(F.lit("p"), "l_orderkey", F.lit("/package-lock.json")).alias("path"), text.alias("text"))
+    return L.npm(files).select("path", "name", "version", "direct")
 
 
 def gem_lock(spark, d):
