@@ -38,7 +38,8 @@ _MARK = np.zeros(256, bool)
 _MARK[48:58] = _MARK[64] = True
 ROUNDS = 12
 CLAMP = 12.0
-SURE = 0.9
+SURE = 0.8
+MOST_SURE = 3.0
 
 
 def luhn(digits: str) -> bool:
@@ -81,13 +82,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _digits(text: str) -> str:
+    return "".join(c for c in text if "0" <= c <= "9")
+
+
 def _bucket(n: int, edges: tuple[int, ...]) -> int:
     return sum(n >= e for e in edges)
 
 
 def shape(token: str, alone: bool) -> tuple[int, ...]:
     """Categories of a token's looks; ``alone``: no other candidate stands next to it."""
-    only = "".join(c for c in token if "0" <= c <= "9")
+    only = _digits(token)
     digits = len(only)
     letters = sum(c.isalpha() for c in token)
     return (
@@ -137,17 +142,24 @@ def tokens(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def graph(text: str, found: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Edges (i, j, type): 0 chain, 1 repeated, 2 similar."""
-    edges, same, like = [], {}, {}
+def graph(text: str, found: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Edges (i, j, type): 0 chain, 1 repeated, 2 similar: the digits of another token, or of a whole base span, which
+    stands at its first token."""
+    edges, same, like, whole = [], {}, {}, {}
+    first = {a: i for i, (a, _) in enumerate(found)}
+    for s, _, e in base:
+        if s in first and len(_digits(text[s:e])) >= 7:
+            whole.setdefault(_digits(text[s:e]), first[s])
     for i, (a, b) in enumerate(found):
         if i and a - found[i - 1][1] <= 3:
             edges.append((i - 1, i, 0))
         token = text[a:b].lower()
         if token in same:
             edges.append((same[token], i, 1))
-        digits = "".join(c for c in token if "0" <= c <= "9")
+        digits = _digits(token)
         if len(digits) >= 7:
+            if digits in whole and whole[digits] != i:
+                edges.append((whole[digits], i, 2))
             if digits in like and like[digits][1] != token:
                 edges.append((like[digits][0], i, 2))
             like[digits] = (i, token)
@@ -181,7 +193,7 @@ class Model:
 def infer(model: Model, shapes: np.ndarray, clamped: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Label beliefs (nodes, labels) by loopy sum-product message passing."""
     unary = one_hot(shapes) @ model.weights
-    unary -= unary.max(axis=1, keepdims=True)
+    unary = np.maximum(unary - unary.max(axis=1, keepdims=True), -MOST_SURE)  # shapes alone never outweigh a skip edge
     hit = np.flatnonzero(clamped)
     unary[hit] = -CLAMP
     unary[hit, clamped[hit]] = 0
@@ -223,11 +235,12 @@ def fit(docs: DataFrame, max_docs: int = 20000, steps: int = 400) -> Model:
             for i in _marked(part.column(0)):
                 text = part.column(0)[int(i)].as_py()
                 found = tokens(text)
-                labels = covering(found, base_spans(text))
+                base = base_spans(text)
+                labels = covering(found, base)
                 for looks, label in zip(shapes_of(text, found), labels, strict=True):
                     key = (0, ",".join(map(str, looks)), label)
                     rows[key] = rows.get(key, 0) + 1
-                for a, b, kind in graph(text, found):
+                for a, b, kind in graph(text, found, base):
                     if labels[a] or labels[b]:
                         key = (1 + kind, "", int(labels[a] == labels[b]))
                         rows[key] = rows.get(key, 0) + 1
@@ -240,10 +253,11 @@ def fit(docs: DataFrame, max_docs: int = 20000, steps: int = 400) -> Model:
     ties = np.zeros(3)
     for k in range(3):
         at = got[got["what"] == k + 1].set_index("label")["n"].to_dict()
-        ties[k] = min(max(np.log((at.get(1, 0) + 1) / (at.get(0, 0) + 1)), 0.5 if k == 0 else 4.0), 8.0) if k else min(max(np.log((at.get(1, 0) + 1) / (at.get(0, 0) + 1)), 0.0), 1.0)
+        agree = np.log((at.get(1, 0) + 1) / (at.get(0, 0) + 1))
+        ties[k] = min(max(agree, 6.0), 9.0) if k else min(max(agree, 0.0), 1.0)  # skip edges hold at least 6 nats, chain edges 1 at most
     seen = got[got["what"] == 0]
     weights = np.zeros((_FIRST[-1] + 1, len(LABELS)))
-    weights[-1, 0] = CLAMP / 2
+    weights[-1, 0] = MOST_SURE
     if len(seen):
         x = one_hot(np.array([list(map(int, s.split(","))) for s in seen["shape"]]))
         y, n = seen["label"].to_numpy(), np.sqrt(seen["n"].to_numpy(float))
@@ -278,6 +292,21 @@ def _merge(text: str, found, labels, base) -> list[tuple[int, int, int]]:
     return out
 
 
+def _supported(texts: list[str], found: list, clamped: list[int], edges: list) -> np.ndarray:
+    """Tokens that may be labelled: with an at sign or seven digits, or joined by edges to a base span."""
+    out = np.array([c > 0 for c in clamped])
+    out |= np.array(["@" in t[a:b] or len(_digits(t[a:b])) >= 7 for t, f in zip(texts, found, strict=True) for a, b in f])
+    linked = np.array([c > 0 for c in clamped])
+    e = np.array(edges, np.int64).reshape(-1, 3)
+    for _ in range(ROUNDS):
+        before = linked.sum()
+        np.logical_or.at(linked, e[:, 0], linked[e[:, 1]])
+        np.logical_or.at(linked, e[:, 1], linked[e[:, 0]])
+        if linked.sum() == before:
+            break
+    return out | linked
+
+
 def find(texts: list[str], model: Model) -> list[tuple[list, list]]:
     """(base spans, added spans) of each text; all graphs of the list go through message passing together."""
     base, found, shapes, clamped, edges, first = [], [], [], [], [], [0]
@@ -286,12 +315,12 @@ def find(texts: list[str], model: Model) -> list[tuple[list, list]]:
         found.append(tokens(text))
         shapes += shapes_of(text, found[-1])
         clamped += covering(found[-1], base[-1])
-        edges += [(i + first[-1], j + first[-1], t) for i, j, t in graph(text, found[-1])]
+        edges += [(i + first[-1], j + first[-1], t) for i, j, t in graph(text, found[-1], base[-1])]
         first.append(first[-1] + len(found[-1]))
     if not first[-1]:
         return [(b, []) for b in base]
     belief = infer(model, np.array(shapes), np.array(clamped), np.array(edges, np.int64).reshape(-1, 3))
-    label = np.where(belief.max(axis=1) >= SURE, belief.argmax(axis=1), 0)
+    label = np.where((belief.max(axis=1) >= SURE) & _supported(texts, found, clamped, edges), belief.argmax(axis=1), 0)
     return [(b, _merge(t, f, label[s:e], b)) for t, b, f, s, e in zip(texts, base, found, first[:-1], first[1:], strict=True)]
 
 

@@ -1,7 +1,8 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a whole text: words, word pairs and skip pairs (one word between), hashed to 2**BITS places; a place's value
-is its count over the square root of the number of all features. Every coordinate has its own learning rate; L1 keeps
+is its count over the square root of the number of all features. The bias is fixed at the label's log odds (0.4 at most), so
+a text without any known feature scores as a common one. Every coordinate has its own learning rate; L1 keeps
 most weights at zero, so the model that executors get is a short list of (place, weight), at most 2**BITS long.
 
 Training reads a bounded sample of labelled rows (``max_train``); scoring reads every text whole. Nulls: a null text is
@@ -60,31 +61,28 @@ def scores(model_dense: np.ndarray, bias: float, raw: np.ndarray, offsets: np.nd
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train(texts: list[str | None], labels: list[int], epochs: int = 4, alpha: float = 20.0, beta: float = 1.0, l1: float = 0.6, l2: float = 0.01) -> Model:
+def train(texts: pa.Array, labels: list[int], epochs: int = 4, alpha: float = 20.0, beta: float = 1.0, l1: float = 0.6, l2: float = 0.01) -> Model:
     """FTRL-proximal, one document at a time, in the given order."""
     size = 1 << BITS
-    z, n = np.zeros(size + 1), np.zeros(size + 1)
+    z, n = np.zeros(size), np.zeros(size)
     docs = []
-    for t in texts:
-        parts = [p for p, _ in features(*tk.string_buffers(pa.array([t], pa.string())))]
-        places, counts = np.unique(np.concatenate(parts), return_counts=True)
-        total = counts.sum()
-        docs.append((np.append(places.astype(np.int64), size), np.append(counts / np.sqrt(max(total, 1)), 1.0)))
+    for k in range(len(texts)):
+        places, counts = np.unique(np.concatenate([p.astype(np.int32) for p, _ in features(*tk.string_buffers(texts[k : k + 1]))]), return_counts=True)
+        docs.append((places, (counts / np.sqrt(max(counts.sum(), 1))).astype(np.float32)))
     y = np.asarray(labels, float)
+    rate = min(max(float(y.mean()), 0.001), 0.4)
+    bias = float(np.log(rate / (1 - rate)))
+    shrink = lambda z, n: np.where(np.abs(z) <= l1, 0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
     for _ in range(epochs):
         for (i, x), label in zip(docs, y, strict=True):
             zi, ni = z[i], n[i]
-            penalty = np.full(len(i), l1)
-            penalty[-1] = 0
-            w = np.where(np.abs(zi) <= penalty, 0, -(zi - np.sign(zi) * penalty) / ((beta + np.sqrt(ni)) / alpha + l2))
-            g = (1 / (1 + np.exp(-np.clip(w @ x, -40, 40))) - label) * x
+            w = shrink(zi, ni)
+            g = (1 / (1 + np.exp(-np.clip(bias + w @ x, -40, 40))) - label) * x
             z[i] += g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha * w
             n[i] += g * g
-    penalty = np.full(size + 1, l1)
-    penalty[-1] = 0
-    w = np.where(np.abs(z) <= penalty, 0, -(z - np.sign(z) * penalty) / ((beta + np.sqrt(n)) / alpha + l2))
-    at = np.flatnonzero(w[:size])
-    return Model(at, w[at].astype(np.float32), float(w[size]))
+    w = shrink(z, n)
+    at = np.flatnonzero(w)
+    return Model(at, w[at].astype(np.float32), bias)
 
 
 def fit(docs: DataFrame, labels: DataFrame, teach: Column | None = None, max_train: int = 12000) -> Model | None:
@@ -94,13 +92,14 @@ def fit(docs: DataFrame, labels: DataFrame, teach: Column | None = None, max_tra
     rows = rows.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic_label"))
     order = F.xxhash64("doc_id", F.lit(17))
     chosen = rows.orderBy(order, "doc_id").limit(max_train)
-    got = (
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-        .withColumn("order", order).toPandas().sort_values(["order", "doc_id"]).drop_duplicates("doc_id")
-    )
-    if not len(got):
+    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(order.alias("place"), "doc_id", "text", "toxic_label").toArrow()
+    ids, place = got["doc_id"].to_numpy(), got["place"].to_numpy()
+    turn = np.lexsort((ids, place))
+    turn = turn[np.concatenate([[True], ids[turn][1:] != ids[turn][:-1]])] if len(turn) else turn
+    if not len(turn):
         return None
-    return train(got["text"].tolist(), got["toxic_label"].tolist())
+    got = got.select(["text", "toxic_label"]).take(pa.array(turn)).combine_chunks()
+    return train(got["text"].combine_chunks() if got["text"].num_chunks != 1 else got["text"].chunk(0), got["toxic_label"].to_pylist())
 
 
 def score_documents(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
