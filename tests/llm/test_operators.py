@@ -1,0 +1,429 @@
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from plumbline.llm import chat, decontaminate, embedding, jaccard, langid, lm, packing, pii, sharding, toxicity
+from plumbline.llm.queries import tokenizer_files
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def words(t):
+    return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+# 1 language identification
+
+
+def _speech(rng, lang, n):
+    parts = {"en": ["the", "ing", "th", "ed", "wh"], "de": ["sch", "ung", "keit", "der", "ü"], "fr": ["eau", "é", "tion", "le", "oui"]}[lang]
+    return " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(n))
+
+
+def test_langid_learns_and_reads_whole_texts(docs_frame, odd_texts):
+    rng = random.Random(3)
+    rows = [(100 + i, _speech(rng, lang, rng.randint(3, 80)), lang) for i, lang in enumerate(["en", "de", "fr"] * 60)]
+    docs = docs_frame(rows + [(i, t, None) for i, t in odd_texts] + [(50, "12 34 !!"), (51, "x" * 200 + " " + _speech(rng, "fr", 900))])
+    teach = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1
+    got = langid.identify(docs, langid.fit(docs, teach)).collect()
+    pred = {r["doc_id"]: r for r in got}
+    assert len(got) == docs.count()
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 1]
+    assert sum(pred[i]["lang_pred"] == lang for i, _, lang in held) >= 0.95 * len(held)
+    assert pred[51]["lang_pred"] == "fr"
+    assert all(pred[i]["lang_pred"] == "und" and pred[i]["score"] == 0 for i in (1, 2, 3, 50))
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_langid_gradients_are_right():
+    rng = np.random.default_rng(0)
+    layer = langid.Layer(rng.normal(0, 0.5, (256, 12)), rng.normal(0, 0.5, (4, 12)))
+    x, mask = rng.integers(0, 5, (3, 6)).astype(np.uint8), np.ones((3, 6))
+    mask[1, 4:] = 0
+    weight = rng.normal(size=(6, 3, 4))
+
+    def loss():
+        return sum((weight[t] * after).sum() for t, *_, after in langid._run(layer, x, mask, False))
+
+    de, du = langid._back(layer, x, langid._run(layer, x, mask, False), weight)
+    for array, grad, at in ((layer.e, de, (int(x[0, 0]), 2)), (layer.e, de, (int(x[2, 3]), 9)), (layer.u, du, (1, 5)), (layer.u, du, (3, 11))):
+        kept = array[at]
+        array[at] = kept + 1e-5
+        up = loss()
+        array[at] = kept - 1e-5
+        down = loss()
+        array[at] = kept
+        assert abs((up - down) / 2e-5 - grad[at]) < 1e-2 * max(1, abs(grad[at]))
+
+
+def test_langid_without_labels(docs_frame):
+    docs = docs_frame([(1, "abc", None), (2, None, None)])
+    assert {r["lang_pred"] for r in langid.identify(docs, langid.fit(docs)).collect()} == {"und"}
+
+
+# 2 packing
+
+
+def test_packing_is_an_exact_cover(docs_frame, odd_texts, sentences):
+    rows = odd_texts + [(100 + i, sentences(i, 5 + 37 * i % 900)) for i in range(60)] + [(500, "a <|endoftext|> b")]
+    docs = docs_frame(rows)
+    encode = packing.encoder(*tokenizer_files())
+    pieces = packing.pack(docs, tokenizer_files()).collect()
+    want = Counter()
+    for i, t in rows:
+        ids = np.append(encode.slow.encode(t or "", add_special_tokens=False).ids, 0).astype("<u4")
+        want[i] += len(ids)
+        for p in (p for p in pieces if p["doc_id"] == i):
+            assert p["ids_crc32"] == zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes()) and p["doc_tokens"] == len(ids)
+    got, seqs = Counter(), {}
+    for p in pieces:
+        got[p["doc_id"]] += p["length"]
+        seqs.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    assert got == want
+    for s in seqs.values():
+        s.sort()
+        assert [o for o, _ in s] == [sum(n for _, n in s[:k]) for k in range(len(s))]
+        total = sum(n for _, n in s)
+        assert total <= 1024 and (total == 1024 or total & (total - 1) == 0)
+
+
+def test_fast_encoder_equals_the_tokenizer_file():
+    encode = packing.encoder(*tokenizer_files())
+    rng = random.Random(1)
+    letters = [chr(c) for c in (*range(32, 127), 9, 10, 13, *range(0xA1, 0x100))] + ["  ", "the", "'s", "été"]
+    for _ in range(300):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 80)))
+        assert encode.ids(text).tolist()[:-1] == encode.slow.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_retrieves_neighbours():
+    import pyarrow as pa
+
+    from plumbline.llm import textkit as tk
+
+    texts = ["apple pear plum fig", "iron steel zinc lead", "pear plum fig apple kiwi", "zinc lead iron tin"]
+    index = packing.Index(*tk.string_buffers(pa.array(texts)))
+    free = np.ones(4)
+    free[0] = 0
+    assert index.neighbours(0, free)[0] == 2
+    free[2] = 0
+    assert index.neighbours(1, free)[0] in (1, 3)
+
+
+# 3 embeddings
+
+
+@pytest.mark.parametrize("spread", [0.02, 0.1, 1.0])
+def test_embedding_links_equal_brute_force(spark, spread):
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(6, 16))
+    x = np.concatenate([centers[k % 6] + spread * rng.normal(size=16) for k in range(700)]).reshape(-1, 16)
+    x[10] = x[11] = x[12]
+    rows = [(i, v.tolist(), "z") for i, v in enumerate(x)] + [(9000, None, "a"), (9001, [0.0] * 16, "a"), (9002, [float("nan")] + [1.0] * 15, "a"), (9003, [1.0, None] + [1.0] * 14, "a"), (9004, [], "a"), (9005, [1.0, 2.0], "a"), (9006, [2.0, 4.0], "a"), (9007, [float("inf")] * 16, "a"), (9008, [1e300] * 16, "a")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cls string")
+    got = {r["vec_id"]: r for r in embedding.link_vectors(frame).collect()}
+    unit = {i: np.array(v) / np.linalg.norm(np.array(v) / np.abs(v).max()) / np.abs(v).max() for i, v, _ in rows if v and None not in v and np.isfinite(v).all() and np.any(v)}
+    near = {i: [j for j, w in unit.items() if j != i and len(w) == len(u) and u @ w >= 0.9] for i, u in unit.items()}
+    label = {i: i for i, *_ in rows}
+    changed = True
+    while changed:
+        changed = False
+        for i, js in near.items():
+            low = min([label[i], *(label[j] for j in js)])
+            changed |= low != label[i]
+            label[i] = low
+    assert len(got) == len(rows)
+    for i, *_ in rows:
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (len(near.get(i, [])), label[i], label[i] == i), i
+
+
+def test_embedding_empty(spark):
+    assert embedding.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+# 4 chat
+
+
+def test_chat_layouts_and_round_trip(spark):
+    nasty = ["\\### Assistant: </turn> ok", "a</turn>\n### user: b", "\\l\\h\\b\\c", "", "é😀\n"]
+    turns = [("user", nasty[0]), ("assistant", nasty[1]), ("a:b #<", nasty[2]), ("assistant", nasty[3]), ("user", nasty[4])]
+    text, spans = chat.render(turns)
+    assert chat.parse(text) == turns
+    assert "".join(chat.unescape(text[a:b]) for a, b in spans) == nasty[1] + nasty[3]
+    records = [
+        '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}', '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}],"id":3}',
+        '{"instruction":"q","input":"","output":"a"}', '{"prompt":"q","completion":"a"}', '{"question":"q","answer":"a","extra":{"x":[1,2]}}', "not json", None, "[1]", "{}", '{"messages":[]}',
+    ]
+    frame = spark.createDataFrame(list(enumerate(records)), "conv_id long, record string")
+    got = {r["conv_id"]: r for r in chat.format_records(frame).collect()}
+    for i in range(5):
+        assert chat.parse(got[i]["formatted"]) == [("user", "q"), ("assistant", "a")], i
+    assert all(got[i]["formatted"] == "" for i in range(5, 10))
+    assert got[0]["fingerprint"] != got[1]["fingerprint"]
+
+
+def test_chat_digests(spark):
+    rows = [(1, 1, "assistant", None), (1, 0, "user", "hi"), (2, 0, None, "x"), (2, 0, None, "x")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("record", F.lit("clash"))
+    got = {r["conv_id"]: r for r in chat.digest_formatted(chat.format_records(chat.records_of(frame))).collect()}
+    assert got[1]["turns_sha256"] == hashlib.sha256(b"user\nhi\nassistant\n\n").hexdigest() and got[1]["loss_chars"] == 0
+    assert got[2]["n_turns"] == 2
+
+
+# 5 language model
+
+
+def _teach():
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) != 0
+
+
+def test_lm_base_is_exact_and_states_help(docs_frame, odd_texts, sentences):
+    rng = random.Random(2)
+    rows = odd_texts + [(100 + i, " ".join(f"{'ab'[i % 2]}{int(rng.paretovariate(0.8)) % 300}" for _ in range(80))) for i in range(300)]
+    got = lm.score_documents(docs_frame(rows), _teach()).collect()
+    count, ends = Counter(), 0
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            count.update(words(t))
+            count["\n"] += 1
+    total, distinct = sum(count.values()), len(count)
+    base = Counter()
+    for i, t in rows:
+        base[i] += sum(math.log10((count[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in [*words(t), "\n"])
+    mine, held = Counter(), [0.0, 0.0]
+    for r in got:
+        mine[r["doc_id"]] += r["base_score"]
+        assert r["train_tokens"] == total and math.isfinite(r["score"]) and r["score"] <= 0
+        if r["doc_id"] >= 100 and zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0:
+            held[0] += r["score"]
+            held[1] += r["base_score"]
+    assert len(got) == len(rows) and all(abs(mine[i] - base[i]) < 1e-6 * max(1, abs(base[i])) for i in base)
+    assert held[0] > held[1]
+
+
+def test_lm_forward_equals_enumeration():
+    rng = np.random.default_rng(1)
+    unigram = np.full(lm.SYMBOLS, 1 / lm.SYMBOLS)
+    model = lm.first_model(unigram)
+    symbol, rows = np.array([3, 7, 3, 9], np.int32), np.array([0, 3, 3, 4])
+    got = lm.forward(model, symbol, rows)
+    for k, (a, b) in enumerate(zip(rows[:-1], rows[1:])):
+        v = model.start
+        for j, s in enumerate([*symbol[a:b], lm.END]):
+            v = (v if j == 0 else v @ model.move) * model.emit[s]
+        assert abs(got[k] - math.log10(v.sum())) < 1e-4
+    assert abs(model.emit.sum(axis=0) - 1).max() < 1e-9
+    out = lm.empty_counts()
+    lm.expected(model, [np.array([3, 7, lm.END], np.int32), np.array([5, lm.END], np.int32)], np.array([True, False]), out)
+    assert abs(out["emit"].sum() - 5) < 1e-3 and abs(out["start"].sum() - 1) < 1e-4 and abs(out["move"].sum() - 3) < 1e-3
+    del rng
+
+
+def test_lm_without_training_or_rows(docs_frame):
+    got = lm.score_documents(docs_frame([(1, "a b"), (2, None)]), F.lit(False)).collect()
+    assert {r["score"] for r in got} == {0.0} and {r["n_tokens"] for r in got} == {3, 1}
+    assert lm.score_documents(docs_frame([]), F.lit(True)).count() == 0
+
+
+# 6 personal data
+
+PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def brute_spans(t):
+    out = []
+    for k, (kind, pattern) in enumerate(PATTERNS):
+        for m in re.finditer(pattern, t):
+            digits = re.sub("[^0-9]", "", m[0])
+            odd = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits)))
+            if kind == "ip" and max(map(int, m[0].split("."))) > 255 or kind == "card" and not (12 <= len(digits) <= 19 and odd % 10 == 0) or kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_pii_base_spans_equal_the_patterns():
+    rng = random.Random(4)
+    bits = ["a@b.c", "x.y@z-1.com.", "@", "..", "1.2.3.4", "999.1.1.1", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1111", "+1 (555) 555-0199", "+49", " ", "é", "\n", "7", "-", "a@b", "a@@b.c", "+1234567890123456", "é@é.com", "1..2"]
+    for _ in range(3000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(1, 9)))
+        assert pii.base_spans(t) == brute_spans(t), t
+
+
+def test_pii_adds_only_what_a_base_span_supports(docs_frame, odd_texts):
+    rows = odd_texts + [(20, "card 4111 1111 1111 1111 and later 4111111111111112 no"), (21, "mail joe@x.org. Ask again: JOE@X.ORG, joe@x.org"), (22, "phone +1 555 555 0199 then 15555550199 later"), (23, "version 3. of 2024, 99 bottles")]
+    rows += [(100 + i, f"call +1 555 555 {1000 + i} or write u{i}@mail.example.com from 10.0.{i}.7 ok") for i in range(60)]
+    docs = docs_frame(rows)
+    model = pii.fit(docs)
+    got = pii.find_spans(docs, model).collect()
+    assert len(got) == len(rows)
+    text = dict(rows)
+    for r in got:
+        t = text[r["doc_id"]] or ""
+        assert [(s["start"], [k for k, _ in PATTERNS].index(s["kind"]), s["end"]) for s in r["spans"] if s["base"]] == brute_spans(t)
+    spans = {r["doc_id"]: r["spans"] for r in got}
+    assert not spans[23] and not [s for s in spans[20] if not s["base"]]
+    assert any(not s["base"] and text[22][s["start"] : s["end"]] == "15555550199" for s in spans[22])
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs, model).collect()}
+    assert clean[21] == "mail [EMAIL]. Ask again: [EMAIL], [EMAIL]" and clean[23] == text[23] and clean[1] is None
+    digest = {r["doc_id"]: r for r in pii.digest(pii.find_spans(docs, model)).collect()}
+    assert digest[2]["base_sha256"] == hashlib.sha256(b"").hexdigest() and digest[21]["n_email"] == 3
+
+
+# 7 toxicity
+
+
+def test_toxicity_learns_and_leaves_clean_texts(docs_frame, odd_texts, spark, sentences):
+    rng = random.Random(6)
+    rows = [(100 + i, sentences(i, 60) + (" " + " ".join(rng.choice(["vile", "rotten", "filthy"]) for _ in range(4)) if i % 4 == 0 else "")) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(k % 4 == 0)) for k, (i, _) in enumerate(rows)] + [(100, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    docs = docs_frame(rows + odd_texts)
+    model = toxicity.fit(docs, labels, teach=F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0)
+    got = {r["doc_id"]: r["toxic_score"] for r in toxicity.score_documents(docs, model).collect()}
+    held = [(i, k % 4 == 0) for k, (i, _) in enumerate(rows) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum((got[i] >= 0.5) == bad for i, bad in held) >= 0.97 * len(held)
+    assert got[1] == got[2] == got[3] and 0 <= got[5] <= 1
+    kept = toxicity.keep_clean(docs, model)
+    assert kept.columns == docs.columns and kept.where("doc_id = 7").count() == 2
+    assert toxicity.keep_clean(docs, None).count() == docs.count()
+
+
+# 8 decontamination
+
+
+def test_decontamination_equals_brute_force(docs_frame, odd_texts, spark, sentences):
+    rng = random.Random(8)
+    items = [(i, sentences(1000 + i, 8 + i % 60) + ". " + sentences(2000 + i, 6)) for i in range(80)] + [(90, None), (91, "  "), (92, "three word item"), (93, sentences(5000, 400))]
+    rows = list(odd_texts)
+    for k in range(150):
+        own = sentences(7000 + k, 200 + k)
+        item = items[k % 84][1] or ""
+        w = item.split()
+        cut = w if k % 3 == 0 else w[: int(len(w) * rng.random())] if k % 3 == 1 else [x if rng.random() > 0.02 else "zz" for x in w]
+        at = rng.randint(0, len(own))
+        rows.append((1000 + k, own[:at] + " " + " ".join(cut) + " " + own[at:]))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    shards = decontaminate.index(bench)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs_frame(rows), shards).collect()}
+    want = set()
+    for d, t in rows:
+        w = words(t)
+        grams, seen = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}, set(w)
+        for i, it in items:
+            iw = words(it)
+            if not iw:
+                continue
+            own = {tuple(iw[k : k + 5]) for k in range(len(iw) - 4)} or {tuple(iw)}
+            here = sum(g in grams for g in own) if len(iw) >= 5 else int(any(tuple(w[k : k + len(iw)]) == tuple(iw) for k in range(len(w))))
+            answer = set(iw[len(iw) - decontaminate._answer(len(iw), it) :])
+            if here >= 0.8 * len(own) and len(answer & seen) >= 0.5 * len(answer):
+                want.add((d, i))
+    assert got == want and len(want) > 40
+    clean = decontaminate.clean_documents(docs_frame(rows), shards)
+    assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in rows} - {d for d, _ in want}
+    assert decontaminate.find_leaks(docs_frame(rows), decontaminate.index(bench.where("false"))).count() == 0
+
+
+# 9 n-gram Jaccard
+
+
+def brute_components(rows):
+    sets = []
+    for i, t in rows:
+        w = words(t)
+        sets.append((i, frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) or frozenset([tuple(w)] if w else [])))
+    label = {i: i for i, _ in rows}
+    links = [(i, j) for a, (i, s) in enumerate(sets) for j, u in sets[a + 1 :] if s and u and 100 * len(s & u) >= 80 * len(s | u)]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in links:
+            low = min(label[i], label[j])
+            changed |= label[i] != low or label[j] != low
+            label[i] = label[j] = low
+    return {i: (len(s), label[i]) for i, s in sets}
+
+
+def test_jaccard_equals_brute_force(docs_frame, odd_texts, sentences, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rng = random.Random(9)
+    passage = sentences(4242, 60)
+    rows = list(odd_texts)
+    for g in range(25):
+        base = sentences(100 + g, 20 + 13 * g).split()
+        for k in range(2 + (60 if g == 3 else g % 6)):
+            w = [x if rng.random() > 0.008 * (k % 5) else f"q{rng.randint(0, 9999)}" for x in base]
+            rows.append((1000 + 100 * g + k, " ".join(w)))
+    rows += [(9000 + k, passage + " " + sentences(3000 + k, 10 + 3 * k)) for k in range(60)]
+    rows += [(9500 + k, "a b c".split()[k % 3]) for k in range(6)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs_frame(rows)).collect()}
+    assert got == brute_components(rows)
+    kept = jaccard.keep_representatives(docs_frame(rows))
+    ids = [r["doc_id"] for r in kept.collect()]
+    want = {i for i, (_, c) in got.items() if i == c}
+    assert sorted(ids) == sorted(want)
+
+
+def test_jaccard_empty(docs_frame):
+    assert jaccard.jaccard_components(docs_frame([])).count() == 0
+    assert jaccard.keep_representatives(docs_frame([(1, None), (2, None)])).count() == 2
+
+
+# 10 sharding
+
+
+def brute_capacity(sizes, shards):
+    lo, hi = max(max(sizes), -(-sum(sizes) // shards)), sum(sizes)
+    def fits(c):
+        n, room = 1, c
+        for s in sizes:
+            if s > room:
+                n, room = n + 1, c
+            room -= s
+        return n <= shards
+    while lo < hi:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if fits(mid) else (mid + 1, hi)
+    return lo
+
+
+@pytest.mark.parametrize("hot", [1, 400])
+def test_sharding_is_minimax(docs_frame, odd_texts, sentences, spark, hot, monkeypatch):
+    monkeypatch.setattr(sharding, "COARSE_SHIFT", 60)  # few ranges, so that levels are refined
+    rows = odd_texts + [(100 + i, sentences(i, i % 50)) for i in range(600)] + [(5000 + i, "hot text") for i in range(hot)]
+    docs = docs_frame(rows)
+    got = sharding.shard_rows(docs, 16).collect()
+    assert len(got) == len(rows)
+    keyed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), (F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1).alias("size"))
+    groups = keyed.groupBy("key").agg(F.sum("size").alias("size"))
+    sizes = [r["size"] for r in groups.orderBy("key").collect()]
+    capacity, _ = sharding.capacity_and_cuts(groups, 16)
+    total = Counter()
+    slots = {}
+    for r in got:
+        total[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert capacity == brute_capacity(sizes, 16) and max(total.values()) <= capacity
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    where = {}
+    for r in got:
+        t = next(t for i, t in rows if i == r["doc_id"])
+        assert r["size"] == len((t or "").encode()) + 1 and r["text_crc32"] == zlib.crc32((t or "").encode())
+        assert where.setdefault(t or "", r["shard"]) == r["shard"]
+
+
+def test_sharding_empty(docs_frame):
+    assert sharding.shard_rows(docs_frame([]), 16).count() == 0
