@@ -71,12 +71,13 @@ OSV = (
 def parse_osv(documents: DataFrame, json_col: str = "json") -> DataFrame:
     """Advisory rows from OSV JSON: summary, first fixed version, functions and severity."""
     d = documents.withColumn("d", F.from_json(json_col, OSV))
-    ranges = F.flatten(F.transform(F.coalesce("d.affected", F.array().cast("array<struct<ranges:array<struct<type:string,events:array<struct<introduced:string,fixed:string>>>>,ecosystem_specific:struct<functions:array<string>>>>")), lambda a: a["ranges"]))
-    fixed = F.flatten(F.transform(F.filter(ranges, lambda r: r["type"].isin("SEMVER", "ECOSYSTEM")), lambda r: F.transform(r["events"], lambda e: e["fixed"])))
+    join = lambda c, f: F.flatten(F.filter(F.transform(c, f), lambda x: x.isNotNull()))
+    ranges = F.filter(join("d.affected", lambda a: a["ranges"]), lambda r: r["type"].isin("SEMVER", "ECOSYSTEM"))
+    fixed = join(ranges, lambda r: F.transform(r["events"], lambda e: e["fixed"]))
     first_line = F.split_part(F.col("d.details"), F.lit("\n"), F.lit(1))
     vectors = F.transform("d.severity", lambda s: cvss_rank(cvss_base_score(s["score"])))
     rank = F.greatest(F.coalesce(F.array_max(vectors), F.lit(0)), severity_rank(F.coalesce("d.database_specific.severity", F.lit(""))))
-    functions = F.array_distinct(F.flatten(F.transform("d.affected", lambda a: a["ecosystem_specific"]["functions"])))
+    functions = F.array_distinct(join("d.affected", lambda a: a["ecosystem_specific"]["functions"]))
     return d.select(
         *[c for c in documents.columns if c != json_col], F.col("d.id").alias("id"), F.col("d.aliases").alias("aliases"),
         F.coalesce(F.nullif("d.summary", F.lit("")), F.nullif(first_line, F.lit("")), F.lit("(no summary provided)")).alias("summary"),
