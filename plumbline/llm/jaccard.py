@@ -35,7 +35,7 @@ _U = np.uint64
 HEAVY_MOST = 1 << 20
 HEAVY_LEAST = 32
 LOCAL_LEAST = 4
-WINDOW = 1 << 22
+WINDOW = 1 << 21
 BLOCK = 256
 BITS_EACH = 2
 BLOOM_BITS = 1 << 25

@@ -38,11 +38,7 @@ class Encoder:
     """Token ids of texts, by a tokenizer file and, for common text, the same vocabulary as ranks."""
 
     def __init__(self, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None):
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(tokenizer_path)
-        self.slow.encode_special_tokens = True
-        self.fast = None
+        self.path, self._slow, self.fast = tokenizer_path, None, None
         if ranks_path:
             import base64
 
@@ -52,6 +48,16 @@ class Encoder:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @property
+    def slow(self):
+        """The tokenizer file itself, read when a text first needs it."""
+        if self._slow is None:
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.path)
+            self._slow.encode_special_tokens = True
+        return self._slow
+
     def ids(self, text: str) -> np.ndarray:
         if self.fast is not None and _COMMON.fullmatch(text):
             got = self.fast.encode_ordinary(text)

@@ -40,6 +40,22 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.
     return out
 
 
+def counted(texts: pa.Array, chunk: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct places and their values, row by row in flat arrays, and n+1 offsets into them."""
+    places, values, sizes = [], [], []
+    for k in range(0, len(texts), chunk):
+        found = features(*tk.string_buffers(texts[k : k + chunk]))
+        key = np.sort(np.concatenate([(tk.row_index(rows) << BITS) | p.astype(np.int64) for p, rows in found]))
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        count, row = np.diff(np.append(first, len(key))), key[first] >> BITS
+        total = sum(np.diff(rows) for _, rows in found)
+        places.append((key[first] & ((1 << BITS) - 1)).astype(np.int32))
+        values.append((count / np.sqrt(np.maximum(total[row], 1))).astype(np.float32))
+        sizes.append(np.bincount(row, minlength=len(total)))
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
+    return (np.concatenate(places), np.concatenate(values), offsets) if places else (np.zeros(0, np.int32), np.zeros(0, np.float32), offsets)
+
+
 @dataclass
 class Model:
     places: np.ndarray
@@ -65,16 +81,14 @@ def train(texts: pa.Array, labels: list[int], epochs: int = 4, alpha: float = 20
     """FTRL-proximal, one document at a time, in the given order."""
     size = 1 << BITS
     z, n = np.zeros(size), np.zeros(size)
-    docs = []
-    for k in range(len(texts)):
-        places, counts = np.unique(np.concatenate([p.astype(np.int32) for p, _ in features(*tk.string_buffers(texts[k : k + 1]))]), return_counts=True)
-        docs.append((places, (counts / np.sqrt(max(counts.sum(), 1))).astype(np.float32)))
+    places, values, rows = counted(texts)
     y = np.asarray(labels, float)
     rate = min(max(float(y.mean()), 0.001), 0.4)
     bias = float(np.log(rate / (1 - rate)))
     shrink = lambda z, n: np.where(np.abs(z) <= l1, 0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
     for _ in range(epochs):
-        for (i, x), label in zip(docs, y, strict=True):
+        for at, to, label in zip(rows[:-1], rows[1:], y, strict=True):
+            i, x = places[at:to], values[at:to]
             zi, ni = z[i], n[i]
             w = shrink(zi, ni)
             g = (1 / (1 + np.exp(-np.clip(bias + w @ x, -40, 40))) - label) * x
@@ -99,7 +113,10 @@ def fit(docs: DataFrame, labels: DataFrame, teach: Column | None = None, max_tra
     if not len(turn):
         return None
     got = got.select(["text", "toxic_label"]).take(pa.array(turn)).combine_chunks()
-    return train(got["text"].combine_chunks() if got["text"].num_chunks != 1 else got["text"].chunk(0), got["toxic_label"].to_pylist())
+    model = train(got["text"].chunk(0), got["toxic_label"].to_pylist())
+    del got
+    pa.default_memory_pool().release_unused()  # the driver lives on
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
