@@ -101,10 +101,13 @@ def any_of(text: Column, patterns: list[str]) -> Column:
     return out
 
 
+SPLIT_LITERAL = r"""["']\s*\+\s*["']"""
+
+
 def join_literals(text: Column, passes: int = 3) -> Column:
     """Neighbouring string literals joined, so that ``"cur" + "l"`` reads as one."""
     for _ in range(passes):
-        text = F.regexp_replace(text, r"""["']\s*\+\s*["']""", "")
+        text = F.regexp_replace(text, SPLIT_LITERAL, "")
     return text
 
 

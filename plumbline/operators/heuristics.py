@@ -106,8 +106,9 @@ def source_findings(files: DataFrame) -> DataFrame:
     The first 256 KiB of bytes are looked at, as they are and with string literals joined.
     """
     body = F.make_valid_utf8(F.substring(F.encode("body", "UTF-8"), 1, SCAN_BYTES).cast("string"))
-    both = files.withColumn("raw", body).withColumn("joined", R.join_literals(F.col("raw"))).withColumn("language", R.language(F.col("path")))
-    either = lambda f: f(F.col("raw")) | f(F.col("joined"))
+    both = files.withColumn("raw", body).withColumn("language", R.language(F.col("path")))
+    both = both.withColumn("joined", F.when(F.col("raw").rlike(R.SPLIT_LITERAL), R.join_literals(F.col("raw"))))  # null, and so cheap, where nothing is split
+    either = lambda f: F.coalesce(f(F.col("raw")) | f(F.col("joined")), F.lit(False))
     coded = F.lit(False)
     for lang, pattern in R.OBFUSCATION.items():
         coded = F.when(F.col("language") == lang, either(lambda c, p=pattern: c.rlike(p))).otherwise(coded)
