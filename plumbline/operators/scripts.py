@@ -102,3 +102,37 @@ def workflow_findings(files: DataFrame, key: str = "file", text_col: str = "text
     loose = used.where(~F.split_part("ref", F.lit("@"), F.lit(-1)).rlike(r"^[0-9a-f]{40}$") | ~F.contains("ref", F.lit("@")))
     owner = F.split_part("ref", F.lit("/"), F.lit(1))
     return found.unionByName(loose.select(key, "line", F.lit("unpinned-action-ref").alias("rule"), F.when(owner.isin("actions", "github"), 0).otherwise(1).alias("severity")))
+
+
+def bash_array(text: Column, name: str) -> Column:
+    """Words of a bash array assignment, quotes off; empty without one."""
+    body = F.regexp_extract(text, rf"(?s)(?:\A|\n)\s*{name}\s*\+?=\s*\(([^)]*)\)", 1)
+    words = F.regexp_extract_all(F.regexp_replace(body, r"(?m)(?:^|\s)#.*$", ""), F.lit(r"""'[^']*'|"[^"]*"|[^\s'"]+"""), F.lit(0))
+    return F.transform(words, lambda w: F.regexp_replace(w, r"""\A['"]|['"]\z""", ""))
+
+
+def checksum_findings(files: DataFrame, key: str = "package", text_col: str = "text") -> DataFrame:
+    """(package, rule): build files with fewer checksums than sources."""
+    sums = [F.size(bash_array(F.col(text_col), f"{s}sums")) for s in ("md5", "sha1", "sha256", "sha512", "b2")]
+    rows = files.withColumn("n", F.size(bash_array(F.col(text_col), "source"))).withColumn("s", F.greatest(*sums))
+    return rows.where("n > 0 and s < n").select(key, F.lit("checksum-count").alias("rule"))
+
+
+# First bytes of executables (ELF, MZ, five Mach-O forms).
+MAGIC = ("7F454C46", "FEEDFACE", "FEEDFACF", "CEFAEDFE", "CFFAEDFE", "CAFEBABE")
+
+
+def binary_findings(local_files: DataFrame, key: str = "package") -> DataFrame:
+    """(package, path, rule): executables among the files beside a build file; new ones are named so."""
+    head = F.hex(F.substring("head", 1, 4))
+    binary = head.isin(*MAGIC) | head.startswith("4D5A")
+    return local_files.where(binary).select(key, "path", F.when(F.col("added"), "local-binary-added").otherwise("binary-in-source").alias("rule"))
+
+
+def stale_history_findings(packages: DataFrame, key: str = "package") -> DataFrame:
+    """(package, rule): several roots; a last commit long (over 365 days) after the one before, on a young package (under 730 days)."""
+    roots = packages.where("root_count > 1").select(key, F.lit("multiple-roots").alias("rule"))
+    day = 86400
+    quiet = F.floor((F.col("last_commit") - F.col("previous_commit")) / day) > 365
+    young = F.floor((F.col("now") - F.col("first_submitted")) / day) < 730
+    return roots.unionByName(packages.where(quiet & young).select(key, F.lit("dormant-then-active").alias("rule")))

@@ -161,4 +161,20 @@ ORACLES = {
     "allowlist_matches": f"""WITH {FLAGS}, r AS (SELECT ecosystem, name, version, p_size, unnest([1, 2, 3, 4, 5, 7]) AS rule_ord FROM fps),
  m AS (SELECT * FROM r WHERE (rule_ord = 1 AND ecosystem = 'npm' AND p_size >= 10) OR (rule_ord = 2 AND ecosystem = 'npm' AND name = 'pkg-6') OR (rule_ord = 3 AND ecosystem = 'pypi' AND p_size = 5) OR (rule_ord = 4 AND ecosystem = 'go' AND p_size IN (7, 11)) OR (rule_ord = 5 AND ecosystem = 'npm') OR (rule_ord = 7 AND ecosystem = 'pypi' AND name = 'pkg-7' AND p_size <= 40))
  SELECT ecosystem, name, version, CAST(rule_ord AS BIGINT) AS rule_ord, ['large ones spawn', 'known', 'templates', 'clients', 'native', '', 'seven'][rule_ord] AS reason, CAST(row_number() OVER (PARTITION BY ecosystem, name, version ORDER BY CASE WHEN rule_ord IN (2, 7) THEN 0 ELSE 1 END, rule_ord) AS BIGINT) AS match_rank FROM m""",
+    "advisory_queries": f"""WITH {DEPS} SELECT DISTINCT ecosystem, name, version, CASE ecosystem WHEN 'npm' THEN 'npm' WHEN 'pypi' THEN 'PyPI' WHEN 'crates' THEN 'crates.io' WHEN 'go' THEN 'Go' WHEN 'maven' THEN 'Maven' ELSE 'RubyGems' END AS osv, name AS osv_name FROM deps
+ UNION ALL SELECT 'swifturl', 'https://github.com/a/r' || p_partkey || '.git', '1.0.0', 'SwiftURL', 'github.com/a/r' || p_partkey FROM part""",
+    "advisory_lookup": f"WITH {DEPS}, {ADVS}, d AS (SELECT DISTINCT ecosystem, name, version FROM deps) SELECT d.ecosystem, d.name, d.version, CAST(count(DISTINCT id) AS BIGINT) AS n FROM d LEFT JOIN advs a ON d.ecosystem = a.ecosystem AND d.name = a.name GROUP BY 1, 2, 3",
+    "ghsa_parse": f"WITH {ADVS} SELECT ecosystem, name, 'GHSA-' || p_partkey AS id, id AS alias, severity, fixed_in FROM advs",
+    "npm_licenses": "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'MIT' WHEN 1 THEN 'ISC' WHEN 2 THEN 'MIT OR GPL-3.0' END AS license FROM part",
+    "npm_provenance": "SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN 'https://github.com/o/r' || p_partkey END AS source_uri, CASE WHEN p_partkey % 3 <> 0 THEN 'c' || p_size END AS commit FROM part",
+    "packument_releases": "SELECT 'c' || o_custkey AS name, '1.0.' || o_orderkey AS version, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderpriority END AS publisher, o_orderkey % 5 = 0 AS unpublished FROM orders",
+    "resolved_requests": f"""WITH {DEPS}, d AS (SELECT DISTINCT name, version FROM deps), n AS (SELECT DISTINCT name FROM d), k AS (SELECT *, {vnum('version')} AS k FROM d WHERE NOT contains(version, '-')),
+ r AS (SELECT name, max_by(version, k) AS best FROM k WHERE k >= 1002000 AND k < 2000000 GROUP BY 1) SELECT n.name, '^1.2.0' AS request, best AS resolved FROM n LEFT JOIN r USING (name) UNION ALL SELECT name, '' AS request, min(version) FROM d GROUP BY name""",
+    "pypi_requests": f"WITH {DEPS}, d AS (SELECT DISTINCT name, version FROM deps), k AS (SELECT *, {vnum('version')} AS k FROM d WHERE NOT contains(version, '-')) SELECT name, '~=1.2, !=1.5.0' AS request, max_by(version, k) AS resolved FROM k WHERE k >= 1002000 AND k < 2000000 AND k <> 1005000 GROUP BY name",
+    "tag_candidates": """SELECT p_partkey, CAST(i - 1 AS BIGINT) AS place, t[i] AS tag FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN ['v1.2', '1.2', '@s/p' || p_partkey || '@1.2', '@s/p' || p_partkey || '-v1.2', '@s/p' || p_partkey || '-1.2', 'p' || p_partkey || '@1.2', 'p' || p_partkey || '-v1.2', 'p' || p_partkey || '-1.2']
+ ELSE ['v1.2', '1.2', 'p' || p_partkey || '@1.2', 'p' || p_partkey || '-v1.2', 'p' || p_partkey || '-1.2'] END AS t FROM part), range(1, 9) r(i) WHERE i <= len(t)""",
+    "patch_drift": "SELECT p_partkey FROM part WHERE p_size % 2 = 0 AND p_size % 3 = 0",
+    "unused_dependencies": "SELECT DISTINCT l_orderkey AS project, 'd' || (l_partkey % 20) AS dep_name FROM lineitem l WHERE l_linenumber % 2 = 1 AND NOT EXISTS (SELECT 1 FROM lineitem q WHERE q.l_orderkey = l.l_orderkey AND q.l_suppkey % 20 = l.l_partkey % 20)",
+    "checksum_counts": "SELECT doc_id AS package, 'checksum-count' AS rule FROM documents WHERE doc_id % 3 = 0",
+    "local_binaries": "SELECT p_partkey AS package, CASE WHEN p_partkey % 2 = 0 THEN 'local-binary-added' ELSE 'binary-in-source' END AS rule FROM part WHERE p_size % 4 <> 2",
 }

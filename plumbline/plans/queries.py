@@ -477,3 +477,109 @@ def package_analysis(spark, d):
 
 
 QUERIES |= {f.__name__: f for f in (code_capabilities, code_imports, python_symbols, package_analysis)}
+
+
+def advisory_queries(spark, d):
+    from ..operators import feeds
+
+    deps = D.dependencies(spark, d)
+    swift = T(spark, d, "part").select(F.lit("swifturl").alias("ecosystem"), F.concat(F.lit("https://github.com/a/r"), "p_partkey", F.lit(".git")).alias("name"), F.lit("1.0.0").alias("version"))
+    none = T(spark, d, "part").select(F.lit("conan").alias("ecosystem"), F.col("p_name").alias("name"), F.lit("1").alias("version"))
+    return feeds.advisory_queries(deps.select(*KEY).union(swift).union(none)).select(*KEY, "osv", "osv_name")
+
+
+def advisory_lookup(spark, d):
+    from ..operators import feeds
+
+    queries = feeds.advisory_queries(D.dependencies(spark, d))
+    hits = queries.join(D.advisories(spark, d).select("ecosystem", "name", "id"), ["ecosystem", "name"])
+    return feeds.looked_up(queries, hits).select(*KEY, F.size("advisories").cast("long").alias("n"))
+
+
+def ghsa_parse(spark, d):
+    """GitHub responses written from advisories and parsed back, attached to every version."""
+    from ..operators import feeds
+
+    adv = D.advisories(spark, d).withColumn("g", F.expr("case ecosystem when 'pypi' then 'PIP' when 'crates' then 'RUST' else upper(ecosystem) end"))
+    node = F.struct(F.struct(F.concat(F.lit("GHSA-"), "p_partkey").alias("ghsaId"), "summary", F.upper("severity").alias("severity"), F.array(F.struct(F.lit("CVE").alias("type"), F.col("id").alias("value")), F.struct(F.lit("GHSA").alias("type"), F.lit("x").alias("value"))).alias("identifiers")).alias("advisory"),
+                    F.struct("name", F.col("g").alias("ecosystem")).alias("package"), F.struct(F.col("fixed_in").alias("identifier")).alias("firstPatchedVersion"))
+    docs = adv.groupBy((F.col("p_partkey") % 10).alias("page")).agg(F.collect_list(node).alias("nodes")).select(F.to_json(F.struct(F.struct(F.struct("nodes").alias("securityVulnerabilities")).alias("data"))).alias("json"))
+    return feeds.parse_ghsa(docs).select("ecosystem", "name", "id", F.element_at("aliases", 1).alias("alias"), "severity", "fixed_in")
+
+
+def npm_licenses(spark, d):
+    from ..operators import feeds
+
+    doc = F.expr("""element_at(array('{"license":"MIT"}', '{"license":{"type":"ISC"}}', '{"licenses":[{"type":"MIT"},{"type":"GPL-3.0"}]}', '{}', 'broken'), cast(p_size % 5 + 1 as int))""")
+    return T(spark, d, "part").select("p_partkey", feeds.license_of(doc).alias("license"))
+
+
+def npm_provenance(spark, d):
+    from ..operators import feeds
+
+    text = F.expr("""concat('{"predicate":{"buildDefinition":{"resolvedDependencies":[{"uri":"git+https://github.com/o/r', p_partkey, '@refs/tags/v1","digest":{"gitCommit":"c', p_size, '"}}]}}}')""")
+    rows = T(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, "!!").otherwise(F.base64(F.encode(text, "UTF-8"))).alias("payload"))
+    return feeds.provenance(rows).select("p_partkey", "source_uri", "commit")
+
+
+def packument_releases(spark, d):
+    """npm documents written from orders: a release an order, some unpublished."""
+    from ..operators import feeds
+
+    o = T(spark, d, "orders").selectExpr("o_custkey", "concat('1.0.', o_orderkey) as v", "date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") as t", "o_orderpriority as p", "o_orderkey % 5 = 0 as gone")
+    users = F.map_from_entries(F.array_compact(F.collect_list(F.when(~F.col("gone"), F.struct("v", F.struct(F.struct(F.col("p").alias("name")).alias("_npmUser")))))))
+    docs = o.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("v", "t"))).alias("time"), users.alias("versions")).select(F.to_json(F.struct(F.concat(F.lit("c"), "o_custkey").alias("name"), F.map_concat("time", F.create_map(F.lit("created"), F.lit("2020-01-01T00:00:00Z"))).alias("time"), "versions")).alias("json"))
+    return feeds.packument_releases(docs).select("name", "version", "publisher", "unpublished")
+
+
+def resolved_requests(spark, d):
+    from ..operators import resolve
+
+    versions = D.dependencies(spark, d).select("name", "version").distinct().withColumn("yanked", F.lit(False))
+    names = versions.select("name").distinct()
+    requests = names.withColumn("request", F.lit("^1.2.0")).union(names.withColumn("request", F.lit("")))
+    tags = versions.groupBy("name").agg(F.min("version").alias("version")).withColumn("tag", F.lit("latest"))
+    return resolve.resolve_npm(requests, versions, tags)
+
+
+def pypi_requests(spark, d):
+    from ..operators import resolve
+
+    versions = D.dependencies(spark, d).select("name", "version").distinct()
+    return resolve.resolve_pypi(versions.select("name", F.lit("~=1.2, !=1.5.0").alias("request")).distinct(), versions)
+
+
+def tag_candidates(spark, d):
+    from ..operators import resolve
+
+    name = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("@s/p"), "p_partkey")).otherwise(F.concat(F.lit("p"), "p_partkey"))
+    return T(spark, d, "part").select("p_partkey", F.posexplode(resolve.tag_candidates(name, F.lit("1.2"))).alias("place", "tag")).select("p_partkey", F.col("place").cast("long").alias("place"), "tag")
+
+
+def patch_drift(spark, d):
+    from ..operators import policy
+
+    pairs = T(spark, d, "part").selectExpr("p_partkey", "'1.2.3' as old_version", "if(p_size % 2 = 0, '1.2.4', '1.3.0') as new_version", "array('net-egress') as prev_capabilities", "if(p_size % 3 = 0, array('net-egress', 'shell-spawn'), array('net-egress')) as next_capabilities")
+    return policy.patch_drift(pairs, ["p_partkey"])
+
+
+def unused_dependencies(spark, d):
+    from ..operators import policy
+
+    line = T(spark, d, "lineitem")
+    declared = line.selectExpr("l_orderkey as project", "concat('d', l_partkey % 20) as dep_name", "if(l_linenumber % 2 = 0, 'dev', 'runtime') as dep_group")
+    imported = line.selectExpr("l_orderkey as project", "concat('d', l_suppkey % 20) as dep_key")
+    return policy.unused_dependencies(declared, imported)
+
+
+def checksum_counts(spark, d):
+    text = F.expr("concat('pkgname=x\nsource=(\"a.tgz\"\n  b.patch # c\n)\n', if(doc_id % 3 = 0, 'sha256sums=(\"aa\")', 'sha256sums=(\"aa\" \"bb\")'))")
+    return SC.checksum_findings(T(spark, d, "documents").select(F.col("doc_id").alias("package"), text.alias("text")))
+
+
+def local_binaries(spark, d):
+    rows = T(spark, d, "part").selectExpr("p_partkey as package", "'x' as path", "element_at(array(X'7F454C46AA', X'4D5A9000', X'23212F62', X'CAFEBABE'), cast(p_size % 4 + 1 as int)) as head", "p_partkey % 2 = 0 as added")
+    return SC.binary_findings(rows).select("package", "rule")
+
+
+QUERIES |= {f.__name__: f for f in (advisory_queries, advisory_lookup, ghsa_parse, npm_licenses, npm_provenance, packument_releases, resolved_requests, pypi_requests, tag_candidates, patch_drift, unused_dependencies, checksum_counts, local_binaries)}
