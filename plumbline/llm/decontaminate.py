@@ -9,14 +9,14 @@ fifth of terms, which a passage that keeps 80 % of the item's 5-word shingles ca
 A retrieved item is a leak if 80 % of its shingles occur in the passage, question and answer (its last sentence, or the
 last quarter of a single one) together, and half of the answer's words do.
 
-Words follow textkit. An item of fewer than 5 words is one shingle, its whole sequence, and has to occur as such. Items
+Words are runs of letters and digits, A-Z lower-cased, so that case and punctuation do not hide a leak. An item of fewer than 5 words is one shingle, its whole sequence, and has to occur as such. Items
 without words are never found; null and empty texts leak nothing; an empty benchmark finds nothing. Repeated rows are
 judged alike. Index size follows the benchmark and is checked: shards beyond PASS_SHARDS go into further passes.
 """
 
 from __future__ import annotations
 
-import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,20 +47,23 @@ class Shard:
     cells: int
 
 
+_WORD = re.compile(r"[A-Za-z0-9\u0080-\U0010ffff]+")
+
+
 def _answer(words: int, text: str) -> int:
     """How many words the answer has: the last sentence, or a quarter of a single sentence."""
     body = text.rstrip().rstrip(".!?")
     cut = max(body.rfind(c) for c in ".!?\n")
-    got = len(body[cut + 1 :].split()) if cut >= 0 else 0
+    got = len(_WORD.findall(body[cut + 1 :])) if cut >= 0 else 0
     return got if 0 < got < words else max(1, words // 4)
 
 
 def build(items: list[tuple[int, str]]) -> list[Shard]:
     """The index of (item id, text) pairs."""
-    kept = [(i, t) for i, t in items if t and t.strip()]
+    kept = [(i, t) for i, t in items if t and _WORD.search(t)]
     if not kept:
         return []
-    h, rows = tk.words(*tk.string_buffers(pa.array([t for _, t in kept])))
+    h, rows = tk.words(*tk.string_buffers(pa.array([t for _, t in kept])), letters=True)
     grams, gram_rows = tk.ngrams(h, rows, SHINGLE)
     terms, df = np.unique(np.concatenate([np.unique(h[a:b]) for a, b in zip(rows[:-1], rows[1:], strict=True)] or [h]), return_counts=True)
     idf = np.log(1 + (len(kept) - df + 0.5) / (df + 0.5))
@@ -112,7 +115,7 @@ def _bounds(shard: Shard, h: np.ndarray, cell_of: np.ndarray, cells: int) -> np.
 
 def leaks(shards: list[Shard], raw: np.ndarray, offsets: np.ndarray, overlap: float = 0.8) -> list[tuple[int, int, float, float, float]]:
     """(row, item id, score, shingle overlap, answer overlap): the best passage of each row and item found in it."""
-    h, rows = tk.words(raw, offsets)
+    h, rows = tk.words(raw, offsets, letters=True)
     n = np.diff(rows)
     per = -(-n // CELL)
     first = np.concatenate([[0], np.cumsum(per)])

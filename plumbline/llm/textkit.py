@@ -22,6 +22,8 @@ _LOWER[65:91] += 32
 _VALUE = _BYTE[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_GAP = np.ones(256, bool)
+_GAP[128:] = _GAP[48:58] = _GAP[65:91] = _GAP[97:123] = False
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -91,15 +93,18 @@ def _segments(raw: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, spans: bool = False, fold: bool = True):
-    """Hashes of all words in order, and n+1 offsets into them by row; with ``spans`` also their byte starts and ends."""
-    value = _VALUE if fold else _BYTE
+def words(raw: np.ndarray, offsets: np.ndarray, spans: bool = False, letters: bool = False):
+    """Hashes of all words in order, and n+1 offsets into them by row; with ``spans`` also their byte starts and ends.
+
+    With ``letters`` words are runs of ASCII letters and digits and of any other characters beyond ASCII: punctuation parts them.
+    """
+    gap = _GAP if letters else _SPACE
     first = np.zeros(len(raw) + 1, bool)
     first[offsets] = True
     hashes, starts, ends = [], [], []
     for at, to in _segments(raw):
         piece = raw[at:to]
-        ink = ~_SPACE[piece]
+        ink = ~gap[piece]
         edge = first[at : to + 1]
         before = np.empty(len(piece), bool)
         before[0] = False
@@ -112,7 +117,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, spans: bool = False, fold: bool
         up, down = _power(len(piece) + 1)
         total = np.empty(len(piece) + 1, np.uint64)
         total[0] = 0
-        np.cumsum(value[piece] * up[: len(piece)], out=total[1:])
+        np.cumsum(_VALUE[piece] * up[: len(piece)], out=total[1:])
         hashes.append(mix((total[e] - total[s]) * down[s]))
         starts.append(s + at)
         ends.append(e + at)

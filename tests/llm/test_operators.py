@@ -21,6 +21,10 @@ def words(t):
     return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
 
+def letters(t):
+    return re.findall(r"[A-Za-z0-9\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
 def by_id(df):
     return {r["doc_id"]: r for r in df.collect()}
 
@@ -314,16 +318,17 @@ def test_decontamination_equals_brute_force(docs_frame, odd_texts, spark, senten
         w = item.split()
         cut = w if k % 3 == 0 else w[: int(len(w) * rng.random())] if k % 3 == 1 else [x if rng.random() > 0.02 else "zz" for x in w]
         at = rng.randint(0, len(own))
+        cut = [x.upper() + "!!" for x in cut] if k % 5 == 0 else cut
         rows.append((1000 + k, own[:at] + " " + " ".join(cut) + " " + own[at:]))
     bench = spark.createDataFrame(items, "item_id long, text string")
     shards = decontaminate.index(bench)
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs_frame(rows), shards).collect()}
     want = set()
     for d, t in rows:
-        w = words(t)
+        w = letters(t)
         grams, seen = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}, set(w)
         for i, it in items:
-            iw = words(it)
+            iw = letters(it)
             if not iw:
                 continue
             own = {tuple(iw[k : k + 5]) for k in range(len(iw) - 4)} or {tuple(iw)}
