@@ -16,8 +16,9 @@ def merge_by_id(*feeds: DataFrame) -> DataFrame:
     union = frames[0]
     for f in frames[1:]:
         union = union.unionByName(f)
-    first = F.row_number().over(Window.partitionBy(*KEY, "id").orderBy("feed", "source", "fixed_in"))
-    return union.withColumn("rn", first).where("rn = 1").drop("rn", "feed")
+    rest = [c for c in feeds[0].columns if c not in (*KEY, "id")]
+    first = F.min_by(F.struct(*rest), F.struct("feed", "source", "fixed_in"))  # combined before the shuffle
+    return union.groupBy(*KEY, "id").agg(first.alias("r")).select(*KEY, "id", "r.*").select(*feeds[0].columns)
 
 
 def merge_by_alias(feed: DataFrame, order: str = "position") -> DataFrame:
@@ -43,7 +44,7 @@ def epss_enrich(advisories: DataFrame, epss: DataFrame, order: list[str]) -> Dat
     """Scores on the first advisory, in the given order, that carries a CVE; others keep 0. Malformed scores are skipped."""
     scored = epss.select("cve", F.col("epss").try_cast("double").alias("epss"), F.col("percentile").try_cast("double").alias("epss_percentile")).where("epss is not null and epss_percentile is not null")
     named = advisories.withColumn("cve", cve_of(F.col("id"), F.col("aliases")))
-    named = named.withColumn("rn", F.row_number().over(Window.partitionBy("cve").orderBy(*order)))
+    named = named.withColumn("rn", F.row_number().over(Window.partitionBy(F.coalesce("cve", F.concat(F.lit("-"), "id"))).orderBy(*order)))
     joined = named.join(scored, (named.cve == scored.cve) & (named.rn == 1), "left").drop(scored.cve)
     return joined.withColumns({"epss": F.coalesce("epss", F.lit(0.0)), "epss_percentile": F.coalesce("epss_percentile", F.lit(0.0))}).drop("rn", "cve")
 

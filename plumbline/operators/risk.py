@@ -69,8 +69,7 @@ def apply_allowlist(flags: DataFrame, rules: DataFrame) -> DataFrame:
     caps = capability_dim(flags.sparkSession).select(F.col("capability").alias("code")).distinct()
     capable = flags.select(*PACKAGE, "code", "fid").distinct().join(F.broadcast(caps), "code", "left_semi")
     found = _rule_join(capable, rules).where("r_cap is null or r_cap = code")
-    first = F.row_number().over(Window.partitionBy("fid").orderBy((F.col("r_name") == "*").cast("int"), "rule_ord"))
-    best = found.withColumn("rn", first).where("rn = 1").select("fid", "reason")
+    best = found.groupBy("fid").agg(F.min_by("reason", F.struct((F.col("r_name") == "*").alias("wild"), "rule_ord")).alias("reason"))
     return flags.join(best, "fid", "left").withColumns({"suppressed": F.col("reason").isNotNull(), "suppress_by": F.concat(F.lit("allowlisted: "), "reason")}).drop("fid", "reason")
 
 

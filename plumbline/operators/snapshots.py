@@ -10,7 +10,8 @@ KEY = ["ecosystem", "name"]
 
 def latest(snapshot: DataFrame, order: str) -> DataFrame:
     """One row a package: the last in order, as an index over duplicates keeps."""
-    return snapshot.withColumn("rn", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.col(order).desc()))).where("rn = 1").drop("rn", order)
+    rest = [c for c in snapshot.columns if c not in (*KEY, order)]
+    return snapshot.groupBy(*KEY).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*KEY, "r.*")  # combined before the shuffle
 
 
 def diff(prev: DataFrame, nxt: DataFrame, order: str) -> DataFrame:
