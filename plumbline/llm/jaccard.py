@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .components import components
-from .store import cut, shared_folder, write_table
+from .store import cut, release, shared_folder
 
 _U = np.uint64
 HEAVY_MOST = 1 << 20
@@ -352,7 +352,10 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
             if a_out:
                 yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["u", "v"])
 
-    return members.unionByName(leaders).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(meet, "u long, v long")
+    dealt = members.unionByName(leaders).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
+    links = cut(dealt.mapInArrow(meet, "u long, v long"), "links")
+    release(sets)
+    return links
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -367,16 +370,22 @@ def jaccard_components(docs: DataFrame, percent: int = 80, n: int = 5, id_col: s
     classes = cut(rows.where("cls is not null").groupBy("cls").agg(F.min("key").alias("low"), F.first("size").alias("size"), F.first("bits").alias("bits")), "classes")
     tiles = cut(_tiles(_postings(docs, sent, n, percent), percent), "tiles")
     stars = _ordered(tiles, "leader", "cls").union(_ordered(tiles, "prev", "cls")).distinct()
-    first = cut(_verify(cut(_bitmap_pass(stars, classes, percent), "pairs"), docs, n, percent), "links")
-    roots = cut(components(first), "roots")
-    links, tried = first, stars
+    pairs = cut(_bitmap_pass(stars, classes, percent), "pairs")
+    links, tried, further = [_verify(pairs, docs, n, percent)], stars, []
+    roots = cut(components(links[0]), "roots")
     for best in (2, None):
         more = cut(_block_pairs(tiles, roots, classes, percent, best).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        further.append(more)
         if more.isEmpty():
             continue
-        links = cut(links.union(_verify(more, docs, n, percent)), "links")
+        links.append(_verify(more, docs, n, percent))
         tried = tried.union(more)
-        roots = cut(components(links), "roots")
+        release(roots)
+        every = links[0]
+        for part in links[1:]:
+            every = every.union(part)
+        roots = cut(components(every), "roots")
+    release(pairs, tiles, *links, *further)
     low = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "low", F.coalesce("root", "cls").alias("root"))
     least = low.groupBy("root").agg(F.min("low").alias("component_id"))
     named = low.join(least, "root").select("cls", "component_id")

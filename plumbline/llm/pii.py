@@ -15,8 +15,10 @@ Repeated rows are treated alike; extra columns are ignored. Offsets are code poi
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -169,17 +171,14 @@ def graph(text: str, found: list[tuple[int, int]], base: list[tuple[int, int, in
 
 def covering(found: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[int]:
     """The label (0: none) of the base span that covers each token, the first in order where several do."""
-    out, k = [], 0
+    starts, top = [s for s, _, _ in spans], list(accumulate((e for _, _, e in spans), max))
+    out = []
     for a, b in found:
-        while k < len(spans) and spans[k][2] <= a and all(s[2] <= a for s in spans[: k + 1]):
-            k += 1
-        label = 0
-        for s, kind, e in spans[max(0, k - 3) :]:
-            if s >= b:
-                break
-            if s < b and a < e:
-                label = kind + 1
-                break
+        i, label = bisect_left(starts, b), 0
+        while i and top[i - 1] > a:  # some span up to here reaches the token
+            i -= 1
+            if spans[i][2] > a:
+                label = spans[i][1] + 1
         out.append(label)
     return out
 

@@ -25,9 +25,22 @@ def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+_written: dict[int, tuple[DataFrame, str]] = {}
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` with its lineage cut by a written table."""
-    return write_table(df, name)[0]
+    out, path = write_table(df, name)
+    _written[id(out)] = (out, path)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that ``cut`` wrote and that nothing reads any more."""
+    for t in tables:
+        found = _written.pop(id(t), None)
+        if found:
+            drop_table(t.sparkSession, found[1])
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
