@@ -68,8 +68,10 @@ def _full(k: Column) -> Column:
 
 
 def parse_version(c: Column) -> Column:
-    """The comparable version struct, or null."""
-    return _let(components(c), lambda k: F.when(k.isNotNull(), _full(k)))
+    """The comparable version struct, or null. Plain x.y.z text takes a short way."""
+    plain = c.rlike(r"\A[0-9]{1,18}\.[0-9]{1,18}\.[0-9]{1,18}\z")
+    part = lambda i: F.split_part(c, F.lit("."), F.lit(i)).cast("bigint")
+    return F.when(plain, _plain(part(1), part(2), part(3))).otherwise(_let(components(c), lambda k: F.when(k.isNotNull(), _full(k))))
 
 
 def _comparators(token: Column) -> Column:

@@ -15,7 +15,9 @@ def is_exact(c: Column) -> Column:
 
 def _best(requests: DataFrame, versions: DataFrame, range_col: Column) -> DataFrame:
     """(name, request, resolved): the newest version in range; pre-releases only if the range names one."""
-    asked = requests.withColumn("rng", range_col).withColumn("compiled", V.compile_range(F.col("rng")))
+    asked = requests.withColumn("rng", range_col)
+    compiled = asked.select("rng").distinct().withColumn("compiled", V.compile_range(F.col("rng")))  # once a range, not once a package
+    asked = asked.join(compiled, "rng")
     known = versions.select("name", F.col("version").alias("candidate"), V.parse_version(F.col("version")).alias("v")).where("v is not null")
     hit = asked.join(known, "name").where((F.contains("rng", F.lit("-")) | (F.col("v.release") == 1)) & (F.col("rng").isin("", "*") | V.matches(F.col("compiled"), F.col("v"))))
     return hit.groupBy("name", "request").agg(F.max_by("candidate", "v").alias("resolved"))

@@ -103,8 +103,8 @@ def osv_parse(spark, d):
 
 
 def version_order(spark, d):
-    v = V.parse_version(F.col("version"))
-    return D.dependencies(spark, d).groupBy("ecosystem", "name").agg(F.max_by("version", v).alias("newest"), F.min_by("version", v).alias("oldest"), F.count_distinct("version").alias("n_versions"))
+    once = D.dependencies(spark, d).select("ecosystem", "name", "version").distinct().withColumn("v", V.parse_version(F.col("version")))
+    return once.groupBy("ecosystem", "name").agg(F.max_by("version", "v").alias("newest"), F.min_by("version", "v").alias("oldest"), F.count(F.lit(1)).alias("n_versions"))
 
 
 RANGES = ["^1.2.0", "~2.3", ">=1.0.0 <3.0.0 || 4.x", "!=3.1.4", "> 1.0", "*", "2.1.3", "^0.3"]
@@ -118,9 +118,10 @@ def version_satisfies(spark, d):
 
 
 def max_satisfying(spark, d):
-    rows = D.dependencies(spark, d).select(*KEY).distinct().where(~F.contains("version", F.lit("-")))
-    ok = rows.where(V.version_satisfies(F.lit(">=1.2 <4"), F.col("version")))
-    return ok.groupBy("ecosystem", "name").agg(F.max_by("version", V.parse_version(F.col("version"))).alias("best"))
+    rule = spark.createDataFrame([(">=1.2 <4",)], "r string").select(V.compile_range(F.col("r")).alias("compiled"))
+    rows = D.dependencies(spark, d).select(*KEY).distinct().where(~F.contains("version", F.lit("-"))).withColumn("v", V.parse_version(F.col("version")))
+    ok = rows.join(F.broadcast(rule), F.lit(True)).where(V.matches(F.col("compiled"), F.col("v")))
+    return ok.groupBy("ecosystem", "name").agg(F.max_by("version", "v").alias("best"))
 
 
 def fix_plan(spark, d):
