@@ -300,22 +300,35 @@ def _probes(keys: np.ndarray):
     return [(tk.mix(x + _U(k * 0x9E3779B9)) >> _U(39)).astype(np.int64) for k in (1, 2, 3)]
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are similar, by exact intersection of their shingle arrays."""
-    needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    sent = docs.sparkSession.sparkContext.broadcast(_bloom(needed))
+def _standing(batches: Iterator[pa.RecordBatch], bloom: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text) whose id the filter holds or is null."""
+    for batch in batches:
+        ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+        keep = np.ones(len(ids), bool)
+        for at in _probes(ids):
+            keep &= (bloom[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+        keep |= batch.column(0).is_null().to_numpy(zero_copy_only=False)
+        if keep.any():
+            yield batch.filter(pa.array(keep))
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that are similar, by exact intersection of their shingle arrays.
+
+    Only the documents that stand for a class needed (by a Bloom filter over their ids, and rows without an id) are read again.
+    """
+    needed = cut(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "needed")
+    standing = needed.join(classes.select("cls", "low"), "cls").where("low is not null").select("low")
+    sent = docs.sparkSession.sparkContext.broadcast(_bloom(standing))
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom, done = sent.value, set()
-        for part in tk.slices(batches, "text"):
+        for part in tk.slices(_standing(batches, bloom), "text"):
             cls, arr = [], []
-            sets = [s for s in shingle_sets(*tk.string_buffers(part.column(0)), n) if len(s)]
-            ids = np.array([set_class(s) for s in sets], np.int64)
-            keep = np.ones(len(ids), bool)
-            for at in _probes(ids):
-                keep &= (bloom[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-            for k in np.flatnonzero(keep):
-                if (c := int(ids[k])) not in done:
+            sets = [s for s in shingle_sets(*tk.string_buffers(part.column(1)), n) if len(s)]
+            ids = [set_class(s) for s in sets]
+            for k in range(len(ids)):
+                if (c := ids[k]) not in done:
                     if len(done) < 1 << 18:
                         done.add(c)
                     cls.append(c)
@@ -323,7 +336,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
             if cls:
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(arr, pa.large_binary()).cast(pa.binary())], ["cls", "arr"])
 
-    sets = docs.select("text").mapInArrow(arrays, "cls long, arr binary").join(needed, "cls", "left_semi").groupBy("cls").agg(F.first("arr").alias("arr"))
+    sets = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(arrays, "cls long, arr binary").join(needed, "cls", "left_semi").groupBy("cls").agg(F.first("arr").alias("arr"))
     sets = cut(sets, "shingle-arrays")
     blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     members = (
@@ -354,7 +367,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
 
     dealt = members.unionByName(leaders).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
     links = cut(dealt.mapInArrow(meet, "u long, v long"), "links")
-    release(sets)
+    release(sets, needed)
     return links
 
 
@@ -371,14 +384,14 @@ def jaccard_components(docs: DataFrame, percent: int = 80, n: int = 5, id_col: s
     tiles = cut(_tiles(_postings(docs, sent, n, percent), percent), "tiles")
     stars = _ordered(tiles, "leader", "cls").union(_ordered(tiles, "prev", "cls")).distinct()
     pairs = cut(_bitmap_pass(stars, classes, percent), "pairs")
-    links, tried, further = [_verify(pairs, docs, n, percent)], stars, []
+    links, tried, further = [_verify(pairs, docs, classes, n, percent)], stars, []
     roots = cut(components(links[0]), "roots")
     for best in (2, None):
         more = cut(_block_pairs(tiles, roots, classes, percent, best).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         further.append(more)
         if more.isEmpty():
             continue
-        links.append(_verify(more, docs, n, percent))
+        links.append(_verify(more, docs, classes, n, percent))
         tried = tried.union(more)
         release(roots)
         every = links[0]
