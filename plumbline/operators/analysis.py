@@ -140,3 +140,51 @@ def js_symbols(files: DataFrame, text_col: str = "body") -> DataFrame:
     listed = js.withColumn("b", F.explode(taken)).select("path", F.col("b.module").alias("module"), F.explode(F.split("b.names", ",")).alias("s"))
     listed = listed.select("path", "module", F.trim(F.split_part("s", F.lit(" as "), F.lit(1))).alias("symbol")).where("symbol <> ''")
     return members.unionByName(listed).distinct()
+
+
+# Import forms that bind a local name to a module, and what parts a member from it: (language, pattern, group of the name or 0 for the module's last part, group of the module, separator).
+_BINDINGS = [
+    ("go", r'(?m)^\s*(?:import\s+)?([A-Za-z_]\w*)\s+"([^"\n]+)"\s*$', 1, 2, r"\."), ("go", r'(?m)^\s*(?:import\s+)?"([^"\n]+)"\s*$', 0, 1, r"\."),
+    ("php", r"(?m)^\s*use\s+([\w\\]+)\s*;", 0, 1, r"(?:::|->)"), ("php", r"(?m)^\s*use\s+([\w\\]+)\s+as\s+(\w+)\s*;", 2, 1, r"(?:::|->)"),
+    ("rust", r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)\s*;", 0, 1, "::"), ("rust", r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)\s+as\s+(\w+)\s*;", 2, 1, "::"),
+    ("ruby", r"""(?m)^\s*require\s*\(?\s*['"]([^'"\n]+)['"]""", 0, 1, r"(?:\.|::)"),
+]
+
+
+def lexical_symbols(files: DataFrame, text_col: str = "body") -> DataFrame:
+    """(path, language, module, symbol) used in Go, PHP, Rust and Ruby sources: members of names that imports bind, lexically."""
+    rows = files.withColumn("language", C.scanned_language(F.col("path"))).where(F.col("language").isin("go", "php", "rust", "ruby"))
+    rows = rows.select("path", "language", C.without_comments(F.col(text_col), F.col("language")).alias("t"))
+    out = None
+    for language, pattern, name, module, sep in _BINDINGS:
+        mine = rows.where(F.col("language") == language)
+        modules = F.regexp_extract_all("t", F.lit(pattern), F.lit(module))
+        names = F.regexp_extract_all("t", F.lit(pattern), F.lit(name)) if name else F.transform(modules, lambda m: F.regexp_extract(m, r"([^/\\:]+)\z", 1))
+        names = F.transform(names, F.initcap) if language == "ruby" else names
+        bound = mine.withColumn("b", F.explode(F.arrays_zip(names.alias("local"), modules.alias("module")))).select("path", "language", "t", "b.local", "b.module")
+        use = F.expr(f"regexp_extract_all(t, concat('\\\\b', local, '\\\\s*{sep}\\\\s*([A-Za-z_][A-Za-z0-9_]*)'), 1)".replace("\\.", "[.]"))
+        part = bound.select("path", "language", "module", F.explode(use).alias("symbol"))
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
+_HEADS = {
+    "js": r"(?m)(?:^|[\s;{(])(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)\s*\(|(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*=>",
+    "go": r"(?m)^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*\(()", "php": r"(?m)\bfunction\s+&?\s*([A-Za-z_]\w*)\s*\(()",
+}
+_NOT_CALLS = ("if", "for", "while", "switch", "catch", "function", "return", "func", "array", "isset", "unset", "foreach", "elseif", "typeof")
+
+
+def lexical_call_edges(files: DataFrame, text_col: str = "body") -> DataFrame:
+    """(file, caller, callee) of scripts, Go and PHP, lexically: calls from a function's head to the next head; before the first, ``<module>``."""
+    out = None
+    for language, head in _HEADS.items():
+        rows = files.where(C.scanned_language(F.col("path")) == language).select("path", C.without_comments(F.col(text_col), F.lit(language)).alias("t"))
+        marked = F.regexp_replace("t", head, "\x01$1$2\x02")
+        pieces = rows.select("path", F.posexplode(F.split(marked, "\x01")).alias("k", "piece"))
+        caller = F.when(F.col("k") == 0, "<module>").otherwise(F.split_part("piece", F.lit("\x02"), F.lit(1)))
+        body = F.when(F.col("k") == 0, F.col("piece")).otherwise(F.regexp_replace("piece", "(?s)\\A[^\x02]*\x02", ""))
+        calls = F.regexp_extract_all(body, F.lit(r"([A-Za-z_$][\w$]*)\s*\("), F.lit(1))
+        part = pieces.select(F.col("path").alias("file"), caller.alias("caller"), F.explode(calls).alias("callee")).where(~F.col("callee").isin(*_NOT_CALLS))
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()

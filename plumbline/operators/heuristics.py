@@ -144,3 +144,17 @@ def secrets(files: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows of ``files`` with the kinds of secrets in their text, where there are any."""
     kinds = F.array_compact(F.array(*[F.when(F.col(text_col).rlike(p), F.lit(k)) for k, p in R.SECRETS]))
     return files.withColumn("secret_kinds", kinds).where(F.size("secret_kinds") > 0)
+
+
+def hook_files(body: Column) -> Column:
+    """Local script files that a hook names: words with a script extension that are no flags or URLs."""
+    words = F.split(F.regexp_replace(body, r"""[;&|()"'`]""", " "), r"\s+")
+    return F.array_distinct(F.filter(words, lambda w: w.rlike(r"(?i)\.(?:js|mjs|cjs|ts|sh|py|rb|pl|ps1)\z") & ~w.startswith("-") & ~F.contains(w, F.lit("://"))))
+
+
+def maintainer_capabilities(signals: DataFrame) -> DataFrame:
+    """Signals with the capabilities they raise: hijack risk, changed maintainer, unpublished version."""
+    caps = F.array_compact(F.array(
+        F.when(F.col("hijack_risk"), "maintainer-hijack-risk"), F.when(F.col("maintainer_changed"), "maintainer-changed"), F.when(F.coalesce("unpublished", F.lit(False)), "version-unpublished"),
+    ))
+    return signals.withColumn("capabilities", caps)

@@ -46,3 +46,17 @@ def go_retractions(files: DataFrame) -> DataFrame:
     low = F.regexp_extract("e", r"\A\[?\s*(v[^,\s\]]+)", 1)
     high = F.regexp_extract("e", r"\A\[\s*v[^,\s]+\s*,\s*(v[^\]\s]+)\s*\]", 1)
     return entry.select("path", low.alias("low"), F.coalesce(F.nullif(high, F.lit("")), low).alias("high")).where("low <> ''")
+
+
+def npmrc_registries(files: DataFrame) -> DataFrame:
+    """(path, scope, url) of registry lines in .npmrc files; scope '' is the default."""
+    pin = r"\A\s*(?:(@[^:\s]+):)?registry\s*=\s*(\S+)\s*\z"
+    rows = files.where(F.regexp_extract("path", r"([^/\\]+)\z", 1) == ".npmrc").select("path", F.explode(F.split("text", r"\r?\n")).alias("line")).where(F.col("line").rlike(pin))
+    return rows.select("path", F.regexp_extract("line", pin, 1).alias("scope"), F.regexp_replace(F.regexp_extract("line", pin, 2), r"/+\z", "").alias("url"))
+
+
+def npmrc_tokens(files: DataFrame) -> DataFrame:
+    """(path, host) of registries for which a token is set; the tokens themselves are not read out."""
+    pin = r"\A\s*//([^\s=]+?)/?:_authToken\s*=\s*\S"
+    rows = files.where(F.regexp_extract("path", r"([^/\\]+)\z", 1) == ".npmrc").select("path", F.explode(F.split("text", r"\r?\n")).alias("line")).where(F.col("line").rlike(pin))
+    return rows.select("path", F.regexp_extract("line", pin, 1).alias("host"))

@@ -129,3 +129,15 @@ def test_reports(spark):
 def test_language_table(spark):
     got = spark.createDataFrame([("a.TSX",), ("b.kt",), ("c",), ("d.podspec",)], "p string").select(C.scanned_language(F.col("p"))).collect()
     assert [r[0] for r in got] == ["js", "kotlin", None, "cocoapods"]
+
+
+def test_lexical_symbols_and_calls(spark):
+    rows = [
+        ("a.go", 'package m\nimport (\n\t"net/http"\n\tx "h/y"\n)\nfunc f() { http.Get(u); x.Do() }\nfunc (r *R) g() { f() }\n'), ("b.rs", "use a::b;\nuse c::d as e;\nfn f() { b::run(); e::go(); }"),
+        ("c.php", "<?php\nuse A\\B;\nfunction f() { B::make(); strlen($x); }\nf();"), ("d.js", "g();\nfunction f(a) { if (a) { h(a); } }\nconst k = (x) => f(x);"), ("e.rb", "require 'json'\nJson.parse(x)"),
+    ]
+    frame = spark.createDataFrame(rows, "path string, body string")
+    got = {(r["path"], r["module"], r["symbol"]) for r in analysis.lexical_symbols(frame).collect()}
+    assert got == {("a.go", "net/http", "Get"), ("a.go", "h/y", "Do"), ("b.rs", "a::b", "run"), ("b.rs", "c::d", "go"), ("c.php", "A\\B", "make"), ("e.rb", "json", "parse")}
+    calls = {(r["file"], r["caller"], r["callee"]) for r in analysis.lexical_call_edges(frame).collect()}
+    assert {("a.go", "f", "Get"), ("a.go", "g", "f"), ("c.php", "f", "strlen"), ("d.js", "<module>", "g"), ("d.js", "f", "h"), ("d.js", "k", "f")} <= calls

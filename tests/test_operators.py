@@ -149,3 +149,10 @@ def test_hooks(spark):
     frame = spark.createDataFrame([(x,) for x in bad + good], "b string")
     got = {r[0]: r[1] for r in frame.select("b", H.suspicious_hook(F.col("b"))).collect()}
     assert [got[x] for x in bad] == [True] * len(bad) and [got[x] for x in good] == [False] * len(good)
+
+
+def test_hook_files_and_maintainer_capabilities(spark):
+    got = spark.createDataFrame([("node ./a.js --x=b.js && sh 'c d.sh'; curl http://x/y.sh",)], "b string").select(H.hook_files(F.col("b"))).first()[0]
+    assert got == ["./a.js", "d.sh"]
+    frame = spark.createDataFrame([(True, False, True), (False, True, None)], "hijack_risk boolean, maintainer_changed boolean, unpublished boolean")
+    assert [r["capabilities"] for r in H.maintainer_capabilities(frame).collect()] == [["maintainer-hijack-risk", "version-unpublished"], ["maintainer-changed"]]

@@ -66,3 +66,9 @@ def test_manifests(spark):
     assert [r["phase"] for r in M.npm_hooks(files).collect()] == ["postinstall"]
     assert [r["listed"] for r in M.npm_listed_files(files).collect()] == ["lib"]
     assert {(r["low"], r["high"]) for r in M.go_retractions(files).collect()} == {("v1.0.0", "v1.0.0"), ("v1.1.0", "v1.2.0"), ("v1.5.0", "v1.5.0")}
+
+
+def test_npmrc(spark):
+    files = spark.createDataFrame([("a/.npmrc", "registry=https://r/\n@s:registry = https://s\n//s/:_authToken=abc\n# registry=no\n")], "path string, text string")
+    assert {(r["scope"], r["url"]) for r in M.npmrc_registries(files).collect()} == {("", "https://r"), ("@s", "https://s")}
+    assert [r["host"] for r in M.npmrc_tokens(files).collect()] == ["s"]
