@@ -2,9 +2,13 @@
 
 Documents are taken in shards (up to SHARD_DOCS documents or SHARD_TOKENS tokens of a partition, in order), so memory is
 bounded and nothing is shuffled. Each shard has a BM25 inverted index over hashed words. A seed document opens a window;
-its best unused neighbours by BM25, asked with its heaviest terms, fill the window greedily and are cut where it is full.
-The document that was cut seeds the next window. So every window is full but the last of a partition, which is split
-into windows whose lengths are powers of two and so need no padding.
+its unused neighbours by BM25, asked with all its terms, fill the window best first, as many as it takes, and are cut
+where it is full. The document that was cut seeds the next window. So every window is full but the last of a partition,
+which is split into windows whose lengths are powers of two and so need no padding. Documents of different shards are
+never neighbours.
+
+Scores are exact: terms in more than a DENSE-th of a shard are scored by matrix products, all others by their postings.
+Impacts are whole multiples of 1 / UNIT, so sums do not depend on their order and equal documents tie everywhere.
 
 Token ids are those of the given tokenizer file for the text as ordinary text, then id 0. Text of common letters goes
 through an equal, faster encoder over the same vocabulary; any other text through the file itself. Null texts are empty
@@ -27,8 +31,10 @@ from . import textkit as tk
 SHARD_DOCS = 2048
 SHARD_TOKENS = 1 << 22
 TERM_BITS = 20
-ASK_TERMS = 16
-NEIGHBOURS = 8
+DENSE = 16
+DENSE_COLUMNS = 512
+UNIT = 1 << 20
+PAGE = 8
 K1, B = 1.2, 0.75
 _COMMON = re.compile(r"[\t\n\r\x20-\x7e¡-ÿ–—‘’“”€]*")
 _encoders: dict[tuple, object] = {}
@@ -93,25 +99,54 @@ class Index:
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32)
         length = np.diff(rows).astype(np.float32)
         norm = K1 * (1 - B + B * length / max(float(length.mean()), 1e-9))
-        self.impact = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
+        self.impact = np.rint(np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc]) * UNIT).astype(np.float64)
         self.start, self.df = start, df
-        useful = np.repeat((df > 1) & (df <= max(n // 4, 2)), df)
-        at = np.flatnonzero(useful)
+        common = df > max(n // DENSE, 1)
+        at = np.flatnonzero(np.repeat((df > 1) & ~common, df))
         posting = np.repeat(np.arange(len(df)), df)[at]
-        order = np.lexsort((-self.impact[at], self.doc[at]))
-        self.own = posting[order].astype(np.int32)  # a document's useful terms, heaviest first
+        order = np.argsort(self.doc[at], kind="stable")
+        self.own = posting[order].astype(np.int32)  # a document's terms that others share, but for common ones
         self.own_at = np.concatenate([[0], np.cumsum(np.bincount(self.doc[at], minlength=n))])
+        self.common = self._common(np.flatnonzero(common))
+
+    def _common(self, terms: np.ndarray) -> np.ndarray:
+        """Scores (query, document) from the given terms alone."""
+        out = np.zeros((self.n, self.n))
+        for k in range(0, len(terms), DENSE_COLUMNS):
+            some = terms[k : k + DENSE_COLUMNS]
+            at, column = self._postings(some), np.repeat(np.arange(len(some)), self.df[some])
+            impact = np.zeros((self.n, len(some)))
+            impact[self.doc[at], column] = self.impact[at]
+            has = np.zeros((self.n, len(some)))
+            has[self.doc[at], column] = 1
+            out += has @ impact.T
+        return out
+
+    def _postings(self, terms: np.ndarray) -> np.ndarray:
+        """Where the postings of terms are, term by term."""
+        size = self.df[terms]
+        return np.repeat(self.start[terms] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+    def scores(self, doc: int) -> np.ndarray:
+        """BM25 scores, times UNIT, of all documents for one as query."""
+        at = self._postings(self.own[self.own_at[doc] : self.own_at[doc + 1]])
+        return self.common[doc] + np.bincount(self.doc[at], self.impact[at], minlength=self.n)
+
+    def ranked(self, doc: int, free: np.ndarray) -> Iterator[int]:
+        """All unused documents that share a term with one as query, best first; ties to the first in order."""
+        score = self.scores(doc) * free
+        left, page = np.flatnonzero(score > 0), PAGE
+        while len(left):
+            if len(left) > page:
+                least = -np.partition(-score[left], page - 1)[page - 1]
+                now, left = left[score[left] >= least], left[score[left] < least]
+            else:
+                now, left = left, left[:0]
+            yield from now[np.argsort(-score[now], kind="stable")].tolist()
+            page *= 8
 
     def neighbours(self, doc: int, free: np.ndarray) -> list[int]:
-        """The best unused documents for one as query, best first; ties to the first in order."""
-        terms = self.own[self.own_at[doc] : min(self.own_at[doc + 1], self.own_at[doc] + ASK_TERMS)]
-        if not len(terms):
-            return []
-        at = np.concatenate([np.arange(self.start[t], self.start[t] + self.df[t]) for t in terms])
-        score = np.bincount(self.doc[at], self.impact[at], minlength=self.n) * free
-        best = np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS] if self.n > NEIGHBOURS else np.arange(self.n)
-        best = best[score[best] > 0]
-        return best[np.lexsort((best, -score[best]))].tolist()
+        return list(self.ranked(doc, free))
 
 
 class Packer:
@@ -175,7 +210,7 @@ def pack_shard(packer: Packer, doc_ids: list, tokens: list[np.ndarray], index: I
             now, after = after, None
         if not packer.used:
             continue
-        for k in index.neighbours(now, free):
+        for k in index.ranked(now, free):
             free[k] = 0
             if packer.put(doc_ids[k], tokens[k]):
                 after = k if packer.used else None

@@ -127,6 +127,47 @@ def test_packing_retrieves_neighbours():
     assert index.neighbours(1, free)[0] in (1, 3)
 
 
+def test_packing_ranks_every_document_as_brute_force(sentences):
+    import pyarrow as pa
+
+    from plumbline.llm import textkit as tk
+
+    copies = [sentences(9, 60)] * 30  # more than a quarter of the run
+    texts = copies + [sentences(900 + i, 5 + 3 * i) for i in range(50)] + ["", "alone-here"]
+    docs = [Counter(words(t)) for t in texts]
+    n, mean = len(docs), sum(sum(d.values()) for d in docs) / len(docs)
+    df = Counter(w for d in docs for w in d)
+    idf = {w: math.log(1 + (n - c + 0.5) / (c + 0.5)) for w, c in df.items()}
+    index = packing.Index(*tk.string_buffers(pa.array(texts)))
+    for q in range(n):
+        norm = [packing.K1 * (1 - packing.B + packing.B * sum(d.values()) / mean) for d in docs]
+        want = [sum(idf[w] * d[w] * (packing.K1 + 1) / (d[w] + norm[i]) for w in docs[q] if w in d and df[w] > 1) for i, d in enumerate(docs)]
+        got = index.scores(q) / packing.UNIT
+        assert all(abs(got[i] - want[i]) < 1e-3 for i in range(n) if i != q)
+        free = np.ones(n)
+        free[q] = 0
+        order = index.neighbours(q, free)
+        assert sorted(order) == [i for i in range(n) if i != q and want[i] > 0]
+        assert all(got[a] > got[b] or got[a] == got[b] and a < b for a, b in zip(order, order[1:]))
+    free = np.ones(n)
+    free[0] = 0
+    assert index.neighbours(0, free)[:29] == list(range(1, 30))
+
+
+def test_packing_fills_a_window_from_all_neighbours():
+    import pyarrow as pa
+
+    from plumbline.llm import textkit as tk
+
+    texts = [f"apple pear plum a{i}" if i % 2 else f"iron steel zinc b{i}" for i in range(64)]
+    packer = packing.Packer(64, 0)
+    packing.pack_shard(packer, list(range(64)), [np.ones(4, np.uint32)] * 64, packing.Index(*tk.string_buffers(pa.array(texts))))
+    topics = {}
+    for doc, *_, sequence, _ in packer.rows:
+        topics.setdefault(sequence, set()).add(doc % 2)
+    assert len(packer.rows) == 64 and all(len(t) == 1 for t in topics.values())
+
+
 # 3 embeddings
 
 
