@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,16 +48,17 @@ def functions_reaching(sites: DataFrame, module: str, symbol: str) -> DataFrame:
     return hit.groupBy("file", "function").agg(F.min("line").alias("line"))
 
 
-def callers_closure(edges: DataFrame, start: DataFrame, most_rounds: int = 64, write=None) -> DataFrame:
+def callers_closure(edges: DataFrame, start: DataFrame, write=None) -> DataFrame:
     """(function, depth): functions from which a start function is reached along caller to callee edges.
 
-    A frontier loop: only new functions go on, so cycles end. ``write`` cuts lineage between rounds (a table or checkpoint).
+    A frontier loop until no new function is found: only new functions go on, so cycles end, and chains of any length are
+    followed. ``write`` cuts lineage between rounds (a table or checkpoint).
     """
-    write = write or (lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist())
+    write = write or (lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint())
     edges = edges.select("caller", "callee").distinct()
     seen = write(start.select("function").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
-    for depth in range(1, most_rounds + 1):
+    for depth in count(1):
         new = edges.join(frontier.select(F.col("function").alias("callee")), "callee", "left_semi").select(F.col("caller").alias("function")).distinct()
         frontier = write(new.join(seen.select("function"), "function", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():

