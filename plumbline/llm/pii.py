@@ -3,10 +3,12 @@
 Base spans come from fixed patterns (e-mail, IP, card, phone) and always stay. The field labels each candidate token of a
 document: unary potentials are a softmax regression over token shapes, chain edges join adjacent candidates, and skip
 edges join distant tokens that repeat (same text but for case and outer punctuation) or are similar (same digits, seven
-at least). Tokens inside base spans are clamped; loopy sum-product messages then carry their labels along the edges, so
-that a mention the patterns miss gets the label of its other mentions. Tokens that end up labelled become added spans.
+at least). Tokens inside base spans are clamped; loopy sum-product messages then carry their labels along the edges until
+they settle, so that a mention the patterns miss gets the label of its other mentions, however many there are. Tokens
+that end up labelled become added spans.
 
-Occurrences of one token are joined one to the next, so edges are linear in tokens, whatever repeats. Weights are fitted
+Each occurrence of a token is joined to the clamped ones next before and after it; where none is clamped, all are joined
+through one hub. So edges are linear in tokens, whatever repeats, and no label passes through many. Weights are fitted
 on a sample of about ``max_docs`` documents, chosen by a hash of the id, with base spans as labels, and read back as
 counts of token shapes. Nulls and empty texts have no spans; texts of any length are read whole, in linear time.
 Repeated rows are treated alike; extra columns are ignored. Offsets are code points, ends exclusive.
@@ -38,7 +40,8 @@ _TOKEN = re.compile(r"[^\s]*[0-9@][^\s]*")
 _OUTER = ".,;:!?()[]{}<>\"'"
 _MARK = np.zeros(256, bool)
 _MARK[48:58] = _MARK[64] = True
-ROUNDS = 12
+SETTLED = 1e-4
+STEADY_ROUNDS, HALVE_ROUNDS = 200, 50
 CLAMP = 12.0
 SURE = 0.8
 MOST_SURE = 3.0
@@ -183,36 +186,101 @@ def covering(found: list[tuple[int, int]], spans: list[tuple[int, int, int]]) ->
     return out
 
 
+def field(text: str, found: list[tuple[int, int]], base: list[tuple[int, int, int]], clamped: list[int]) -> tuple[list[tuple[int, int, int]], int]:
+    """Edges as those of ``graph``, but for skip edges, and the number of hubs (~0, ~1, ... in the edges).
+
+    A token that is not clamped has skip edges to the clamped tokens next before and after it, of its text and of its
+    digits (of its own, or of a base span that begins in the token). Tokens without any share a hub.
+    """
+    edges = [(i - 1, i, 0) for i in range(1, len(found)) if found[i][0] - found[i - 1][1] <= 3]
+    words = [text[a:b].lower() for a, b in found]
+    digits = [d if len(d) >= 7 else "" for d in map(_digits, words)]
+    same: dict[str, list[int]] = {}
+    like: dict[str, list[int]] = {}
+    for i, label in enumerate(clamped):
+        if label:
+            same.setdefault(words[i], []).append(i)
+            if digits[i]:
+                like.setdefault(digits[i], []).append(i)
+    begins = [a for a, _ in found]
+    for s, _, e in base:
+        i, d = bisect_left(begins, s + 1) - 1, _digits(text[s:e])
+        if len(d) >= 7 and i >= 0 and found[i][1] > s:
+            like.setdefault(d, []).append(i)
+    for sources in like.values():
+        sources.sort()
+    loose: dict[str, list[int]] = {}
+    for i, label in enumerate(clamped):
+        if label:
+            continue
+        before = len(edges)
+        for kind, sources in ((1, same.get(words[i], [])), (2, like.get(digits[i], []) if digits[i] else [])):
+            at = bisect_left(sources, i)
+            edges += [(j, i, kind) for j in dict.fromkeys(sources[max(at - 1, 0) : at + 1]) if kind == 1 or words[j] != words[i]]
+        if len(edges) == before:
+            loose.setdefault(words[i], []).append(i)
+    alike: dict[str, list[int]] = {}
+    for group in loose.values():
+        if digits[group[0]]:
+            alike.setdefault(digits[group[0]], []).append(group[0])
+    hubs = 0
+    for kind, groups in ((1, loose), (2, alike)):
+        for group in groups.values():
+            if len(group) == 2:
+                edges.append((*group, kind))
+            elif len(group) > 2:
+                edges += [(~hubs, i, kind) for i in group]
+                hubs += 1
+    return edges, hubs
+
+
 @dataclass
 class Model:
     weights: np.ndarray  # (features, labels)
     ties: np.ndarray  # log potential of equal labels, by edge type
 
 
-def infer(model: Model, shapes: np.ndarray, clamped: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Label beliefs (nodes, labels) by loopy sum-product message passing."""
+def _sent(out: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    p = np.exp(out - out.max(axis=1, keepdims=True))
+    m = np.log(p.sum(axis=1, keepdims=True) + (tie - 1) * p)
+    return m - m.max(axis=1, keepdims=True)
+
+
+def infer(model: Model, shapes: np.ndarray, clamped: np.ndarray, edges: np.ndarray, hubs: int = 0) -> np.ndarray:
+    """Label beliefs (nodes, labels) by loopy sum-product message passing; ``hubs`` nodes after the tokens have no shape.
+
+    Messages go on until none changes by more than SETTLED, and only where something changed. Those that swing for long
+    take ever smaller steps, so that every field settles.
+    """
     unary = one_hot(shapes) @ model.weights
     unary = np.maximum(unary - unary.max(axis=1, keepdims=True), -MOST_SURE)  # shapes alone never outweigh a skip edge
-    hit = np.flatnonzero(clamped)
-    unary[hit] = -CLAMP
-    unary[hit, clamped[hit]] = 0
+    belief = np.concatenate([unary, np.zeros((hubs, len(LABELS)))])
+    fixed = np.zeros(len(belief), bool)
+    fixed[: len(clamped)] = clamped > 0
+    hit = np.flatnonzero(fixed)
+    belief[hit] = -CLAMP
+    belief[hit, clamped[hit]] = 0
     if len(edges):
         src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
         tie = np.exp(np.tile(model.ties[edges[:, 2]], 2))[:, None]
-        n = len(edges)
+        once = np.flatnonzero(fixed[src] & ~fixed[dst])  # what is clamped never changes what it sends
+        np.add.at(belief, dst[once], _sent(belief[src[once]], tie[once]))
+        free = np.flatnonzero(~fixed[src] & ~fixed[dst])  # both directions of an edge, or none
+        src, dst, tie, n = src[free], dst[free], tie[free], len(free) // 2
         back = np.concatenate([np.arange(n, 2 * n), np.arange(n)])
         sent = np.zeros((2 * n, len(LABELS)))
-        for _ in range(ROUNDS):
-            belief = unary.copy()
-            np.add.at(belief, dst, sent)
-            out = belief[src] - sent[back]
-            p = np.exp(out - out.max(axis=1, keepdims=True))
-            m = np.log(p.sum(axis=1, keepdims=True) + (tie - 1) * p)
-            sent = 0.5 * sent + 0.5 * (m - m.max(axis=1, keepdims=True))
-        belief = unary.copy()
-        np.add.at(belief, dst, sent)
-    else:
-        belief = unary
+        live, rounds = np.arange(2 * n), 0
+        while len(live):
+            step = 0.5 ** (1 + max(0, rounds - STEADY_ROUNDS) // HALVE_ROUNDS)
+            change = step * (_sent(belief[src[live]] - sent[back[live]], tie[live]) - sent[live])
+            sent[live] += change
+            np.add.at(belief, dst[live], change)
+            moved = live[np.abs(change).max(axis=1) > SETTLED]
+            node, edge = np.zeros(len(belief), bool), np.zeros(2 * n, bool)
+            node[dst[moved]] = edge[moved] = True
+            live, rounds = np.flatnonzero(edge | node[src]), rounds + 1
+            if not len(moved):
+                break
     p = np.exp(belief - belief.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 
@@ -291,35 +359,43 @@ def _merge(text: str, found, labels, base) -> list[tuple[int, int, int]]:
     return out
 
 
-def _supported(texts: list[str], found: list, clamped: list[int], edges: list) -> np.ndarray:
+def _supported(texts: list[str], found: list, clamped: list[int], edges: list, hubs: int) -> np.ndarray:
     """Tokens that may be labelled: with an at sign or seven digits, or joined by edges to a base span."""
     out = np.array([c > 0 for c in clamped])
     out |= np.array(["@" in t[a:b] or len(_digits(t[a:b])) >= 7 for t, f in zip(texts, found, strict=True) for a, b in f])
-    linked = np.array([c > 0 for c in clamped])
-    e = np.array(edges, np.int64).reshape(-1, 3)
-    for _ in range(ROUNDS):
-        before = linked.sum()
-        np.logical_or.at(linked, e[:, 0], linked[e[:, 1]])
-        np.logical_or.at(linked, e[:, 1], linked[e[:, 0]])
-        if linked.sum() == before:
-            break
-    return out | linked
+    root = list(range(len(clamped) + hubs))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j, _ in edges:
+        root[top(i)] = top(j)
+    based = {top(i) for i, c in enumerate(clamped) if c}
+    return out | np.array([top(i) in based for i in range(len(clamped))])
 
 
 def find(texts: list[str], model: Model) -> list[tuple[list, list]]:
     """(base spans, added spans) of each text; all graphs of the list go through message passing together."""
-    base, found, shapes, clamped, edges, first = [], [], [], [], [], [0]
+    base, found, shapes, clamped, parts, first = [], [], [], [], [], [0]
     for text in texts:
         base.append(base_spans(text))
         found.append(tokens(text))
         shapes += shapes_of(text, found[-1])
-        clamped += covering(found[-1], base[-1])
-        edges += [(i + first[-1], j + first[-1], t) for i, j, t in graph(text, found[-1], base[-1])]
+        labels = covering(found[-1], base[-1])
+        clamped += labels
+        parts.append(field(text, found[-1], base[-1], labels))
         first.append(first[-1] + len(found[-1]))
     if not first[-1]:
         return [(b, []) for b in base]
-    belief = infer(model, np.array(shapes), np.array(clamped), np.array(edges, np.int64).reshape(-1, 3))
-    label = np.where((belief.max(axis=1) >= SURE) & _supported(texts, found, clamped, edges), belief.argmax(axis=1), 0)
+    edges, hubs = [], 0
+    for at, (part, more) in zip(first, parts, strict=False):
+        edges += [(i + at if i >= 0 else first[-1] + hubs + ~i, j + at, t) for i, j, t in part]
+        hubs += more
+    belief = infer(model, np.array(shapes), np.array(clamped), np.array(edges, np.int64).reshape(-1, 3), hubs)[: first[-1]]
+    label = np.where((belief.max(axis=1) >= SURE) & _supported(texts, found, clamped, edges, hubs), belief.argmax(axis=1), 0)
     return [(b, _merge(t, f, label[s:e], b)) for t, b, f, s, e in zip(texts, base, found, first[:-1], first[1:], strict=True)]
 
 

@@ -328,6 +328,40 @@ def test_pii_adds_only_what_a_base_span_supports(docs_frame, odd_texts):
     assert digest[2]["base_sha256"] == hashlib.sha256(b"").hexdigest() and digest[21]["n_email"] == 3
 
 
+def test_pii_labels_every_repeat():
+    model = pii.Model(np.zeros((pii._FIRST[-1] + 1, len(pii.LABELS))), np.array([0.0, 6.0, 6.0]))
+    model.weights[-1, 0] = pii.MOST_SURE
+    pieces = "call +1 415 555 0123 now " + "then 0123 again " * 300
+    inside = "see x7:+14155550123 now " + "or 14155550123 and " * 300 + "see 1-415-555-0123 too"
+    for text, want in ((pieces, 300), (inside, 301)):
+        ((base, more),) = pii.find([text], model)
+        assert len(base) == 1 and len(more) == want and {pii.KINDS[k] for _, k, _ in more} == {"phone"}
+    plain = "order 14155550123 and " * 300
+    assert pii.find([plain, "see 5 and 6"], model) == [([], []), ([], [])]
+
+
+def test_pii_messages_are_exact_on_trees():
+    rng = np.random.default_rng(6)
+    for trial in range(3):
+        model = pii.Model(rng.normal(size=(pii._FIRST[-1] + 1, len(pii.LABELS))), np.array([1.0, 6.0, 9.0]))
+        shapes = np.array([[rng.integers(w) for w in pii.WIDTHS] for _ in range(5)])
+        clamped = np.array([0, 0, 2 * trial, 0, 0])
+        edges = np.array([(5, 0, 1), (5, 1, 1), (5, 2, 1), (2, 3, 2), (3, 4, 0)])
+        unary = pii.one_hot(shapes) @ model.weights
+        unary = np.maximum(unary - unary.max(axis=1, keepdims=True), -pii.MOST_SURE)
+        if clamped[2]:
+            unary[2] = np.where(np.arange(5) == clamped[2], 0, -200.0)
+        want = np.zeros((6, 5))
+        for x in np.ndindex(*[5] * 6):
+            p = math.exp(sum(unary[i, x[i]] for i in range(5)) + sum(model.ties[t] for i, j, t in edges if x[i] == x[j]))
+            for i in range(6):
+                want[i, x[i]] += p
+        got = pii.infer(model, shapes, clamped, edges, 1)
+        want /= want.sum(axis=1, keepdims=True)
+        free = [i for i in range(6) if i > 4 or not clamped[i]]
+        assert np.abs(got - want)[free].max() < 0.01
+
+
 # 7 toxicity
 
 
