@@ -7,7 +7,8 @@ bounds every score in the block; only blocks that can reach the least threshold
 items at or above their own threshold are retrieved. An item's threshold is its score against itself less its heaviest
 fifth of terms, which a passage that keeps 80 % of the item's 5-word shingles can never miss; so pruning loses nothing.
 A retrieved item is a leak if 80 % of its shingles occur in the passage, question and answer (its last sentence, or the
-last quarter of a single one) together, and half of the answer's words do.
+last quarter of a single one) together, and half of the answer's words do. An answer of fewer than SHINGLE words, which
+is not a shingle by itself, carries too little weight for that: there the shingles count alone.
 
 Words are runs of letters and digits, A-Z lower-cased, so that case and punctuation do not hide a leak. An item of fewer than 5 words is one shingle, its whole sequence, and has to occur as such. Items
 without words are never found; null and empty texts leak nothing; an empty benchmark finds nothing. Repeated rows are
@@ -43,6 +44,7 @@ class Shard:
     ids: np.ndarray
     shingles: list[np.ndarray]
     answers: list[np.ndarray]
+    brief: np.ndarray  # whether the answer has fewer than SHINGLE words
     cells: int
 
 
@@ -87,11 +89,12 @@ def build(items: list[tuple[int, str]]) -> list[Shard]:
             threshold[c] = (np.sort(w)[: max(len(w) - spare, 1)]).sum() * 0.999999
         least = np.minimum.reduceat(threshold, np.arange(0, len(own), BLOCK))
         longest = int(np.diff(rows)[own].max())
+        answer = [_answer(int(rows[i + 1] - rows[i]), kept[i][1]) for i in own]
         out.append(
             Shard(
                 terms[used], peak, least, impacts, threshold, np.array([kept[i][0] for i in own]),
                 [np.unique(grams[gram_rows[i] : gram_rows[i + 1]]) for i in own],
-                [np.unique(h[rows[i + 1] - _answer(int(rows[i + 1] - rows[i]), kept[i][1]) : rows[i + 1]]) for i in own],
+                [np.unique(h[rows[i + 1] - n : rows[i + 1]]) for i, n in zip(own, answer, strict=True)], np.array(answer) < SHINGLE,
                 -(-(longest - 1) // CELL) + 1,
             )
         )
@@ -156,7 +159,7 @@ def leaks(shards: list[Shard], raw: np.ndarray, offsets: np.ndarray, overlap: fl
                         found = _short(shard, i, passage)
                     share = found / size
                     answer = float(np.isin(shard.answers[i], seen).mean())
-                    if share >= overlap and answer >= 0.5:
+                    if share >= overlap and (answer >= 0.5 or shard.brief[i]):
                         key, now = (r, int(shard.ids[i])), (share, score, answer)
                         best[key] = max(best.get(key, now), now)
             at = to

@@ -417,6 +417,15 @@ def test_decontamination_equals_brute_force(docs_frame, odd_texts, spark, senten
     assert decontaminate.find_leaks(docs_frame(rows), decontaminate.index(bench.where("false"))).count() == 0
 
 
+def test_decontamination_of_near_copies_without_a_short_answer(docs_frame, spark, sentences):
+    short, long = sentences(31, 40), sentences(32, 60)
+    items = [(1, short + ". seven dwarfs"), (2, long + ". one whole sentence for an answer")]
+    rows = [(1, "a " + short + " b"), (2, "a " + long + " b"), (3, "a " + items[1][1] + " b"), (4, "seven dwarfs " + " ".join(short.split()[:20]))]
+    shards = decontaminate.index(spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs_frame(rows), shards).collect()}
+    assert got == {(1, 1), (3, 2)}
+
+
 # 9 n-gram Jaccard
 
 
