@@ -1,17 +1,24 @@
-"""Personal data by a skip-chain conditional random field over tokens with digits or an at sign.
-
-Base spans come from fixed patterns (e-mail, IP, card, phone) and always stay. The field labels each candidate token of a
-document: unary potentials are a softmax regression over token shapes, chain edges join adjacent candidates, and skip
-edges join distant tokens that repeat (same text but for case and outer punctuation) or are similar (same digits, seven
-at least). Tokens inside base spans are clamped; loopy sum-product messages then carry their labels along the edges until
-they settle, so that a mention the patterns miss gets the label of its other mentions, however many there are. Tokens
-that end up labelled become added spans.
-
-Each occurrence of a token is joined to the clamped ones next before and after it; where none is clamped, all are joined
-through one hub. So edges are linear in tokens, whatever repeats, and no label passes through many. Weights are fitted
-on a sample of about ``max_docs`` documents, chosen by a hash of the id, with base spans as labels, and read back as
-counts of token shapes. Nulls and empty texts have no spans; texts of any length are read whole, in linear time.
-Repeated rows are treated alike; extra columns are ignored. Offsets are code points, ends exclusive.
+"""Personal data by a skip-chain conditional random field over mentions: numbers and addresses, each as a whole.
+
+Base spans come from fixed patterns (e-mail, IP, card, phone) and always stay. Beside them, every run of digit groups,
+every token with an at sign and every address spelled with ``(at)`` is a candidate mention. The field labels mentions:
+unary potentials are a softmax regression over a mention's looks, chain edges join mentions that stand next to each
+other, and skip edges join distant mentions that repeat: the same text (type 1), the same digits or address in another
+spelling (type 2), the same last nine digits (type 3). Parts of a number are never joined to anything. Base spans are
+observed; loopy sum-product messages carry their labels along the edges until they settle, and a mention that ends up
+labelled with SURE becomes an added span.
+
+A mention is joined to the observed ones of its key next before and after it; where none is observed, all mentions of a
+key are joined through one hub. So edges are linear in mentions, whatever repeats, and no label passes through many.
+
+All potentials, ties included, are fitted together by pseudo-likelihood on a sample of about ``max_docs`` documents,
+chosen by a hash of the id. Base spans are the labels. As patterns decide those by looks alone, each base span is also
+shown rewritten in a spelling that the patterns miss, joined to its original, and against it decoys of the same looks
+that are joined to nothing and are no personal data: what looks leave open, the field has to take from its ties.
+
+Nulls and empty texts have no spans; texts of any length are read whole, in linear time. Empty tables give no rows.
+Repeated rows are treated alike; ties of labels go to none; extra columns are ignored. Offsets are code points, ends
+exclusive.
 """
 
 from __future__ import annotations
@@ -21,6 +28,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +44,11 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TOKEN = re.compile(r"[^\s]*[0-9@][^\s]*")
+_RUN = re.compile(r"\+?[0-9]+(?:[ ().-]{1,3}[0-9]+)*")
+_SPELLED = re.compile(r"[\[({] ?(?:at|AT) ?[\])}]")
+_SPELLED_DOMAIN = re.compile(r" ?[A-Za-z0-9-]+(?:(?:\.| ?[\[({] ?(?:dot|DOT) ?[\])}] ?)[A-Za-z0-9-]+)+")
+_DOT = re.compile(r" ?[\[({] ?dot ?[\])}] ?")
+_GAP = re.compile(r"\s")
 _OUTER = ".,;:!?()[]{}<>\"'"
 _MARK = np.zeros(256, bool)
 _MARK[48:58] = _MARK[64] = True
@@ -44,7 +56,8 @@ SETTLED = 1e-4
 STEADY_ROUNDS, HALVE_ROUNDS = 200, 50
 CLAMP = 12.0
 SURE = 0.8
-MOST_SURE = 3.0
+KEY_DIGITS, LAST_DIGITS = 7, 9
+TYPES = 4
 
 
 def luhn(digits: str) -> bool:
@@ -91,37 +104,144 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _numbers(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of digit groups that no letter touches; groups of nine digits or more, parted by spaces, stand by themselves."""
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        if a and (text[a - 1].isalnum() or text[a - 1] in "_@") or b < len(text) and (text[b].isalnum() or text[b] in "_@"):
+            continue
+        if b - a <= LAST_DIGITS or " " not in m[0]:
+            yield a, b
+            continue
+        first = at = a
+        for part in m[0].split(" "):
+            if len(part) >= LAST_DIGITS:
+                if first < at:
+                    yield first, at - 1
+                yield at, at + len(part)
+                first = at + len(part) + 1
+            at += len(part) + 1
+        if first < b:
+            yield first, b
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Tokens with an at sign, and addresses with a spelled one."""
+    at = text.find("@")
+    begin = 0
+    while at >= 0:
+        a = at
+        while a > begin and not text[a - 1].isspace():
+            a -= 1
+        end = _GAP.search(text, at)
+        begin = end.start() if end else len(text)
+        yield a, begin
+        at = text.find("@", begin)
+    done = 0
+    for m in _SPELLED.finditer(text):
+        a = m.start()
+        if a > done and text[a - 1] == " ":
+            a -= 1
+        name = a
+        while a > done and text[a - 1] in _LOCAL:
+            a -= 1
+        found = _SPELLED_DOMAIN.match(text, m.end()) if a < name else None
+        if found:
+            done = found.end()
+            yield a, done
+
+
+def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, label): base spans with their labels, and candidates (label 0) beside them, in order."""
+    out = [(s, e, k + 1) for s, k, e in base]
+    starts, top = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+    taken = 0
+    for a, b in sorted({*_numbers(text), *_addresses(text)}, key=lambda x: (x[0], -x[1])):
+        while a < b and (text[a] in _OUTER or text[a] == " "):
+            a += 1
+        while b > a and (text[b - 1] in _OUTER or text[b - 1] == " "):
+            b -= 1
+        if taken < a < b and text[a - 1] == "(" and ")" in text[a:b]:
+            a -= 1
+        i = bisect_left(starts, b)
+        if a < b and a >= taken and not (i and top[i - 1] > a):
+            out.append((a, b, 0))
+            taken = b
+    return sorted(out)
+
+
+def keys(mention: str) -> tuple[str, str, str]:
+    """The mention's text, its spelling-free form, and its last nine digits; '' where it has none."""
+    text = mention.lower()
+    if "@" in text:
+        return text, text, ""
+    if _SPELLED.search(text):
+        return text, _DOT.sub(".", _SPELLED.sub("@", text)).replace(" ", ""), ""
+    digits = _digits(text)
+    if len(digits) < KEY_DIGITS or len(digits) <= 12 and text.count(".") == 3:  # dotted quads are known by their text
+        return text, "", ""
+    return text, digits, digits[-LAST_DIGITS:] if LAST_DIGITS <= len(digits) <= 15 else ""
+
+
+def skips(text: str, found: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int]], int]:
+    """Skip edges (i, j, type) and the number of hubs (~0, ~1, ... in the edges)."""
+    known = [keys(text[a:b]) for a, b, _ in found]
+    observed: list[dict[str, list[int]]] = [{}, {}, {}]
+    for i, (_, _, label) in enumerate(found):
+        if label:
+            for kind in range(3):
+                if known[i][kind]:
+                    observed[kind].setdefault(known[i][kind], []).append(i)
+    edges, loose = [], {}
+    for i, (_, _, label) in enumerate(found):
+        if label:
+            continue
+        partners: dict[int, int] = {}
+        for kind in range(3):
+            sources = observed[kind].get(known[i][kind], []) if known[i][kind] else []
+            at = bisect_left(sources, i)
+            for j in sources[max(at - 1, 0) : at + 1]:
+                partners.setdefault(j, kind + 1)
+        edges += [(j, i, kind) for j, kind in partners.items()]
+        if not partners and known[i][1]:
+            loose.setdefault(known[i][1], []).append(i)
+    hubs = 0
+    for group in loose.values():
+        kind = 1 if len({known[i][0] for i in group}) == 1 else 2
+        if len(group) == 2:
+            edges.append((*group, kind))
+        elif len(group) > 2:
+            edges += [(~hubs, i, kind) for i in group]
+            hubs += 1
+    return edges, hubs
+
+
+def chain(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    return [(i - 1, i, 0) for i in range(1, len(found)) if 0 <= found[i][0] - found[i - 1][1] <= 3]
+
+
 def _bucket(n: int, edges: tuple[int, ...]) -> int:
     return sum(n >= e for e in edges)
 
 
-def shape(token: str, alone: bool) -> tuple[int, ...]:
-    """Categories of a token's looks; ``alone``: no other candidate stands next to it."""
-    only = _digits(token)
-    digits = len(only)
-    letters = sum(c.isalpha() for c in token)
+def shape(mention: str) -> tuple[int, ...]:
+    """Categories of a mention's looks."""
+    digits = _digits(mention)
+    at = 1 if "@" in mention else 2 if _SPELLED.search(mention) else 0
+    parts = [c for c in (" ", "-", ".") if c in mention]
     return (
-        _bucket(digits, (1, 4, 7, 9, 12, 16, 20)),
-        _bucket(token.count("."), (1, 2, 3, 4)),
-        min(token.count("@"), 2),
-        int(token.startswith("+")),
-        _bucket(token.count("-"), (1, 2, 4)),
-        _bucket(letters, (1, 4, 12)),
-        _bucket(len(token), (4, 8, 14, 24, 40)),
-        int(alone),
-        1 + luhn(only) if 12 <= digits <= 19 else 0,
+        0 if at else _bucket(len(digits), (1, 4, 7, 9, 10, 12, 13, 16, 20)),
+        (1 + " -.".index(parts[0]) if len(parts) == 1 else 4) if parts else 0,
+        at,
+        int(mention.startswith("+")),
+        0 if at else _bucket(sum(c.isalpha() for c in mention), (1, 4, 12)),
+        int(at == 1 and "." in mention.rpartition("@")[2].strip(".")),
+        1 + luhn(digits) if not at and 12 <= len(digits) <= 19 else 0,
+        int(mention.count(".") == 3 and not at),
     )
 
 
-def shapes_of(text: str, found: list[tuple[int, int]]) -> list[tuple[int, ...]]:
-    out = []
-    for i, (a, b) in enumerate(found):
-        alone = (i == 0 or a - found[i - 1][1] > 3) and (i + 1 == len(found) or found[i + 1][0] - b > 3)
-        out.append(shape(text[a:b], alone))
-    return out
-
-
-WIDTHS = (8, 5, 3, 2, 4, 4, 6, 2, 3)
+WIDTHS = (10, 5, 3, 2, 4, 2, 3, 2)
 _FIRST = np.concatenate([[0], np.cumsum(WIDTHS)])
 
 
@@ -133,105 +253,69 @@ def one_hot(shapes: np.ndarray) -> np.ndarray:
     return x
 
 
-def tokens(text: str) -> list[tuple[int, int]]:
-    """Candidate tokens without outer punctuation."""
-    out = []
-    for m in _TOKEN.finditer(text):
-        a, b = m.span()
-        while a < b and text[a] in _OUTER:
-            a += 1
-        while b > a and text[b - 1] in _OUTER:
-            b -= 1
-        if a < b:
-            out.append((a, b))
-    return out
-
-
-def graph(text: str, found: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Edges (i, j, type): 0 chain, 1 repeated, 2 similar: the digits of another token, or of a whole base span, which
-    stands at its first token."""
-    edges, same, like, whole = [], {}, {}, {}
-    first = {a: i for i, (a, _) in enumerate(found)}
-    for s, _, e in base:
-        if s in first and len(_digits(text[s:e])) >= 7:
-            whole.setdefault(_digits(text[s:e]), first[s])
-    for i, (a, b) in enumerate(found):
-        if i and a - found[i - 1][1] <= 3:
-            edges.append((i - 1, i, 0))
-        token = text[a:b].lower()
-        if token in same:
-            edges.append((same[token], i, 1))
-        digits = _digits(token)
-        if len(digits) >= 7:
-            if digits in whole and whole[digits] != i:
-                edges.append((whole[digits], i, 2))
-            if digits in like and like[digits][1] != token:
-                edges.append((like[digits][0], i, 2))
-            like[digits] = (i, token)
-        same[token] = i
-    return edges
-
-
-def covering(found: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[int]:
-    """The label (0: none) of the base span that covers each token, the first in order where several do."""
-    starts, top = [s for s, _, _ in spans], list(accumulate((e for _, _, e in spans), max))
-    out = []
-    for a, b in found:
-        i, label = bisect_left(starts, b), 0
-        while i and top[i - 1] > a:  # some span up to here reaches the token
-            i -= 1
-            if spans[i][2] > a:
-                label = spans[i][1] + 1
-        out.append(label)
-    return out
-
-
-def field(text: str, found: list[tuple[int, int]], base: list[tuple[int, int, int]], clamped: list[int]) -> tuple[list[tuple[int, int, int]], int]:
-    """Edges as those of ``graph``, but for skip edges, and the number of hubs (~0, ~1, ... in the edges).
-
-    A token that is not clamped has skip edges to the clamped tokens next before and after it, of its text and of its
-    digits (of its own, or of a base span that begins in the token). Tokens without any share a hub.
-    """
-    edges = [(i - 1, i, 0) for i in range(1, len(found)) if found[i][0] - found[i - 1][1] <= 3]
-    words = [text[a:b].lower() for a, b in found]
-    digits = [d if len(d) >= 7 else "" for d in map(_digits, words)]
-    same: dict[str, list[int]] = {}
-    like: dict[str, list[int]] = {}
-    for i, label in enumerate(clamped):
-        if label:
-            same.setdefault(words[i], []).append(i)
-            if digits[i]:
-                like.setdefault(digits[i], []).append(i)
-    begins = [a for a, _ in found]
-    for s, _, e in base:
-        i, d = bisect_left(begins, s + 1) - 1, _digits(text[s:e])
-        if len(d) >= 7 and i >= 0 and found[i][1] > s:
-            like.setdefault(d, []).append(i)
-    for sources in like.values():
-        sources.sort()
-    loose: dict[str, list[int]] = {}
-    for i, label in enumerate(clamped):
+def _other_digits(text: str) -> str:
+    """The same looks with other digits."""
+    seed = crc32(text.encode())
+    return "".join(str((int(c) + 1 + (seed >> (k % 24)) % 9) % 10) if "0" <= c <= "9" else c for k, c in enumerate(text))
+
+
+def rewritten(mention: str, label: int) -> list[tuple[str, int]]:
+    """(text, type of its tie to the mention): spellings of a base span that the patterns miss."""
+    digits = _digits(mention)
+    if label == 1:
+        name, _, domain = mention.partition("@")
+        out = [(f"{name} (at) {domain}", 2), (f"{name}[at]{domain}", 2), (f"{name} (at) {domain.replace('.', ' (dot) ')}", 2)]
+    elif label == 3:
+        out = [(".".join(digits[k : k + 4] for k in range(0, len(digits), 4)), 2)]
+    elif label == 4:
+        last = digits[-10:]
+        out = [(digits, 2), (f"{last[:3]}-{last[3:6]}-{last[6:]}", 3), (f"({last[:3]}) {last[3:6]}-{last[6:]}"[1:], 3), (last, 3)]
+    else:
+        out = []
+    return [(t, kind) for t, kind in out if not base_spans(t)]
+
+
+def decoys(mention: str, label: int) -> list[str]:
+    """Texts like the mention that are no personal data by the patterns: too few or too many digits, half an address."""
+    if label == 1:
+        name, _, domain = mention.partition("@")
+        out = [f"{name}@", f"@{name}", f"{name}@{domain.partition('.')[0]}"]
+    else:
+        digits = _digits(mention)
+        out = [digits[:8], _other_digits(digits + digits), _other_digits(digits[:6]), digits[:3]]
+    return [t for t in out if t and not base_spans(t)]
+
+
+def examples(text: str) -> Iterator[tuple[tuple[int, ...], int, tuple[tuple[int, int], ...]]]:
+    """(shape, label, neighbours as (type, label)) of every mention, of rewritten base spans and of decoys."""
+    base = base_spans(text)
+    found = mentions(text, base)
+    labels = [label for _, _, label in found]
+    near: list[list[tuple[int, int]]] = [[] for _ in found]
+    for i, j, kind in [*chain(found), *(e for e in skips(text, found)[0] if e[0] >= 0)]:
+        near[i].append((kind, labels[j]))
+        near[j].append((kind, labels[i]))
+    last: dict[tuple, int] = {}
+    for i, (a, b, label) in enumerate(found):
+        if label:  # repeats among base spans are joined one to the next
+            text_key, form, _ = keys(text[a:b])
+            for kind, key in ((1, text_key), (2, form)):
+                j = last.get((kind, key)) if key else None
+                if j is not None and labels[j] and (kind == 1 or text[found[j][0] : found[j][1]].lower() != text_key):
+                    near[i].append((kind, labels[j]))
+                    break
+            last[1, text_key] = last[2, form] = i
+    for (a, b, label), ties in zip(found, near, strict=True):
+        mention = text[a:b]
+        if not label and any(kind and other for kind, other in ties):
+            continue  # a spelling of a base span: what it is, is for the field to say
+        yield shape(mention), label, tuple(sorted(ties))
         if label:
-            continue
-        before = len(edges)
-        for kind, sources in ((1, same.get(words[i], [])), (2, like.get(digits[i], []) if digits[i] else [])):
-            at = bisect_left(sources, i)
-            edges += [(j, i, kind) for j in dict.fromkeys(sources[max(at - 1, 0) : at + 1]) if kind == 1 or words[j] != words[i]]
-        if len(edges) == before:
-            loose.setdefault(words[i], []).append(i)
-    alike: dict[str, list[int]] = {}
-    for group in loose.values():
-        if digits[group[0]]:
-            alike.setdefault(digits[group[0]], []).append(group[0])
-    hubs = 0
-    for kind, groups in ((1, loose), (2, alike)):
-        for group in groups.values():
-            if len(group) == 2:
-                edges.append((*group, kind))
-            elif len(group) > 2:
-                edges += [(~hubs, i, kind) for i in group]
-                hubs += 1
-    return edges, hubs
+            for other, kind in rewritten(mention, label):
+                yield shape(other), label, ((kind, label),)
+                yield shape(_other_digits(other)), 0, ()
+            for other in decoys(mention, label):
+                yield shape(other), 0, ()
 
 
 @dataclass
@@ -240,6 +324,29 @@ class Model:
     ties: np.ndarray  # log potential of equal labels, by edge type
 
 
+def train(shapes: np.ndarray, labels: np.ndarray, near: np.ndarray, n: np.ndarray, steps: int = 800, decay: float = 2e-4) -> Model:
+    """Maximise the pseudo-likelihood of labels given shapes and ``near`` (rows, types, labels): counts of neighbours."""
+    weights, ties = np.zeros((_FIRST[-1] + 1, len(LABELS))), np.zeros(TYPES)
+    if not len(labels) or not labels.any():
+        weights[-1, 0] = CLAMP  # without a base span nothing is ever added
+        return Model(weights, ties)
+    x, rows = one_hot(shapes), np.arange(len(labels))
+    share = np.sqrt(n.astype(float))
+    share /= share.sum()
+    fast_w, fast_t = np.zeros_like(weights), np.zeros_like(ties)
+    for _ in range(steps):
+        z = x @ weights + np.einsum("t,rtl->rl", ties, near)
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[rows, labels] -= 1
+        p *= share[:, None]
+        fast_w = 0.9 * fast_w + x.T @ p + decay * weights
+        fast_t = 0.9 * fast_t + np.einsum("rl,rtl->t", p, near) + decay * ties
+        weights -= 0.5 * fast_w
+        ties -= 0.5 * fast_t
+    return Model(weights, ties)
+
+
 def _sent(out: np.ndarray, tie: np.ndarray) -> np.ndarray:
     p = np.exp(out - out.max(axis=1, keepdims=True))
     m = np.log(p.sum(axis=1, keepdims=True) + (tie - 1) * p)
@@ -247,14 +354,13 @@ def _sent(out: np.ndarray, tie: np.ndarray) -> np.ndarray:
 
 
 def infer(model: Model, shapes: np.ndarray, clamped: np.ndarray, edges: np.ndarray, hubs: int = 0) -> np.ndarray:
-    """Label beliefs (nodes, labels) by loopy sum-product message passing; ``hubs`` nodes after the tokens have no shape.
+    """Label beliefs (nodes, labels) by loopy sum-product message passing; ``hubs`` nodes after the mentions have no shape.
 
     Messages go on until none changes by more than SETTLED, and only where something changed. Those that swing for long
     take ever smaller steps, so that every field settles.
     """
     unary = one_hot(shapes) @ model.weights
-    unary = np.maximum(unary - unary.max(axis=1, keepdims=True), -MOST_SURE)  # shapes alone never outweigh a skip edge
-    belief = np.concatenate([unary, np.zeros((hubs, len(LABELS)))])
+    belief = np.concatenate([unary - unary.max(axis=1, keepdims=True), np.zeros((hubs, len(LABELS)))])
     fixed = np.zeros(len(belief), bool)
     fixed[: len(clamped)] = clamped > 0
     hit = np.flatnonzero(fixed)
@@ -291,112 +397,50 @@ def _marked(column: pa.Array) -> np.ndarray:
     return np.flatnonzero(tk.sum_by_row(_MARK[raw], offsets))
 
 
-def fit(docs: DataFrame, max_docs: int = 20000, steps: int = 400) -> Model:
-    """Weights from base spans on a sample of documents; without any candidate token, ones that add nothing."""
+def fit(docs: DataFrame, max_docs: int = 20000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """All potentials from base spans on a sample of documents; only counts of distinct examples reach the driver."""
     total = max(docs.count(), 1)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30) < min(1.0, max_docs / total)).select("text")
+    part = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    sample = docs.where(part < min(1.0, max_docs / total)).select(F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tk.slices(batches, "text"):
             rows: dict[tuple, int] = {}
             for i in _marked(part.column(0)):
-                text = part.column(0)[int(i)].as_py()
-                found = tokens(text)
-                base = base_spans(text)
-                labels = covering(found, base)
-                for looks, label in zip(shapes_of(text, found), labels, strict=True):
-                    key = (0, ",".join(map(str, looks)), label)
+                for looks, label, near in examples(part.column(0)[int(i)].as_py()):
+                    key = (",".join(map(str, looks)), label, ",".join(f"{k * len(LABELS) + v}" for k, v in near))
                     rows[key] = rows.get(key, 0) + 1
-                for a, b, kind in graph(text, found, base):
-                    if labels[a] or labels[b]:
-                        key = (1 + kind, "", int(labels[a] == labels[b]))
-                        rows[key] = rows.get(key, 0) + 1
             cols = list(zip(*((*k, v) for k, v in rows.items()), strict=True)) or [[], [], [], []]
-            kinds = (pa.int32(), pa.string(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["what", "shape", "label", "n"])
-
-    got = sample.mapInArrow(run, "what int, shape string, label int, n long").groupBy("what", "shape", "label").agg(F.sum("n").alias("n")).toPandas()
-    got = got.sort_values(["what", "shape", "label"])
-    ties = np.zeros(3)
-    for k in range(3):
-        at = got[got["what"] == k + 1].set_index("label")["n"].to_dict()
-        agree = np.log((at.get(1, 0) + 1) / (at.get(0, 0) + 1))
-        ties[k] = min(max(agree, 6.0), 9.0) if k else min(max(agree, 0.0), 1.0)  # skip edges hold at least 6 nats, chain edges 1 at most
-    seen = got[got["what"] == 0]
-    weights = np.zeros((_FIRST[-1] + 1, len(LABELS)))
-    weights[-1, 0] = MOST_SURE
-    if len(seen):
-        x = one_hot(np.array([list(map(int, s.split(","))) for s in seen["shape"]]))
-        y, n = seen["label"].to_numpy(), np.sqrt(seen["n"].to_numpy(float))
-        n /= n.sum()
-        speed = np.zeros_like(weights)
-        for _ in range(steps):
-            z = x @ weights
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(y)), y] -= 1
-            grad = x.T @ (p * n[:, None]) + 1e-4 * weights
-            speed = 0.9 * speed + grad
-            weights -= 0.5 * speed
-    return Model(weights, ties)
-
-
-def _merge(text: str, found, labels, base) -> list[tuple[int, int, int]]:
-    """Added spans: labelled tokens that overlap no base span, adjacent ones of a label joined."""
-    out: list[tuple[int, int, int]] = []
-    taken = sorted((s, e) for s, _, e in base)
-    k = 0
-    ends = np.maximum.accumulate([e for _, e in taken]) if taken else []
-    for (a, b), label in zip(found, labels, strict=True):
-        while k < len(taken) and taken[k][0] < b:
-            k += 1
-        if not label or (k and ends[k - 1] > a):
-            continue
-        if out and out[-1][1] == label - 1 and a - out[-1][2] <= 1 and text[out[-1][2] : a] in ("", " ", "-"):
-            out[-1] = (out[-1][0], label - 1, b)
-        else:
-            out.append((a, label - 1, b))
-    return out
-
-
-def _supported(texts: list[str], found: list, clamped: list[int], edges: list, hubs: int) -> np.ndarray:
-    """Tokens that may be labelled: with an at sign or seven digits, or joined by edges to a base span."""
-    out = np.array([c > 0 for c in clamped])
-    out |= np.array(["@" in t[a:b] or len(_digits(t[a:b])) >= 7 for t, f in zip(texts, found, strict=True) for a, b in f])
-    root = list(range(len(clamped) + hubs))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["shape", "label", "near", "n"])
 
-    for i, j, _ in edges:
-        root[top(i)] = top(j)
-    based = {top(i) for i, c in enumerate(clamped) if c}
-    return out | np.array([top(i) in based for i in range(len(clamped))])
+    got = sample.mapInArrow(run, "shape string, label int, near string, n long").groupBy("shape", "label", "near").agg(F.sum("n").alias("n")).toPandas()
+    got = got.sort_values(["shape", "label", "near"])
+    near = np.zeros((len(got), TYPES * len(LABELS)))
+    for k, ties in enumerate(got["near"]):
+        for tie in ties.split(",") if ties else ():
+            near[k, int(tie)] += 1
+    shapes = np.array([list(map(int, s.split(","))) for s in got["shape"]]).reshape(-1, len(WIDTHS))
+    return train(shapes, got["label"].to_numpy(int), near.reshape(-1, TYPES, len(LABELS)), got["n"].to_numpy())
 
 
 def find(texts: list[str], model: Model) -> list[tuple[list, list]]:
     """(base spans, added spans) of each text; all graphs of the list go through message passing together."""
-    base, found, shapes, clamped, parts, first = [], [], [], [], [], [0]
-    for text in texts:
-        base.append(base_spans(text))
-        found.append(tokens(text))
-        shapes += shapes_of(text, found[-1])
-        labels = covering(found[-1], base[-1])
-        clamped += labels
-        parts.append(field(text, found[-1], base[-1], labels))
-        first.append(first[-1] + len(found[-1]))
+    base = [base_spans(t) for t in texts]
+    found = [mentions(t, b) for t, b in zip(texts, base, strict=True)]
+    first = list(accumulate(map(len, found), initial=0))
     if not first[-1]:
         return [(b, []) for b in base]
     edges, hubs = [], 0
-    for at, (part, more) in zip(first, parts, strict=False):
-        edges += [(i + at if i >= 0 else first[-1] + hubs + ~i, j + at, t) for i, j, t in part]
+    for text, nodes, at in zip(texts, found, first, strict=False):
+        joined, more = skips(text, nodes)
+        edges += [(i + at if i >= 0 else first[-1] + hubs + ~i, j + at, kind) for i, j, kind in chain(nodes) + joined]
         hubs += more
-    belief = infer(model, np.array(shapes), np.array(clamped), np.array(edges, np.int64).reshape(-1, 3), hubs)[: first[-1]]
-    label = np.where((belief.max(axis=1) >= SURE) & _supported(texts, found, clamped, edges, hubs), belief.argmax(axis=1), 0)
-    return [(b, _merge(t, f, label[s:e], b)) for t, b, f, s, e in zip(texts, base, found, first[:-1], first[1:], strict=True)]
+    shapes = np.array([shape(t[a:b]) for t, nodes in zip(texts, found, strict=True) for a, b, _ in nodes])
+    clamped = np.array([label for nodes in found for _, _, label in nodes])
+    belief = infer(model, shapes, clamped, np.array(edges, np.int64).reshape(-1, 3), hubs)[: first[-1]]
+    label = np.where((belief.max(axis=1) >= SURE) & (clamped == 0), belief.argmax(axis=1), 0)
+    return [(b, [(x, int(k) - 1, y) for (x, y, _), k in zip(nodes, label[s:e], strict=True) if k]) for b, nodes, s, e in zip(base, found, first[:-1], first[1:], strict=True)]
 
 
 SPANS = "array<struct<kind:string,start:long,end:long,base:boolean>>"

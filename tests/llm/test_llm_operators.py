@@ -290,6 +290,8 @@ PATTERNS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("i
 
 def brute_spans(t):
     out = []
+    if not re.search("[0-9@]", t):
+        return out
     for k, (kind, pattern) in enumerate(PATTERNS):
         for m in re.finditer(pattern, t):
             digits = re.sub("[^0-9]", "", m[0])
@@ -308,9 +310,31 @@ def test_pii_base_spans_equal_the_patterns():
         assert pii.base_spans(t) == brute_spans(t), t
 
 
-def test_pii_adds_only_what_a_base_span_supports(docs_frame, odd_texts):
-    rows = odd_texts + [(20, "card 4111 1111 1111 1111 and later 4111111111111112 no"), (21, "mail joe@x.org. Ask again: JOE@X.ORG, joe@x.org"), (22, "phone +1 555 555 0199 then 15555550199 later"), (23, "version 3. of 2024, 99 bottles")]
-    rows += [(100 + i, f"call +1 555 555 {1000 + i} or write u{i}@mail.example.com from 10.0.{i}.7 ok") for i in range(60)]
+def _private(n):
+    rng = random.Random(12)
+    number = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    def card():
+        body = number(15)
+        return next(body + c for c in "0123456789" if pii.luhn(body + c))
+    return [(100 + i, f"call +1 ({number(3)}) 555-{number(4)} or write u{i}@mail{i % 9}.example.com from 10.0.{i}.7 about {card()} ok, {i} of 99 items, ref {number(11)}") for i in range(n)]
+
+
+def _pii_model(n=80):
+    rows: Counter = Counter()
+    for _, t in _private(n):
+        rows.update(pii.examples(t))
+    keys = list(rows)
+    near = np.zeros((len(keys), pii.TYPES, len(pii.LABELS)))
+    for k, (_, _, ties) in enumerate(keys):
+        for kind, label in ties:
+            near[k, kind, label] += 1
+    return pii.train(np.array([k[0] for k in keys]), np.array([k[1] for k in keys]), near, np.array([rows[k] for k in keys]))
+
+
+def test_pii_adds_repeats_and_nothing_else(docs_frame, odd_texts):
+    whole = "call +1 555 555 0199 today. Later we sold 555 cars; card 4111 1111 1111 1111 and then room 1111 is free"
+    rows = odd_texts + [(20, "card 4111 1111 1111 1111 and later 4111111111111112 no"), (21, "mail joe@x.org. Ask again: JOE@X.ORG, joe@x.org, joe (at) x (dot) org"), (22, "phone +1 555 555 0199 then 15555550199 later"), (23, "version 3. of 2024, 99 bottles"), (24, whole)]
+    rows += _private(60)
     docs = docs_frame(rows)
     model = pii.fit(docs)
     got = pii.find_spans(docs, model).collect()
@@ -319,36 +343,77 @@ def test_pii_adds_only_what_a_base_span_supports(docs_frame, odd_texts):
     for r in got:
         t = text[r["doc_id"]] or ""
         assert [(s["start"], [k for k, _ in PATTERNS].index(s["kind"]), s["end"]) for s in r["spans"] if s["base"]] == brute_spans(t)
-    spans = {r["doc_id"]: r["spans"] for r in got}
-    assert not spans[23] and not [s for s in spans[20] if not s["base"]]
-    assert any(not s["base"] and text[22][s["start"] : s["end"]] == "15555550199" for s in spans[22])
+    added = {r["doc_id"]: [text[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if not s["base"]] for r in got}
+    assert not added[20] and not added[23] and not added[24] and added[22] == ["15555550199"] and added[21] == ["joe (at) x (dot) org"]
+    assert not any(added[i] for i, _ in rows[-60:])
     clean = {r["doc_id"]: r["text"] for r in pii.redact(docs, model).collect()}
-    assert clean[21] == "mail [EMAIL]. Ask again: [EMAIL], [EMAIL]" and clean[23] == text[23] and clean[1] is None
+    assert clean[21] == "mail [EMAIL]. Ask again: [EMAIL], [EMAIL], [EMAIL]" and clean[23] == text[23] and clean[1] is None
+    assert clean[24] == "call [PHONE] today. Later we sold 555 cars; card [CARD] and then room 1111 is free"
     digest = {r["doc_id"]: r for r in pii.digest(pii.find_spans(docs, model)).collect()}
     assert digest[2]["base_sha256"] == hashlib.sha256(b"").hexdigest() and digest[21]["n_email"] == 3
 
 
-def test_pii_labels_every_repeat():
-    model = pii.Model(np.zeros((pii._FIRST[-1] + 1, len(pii.LABELS))), np.array([0.0, 6.0, 6.0]))
-    model.weights[-1, 0] = pii.MOST_SURE
-    pieces = "call +1 415 555 0123 now " + "then 0123 again " * 300
-    inside = "see x7:+14155550123 now " + "or 14155550123 and " * 300 + "see 1-415-555-0123 too"
-    for text, want in ((pieces, 300), (inside, 301)):
-        ((base, more),) = pii.find([text], model)
-        assert len(base) == 1 and len(more) == want and {pii.KINDS[k] for _, k, _ in more} == {"phone"}
-    plain = "order 14155550123 and " * 300
-    assert pii.find([plain, "see 5 and 6"], model) == [([], []), ([], [])]
+@pytest.mark.parametrize("n", [1, 6, 100])
+def test_pii_labels_every_repeat(n):
+    model = _pii_model()
+    inside = "see x7:+14155550123 now " + "or 14155550123 and " * n + "see 415-555-0123 too"
+    ((base, more),) = pii.find([inside], model)
+    assert len(base) == 1 and len(more) == n + 1 and {pii.KINDS[k] for _, k, _ in more} == {"phone"}
+    plain = "order 14155550123 and " * n
+    pieces = "call +1 415 555 0123 now " + "then 0123 again " * n
+    assert [m for _, m in pii.find([plain, "see 5 and 6", pieces], model)] == [[], [], []]
+
+
+def test_pii_finds_held_out_mentions():
+    """Numbers and addresses that training has not seen, masked in spellings that the patterns miss, among like numbers."""
+    model, rng = _pii_model(), random.Random(99)
+    right = wrong = missed = 0
+    for k in range(200):
+        number = "1" + "".join(rng.choice("0123456789") for _ in range(10))
+        other = "1" + "".join(rng.choice("0123456789") for _ in range(10))
+        mail = f"ann{k}@host{k}.example.net"
+        masked = [number, f"{number[1:4]}-{number[4:7]}-{number[7:]}", mail.replace("@", " (at) ")]
+        text = f"dial +{number} or {mail}; " + " then ".join(masked) + f" but not {other} nor {other[1:4]}-{other[4:7]}-{other[7:]} nor bob (at) else{k}.example.net"
+        found = {text[a:b] for a, _, b in pii.find([text], model)[0][1]}
+        right, wrong, missed = right + len(found & set(masked)), wrong + len(found - set(masked)), missed + len(set(masked) - found)
+    assert right / (right + wrong) > 0.98 and right / (right + missed) > 0.95, (right, wrong, missed)
+
+
+def test_pii_reads_long_texts_in_linear_time():
+    import time
+
+    model, n = _pii_model(), 1 << 20
+    for text in ("call 7 now " + "a" * n, "7@" + "a@" * (n // 2), "1" * n, "1 " * (n // 2), "+1" * (n // 2), "a (at) " * (n // 7)):
+        began = time.process_time()
+        pii.find([text], model)
+        assert time.process_time() - began < 5
+
+
+def test_pii_fits_its_pseudo_likelihood():
+    rng = np.random.default_rng(2)
+    shapes = np.array([[rng.integers(w) for w in pii.WIDTHS] for _ in range(40)])
+    labels, n = rng.integers(0, 5, 40), rng.integers(1, 9, 40)
+    near = rng.integers(0, 2, (40, pii.TYPES, 5)).astype(float)
+    share = np.sqrt(n) / np.sqrt(n).sum()
+
+    def loss(weights, ties):
+        z = pii.one_hot(shapes) @ weights + np.einsum("t,rtl->rl", ties, near)
+        return -(share * (z[np.arange(40), labels] - np.log(np.exp(z).sum(axis=1)))).sum() + 1e-4 * ((weights**2).sum() + (ties**2).sum())
+
+    model = pii.train(shapes, labels, near, n, steps=3000)
+    best = loss(model.weights, model.ties)
+    for _ in range(20):
+        assert best <= loss(model.weights + 0.02 * rng.normal(size=model.weights.shape), model.ties + 0.02 * rng.normal(size=pii.TYPES))
 
 
 def test_pii_messages_are_exact_on_trees():
     rng = np.random.default_rng(6)
     for trial in range(3):
-        model = pii.Model(rng.normal(size=(pii._FIRST[-1] + 1, len(pii.LABELS))), np.array([1.0, 6.0, 9.0]))
+        model = pii.Model(rng.normal(size=(pii._FIRST[-1] + 1, len(pii.LABELS))), np.array([1.0, 6.0, 9.0, 3.0]))
         shapes = np.array([[rng.integers(w) for w in pii.WIDTHS] for _ in range(5)])
         clamped = np.array([0, 0, 2 * trial, 0, 0])
-        edges = np.array([(5, 0, 1), (5, 1, 1), (5, 2, 1), (2, 3, 2), (3, 4, 0)])
+        edges = np.array([(5, 0, 1), (5, 1, 1), (5, 2, 3), (2, 3, 2), (3, 4, 0)])
         unary = pii.one_hot(shapes) @ model.weights
-        unary = np.maximum(unary - unary.max(axis=1, keepdims=True), -pii.MOST_SURE)
         if clamped[2]:
             unary[2] = np.where(np.arange(5) == clamped[2], 0, -200.0)
         want = np.zeros((6, 5))
