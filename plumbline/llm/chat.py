@@ -8,14 +8,17 @@ Template: ``### role: text</turn>`` and a line feed for each turn. Inside roles
 ``<`` becomes ``\\l``, ``#`` becomes ``\\h`` and, in roles only, ``:`` becomes ``\\c``; so no control string survives
 in them, and reading back is exact. The loss mask is a list of spans (code points of the formatted text).
 
-Nulls: a null text, role or field is empty. A record that is null, not an object, or of no known layout yields no turns
-and an empty formatted text. Ties of turn numbers are ordered by role, then text. Extra columns are ignored.
-A conversation is one training record and has to fit a row; nothing else is gathered by key.
+Nulls: a null text, role or field is empty. A record that is null, not an object, nested too deeply to be read, or of no
+known layout yields no turns and an empty formatted text; so does a list path that holds no list, and a list's item that
+is no object gives an empty turn. A lone surrogate becomes U+FFFD. Ties of turn numbers are ordered by role, then text.
+Repeated rows are turns of their own. Texts of any length are read whole; an empty table gives no rows; extra columns are
+ignored. A conversation is one training record and has to fit a row; nothing else is gathered by key.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit as tk
+
 #: Mappings in order of preference: each part is (list path or None, role: constant "=..." or path, text paths joined by a line feed).
 LAYOUTS: list[tuple[str, list[tuple[str | None, str, tuple[str, ...]]]]] = [
     ("messages", [("messages[]", "role", ("content",))]),
@@ -48,41 +53,45 @@ def needed(parts) -> frozenset[str]:
     return frozenset(out)
 
 
-def paths(value, stem: str = "") -> set[str]:
+def paths(value) -> set[str]:
     """Leaf field paths of a record; an empty list counts as its own path."""
-    if isinstance(value, dict):
-        out = set()
-        for k, v in value.items():
-            out |= paths(v, f"{stem}.{k}" if stem else k)
-        return out
-    if isinstance(value, list):
-        out = set()
-        for v in value:
-            out |= paths(v, f"{stem}[]")
-        return out or {f"{stem}[]"}
-    return {stem}
+    out, left = set(), [("", value)]
+    while left:
+        stem, value = left.pop()
+        if isinstance(value, dict):
+            left += [(f"{stem}.{k}" if stem else k, v) for k, v in value.items()]
+        elif isinstance(value, list) and value:
+            left += [(f"{stem}[]", v) for v in value]
+        else:
+            out.add(f"{stem}[]" if isinstance(value, list) else stem)
+    return out
 
 
 def fingerprint(found) -> int:
     """A stable 64-bit hash of a path set."""
-    joined = "\n".join(sorted(found)).encode()
+    joined = "\n".join(sorted(found)).encode("utf-8", "surrogatepass")
     return (zlib.crc32(joined) << 31) | (zlib.crc32(joined[::-1]) >> 1)
 
 
 KNOWN = {fingerprint(needed(parts)): name for name, parts in LAYOUTS}
 _PARTS = dict(LAYOUTS)
+MOST_REMEMBERED = 1 << 14
+_SURROGATE = re.compile("[\ud800-\udfff]")
 
 
 def select_layout(found: set[str], memory: dict[int, str]) -> tuple[int, str]:
     """The fingerprint of a path set and the layout's name, '' if none fits."""
     key = fingerprint(found)
     if key not in memory:
+        if len(memory) >= MOST_REMEMBERED:  # what is remembered never changes what is chosen
+            memory.clear()
         memory[key] = next((name for name, parts in LAYOUTS if needed(parts) <= found or all(at and at in found for at, _, _ in parts)), "")
     return key, memory[key]
 
 
 def _string(value) -> str:
-    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    text = "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return _SURROGATE.sub("\ufffd", text)
 
 
 def _at(record, path: str):
@@ -94,7 +103,8 @@ def _at(record, path: str):
 def canonical_turns(record, layout: str) -> list[tuple[str, str]]:
     out = []
     for at, role, texts in _PARTS.get(layout, ()):
-        for item in (_at(record, at[:-2]) or []) if at else [record]:
+        items = _at(record, at[:-2]) if at else [record]
+        for item in items if isinstance(items, list) else ():
             name = role[1:] if role[0] == "=" else _string(_at(item, role))
             fields = [_string(_at(item, t)) for t in texts]
             out.append((ROLES.get(name, name), "\n".join([fields[0], *(x for x in fields[1:] if x)])))
@@ -137,6 +147,18 @@ def records_of(conversations: DataFrame) -> DataFrame:
     return conversations.groupBy("conv_id").agg(F.to_json(F.struct(messages.alias("messages"))).alias("record"))
 
 
+def read_record(raw: str | None, memory: dict[int, str]) -> tuple[int, str, str, list[tuple[int, int]]]:
+    """Fingerprint, layout, formatted text and loss spans of a JSON record; (0, '', '', []) where it cannot be read."""
+    try:
+        record = json.loads(raw) if raw else None
+        if not isinstance(record, dict):
+            return 0, "", "", []
+        key, name = select_layout(paths(record), memory)
+        return key, name, *render(canonical_turns(record, name))
+    except (ValueError, RecursionError):
+        return 0, "", "", []
+
+
 def format_records(records: DataFrame, id_col: str = "conv_id", record_col: str = "record") -> DataFrame:
     """(id, fingerprint, layout, formatted, loss_spans) for each JSON record."""
     kind = records.schema[id_col].dataType.simpleString()
@@ -145,19 +167,10 @@ def format_records(records: DataFrame, id_col: str = "conv_id", record_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = dict(KNOWN)
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
-            prints, names, texts, masks = [], [], [], []
-            for raw in batch.column(1).to_pylist():
-                try:
-                    record = json.loads(raw) if raw else None
-                except ValueError:
-                    record = None
-                key, name = select_layout(paths(record), memory) if isinstance(record, dict) else (0, "")
-                text, spans = render(canonical_turns(record, name))
-                prints.append(key)
-                names.append(name)
-                texts.append(text)
-                masks.append([{"start": a, "end": b} for a, b in spans])
+        for batch in tk.slices(batches, record_col):
+            got = [read_record(raw, memory) for raw in batch.column(1).to_pylist()]
+            prints, names, texts, masks = (list(x) for x in zip(*got, strict=True))
+            masks = [[{"start": a, "end": b} for a, b in spans] for spans in masks]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(prints, pa.int64()), pa.array(names, pa.string()), pa.array(texts, pa.string()), pa.array(masks, span)],
                 [id_col, "fingerprint", "layout", "formatted", "loss_spans"],
@@ -174,7 +187,7 @@ def digest_formatted(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame
     out = f"{id_col} {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, fingerprint long, layout string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tk.slices(batches, "formatted"):
             rows = []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 turns = parse(text)

@@ -53,6 +53,32 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written down in five layouts (by id) and read back: what the mapping selection has to undo."""
+    from . import chat
+
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    whole = rows.groupBy("conv_id").agg(turns.alias("t"))
+
+    def first(role: str):
+        return F.coalesce(F.get(F.filter("t", lambda x: x["role"] == role), F.lit(0))["text"], F.lit(""))
+
+    told = F.create_map(F.lit("user"), F.lit("human"), F.lit("assistant"), F.lit("gpt"))
+    layouts = [
+        F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages"), F.lit("x").alias("source")),
+        F.struct(F.col("conv_id").alias("id"), F.transform("t", lambda x: F.struct(F.coalesce(told[x["role"]], x["role"]).alias("from"), x["text"].alias("value"))).alias("conversations")),
+        F.struct(F.struct(F.lit("x").alias("lang")).alias("meta"), F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns")),
+        F.struct(first("user").alias("instruction"), first("system").alias("input"), first("assistant").alias("output")),
+        F.struct(first("user").alias("prompt"), first("assistant").alias("completion"), F.lit(1).alias("score")),
+    ]
+    kind = F.pmod(F.col("conv_id"), F.lit(len(layouts)))
+    record = F.coalesce(*[F.when(kind == k, F.to_json(x)) for k, x in enumerate(layouts)])
+    return chat.digest_formatted(chat.format_records(whole.select("conv_id", record.alias("record")))).select(
+        "conv_id", "layout", "n_turns", "turns_sha256", "loss_chars", "loss_sha256"
+    )
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lm
 
@@ -96,9 +122,50 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"), 16)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_embedding_near_dedup, op4_chat_formatting, op5_lm_scoring, op6_pii, op7_toxicity, op8_benchmark_decontamination, op9_ngram_jaccard, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_embedding_near_dedup, op4_chat_formatting, op5_lm_scoring, op6_pii, op7_toxicity, op8_benchmark_decontamination, op9_ngram_jaccard, op10_sharding, chat_layouts)}
 
 ORACLES = {
+    "chat_layouts": r"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+f AS (SELECT conv_id, ((conv_id % 5) + 5) % 5 AS k, list({'role': role, 'text': text} ORDER BY turn, role, text) AS t,
+  coalesce(first(text ORDER BY turn, text) FILTER (WHERE role = 'user'), '') AS u,
+  coalesce(first(text ORDER BY turn, text) FILTER (WHERE role = 'system'), '') AS s,
+  coalesce(first(text ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '') AS a FROM r GROUP BY conv_id),
+g AS (SELECT conv_id, k, CASE WHEN k < 3 THEN t
+  ELSE [{'role': 'user', 'text': u || CASE WHEN k = 3 AND s <> '' THEN chr(10) || s ELSE '' END}, {'role': 'assistant', 'text': a}] END AS t FROM f)
+SELECT conv_id, ['messages', 'from_value', 'turns', 'instruction_input', 'prompt_completion'][k + 1] AS layout,
+  CAST(len(t) AS BIGINT) AS n_turns, sha256(array_to_string(list_transform(t, lambda x: x.role || chr(10) || x.text || chr(10)), '')) AS turns_sha256,
+  CAST(length(array_to_string(list_transform(list_filter(t, lambda x: x.role = 'assistant'), lambda x: x.text), '')) AS BIGINT) AS loss_chars,
+  sha256(array_to_string(list_transform(list_filter(t, lambda x: x.role = 'assistant'), lambda x: x.text), '')) AS loss_sha256
+FROM g""",
+    "op3_embedding_near_dedup": r"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+w AS (SELECT row_number() OVER () AS row, vec_id, list_transform(e, lambda x: x / n) AS e FROM u),
+l AS (SELECT a.row AS x, b.row AS y, a.vec_id AS a, b.vec_id AS b FROM w a, w b
+  WHERE a.row <> b.row AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) >= 0.9),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+reach AS (SELECT DISTINCT a, b FROM l WHERE b < a UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a)
+SELECT v.vec_id, coalesce(k.n, 0) AS n_links, least(v.vec_id, coalesce(m.b, v.vec_id)) AS component_id,
+  v.vec_id = least(v.vec_id, coalesce(m.b, v.vec_id)) AS kept
+FROM v LEFT JOIN k ON k.a = v.vec_id LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) m ON m.a = v.vec_id""",
+    "op9_ngram_jaccard": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+q AS (SELECT r, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+t AS (SELECT r, n, i, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS g FROM q WINDOW o AS (PARTITION BY r ORDER BY i)),
+s AS (SELECT DISTINCT r, g FROM t WHERE i <= n - 4 OR n < 5 AND i = 1),
+f AS (SELECT r, count(*) AS n, sha256(string_agg(g, chr(10) ORDER BY g)) AS k FROM s GROUP BY r),
+c AS (SELECT k, min(doc_id) AS low, min(r) AS r, any_value(n) AS n FROM f JOIN d USING (r) GROUP BY k),
+p AS (SELECT c.low, c.n, s.g FROM c JOIN s USING (r)),
+l AS (SELECT a.low AS a, b.low AS b FROM p a JOIN p b ON a.g = b.g AND a.low < b.low AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80
+  GROUP BY a.low, b.low, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+m AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(f.n, 0) AS n_shingles, least(coalesce(c.low, d.doc_id), coalesce(m.b, c.low, d.doc_id)) AS component_id
+FROM d LEFT JOIN f USING (r) LEFT JOIN c ON c.k = f.k LEFT JOIN m ON m.a = c.low""",
     "op4_chat_formatting": r"""
 WITH r AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
