@@ -5,25 +5,30 @@ hashes. Documents with equal sets form a class, known by a 64-bit hash of the se
 
 1. Prefix filter. Two sets of Jaccard similarity t or more share one of the first n - ceil(t n) + 1 shingles under any
    fixed order of shingles. The order puts shingles seen often last (a bounded list of heavy ones; any list is valid),
-   then goes by hash. Classes that share a prefix shingle form a tile, sorted by size and cut into bands of ratio t.
+   then goes by hash. Classes that share a prefix shingle form a tile, cut into bands of size ratio t: similar sets are
+   at most one band apart. The members of a hot shingle are dealt over several tasks, whose sums name the tile.
 2. Each member of a tile is first compared with its band's leader and its neighbour in size: a linear number of pairs.
-3. What is still apart then meets in tiles split into blocks: sizes and the bit counts of parity bitmaps (2 bits a
-   shingle or more; popcount(x xor y) <= |x minus y| + |y minus x|) bound the overlap from above, for all
-   pairs between different components, without writing a pair down that the bound excludes.
+3. What is still apart then meets in bands (each with itself and with the next) split into blocks of bounded size: sizes
+   and the bit counts of parity bitmaps (2 bits a shingle or more; popcount(x xor y) <= |x minus y| + |y minus x|) bound
+   the overlap from above, for all pairs between different components, without writing a pair that the bound excludes.
 4. Pairs left are verified by intersecting sorted arrays; arrays are made again from the texts of the few documents
    needed, so that no shingle table is stored.
 
-Every pair of different components that shares a prefix shingle is tested, so components are exact. Nulls and empty
-texts: an empty set, linked with nothing. Repeated rows and copies: one class. Extra columns are ignored.
+Every pair of different components that shares a prefix shingle is tested, so components are exact but for two different
+sets or shingles of one 64-bit hash (a chance near n^2 / 2^65). Nulls and empty texts: an empty set, linked with nothing.
+Texts of any length are read whole. Repeated rows and copies: one class. Ties: the least id names a component. Empty
+tables give no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +41,10 @@ HEAVY_MOST = 1 << 20
 HEAVY_LEAST = 32
 LOCAL_LEAST = 4
 WINDOW = 1 << 21
-BLOCK = 256
+BLOCK = 1024
+SALT = 64
+HOT, CHUNK = 4096, 2048
+PART = 4096
 BITS_EACH = 2
 BLOOM_BITS = 1 << 25
 
@@ -127,75 +135,163 @@ def _describe(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "kind int, key long, cls long, size long, bits binary")
 
 
+@dataclass
+class Heavy:
+    """Shingles seen often, sorted; how many tasks share the members of each (1: not hot)."""
+
+    keys: np.ndarray
+    chunks: np.ndarray
+
+
+def _heavy(counts: DataFrame) -> Heavy:
+    """Keys of the highest counts, HEAVY_MOST at most: by a histogram of counts, so that nothing is sorted in one task."""
+    step = F.floor(F.log2("c") * 8)
+    sizes = {r[0]: r[1] for r in counts.groupBy(step.alias("s")).count().collect()}
+    kept, least = 0, None
+    for s in sorted(sizes, reverse=True):
+        if kept + sizes[s] > HEAVY_MOST:
+            break
+        kept, least = kept + sizes[s], s
+    if least is None:
+        return Heavy(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    got = counts.where(step >= least).select("key", "c").toArrow()
+    keys, c = got["key"].to_numpy().view(np.uint64), got["c"].to_numpy()
+    order = np.argsort(keys)
+    return Heavy(keys[order], np.where(c >= HOT, -(-c // CHUNK), 1)[order])
+
+
 def _postings(docs: DataFrame, heavy, n: int, percent: int) -> DataFrame:
+    """(h, cls, size, chunk) of prefix shingles; chunk: the task's share of a hot shingle, -1 for others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, done = heavy.value, set()
+        every, done = heavy.value.keys, set()
+        hot, chunks = every[heavy.value.chunks > 1], heavy.value.chunks[heavy.value.chunks > 1]
         for part in tk.slices(batches, "text"):
             hs, cs, ns = [], [], []
             for s in shingle_sets(*tk.string_buffers(part.column(0)), n):
                 if len(s) and (c := set_class(s)) not in done:
                     if len(done) < 1 << 18:
                         done.add(c)
-                    p = prefix(s, hot, percent)
+                    p = prefix(s, every, percent)
                     hs.append(p)
                     cs.append(np.full(len(p), c, np.int64))
                     ns.append(np.full(len(p), len(s), np.int32))
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(cs)), pa.array(np.concatenate(ns))], ["h", "cls", "size"])
-
-    return docs.select("text").mapInArrow(run, "h long, cls long, size int")
+                h, c, chunk = np.concatenate(hs), np.concatenate(cs), np.full(sum(map(len, hs)), -1, np.int32)
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+                    is_hot = np.flatnonzero(hot[at] == h)
+                    chunk[is_hot] = tk.mix(c[is_hot].view(np.uint64)) % chunks[at[is_hot]].astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c), pa.array(np.concatenate(ns)), pa.array(chunk)], ["h", "cls", "size", "chunk"])
+
+    return docs.select("text").mapInArrow(run, "h long, cls long, size int, chunk int")
+
+
+_ROW = [("kind", "int"), ("h", "long"), ("chunk", "int"), ("tile", "long"), ("cls", "long"), ("size", "int"), ("leader", "long"), ("prev", "long"), ("band", "int"), ("own", "long"), ("below", "long"), ("above", "long"), ("total", "long")]
+_ARROW = {"int": pa.int32(), "long": pa.int64()}
+MEMBER, SUM, BAND = 0, 1, 2
+
+
+def bands(size: np.ndarray, percent: int) -> np.ndarray:
+    """Band numbers of set sizes: similar sizes are at most one band apart (a hair wider than the ratio, for rounding)."""
+    return np.floor(np.log(size) / (math.log(100 / percent) + 1e-9)).astype(np.int64) if percent < 100 else size.astype(np.int64)
+
+
+def _members(h, c, s, chunk, percent: int) -> Iterator[dict]:
+    """Rows of whole (shingle, chunk) groups: members, and for hot shingles the sums and band counts of a chunk."""
+    dup = np.concatenate([[False], (h[1:] == h[:-1]) & (c[1:] == c[:-1])])
+    h, c, s, chunk = h[~dup], c[~dup], s[~dup], chunk[~dup]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (chunk[1:] != chunk[:-1])])
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(h)))
+    group = np.repeat(np.arange(len(first)), count)
+    signs = tk.mix(c.view(np.uint64))
+    sums, hot = np.add.reduceat(signs, first), chunk[first] >= 0
+    band = bands(s, percent)
+    cell = group * (1 << 32) + band
+    start = np.concatenate([[True], cell[1:] != cell[:-1]])
+    begin = np.flatnonzero(start)
+    each, kinds = np.diff(np.append(begin, len(h))), cell[begin]
+    at = np.repeat(np.arange(len(begin)), each)
+    down = np.concatenate([[0], np.where(kinds[1:] == kinds[:-1] + 1, each[:-1], 0)])
+    up = np.concatenate([np.where(kinds[1:] == kinds[:-1] + 1, each[1:], 0), [0]])
+    prev = np.where(~new & (np.roll(s, 1).astype(np.int64) * 100 >= s.astype(np.int64) * percent), np.roll(c, 1), c)
+    tile = tk.mix(sums + count.astype(np.uint64)).view(np.int64)
+    keep = hot[group] | (count[group] > 1)
+    rows = {"h": h, "chunk": chunk, "tile": tile[group], "cls": c, "size": s, "leader": c[begin[at]], "prev": prev, "band": band, "own": each[at], "below": down[at], "above": up[at], "total": count[group]}
+    yield {k: v[keep] for k, v in rows.items()} | {"kind": np.full(int(keep.sum()), MEMBER)}
+    if hot.any():
+        yield {"kind": np.full(int(hot.sum()), SUM), "h": h[first[hot]], "chunk": chunk[first[hot]], "tile": np.bitwise_xor.reduceat(signs, first)[hot].view(np.int64), "total": count[hot]}
+        some = begin[hot[group[begin]]]
+        yield {"kind": np.full(len(some), BAND), "h": h[some], "chunk": chunk[some], "band": band[some], "own": each[at[some]]}
 
 
 def _tiles(postings: DataFrame, percent: int) -> DataFrame:
-    """Tiles of two classes or more: (tile, cls, size, leader, prev); a tile is known by a hash of its members."""
-
-    def emit(h, c, s):
-        dup = np.concatenate([[False], (h[1:] == h[:-1]) & (c[1:] == c[:-1])])
-        h, c, s = h[~dup], c[~dup], s[~dup]
-        new = np.concatenate([[True], h[1:] != h[:-1]])
-        first = np.flatnonzero(new)
-        count = np.diff(np.append(first, len(h)))
-        sig = np.add.reduceat(tk.mix(c.view(np.uint64)), first)
-        many = np.repeat(count > 1, count)
-        if not many.any():
-            return None
-        band = np.floor(np.log(s) / math.log(100 / percent)).astype(np.int64)
-        start = new | np.concatenate([[True], band[1:] != band[:-1]])
-        leader = c[np.maximum.accumulate(np.where(start, np.arange(len(c)), 0))]
-        prev = np.where(new, c, np.roll(c, 1))
-        near = ~new & (np.roll(s, 1).astype(np.int64) * 100 >= s.astype(np.int64) * percent)
-        prev = np.where(near, prev, c)
-        tile = np.repeat(tk.mix(sig + count.astype(np.uint64)), count).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (tile, c, s, leader, prev)], ["tile", "cls", "size", "leader", "prev"])
+    """Tiles of two classes or more: (tile, cls, size, leader, prev, band, own, below, above, total).
+
+    A tile is known by a hash of its members. own, below, above: how many members its band, the next smaller and the next
+    larger one hold; total: all members.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        held: list[list[np.ndarray]] = []
+        done: set[int] = set()
+
+        def out(pieces):
+            for rows in _members(*(np.concatenate(x) for x in zip(*pieces, strict=True)), percent):
+                n = len(rows["kind"])
+                if n and rows["kind"][0] == MEMBER:  # a tile met before in this task is left out
+                    fresh = np.ones(n, bool)
+                    edge = np.flatnonzero(np.concatenate([[True], (rows["h"][1:] != rows["h"][:-1]) | (rows["chunk"][1:] != rows["chunk"][:-1])]))
+                    for a, b in zip(edge, np.append(edge[1:], n), strict=True):
+                        if rows["chunk"][a] < 0:
+                            t = int(rows["tile"][a])
+                            if t in done:
+                                fresh[a:b] = False
+                            elif len(done) < 1 << 20:
+                                done.add(t)
+                    rows = {k: v[fresh] for k, v in rows.items()}
+                    n = len(rows["kind"])
+                for at in range(0, n, 1 << 16):
+                    cols = {k: v[at : at + (1 << 16)] for k, v in rows.items()}
+                    size = len(cols["kind"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[k].astype(np.int32 if t == "int" else np.int64)) if k in cols else pa.nulls(size, _ARROW[t]) for k, t in _ROW], [k for k, _ in _ROW])
+
         for batch in batches:
-            cols = [np.concatenate([r, batch.column(k).to_numpy(zero_copy_only=False)]) for k, r in enumerate(rest)]
-            if not len(cols[0]):
+            if not batch.num_rows:
                 continue
-            edge = int(np.searchsorted(cols[0], cols[0][-1], "left"))  # the last group may go on
-            rest = [x[edge:] for x in cols]
-            if edge and (out := emit(*[x[:edge] for x in cols])) is not None:
-                yield out
-        if len(rest[0]) and (out := emit(*rest)) is not None:
-            yield out
-
-    dealt = postings.repartition("h").sortWithinPartitions("h", "size", "cls")
-    found = dealt.mapInArrow(run, "tile long, cls long, size int, leader long, prev long")
-    return found.groupBy("tile", "cls").agg(F.min("size").alias("size"), F.min("leader").alias("leader"), F.min("prev").alias("prev"))
-
-
-def _commonest(counts: DataFrame) -> np.ndarray:
-    """Keys of the highest counts, HEAVY_MOST at most: by a histogram of counts, so that nothing is sorted in one task."""
-    step = F.floor(F.log2("c") * 8)
-    sizes = {r[0]: r[1] for r in counts.groupBy(step.alias("s")).count().collect()}
-    kept, least = 0, None
-    for s in sorted(sizes, reverse=True):
-        if kept + sizes[s] > HEAVY_MOST:
-            break
-        kept, least = kept + sizes[s], s
-    return counts.where(step >= least).select("key").toArrow()["key"].to_numpy() if least is not None else np.zeros(0, np.int64)
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            h, chunk = cols[0], cols[3]
+            inside = np.flatnonzero((h != h[-1]) | (chunk != chunk[-1]))
+            edge = int(inside[-1]) + 1 if len(inside) else 0  # the last group may go on
+            if held and (edge or held[-1][0][-1] != h[0] or held[-1][3][-1] != chunk[0]):
+                same = int(np.searchsorted(((h != held[-1][0][-1]) | (chunk != held[-1][3][-1])), True)) if held[-1][0][-1] == h[0] and held[-1][3][-1] == chunk[0] else 0
+                yield from out(held + ([[x[:same] for x in cols]] if same else []))
+                cols, held, edge = [x[same:] for x in cols], [], edge - same
+            if edge > 0:
+                yield from out([[x[:edge] for x in cols]])
+                cols = [x[edge:] for x in cols]
+            if len(cols[0]):
+                held.append(cols)
+        if held:
+            yield from out(held)
+
+    dealt = postings.repartition("h", "chunk").sortWithinPartitions("h", "chunk", "size", "cls")
+    raw = cut(dealt.mapInArrow(run, ", ".join(f"{k} {t}" for k, t in _ROW)), "tile-members")
+    names = ["tile", "cls", "size", "leader", "prev", "band", "own", "below", "above", "total"]
+    sums = raw.where(F.col("kind") == SUM).groupBy("h").agg(F.bit_xor("tile").alias("signs"), F.sum("total").alias("total"), F.max("chunk").alias("last"))
+    counts = raw.where(F.col("kind") == BAND).groupBy("h", "band").agg(F.sum("own").alias("own"))
+    near = lambda step, name: counts.select("h", (F.col("band") + step).alias("band"), F.col("own").alias(name))
+    whole = (
+        counts.join(near(1, "below"), ["h", "band"], "left").join(near(-1, "above"), ["h", "band"], "left").na.fill(0, ["below", "above"]).join(sums.where("total > 1"), "h")
+        .withColumn("tile", F.xxhash64("signs", "total")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("signs", "last")
+    )
+    member = raw.where(F.col("kind") == MEMBER)
+    hot = member.where("chunk >= 0").select("h", "chunk", "band", "cls", "size", "leader", "prev").join(whole, ["h", "band", "chunk"])
+    found = member.where("chunk < 0").select(*names).unionByName(hot.select(*names))
+    tiles = cut(found.groupBy("tile", "cls").agg(*[F.min(c).alias(c) for c in names[2:]]), "tiles")
+    release(raw)
+    return tiles
 
 
 def _ordered(frame: DataFrame, a: str, b: str) -> DataFrame:
@@ -214,11 +310,12 @@ def _bitmap_pass(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            wide = np.stack([pc.binary_length(batch.column(k)).to_numpy(zero_copy_only=False) // 8 for k in (4, 5)], axis=1)
             xor = np.zeros(len(na), np.int64)
-            for i, (p, q) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-                x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                w = min(len(x), len(y))
-                xor[i] = np.bitwise_count(fold(x, w) ^ fold(y, w)).sum()
+            for p, q in np.unique(wide, axis=0):  # bitmaps of one width each, folded together
+                i = np.flatnonzero((wide == (p, q)).all(axis=1))
+                x, y = (np.frombuffer(b"".join(batch.column(k).take(pa.array(i)).to_pylist()), np.uint64).reshape(len(i), -1) for k in (4, 5))
+                xor[i] = np.bitwise_count(fold(x, min(p, q)) ^ fold(y, min(p, q))).sum(axis=1)
             keep = pa.array(similar(na, nb, most_overlap(na, nb, xor), percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
 
@@ -227,21 +324,35 @@ def _bitmap_pass(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFram
 
 def _block_pairs(tiles: DataFrame, roots: DataFrame, classes: DataFrame, percent: int, best: int | None) -> DataFrame:
     """Pairs of different components that the bounds allow, from tiles split into blocks; the ``best`` of any two components in a block, or all."""
-    apart = tiles.select("tile", "cls").join(roots, F.col("cls") == F.col("node"), "left").select("tile", "cls", F.coalesce("root", "cls").alias("root"))
-    mixed = apart.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("tile")
-    apart = apart.join(mixed, "tile", "left_semi").join(classes.select("cls", "size", "bits"), "cls")
-    counts = apart.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = apart.join(counts, "tile").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    dealt = dealt.withColumn("pair", F.explode(each)).select("tile", "pair.i", "pair.j", "block", "cls", "size", "root", "bits")
+    part = F.pmod(F.xxhash64("cls"), F.ceil(F.col("total") / F.lit(PART))).cast("int")
+    apart = tiles.join(roots, F.col("cls") == F.col("node"), "left").select("tile", part.alias("part"), "cls", "band", "own", "below", "above", "total", F.coalesce("root", "cls").alias("root"))
+    mixed = (
+        apart.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("total").alias("total")).where("lo < hi")
+        .select("tile", F.explode(F.sequence(F.lit(0), F.ceil(F.col("total") / F.lit(PART)).cast("int") - 1)).alias("part"))
+    )
+    apart = apart.join(mixed, ["tile", "part"], "left_semi").join(classes.select("cls", "size", "bits"), "cls")
+    of = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
+    block = F.pmod(F.xxhash64("cls", F.lit(7)), of("own")).cast("int")
+
+    def meets(n: str, lo, i, j):
+        """The groups in which a member meets the blocks of a band that holds ``n`` members."""
+        at = F.when(F.col(n) > 0, F.sequence(F.lit(0), of(n) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda k: F.struct(lo.cast("int").alias("lo"), F.lit(int(n != "own")).alias("cross"), i(k).alias("i"), j(k).alias("j")))
+
+    each = F.concat(
+        meets("own", F.col("band"), lambda k: F.least(block, k), lambda k: F.greatest(block, k)),
+        meets("above", F.col("band"), lambda k: block, lambda k: k),
+        meets("below", F.col("band") - 1, lambda k: k, lambda k: block),
+    )
+    dealt = apart.withColumn("pair", F.explode(each)).select("tile", "pair.lo", "pair.cross", "pair.i", "pair.j", block.alias("block"), "band", "cls", "size", "root", "bits")
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        size, root, cls, block = (table.column(c).to_numpy() for c in ("size", "root", "cls", "block"))
+        size, root, cls, block, band = (table.column(c).to_numpy() for c in ("size", "root", "cls", "block", "band"))
         order = np.lexsort((cls, size))
         bits = table.column("bits").to_pylist()
         words = [np.frombuffer(bits[k], np.uint64) for k in order]
-        size, root, cls, block = size[order].astype(np.int64), root[order], cls[order], block[order]
-        i, j = key[1].as_py(), key[2].as_py()
+        size, root, cls, side = size[order].astype(np.int64), root[order], cls[order], (band if key[2].as_py() else block)[order]
+        whole = not key[2].as_py() and key[3].as_py() == key[4].as_py()  # one block with itself
         a, b, lead = [], [], []
         for width in sorted({len(w) for w in words}):  # partners of each bitmap width, the smaller of the two
             wide = np.array([k for k, w in enumerate(words) if len(w) >= width])
@@ -249,7 +360,7 @@ def _block_pairs(tiles: DataFrame, roots: DataFrame, classes: DataFrame, percent
             own = [p for p, k in enumerate(wide) if len(words[k]) == width]
             for p in own:
                 k = wide[p]
-                near = np.flatnonzero((size[wide] * percent <= size[k] * 100) & (size[k] * percent <= size[wide] * 100) & (root[wide] != root[k]) & ((i == j) | (block[wide] != block[k])))
+                near = np.flatnonzero((size[wide] * percent <= size[k] * 100) & (size[k] * percent <= size[wide] * 100) & (root[wide] != root[k]) & (whole | (side[wide] != side[k])))
                 near = near[(wide[near] > k) | np.array([len(words[x]) > width for x in wide[near]], bool)]
                 if len(near):
                     xor = np.bitwise_count(folded[near] ^ folded[p]).sum(axis=1, dtype=np.int64)
@@ -270,7 +381,7 @@ def _block_pairs(tiles: DataFrame, roots: DataFrame, classes: DataFrame, percent
         a, b = cls[a], cls[b]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return dealt.groupBy("tile", "i", "j").applyInArrow(run, "a long, b long")
+    return dealt.groupBy("tile", "lo", "cross", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _bloom(keys: DataFrame) -> np.ndarray:
@@ -338,7 +449,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, perce
 
     sets = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(arrays, "cls long, arr binary").join(needed, "cls", "left_semi").groupBy("cls").agg(F.first("arr").alias("arr"))
     sets = cut(sets, "shingle-arrays")
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(SALT)).cast("int").alias("blocks"))
     members = (
         pairs.join(blocks, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
         .join(sets.select(F.col("cls").alias("b"), "arr"), "b").select("a", "salt", F.lit(1).alias("kind"), "b", "arr")
@@ -378,10 +489,9 @@ def jaccard_components(docs: DataFrame, percent: int = 80, n: int = 5, id_col: s
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     described = cut(_describe(docs, n), "shingle-sets")
     rows = described.where("kind = 0")
-    heavy = _commonest(described.where("kind = 1").groupBy("key").agg(F.sum("size").alias("c")).where(F.col("c") >= HEAVY_LEAST))
-    sent = spark.sparkContext.broadcast(np.sort(heavy.view(np.uint64)))
+    sent = spark.sparkContext.broadcast(_heavy(described.where("kind = 1").groupBy("key").agg(F.sum("size").alias("c")).where(F.col("c") >= HEAVY_LEAST)))
     classes = cut(rows.where("cls is not null").groupBy("cls").agg(F.min("key").alias("low"), F.first("size").alias("size"), F.first("bits").alias("bits")), "classes")
-    tiles = cut(_tiles(_postings(docs, sent, n, percent), percent), "tiles")
+    tiles = _tiles(_postings(docs, sent, n, percent), percent)
     stars = _ordered(tiles, "leader", "cls").union(_ordered(tiles, "prev", "cls")).distinct()
     pairs = cut(_bitmap_pass(stars, classes, percent), "pairs")
     links, tried, further = [_verify(pairs, docs, classes, n, percent)], stars, []
@@ -413,13 +523,14 @@ def keep_representatives(docs: DataFrame, percent: int = 80, n: int = 5, id_col:
 
     Ids name documents: rows that share an id are kept or dropped together. Rows with a null id are kept.
     """
+    gone_id, again_id = (next(f"{x}{k or ''}" for k in range(len(docs.columns) + 1) if f"{x}{k or ''}" not in docs.columns) for x in ("gone", "again"))
     found = jaccard_components(docs, percent, n, id_col, text_col)
-    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
-    kept = docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
-    again = docs.groupBy(F.col(id_col).alias("__again")).count().where("count > 1 and __again is not null").select("__again")
+    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct(), "near-copies")
+    kept = docs.join(gone, docs[id_col].cast("long") == gone[gone_id], "left_anti")
+    again = docs.groupBy(F.col(id_col).alias(again_id)).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1).where(F.col(again_id).isNotNull()).select(again_id)
     if again.isEmpty():
         return kept
     again = cut(again, "repeated-ids")
-    once = kept.join(again, kept[id_col] == F.col("__again"), "left_anti")
-    rest = kept.join(again, kept[id_col] == F.col("__again"), "left_semi").withColumn("__text", F.xxhash64(text_col))
-    return once.unionByName(rest.dropDuplicates([id_col, "__text"]).drop("__text"))
+    once = kept.join(again, kept[id_col] == again[again_id], "left_anti")
+    rest = kept.join(again, kept[id_col] == again[again_id], "left_semi")
+    return once.unionByName(rest.dropDuplicates([id_col, text_col]))

@@ -512,7 +512,8 @@ def brute_components(rows):
 
 
 def test_jaccard_equals_brute_force(docs_frame, odd_texts, sentences, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    for name, small in (("BLOCK", 16), ("HOT", 40), ("CHUNK", 16), ("PART", 8), ("SALT", 8), ("HEAVY_LEAST", 8)):
+        monkeypatch.setattr(jaccard, name, small)
     rng = random.Random(9)
     passage = sentences(4242, 60)
     rows = list(odd_texts)
