@@ -15,7 +15,7 @@ def test_empty_tables(spark, docs_frame):
     assert pii.digest(pii.find_spans(docs, model)).count() == 0 and pii.redact(docs, model).count() == 0
     clean = toxicity.fit(docs, labels)
     assert clean is None and toxicity.score_documents(docs, clean).count() == 0
-    assert decontaminate.clean_documents(docs, decontaminate.build([(1, "some item of words here")])).count() == 0
+    assert decontaminate.clean_documents(docs, decontaminate.index(spark.createDataFrame([(1, "some item of words here")], "item_id long, text string"))).count() == 0
     assert chat.digest_formatted(chat.format_records(chat.records_of(spark.createDataFrame([], "conv_id long, turn int, role string, text string")))).count() == 0
 
 
@@ -26,4 +26,4 @@ def test_models_without_signal_leave_documents_alone(spark, docs_frame):
     assert toxicity.keep_clean(docs, toxicity.fit(docs, labels)).count() == 3
     got = {r["doc_id"]: r["text"] for r in pii.redact(docs, pii.fit(docs)).collect()}
     assert got == {1: None, 2: "plain words", 3: "[EMAIL]"}
-    assert decontaminate.clean_documents(docs, []).count() == 3
+    assert decontaminate.clean_documents(docs, decontaminate.index(spark.createDataFrame([], "item_id long, text string"))).count() == 3

@@ -448,7 +448,7 @@ def test_toxicity_learns_and_leaves_clean_texts(docs_frame, odd_texts, spark, se
 # 8 decontamination
 
 
-def test_decontamination_equals_brute_force(docs_frame, odd_texts, spark, sentences):
+def test_decontamination_equals_brute_force(docs_frame, odd_texts, spark, sentences, monkeypatch):
     rng = random.Random(8)
     items = [(i, sentences(1000 + i, 8 + i % 60) + ". " + sentences(2000 + i, 6)) for i in range(80)] + [(90, None), (91, "  "), (92, "three word item"), (93, sentences(5000, 400))]
     rows = list(odd_texts)
@@ -473,10 +473,20 @@ def test_decontamination_equals_brute_force(docs_frame, odd_texts, spark, senten
                 continue
             own = {tuple(iw[k : k + 5]) for k in range(len(iw) - 4)} or {tuple(iw)}
             here = sum(g in grams for g in own) if len(iw) >= 5 else int(any(tuple(w[k : k + len(iw)]) == tuple(iw) for k in range(len(w))))
-            answer = set(iw[len(iw) - decontaminate._answer(len(iw), it) :])
-            if here >= 0.8 * len(own) and len(answer & seen) >= 0.5 * len(answer):
+            sentence = re.split(r"[.!?\n]", it.rstrip().rstrip(".!?"))
+            last = len(letters(sentence[-1])) if len(sentence) > 1 else 0
+            last = last if 0 < last < len(iw) else max(1, len(iw) // 4)
+            asked, answer = iw[: len(iw) - last], set(iw[len(iw) - last :])
+            question = {tuple(asked[k : k + 5]) for k in range(len(asked) - 4)}
+            if here >= 0.8 * len(own) and sum(g in grams for g in question) >= 0.5 * len(question) and (last < 5 or len(answer & seen) >= 0.5 * len(answer)):
                 want.add((d, i))
     assert got == want and len(want) > 40
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 600)
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", 1 << 14)
+    many = decontaminate.index(bench)
+    assert len(many.passes) > 1
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs_frame(rows), many).collect()} == want
+    assert {r["doc_id"] for r in decontaminate.clean_documents(docs_frame(rows), many).collect()} == {d for d, _ in rows} - {d for d, _ in want}
     clean = decontaminate.clean_documents(docs_frame(rows), shards)
     assert {r["doc_id"] for r in clean.collect()} == {d for d, _ in rows} - {d for d, _ in want}
     assert decontaminate.find_leaks(docs_frame(rows), decontaminate.index(bench.where("false"))).count() == 0
@@ -484,11 +494,11 @@ def test_decontamination_equals_brute_force(docs_frame, odd_texts, spark, senten
 
 def test_decontamination_of_near_copies_without_a_short_answer(docs_frame, spark, sentences):
     short, long = sentences(31, 40), sentences(32, 60)
-    items = [(1, short + ". seven dwarfs"), (2, long + ". one whole sentence for an answer")]
-    rows = [(1, "a " + short + " b"), (2, "a " + long + " b"), (3, "a " + items[1][1] + " b"), (4, "seven dwarfs " + " ".join(short.split()[:20]))]
+    items = [(1, short + ". seven dwarfs"), (2, long + ". one whole sentence for an answer"), (None, sentences(33, 30))]
+    rows = [(1, "a " + short + " b"), (2, "a " + long + " b"), (3, "a " + items[1][1] + " b"), (4, "seven dwarfs " + " ".join(short.split()[:20])), (5, items[2][1])]
     shards = decontaminate.index(spark.createDataFrame(items, "item_id long, text string"))
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs_frame(rows), shards).collect()}
-    assert got == {(1, 1), (3, 2)}
+    assert got == {(1, 1), (3, 2), (5, None)}
 
 
 # 9 n-gram Jaccard
