@@ -75,23 +75,33 @@ def pep508_spec(c: Column) -> Column:
     return F.struct(name.alias("name"), rest.alias("request"))
 
 
+# Beginnings of specifications that name a git repository, and those that name a local folder.
+GIT_PREFIXES = ["github:", "gitlab:", "bitbucket:", "sourcehut:", "git+https://", "git+ssh://", "git+http://", "git://"]
+LOCAL_PREFIXES = ["file:", "./", "../"]
+
+
 def dep_source(spec: Column) -> Column:
-    """vcs, local or registry, by a dependency's specification."""
-    vcs = spec.rlike(r"\A(?:git\+|git://|git@|github:|gitlab:|bitbucket:|ssh://)|\.git(?:#.*)?\z") | spec.rlike(r"\A[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+#[0-9a-f]{40}\z")
-    return F.when(vcs, "vcs").when(spec.rlike(r"\A(?:file:|link:|\./|\.\./|/)"), "local").otherwise("registry")
+    """vcs, local or registry, by a dependency's specification; a reference of 40 hex digits after ``#`` is a commit."""
+    spec = F.trim(spec)
+    begins = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.startswith(spec, w))
+    commit = spec.rlike(r"\A[^#]*#[0-9a-fA-F]{40}\z")
+    return F.when(begins(GIT_PREFIXES) | commit, "vcs").when(begins(LOCAL_PREFIXES), "local").otherwise("registry")
 
 
 # Import names that differ from the names of their distributions.
 PYPI_IMPORTS = {
-    "beautifulsoup4": "bs4", "pillow": "pil", "pyyaml": "yaml", "scikit-learn": "sklearn", "opencv-python": "cv2",
-    "python-dateutil": "dateutil", "pyjwt": "jwt", "msgpack-python": "msgpack", "protobuf": "google", "attrs": "attr",
+    "pyyaml": "yaml", "beautifulsoup4": "bs4", "pillow": "PIL", "python-dateutil": "dateutil", "python-dotenv": "dotenv",
+    "scikit-learn": "sklearn", "scikit-image": "skimage", "opencv-python": "cv2", "opencv-python-headless": "cv2",
+    "msgpack-python": "msgpack", "attrs": "attr", "pymysql": "pymysql", "protobuf": "google", "google-cloud-storage": "google",
+    "typing-extensions": "typing_extensions",
 }
 
 
 def pypi_import_candidates(name: Column) -> Column:
+    """Names under which a distribution may be imported: its own, a known one, lower-cased, with underscores."""
     low = F.lower(name)
     known = F.try_element_at(F.create_map(*[F.lit(x) for kv in PYPI_IMPORTS.items() for x in kv]), low)
-    return F.array_distinct(F.array_compact(F.array(known, low, F.regexp_replace(low, r"[-.]", "_"))))
+    return F.array_distinct(F.filter(F.array(name, known, low, F.regexp_replace(low, r"[-.]", "_")), lambda x: x != ""))
 
 
 def dep_key(language: Column, module: Column) -> Column:

@@ -55,36 +55,48 @@ SECRETS = [
     ("sendgrid-key", r"\bSG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}"), ("twilio-key", r"\bSK[0-9a-f]{32}\b"),
     ("assigned-token", r"""(?i)\b(?:token|secret|api_key)\s*=\s*["'][0-9a-f]{40}["']"""),
 ]
-# Rules over the lines of build files: rule, severity (0 info to 3 critical), pattern.
+# Rules over the lines of build files: rule, severity (1 medium to 3 critical), pattern.
 BUILD_RULES = [
     ("download-exec", 3, r"(?i)(curl|wget|fetch)\b[^|;&]*(\||;|&&)\s*(sh|bash|zsh|python|perl|node|eval)\b"),
-    ("eval-obfuscation", 3, r"(?i)base64\s+(-d|--decode)[^|]*\|\s*(sh|bash|zsh|python|perl|node)\b"),
-    ("hex-obfuscation", 2, r"(\\x[0-9a-fA-F]{2}){4,}"),
-    ("foreign-toolchain", 2, r"(?i)\b(npm|npx|pnpm|yarn|pip|pip3)\s+(install|i|add|run|exec|ci)\b"),
-    ("credential-access", 3, r"(?i)(\.ssh/|id_rsa|id_ed25519|\.aws/credentials|\.config/google-chrome|\.mozilla/firefox|wallet\.dat|\.electrum|keychain|/etc/shadow)"),
+    ("download-exec", 3, r"(?i)(^|[\s;&|])(sh|bash|zsh|source|eval|\.)\s+<\([^)]*(curl|wget|fetch)\b"),
+    ("download-exec", 3, r"(?i)base64\s+(-d|--decode)[^|]*\|\s*(sh|bash|zsh|python|perl|node)\b"),
     ("privilege-escalation-in-build", 3, r"(?:^|[;&|]|\$\(|\bthen\b|\bdo\b)\s*(sudo|doas|pkexec|su)\s+[^\s]"),
+    ("eval-obfuscation", 2, r"""(?i)\beval\s+["'$]"""),
+    ("hex-obfuscation", 2, r"(\\x[0-9a-fA-F]{2}){4,}"),
+    ("foreign-toolchain", 1, r"(?i)\b(npm|npx|pnpm|yarn|pip|pip3)\s+(install|i|add|run|exec|ci)\b"),
+    ("credential-access", 2, r"(?i)(\.ssh/|id_rsa|id_ed25519|\.aws/credentials|\.config/google-chrome|\.mozilla/firefox|wallet\.dat|\.electrum|keychain|/etc/shadow)"),
 ]
+SPLIT_PACKAGE = r"""(?i)^\s*eval\s+["']?(package|prepare|build|check)_"""
+# Packages and build dependencies of known malware.
+DENIED_PACKAGES = ["librewolf-fix-bin", "firefox-patch-bin", "zen-browser-patched-bin"]
+DENIED_DEPENDENCIES = ["atomic-lockfile", "js-digest"]
+# Fields of build files that describe and do not run, and where sources begin.
+METADATA_FIELDS = ["depends", "optdepends", "makedepends", "checkdepends", "provides", "conflicts", "replaces", "pkgdesc", "license", "groups", "backup", "options"]
+SOURCE_LINE = r"(?i)^\s*(?:source|_patches?|_src)\s*(?:\+?=|=)\s*\("
+# Parts of the names of code hosts.
+CODE_HOSTS = ["github", "gitlab", "bitbucket", "codeberg", "sr.ht"]
 # Rules over the lines of scripts that run as root at install time.
 INSTALL_RULES = [
-    ("root-network", 3, r"(?i)\b(curl|wget|ncat|ftp|scp|rsync)\s|\bnc\s+-|\bpython3?\s+-c\s.{0,40}urllib|\bgit\s+clone\b"),
-    ("root-sudoers", 3, r"(?i)/etc/sudoers|\bvisudo\b"), ("root-ld-preload", 3, r"(?i)/etc/ld\.so\.preload"),
-    ("root-authorized-keys", 3, r"(?i)authorized_keys"), ("root-setuid", 2, r"(?i)\bchmod\s+(u?\+s\b|[24][0-7]{3}\b)"),
-    ("root-persistence", 2, r"(?i)/etc/profile\.d/|\.bashrc|\.zshrc|\.bash_profile|\bcrontab\b|/etc/cron\.|/etc/systemd/system/"),
-    ("root-privileged-group", 2, r"(?i)\b(usermod|gpasswd)\b.*\b(wheel|sudo|root|adm|docker)\b"),
-    ("root-enables-unit", 1, r"(?i)\bsystemctl\b.*\benable\b"),
+    ("install-hook-network", 3, r"(?i)\b(curl|wget|ncat|ftp|scp|rsync)\s|\bnc\s+-|\bpython3?\s+-c\s.{0,40}urllib|\bgit\s+clone\b"),
+    ("install-hook-sudoers", 3, r"(?i)/etc/sudoers|\bvisudo\b"), ("install-hook-ld-preload", 3, r"(?i)/etc/ld\.so\.preload"),
+    ("install-hook-authorized-keys", 3, r"(?i)authorized_keys"), ("install-hook-setuid", 2, r"(?i)\bchmod\s+(u?\+s\b|[24][0-7]{3}\b)"),
+    ("install-hook-persistence", 2, r"(?i)/etc/profile\.d/|\.bashrc|\.zshrc|\.bash_profile|\bcrontab\b|/etc/cron\.|/etc/systemd/system/"),
+    ("install-hook-privileged-group", 2, r"(?i)\b(usermod|gpasswd)\b.*\b(wheel|sudo|root|adm|docker)\b"),
+    ("install-hook-drops-executable", 2, r"(?i)\binstall\s+[^\n]*-[A-Za-z]*m[A-Za-z]*\s*[0-7]?[0-7][0-7][157]\b|\bchmod\s+\+x\b"),
+    ("install-hook-enables-unit", 1, r"(?i)\bsystemctl\b.*\benable\b"),
 ]
 # Hosts that sources should not come from; the dotted are domains, the others parts of a label.
 UNTRUSTED_HOSTS = ["pastebin.com", "paste.ee", "ghostbin", "gist.github.com", "bit.ly", "tinyurl.com", "is.gd", "t.co", "transfer.sh", "anonfiles", "filebin", "0x0.st", "termbin.com"]
-# Rules over workflow files.
-WORKFLOW_RULES = [
-    ("permissions-write-all", 1, r"(?i)^\s*permissions:\s*write-all\s*$"),
-    ("script-injection", 2, r"\$\{\{\s*github\.event\.(pull_request\.(title|body|head\.ref|head\.label)|issue\.(title|body)|comment\.body|review\.body|head_commit\.message|discussion\.(title|body))"),
-    ("run-pipe-to-shell", 2, r"(?i)(curl|wget)\s+[^\n|]*\|\s*(sh|bash|zsh|ksh)\b"),
-    ("run-base64", 1, r"(?i)\b(base64\s+(-d|--decode)|echo\s+[A-Za-z0-9+/=]{40,}\s*\|\s*base64)"),
-    ("run-eval", 1, r"(?i)\beval\s*\(\s*(atob\s*\(|Buffer\.from\s*\()"),
-    ("run-raw-ip", 1, r"https?://\d+\.\d+\.\d+\.\d+(:\d+)?(/|$|\s)"),
-    ("run-relay-host", 1, r"(?i)\b(pastebin\.com|hastebin\.com|requestbin\.|webhook\.site|ngrok\.io|burpcollaborator\.net|oast\.\w+)\b"),
+# Rules over the run bodies of workflow files: rule, severity (1 medium to 3 critical), pattern.
+WORKFLOW_RUN_RULES = [
+    ("script-injection", 3, r"\$\{\{\s*github\.event\.(pull_request\.(title|body|head\.ref|head\.label)|issue\.(title|body)|comment\.body|review\.body|head_commit\.message|discussion\.(title|body))"),
+    ("run-curl-pipe-sh", 2, r"(?i)(curl|wget)\s+[^\n|]*\|\s*(sh|bash|zsh|ksh)\b"),
+    ("run-base64-decode", 2, r"(?i)\b(base64\s+(-d|--decode)|echo\s+[A-Za-z0-9+/=]{40,}\s*\|\s*base64)"),
+    ("run-decode-eval", 2, r"(?i)\beval\s*\(\s*(atob\s*\(|Buffer\.from\s*\()"),
+    ("run-bare-ip", 2, r"https?://\d+\.\d+\.\d+\.\d+(:\d+)?(/|$|\s)"),
+    ("run-exfil-host", 2, r"(?i)\b(pastebin\.com|hastebin\.com|requestbin\.|webhook\.site|ngrok\.io|burpcollaborator\.net|oast\.\w+)\b"),
 ]
+WRITE_ALL = r"(?i)^\s*permissions:\s*write-all\s*$"
 USES = r"""^\s*-?\s*uses:\s*['"]?([^'"\s#]+)"""
 
 
@@ -104,11 +116,15 @@ def any_of(text: Column, patterns: list[str]) -> Column:
 SPLIT_LITERAL = r"""["']\s*\+\s*["']"""
 
 
-def join_literals(text: Column, passes: int = 3) -> Column:
-    """Neighbouring string literals joined, so that ``"cur" + "l"`` reads as one."""
-    for _ in range(passes):
-        text = F.regexp_replace(text, SPLIT_LITERAL, "")
-    return text
+MOST_JOINS = 50
+
+
+def join_literals(text: Column) -> Column:
+    """Neighbouring string literals joined until none is left (or MOST_JOINS times), so that ``"cur" + "l"`` reads as one."""
+    once = lambda t: F.regexp_replace(t, SPLIT_LITERAL, "")
+    first = once(text)
+    again = F.aggregate(F.sequence(F.lit(2), F.lit(MOST_JOINS)), first, lambda t, _: once(t))
+    return F.when(first.rlike(SPLIT_LITERAL), again).otherwise(first)
 
 
 def lines(text: Column) -> Column:

@@ -79,16 +79,30 @@ def binary_droppers(files: DataFrame) -> DataFrame:
     return files.where(R.extension(F.col("path")).isin(*BINARIES) & ~((F.col("ecosystem") == "pypi") & F.col("path").rlike(PYPI_USUAL)))
 
 
-def unlisted_large(files: DataFrame, listed: DataFrame, least: int = 512000) -> DataFrame:
-    """Large script files of packages that list their files, but not these."""
-    big = files.where((F.col("length") >= least) & (R.language(F.col("path")) == "js") & ~F.col("path").rlike(r"(?i)\A(?:package/)?(?:dist|build|lib|out|umd|esm|cjs)/"))
-    return _unlisted(big, listed)
+# Folders of build output, and files that any package may have.
+BUILD_DIRS = ["dist/", "lib/", "build/", "out/", "cjs/", "mjs/", "esm/", "umd/", "types/", "typings/", "dts/"]
+METADATA_FILES = ["package.json", "readme.md", "readme", "license", "license.md", "license.txt", "changelog.md", "changelog", "notice", "authors", "contributors.md"]
+
+
+def in_folder(low_path: Column, folders: list[str]) -> Column:
+    return F.exists(F.array(*map(F.lit, folders)), lambda d: F.startswith(low_path, d))
 
 
-def _unlisted(big: DataFrame, listed: DataFrame) -> DataFrame:
-    lists = listed.select(*KEY).distinct()
-    paths = listed.select(*KEY, F.lower("path").alias("low_path")).distinct()
-    return big.withColumn("low_path", F.lower("path")).join(lists, KEY, "left_semi").join(paths, [*KEY, "low_path"], "left_anti").drop("low_path")
+def unlisted_large(files: DataFrame, listed: DataFrame, least: int = 512000) -> DataFrame:
+    """Large script files (ecosystem, name, path, length) outside build folders that the package's ``files`` field does not list.
+
+    ``listed`` (ecosystem, name, path): an entry stands for a path or base name, and without a dot or with a final slash
+    for a folder. A package's entries are its manifest's, a bounded list, and joined as one array.
+    """
+    entry = F.trim(F.regexp_replace(F.regexp_replace(F.trim("path"), r"\A/+", ""), r"\A(?:\./)+", ""))
+    entries = listed.select(*KEY, F.lower(entry).alias("entry")).where("entry <> ''").groupBy(*KEY).agg(F.collect_set("entry").alias("entries"))
+    big = files.where((F.col("length") >= least) & (R.language(F.col("path")) == "js"))
+    low = F.regexp_replace(F.lower("path"), r"\A(?:\./)+", "")
+    names = F.coalesce("entries", F.array().cast("array<string>"))
+    base = F.element_at(F.split(low, "/"), -1)
+    known = F.array_contains(names, low) | F.array_contains(names, base) | low.isin(*METADATA_FILES) | base.isin(*METADATA_FILES) | in_folder(low, BUILD_DIRS)
+    folder = F.exists(names, lambda e: (~F.contains(e, F.lit(".")) | e.endswith("/")) & F.startswith(low, F.concat(F.regexp_replace(e, r"/+\z", ""), F.lit("/"))))
+    return big.join(entries, KEY, "left").where(~known & ~folder).drop("entries")
 
 
 def dependency_sources(manifest: DataFrame) -> DataFrame:
@@ -122,22 +136,29 @@ def source_findings(files: DataFrame) -> DataFrame:
 
 
 # What makes an inline script of node dangerous at any length.
-INLINE_DANGER = ["require(", "child_process", "http", "eval(", "exec(", "spawn(", "fetch(", "atob(", "Buffer.from"]
+INLINE_DANGER = [
+    "require(", "import(", "child_process", "execSync", "spawn", "exec(", "fetch(", "http.", "https.", "net.",
+    "fs.write", "writeFileSync", "createWriteStream", "atob(", "Buffer.from", "base64", "eval(", "Function(",
+]
 INLINE_LONG = 120
 _NODE = r"""\b(?:node)\s+(?:-e|--eval)\s+(.+)$"""
 _BENIGN = r"""^[\s'"]*(?:if\s*\(?\s*)?process\.(?:env\.\w+|exit\s*\(\s*\d+\s*\)|argv|platform|version)"""
 
 
+def inline_danger(script: Column) -> Column:
+    """Whether an inline script of node is long, or holds a sign of danger and is no short look at the process."""
+    bare = F.regexp_replace(F.regexp_replace(script, r"\A\s+|\s+\z", ""), r"[&|;]+\z", "")
+    bare = F.regexp_replace(bare, r"\A\s+|\s+\z", "")
+    bare = F.regexp_replace(bare, r"""(?s)\A(["'])(.*)\1\z""", "$2")
+    signs = F.exists(F.array(*map(F.lit, INLINE_DANGER)), lambda d: F.contains(bare, d))
+    return (bare != "") & ((F.octet_length(bare) > INLINE_LONG) | (~bare.rlike(_BENIGN) & signs))
+
+
 def suspicious_hook(body: Column) -> Column:
     """Whether an install hook downloads and runs, hides, or sends out identities; also with string literals joined."""
-    def one(c: Column) -> Column:
-        inline = F.regexp_extract(c, _NODE, 1)
-        danger = F.length(inline) > INLINE_LONG
-        for d in INLINE_DANGER:
-            danger = danger | F.contains(inline, F.lit(d))
-        return R.any_of(c, R.HOOKS) | ((inline != "") & danger & ~inline.rlike(_BENIGN))
-
-    return one(body) | one(R.join_literals(body))
+    body = F.regexp_replace(body, r"\A\s+|\s+\z", "")
+    one = lambda c: R.any_of(c, R.HOOKS) | inline_danger(F.regexp_extract(c, _NODE, 1))
+    return one(body) | (body.rlike(R.SPLIT_LITERAL) & one(R.join_literals(body)))
 
 
 def secrets(files: DataFrame, text_col: str = "text") -> DataFrame:
@@ -152,6 +173,12 @@ def hook_files(body: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: w.rlike(r"(?i)\.(?:js|mjs|cjs|ts|sh|py|rb|pl|ps1)\z") & ~w.startswith("-") & ~F.contains(w, F.lit("://"))))
 
 
+def hook_paths(body: Column) -> Column:
+    """Lower-cased words of a hook that look like local files: with an extension, and no flag or URL."""
+    words = F.transform(F.split(body, r"[ \t\n;|&()`]"), lambda w: F.regexp_replace(w, r"\A(?:\./)+", ""))
+    return F.array_distinct(F.transform(F.filter(words, lambda w: w.rlike(r"\.[^./]+\z") & ~w.startswith("-") & ~F.contains(w, F.lit("://"))), F.lower))
+
+
 def maintainer_capabilities(signals: DataFrame) -> DataFrame:
     """Signals with the capabilities they raise: hijack risk, changed maintainer, unpublished version."""
     caps = F.array_compact(F.array(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import dep_key, pypi_import_candidates
+from ..shared import drop_table, write_table
 
 
 def import_keys(imports: DataFrame) -> DataFrame:
@@ -48,20 +49,24 @@ def functions_reaching(sites: DataFrame, module: str, symbol: str) -> DataFrame:
     return hit.groupBy("file", "function").agg(F.min("line").alias("line"))
 
 
-def callers_closure(edges: DataFrame, start: DataFrame, write=None) -> DataFrame:
+def callers_closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(function, depth): functions from which a start function is reached along caller to callee edges.
 
     A frontier loop until no new function is found: only new functions go on, so cycles end, and chains of any length are
-    followed. ``write`` cuts lineage between rounds (a table or checkpoint).
+    followed. Each round writes its frontier alone, beside the earlier ones, in the shared folder; edges are written once.
     """
-    write = write or (lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint())
-    edges = edges.select("caller", "callee").distinct()
-    seen = write(start.select("function").distinct().withColumn("depth", F.lit(0)))
-    frontier = seen
+    spark = edges.sparkSession
+    edges, edges_path = write_table(edges.select("caller", "callee").distinct(), "edges")
+    frontier, _ = write_table(start.select("function").distinct().withColumn("depth", F.lit(0)), "frontier")
+    seen = frontier
     for depth in count(1):
         new = edges.join(frontier.select(F.col("function").alias("callee")), "callee", "left_semi").select(F.col("caller").alias("function")).distinct()
-        frontier = write(new.join(seen.select("function"), "function", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier, path = write_table(new.join(seen.select("function"), "function", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
+            drop_table(spark, path)
             break
-        seen = write(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
+        if depth % 32 == 0:  # a plan of few parts, whatever the depth
+            seen, _ = write_table(seen, "reached")
+    drop_table(spark, edges_path)
     return seen

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,15 +52,28 @@ def provenance_flags(packages: DataFrame, key: list[str] = PACKAGE) -> DataFrame
     return packages.where("ecosystem = 'npm' and provenance_status = 'missing'").select(*key, F.lit("provenance-missing").alias("code"), F.lit(PROVENANCE_WEIGHT).alias("weight"))
 
 
+MOST_BROADCAST, SALTS = 10000, 64
+
+
 def _rule_join(flags: DataFrame, rules: DataFrame) -> DataFrame:
-    """Flags with the rules that fit: an equi-join by ecosystem and name, one for exact names and one for ``*``; ranges are compiled once a rule."""
+    """Flags with the rules that fit: an equi-join by ecosystem and name, one for exact names and one for ``*``; ranges are compiled once a rule.
+
+    Rules for any name are broadcast if they are few, and dealt over salts of their ecosystem otherwise.
+    """
     compiled = rules.select(
         F.col("ecosystem").alias("r_eco"), F.col("name").alias("r_name"), F.col("capability").alias("r_cap"), "reason", "rule_ord", "version_range",
         V.compile_range(F.col("version_range")).alias("compiled"),
     )
     exact = flags.join(compiled, (F.col("ecosystem") == F.col("r_eco")) & (F.col("name") == F.col("r_name")))
-    wild = flags.join(compiled.where("r_name = '*'"), F.col("ecosystem") == F.col("r_eco"))
-    found = exact.unionByName(wild)
+    wild = compiled.where("r_name = '*'")
+    few = len(wild.select("rule_ord").limit(MOST_BROADCAST + 1).collect()) <= MOST_BROADCAST
+    if few:
+        any_name = flags.join(F.broadcast(wild), F.col("ecosystem") == F.col("r_eco"))
+    else:  # an ecosystem is a hot key: its flags are dealt over SALTS tasks, each with all of its rules
+        salted = wild.withColumn("r_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = flags.withColumn("f_salt", F.pmod(F.xxhash64(*PACKAGE), F.lit(SALTS)).cast("int"))
+        any_name = dealt.join(salted, (F.col("ecosystem") == F.col("r_eco")) & (F.col("f_salt") == F.col("r_salt"))).drop("f_salt", "r_salt")
+    found = exact.unionByName(any_name)
     version = F.when(F.col("version") != "", V.parse_version(F.col("version")))
     return found.where((F.col("version_range") == "") | V.matches(F.col("compiled"), version)).drop("compiled")
 
@@ -123,20 +138,40 @@ def fix_plan(deps: DataFrame, advisories: DataFrame) -> DataFrame:
     )
 
 
-# Upgrade commands.
+# Upgrade commands by ecosystem, to a version and to the newest one.
 UPGRADES = {
-    "npm": "npm install %s@%s", "pypi": "pip install %s==%s", "crates": "cargo update -p %s --precise %s", "go": "go get %s@v%s",
-    "rubygems": "bundle update %s --conservative # %s", "packagist": "composer require %s:%s", "nuget": "dotnet add package %s --version %s",
-    "hex": "mix deps.update %s # %s", "pub": "dart pub upgrade %s # %s", "maven": "mvn versions:use-dep-version -Dincludes=%s -DdepVersion=%s",
+    "npm": ("npm install {name}@{version}", "npm install {name}@latest"),
+    "pypi": ("pip install {name}=={version}", "pip install --upgrade {name}"),
+    "rubygems": ("bundle update --conservative {name}  # target: {version}", "bundle update {name}"),
+    "crates": ("cargo update -p {crate} --precise {version}", "cargo update -p {crate}"),
+    "go": ("go get {name}@{version}", "go get {name}@latest"),
+    "maven": ("mvn versions:set-property -Dproperty={artifact}.version -DnewVersion={version}", "mvn versions:use-latest-versions -Dincludes={group}:{artifact}"),
+    "packagist": ("composer require {name}:{version}", "composer update {name}"),
+    "nuget": ("dotnet add package {name} --version {version}", "dotnet add package {name}"),
+    "pub": ("dart pub upgrade {name}  # target: {version} (pin in pubspec.yaml)", "dart pub upgrade {name}"),
+    "cocoapods": ("pod update {name}  # target: {version} (pin in Podfile)", "pod update {name}"),
+    "cpan": ("cpanm {name}@{version}", "cpanm {name}"),
+    "hackage": ('cabal install --constraint="{name} =={version}"', "cabal install {name}"),
+    "cran": ("R -e 'remotes::install_version(\"{name}\", \"{version}\")'", "R -e 'install.packages(\"{name}\")'"),
+    "hex": ("# upgrade {name} to {version}: `mix deps.update {name}` (Elixir) or `gleam update {name}` (Gleam)", "# upgrade {name}: `mix deps.update {name}` (Elixir) or `gleam update {name}` (Gleam)"),
 }
 
 
+def _filled(form: str, parts: dict[str, Column]) -> Column:
+    """A form with columns in place of its braces."""
+    return F.concat(*[x for text, field, *_ in Formatter().parse(form) for x in ([F.lit(text)] if text else []) + ([parts[field]] if field else [])])
+
+
 def upgrade_command(ecosystem: Column, name: Column, version: Column) -> Column:
-    """The command that installs a version; null for other ecosystems and for names or versions with odd characters."""
-    safe = name.rlike(r"\A[A-Za-z0-9@/._:+-]{1,256}\z") & version.rlike(r"\A[A-Za-z0-9._+-]{1,128}\z")
+    """The command that installs a version, or the newest where it is empty; null for other ecosystems, for Maven names
+    without a group, and for names or versions with characters that a shell could read."""
+    safe = name.rlike(r"\A[A-Za-z0-9._+/@:~-]{1,256}\z") & version.rlike(r"\A[A-Za-z0-9.+_-]{0,128}\z")
+    group = F.regexp_extract(name, r"\A([^:]*):", 1)
+    parts = {"name": name, "version": version, "crate": F.replace(name, F.lit("/"), F.lit("-")), "group": group, "artifact": F.regexp_extract(name, r"\A[^:]*:(.*)\z", 1)}
     out = F.lit(None).cast("string")
-    for eco, form in UPGRADES.items():
-        out = F.when(ecosystem == eco, F.format_string(form, name, F.regexp_replace(version, r"\Av", "") if eco == "go" else version)).otherwise(out)
+    for eco, (pinned, newest) in UPGRADES.items():
+        fits = (ecosystem == eco) & (F.contains(name, F.lit(":")) if eco == "maven" else F.lit(True))
+        out = F.when(fits, F.when(version == "", _filled(newest, parts)).otherwise(_filled(pinned, parts))).otherwise(out)
     return F.when(safe, out)
 
 

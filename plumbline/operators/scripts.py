@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,45 +21,87 @@ def line_rows(files: DataFrame, text_col: str = "text") -> DataFrame:
     return files.select(*keep, F.posexplode(R.lines(F.col(text_col))).alias("pos", "content")).withColumn("line", F.col("pos") + 1).drop("pos")
 
 
-def build_file_findings(files: DataFrame, key: str = "package", text_col: str = "text") -> DataFrame:
-    """(package, function, line, rule, severity) of build files; comments are skipped, the function a line is in is tracked.
+def running_lines(files: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(key, line, content, function) of the lines of build files that run: no comments, no fields that only describe.
 
-    Lines stay with their file, so the state is a window over one file's lines. Privilege rules hold inside functions.
+    A field's list may go on over lines to its closing bracket. Whether a line is inside one, and which function was begun
+    last, is the last event before it: windows over one file's lines.
     """
-    rows = line_rows(files.select(key, text_col), text_col)
+    rows = line_rows(files.select(key, text_col), text_col).withColumn("content", F.regexp_replace("content", r"\A\s+|\s+\z", ""))
+    rows = rows.where((F.col("content") != "") & ~F.col("content").startswith("#"))
+    content = F.col("content")
+    field = content.rlike(rf"\A(?:{'|'.join(R.METADATA_FIELDS)})\+?=") | (content.startswith("'") & F.contains(content, F.lit(": ")))
+    event = F.when(F.contains(content, F.lit(")")), False).when(field & F.contains(content, F.lit("(")), True)
+    before = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"field": field, "event": event}).withColumn("inside", F.coalesce(F.last("event", ignorenulls=True).over(before), F.lit(False)))
+    runs = rows.where("not inside and not field")
     name = F.nullif(F.regexp_extract("content", _FUNCTION, 1), F.lit(""))
-    ends = F.when(F.col("content").rlike(r"^\}\s*$"), "")
-    rows = rows.withColumn("mark", F.coalesce(name, F.lag(ends).over(Window.partitionBy(key).orderBy("line"))))
-    inside = F.last("mark", ignorenulls=True).over(Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("function", F.coalesce(F.nullif(inside, F.lit("")), F.lit(""))).where(~F.col("content").rlike(r"^\s*#"))
-    found = rows.withColumn("hit", F.explode(R.hits(F.col("content"), R.BUILD_RULES))).select(key, "function", "line", "hit.rule", "hit.severity")
-    return found.where("rule <> 'privilege-escalation-in-build' or function <> ''")
+    last = F.last(name, ignorenulls=True).over(Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    return runs.select(key, "line", "content", F.coalesce(last, F.lit("")).alias("function"))
 
 
-def install_script_findings(files: DataFrame, key: str = "package", text_col: str = "text") -> DataFrame:
-    """(package, line, rule, severity) of scripts that run as root; lines that only print are exempt."""
-    rows = line_rows(files.select(key, text_col), text_col).where(~F.col("content").rlike(r"^\s*(?:#|(?:echo|printf)\s[^|;&$`]*$)"))
-    found = rows.withColumn("hit", F.explode(R.hits(F.col("content"), R.INSTALL_RULES)))
-    quiet = (F.col("hit.rule") == "root-enables-unit") & (F.contains("content", F.lit("--global")) | F.contains("content", F.lit("--user")))
-    return found.where(~quiet).select(key, "line", "hit.rule", "hit.severity")
+def _denied_dependencies(files: DataFrame, key: str, text_col: str) -> DataFrame:
+    hit = F.filter(F.array(*map(F.lit, R.DENIED_DEPENDENCIES)), lambda d: F.contains(F.lower(text_col), d))
+    return files.select(key, F.explode(hit).alias("dep")).select(key, F.lit("").alias("function"), F.lit(0).alias("line"), F.lit("ioc-dep").alias("rule"), F.lit(3).alias("severity"))
+
+
+def _line_findings(rows: DataFrame, key: str, table: list) -> DataFrame:
+    found = rows.withColumn("hit", F.explode(F.array_distinct(R.hits(F.col("content"), table))))
+    split = (F.col("hit.rule") == "eval-obfuscation") & F.col("content").rlike(R.SPLIT_PACKAGE)
+    return found.where(~split).select(key, "function", "line", "hit.rule", "hit.severity")
+
+
+def build_file_findings(files: DataFrame, key: str = "package", text_col: str = "text") -> DataFrame:
+    """(package, function, line, rule, severity 1 to 3) of build files; line 0 is the whole file."""
+    return _line_findings(running_lines(files, key, text_col), key, R.BUILD_RULES).unionByName(_denied_dependencies(files, key, text_col))
 
 
-def source_findings(files: DataFrame, key: str = "package", text_col: str = "text") -> DataFrame:
-    """(package, url, rule, severity) of distinct source URLs: bare addresses, untrusted hosts."""
-    url = F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(r"""(?i)\b(?:git\+)?https?://[^\s"')]+"""), F.lit(0))))
-    urls = files.select(key, url.alias("url")).withColumn("host", F.lower(F.regexp_extract("url", r"(?i)://(?:[^@/]*@)?([^/:]+)", 1)))
+def install_script_findings(files: DataFrame, key: str = "package", text_col: str = "text") -> DataFrame:
+    """(package, function, line, rule, severity) of scripts that run as root: the rules of build files but for privileges,
+    and those of install hooks, from which lines that only print are exempt."""
+    rows = running_lines(files, key, text_col)
+    build = _line_findings(rows, key, [r for r in R.BUILD_RULES if r[0] != "privilege-escalation-in-build"])
+    prints = F.col("content").rlike(r"\A(?:echo[ \t]|printf |print )") & ~F.col("content").rlike(r"[>|`]|\$\(")
+    found = rows.where(~prints).withColumn("hit", F.explode(R.hits(F.col("content"), R.INSTALL_RULES)))
+    quiet = (F.col("hit.rule") == "install-hook-enables-unit") & (F.contains("content", F.lit("--global")) | F.contains("content", F.lit("--user")))
+    folder = (F.col("hit.rule") == "install-hook-drops-executable") & F.array_contains(F.split("content", r"\s+"), "-d")
+    hooks = found.where(~quiet & ~folder).select(key, "function", "line", "hit.rule", "hit.severity")
+    return build.unionByName(hooks).unionByName(_denied_dependencies(files, key, text_col))
+
+
+def denied_packages(packages: DataFrame, key: str = "package") -> DataFrame:
+    """(package, rule, severity) of packages that are known malware by name."""
+    return packages.where(F.trim(key).isin(*R.DENIED_PACKAGES)).select(key, F.lit("ioc-package").alias("rule"), F.lit(3).alias("severity"))
+
+
+def url_host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(F.regexp_replace(url, r"\A(?:git\+)?(?:https://|http://)?", ""), r"\A([^/:]*)", 1))
+
+
+def source_findings(files: DataFrame, key: str = "package", text_col: str = "text", upstream_col: str | None = None) -> DataFrame:
+    """(package, url, rule, severity) of the distinct URLs of build files that list sources, comments left out: bare
+    addresses, untrusted hosts, and code hosts other than that of the package's own page (``upstream_col``, its URL)."""
+    lists = running_lines(files, key, text_col).where(F.col("content").rlike(R.SOURCE_LINE)).select(key).distinct()
+    upstream = url_host(F.coalesce(F.col(upstream_col), F.lit(""))) if upstream_col else F.lit("")
+    bare = F.array_join(F.filter(R.lines(F.col(text_col)), lambda x: ~x.rlike(r"\A\s*#")), "\n")
+    urls = files.join(lists, key, "left_semi").select(key, upstream.alias("own"), F.explode(F.array_distinct(F.regexp_extract_all(bare, F.lit(r"""(?i)\b(?:git\+)?https?://[^\s"')]+"""), F.lit(0)))).alias("url"))
+    urls = urls.withColumn("host", url_host(F.col("url")))
     bad = F.lit(False)
     for h in R.UNTRUSTED_HOSTS:
         bad = bad | domain_match(F.col("host"), h)
-    rule = F.when(F.col("url").rlike(r"https?://\d{1,3}(\.\d{1,3}){3}"), "bare-ip-source").when(bad, "untrusted-host")
-    return urls.withColumn("rule", rule).where("rule is not null").select(key, "url", "rule", F.lit(2).alias("severity"))
+    code = lambda c: F.exists(F.array(*map(F.lit, R.CODE_HOSTS)), lambda h: F.contains(c, h))
+    drift = (F.col("own") != "") & (F.col("host") != "") & (F.col("host") != F.col("own")) & code(F.col("host")) & code(F.col("own"))
+    address = F.col("url").rlike(r"https?://\d{1,3}(\.\d{1,3}){3}")
+    hit = lambda cond, rule, severity: F.when(cond, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity")))
+    found = F.array_compact(F.array(hit(address, "source-bare-ip", 2), hit(~address & bad, "source-untrusted-host", 2), hit(~address & drift, "source-host-drift", 1)))
+    return urls.select(key, "url", F.explode(found).alias("f")).select(key, "url", "f.rule", "f.severity")
 
 
 def history_findings(commits: DataFrame, key: str = "package") -> DataFrame:
     """(package, rule, at): the newest place where a commit (newest first) is over a day older than the next."""
     w = Window.partitionBy(key).orderBy("position")
     older = commits.withColumn("next_date", F.lead("commit_date").over(w))
-    return older.where(F.col("next_date") - F.col("commit_date") > 86400).groupBy(key).agg(F.min("position").alias("at")).select(key, F.lit("date-inversion").alias("rule"), "at")
+    return older.where(F.col("next_date") - F.col("commit_date") > 86400).groupBy(key).agg(F.min("position").alias("at")).select(key, F.lit("commit-date-nonmonotonic").alias("rule"), "at")
 
 
 def entry_findings(entries: DataFrame, key: str = "package") -> DataFrame:
@@ -83,39 +129,86 @@ def verdicts(findings: DataFrame, key: str = "package") -> DataFrame:
     return worst.select(key, F.when(F.col("worst") >= 3, "block").when(F.col("worst") == 2, "warn").otherwise("allow").alias("verdict"))
 
 
-def workflow_findings(files: DataFrame, key: str = "file", text_col: str = "text") -> DataFrame:
-    """(file, line, rule, severity) of workflow files: permissions, unpinned actions, injections, and commands of run blocks.
+_RUN = re.compile(r"^(\s*)-?\s*run:\s*(.*)$")
+
+
+def workflow_parts(text: str) -> list[tuple[int, bool, str]]:
+    """(line, whether a run body, text) of a workflow file: run bodies, and all lines that are in none.
 
-    A run block goes on over the lines indented more than its key; the state is a window over one file's lines.
+    A body is the rest of its line, or of a block the lines that follow, blank or indented more than the key.
     """
-    rows = line_rows(files.select(key, text_col), text_col)
-    w = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    indent = F.length(F.regexp_extract("content", r"^(\s*)", 1))
-    run = F.col("content").rlike(r"^\s*-?\s*run:")
-    key_line = F.col("content").rlike(r"^\s*-?\s*[A-Za-z_-]+:(?:\s|\z)")
-    rows = rows.withColumns({"indent": indent, "run": run}).withColumn("mark", F.when(run, F.struct(F.lit(True).alias("run"), "indent")).when(key_line, F.struct(F.lit(False).alias("run"), "indent")))
-    rows = rows.withColumn("block", F.last("mark", ignorenulls=True).over(w))
-    in_run = F.col("run") | (F.coalesce(F.col("block.run"), F.lit(False)) & (F.col("indent") > F.col("block.indent")))
-    found = rows.withColumn("in_run", in_run).withColumn("hit", F.explode(R.hits(F.col("content"), R.WORKFLOW_RULES)))
-    found = found.where("hit.rule not like 'run-%' or in_run").select(key, "line", "hit.rule", "hit.severity")
-    used = rows.withColumn("ref", F.regexp_extract("content", R.USES, 1)).where("ref <> '' and not startswith(ref, './') and not startswith(ref, 'docker://')")
-    loose = used.where(~F.split_part("ref", F.lit("@"), F.lit(-1)).rlike(r"^[0-9a-f]{40}$") | ~F.contains("ref", F.lit("@")))
-    owner = F.split_part("ref", F.lit("/"), F.lit(1))
-    return found.unionByName(loose.select(key, "line", F.lit("unpinned-action-ref").alias("rule"), F.when(owner.isin("actions", "github"), 0).otherwise(1).alias("severity")))
+    lines = text.removesuffix("\n").split("\n") if text else []
+    out, at = [], 0
+    while at < len(lines):
+        line = lines[at].removesuffix("\r")
+        out.append((at + 1, False, line))
+        found, at = _RUN.match(line), at + 1
+        if found:
+            body, start = found[2], at
+            if body.strip() in ("|", ">", ""):
+                first = at
+                while at < len(lines) and (not lines[at].strip() or len(lines[at]) - len(lines[at].lstrip()) > len(found[1])):
+                    at += 1
+                body = "".join(x.removesuffix("\r") + "\n" for x in lines[first:at])
+            out.append((start, True, body))
+    return out
+
+
+def workflow_findings(files: DataFrame, key: str = "file", text_col: str = "text") -> DataFrame:
+    """(file, line, rule, severity) of workflow files: permissions, actions not pinned to a commit, a cache that a fork can
+    poison, and the first place of each rule in a run body. Only the split into bodies runs in Python."""
+    kind = files.schema[key].dataType.simpleString()
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rows = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                found = workflow_parts(text or "")
+                fork = "pull_request_target" in (text or "")
+                keys += [i] * len(found)
+                rows += [(*x, fork) for x in found]
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(keys, pa.int64())), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.bool_())],
+                [key, "line", "run", "content", "fork"],
+            )
+
+    rows = files.select(key, text_col).mapInArrow(parts, f"`{key}` {kind}, line int, run boolean, content string, fork boolean")
+    content, ref = F.col("content"), F.regexp_extract("content", R.USES, 1)
+    owner = F.split_part(F.split_part(ref, F.lit("@"), F.lit(1)), F.lit("/"), F.lit(1))
+    loose = (ref != "") & ~ref.startswith(".") & ~ref.startswith("docker://") & F.contains(ref, F.lit("@")) & ~F.regexp_extract(ref, r"@(.*)$", 1).rlike(r"^[0-9a-f]{40}$")
+    hit = lambda cond, rule, severity, line: F.when(cond, F.struct(F.lit(rule).alias("rule"), severity.alias("severity"), line.alias("line")))
+    line = F.col("line")
+    found = [
+        hit(~F.col("run") & content.rlike(R.WRITE_ALL), "permissions-write-all", F.lit(2), line),
+        hit(~F.col("run") & loose, "unpinned-action-ref", F.when(owner.isin("actions", "github"), 1).otherwise(2), line),
+        hit(~F.col("run") & F.col("fork") & ref.startswith("actions/cache"), "cache-poisoning", F.lit(2), F.lit(1)),
+    ]
+    for rule, severity, pattern in R.WORKFLOW_RUN_RULES:
+        before = F.substring(content, F.lit(1), F.regexp_instr(content, F.lit(pattern)) - 1)
+        found.append(hit(F.col("run") & content.rlike(pattern), rule, F.lit(severity), line + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))))
+    hits = rows.select(key, F.explode(F.array_compact(F.array(*found))).alias("f")).select(key, "f.line", "f.rule", "f.severity")
+    return hits.where("rule <> 'cache-poisoning'").unionByName(hits.where("rule = 'cache-poisoning'").distinct())
 
 
 def bash_array(text: Column, name: str) -> Column:
-    """Words of a bash array assignment, quotes off; empty without one."""
-    body = F.regexp_extract(text, rf"(?s)(?:\A|\n)\s*{name}\s*\+?=\s*\(([^)]*)\)", 1)
-    words = F.regexp_extract_all(F.regexp_replace(body, r"(?m)(?:^|\s)#.*$", ""), F.lit(r"""'[^']*'|"[^"]*"|[^\s'"]+"""), F.lit(0))
-    return F.transform(words, lambda w: F.regexp_replace(w, r"""\A['"]|['"]\z""", ""))
+    """Words of the first assignment ``name=( ... )`` of a bash array, comments and quotes off; null without one."""
+    pattern = rf"(?:\A|\n)[^\S\n]*{name}=\(([^)]*)\)"
+    body = F.regexp_replace(F.regexp_extract(text, pattern, 1), r"#[^\n]*", "")
+    words = F.regexp_extract_all(body, F.lit(r"""['"][^'"]+['"]|\S+"""), F.lit(0))
+    return F.when(text.rlike(pattern), F.transform(words, lambda w: F.regexp_replace(w, r"""\A['"]([^'"]+)['"]\z""", "$1")))
 
 
 def checksum_findings(files: DataFrame, key: str = "package", text_col: str = "text") -> DataFrame:
-    """(package, rule): build files with fewer checksums than sources."""
-    sums = [F.size(bash_array(F.col(text_col), f"{s}sums")) for s in ("md5", "sha1", "sha256", "sha512", "b2")]
-    rows = files.withColumn("n", F.size(bash_array(F.col(text_col), "source"))).withColumn("s", F.greatest(*sums))
-    return rows.where("n > 0 and s < n").select(key, F.lit("checksum-count").alias("rule"))
+    """(package, rule, severity): build files in which a list of checksums has another length than the sources; sources with
+    brace lists are left alone."""
+    text = F.col(text_col)
+    sources = bash_array(text, "source")
+    wrong = F.lit(False)
+    for name in ("sha256sums", "sha512sums", "b2sums", "sha1sums", "md5sums"):
+        wrong = wrong | F.coalesce(F.size(bash_array(text, name)) != F.size(sources), F.lit(False))
+    braces = F.exists(sources, lambda x: F.contains(x, F.lit("{")) & F.contains(x, F.lit(",")))
+    return files.where((F.size(sources) > 0) & ~braces & wrong).select(key, F.lit("checksum-count-mismatch").alias("rule"), F.lit(2).alias("severity"))
 
 
 # First bytes of executables (ELF, MZ, five Mach-O forms).
@@ -123,16 +216,20 @@ MAGIC = ("7F454C46", "FEEDFACE", "FEEDFACF", "CEFAEDFE", "CFFAEDFE", "CAFEBABE")
 
 
 def binary_findings(local_files: DataFrame, key: str = "package") -> DataFrame:
-    """(package, path, rule): executables among the files beside a build file; new ones are named so."""
+    """(package, path, rule, severity): executables among the files beside a build file (path, head binary, and whether the
+    build file lists it as a source, and whether the last revision added it; both may hold)."""
     head = F.hex(F.substring("head", 1, 4))
     binary = head.isin(*MAGIC) | head.startswith("4D5A")
-    return local_files.where(binary).select(key, "path", F.when(F.col("added"), "local-binary-added").otherwise("binary-in-source").alias("rule"))
+    hit = lambda c, rule, severity: F.when(F.col(c), F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity")))
+    listed = local_files if "listed" in local_files.columns else local_files.withColumn("listed", F.lit(True))
+    found = F.array_compact(F.array(hit("listed", "binary-in-source", 3), hit("added", "local-binary-added", 2)))
+    return listed.where(binary).select(key, "path", F.explode(found).alias("f")).select(key, "path", "f.rule", "f.severity")
 
 
 def stale_history_findings(packages: DataFrame, key: str = "package") -> DataFrame:
-    """(package, rule): several roots; a last commit long (over 365 days) after the one before, on a young package (under 730 days)."""
-    roots = packages.where("root_count > 1").select(key, F.lit("multiple-roots").alias("rule"))
-    day = 86400
-    quiet = F.floor((F.col("last_commit") - F.col("previous_commit")) / day) > 365
-    young = F.floor((F.col("now") - F.col("first_submitted")) / day) < 730
-    return roots.unionByName(packages.where(quiet & young).select(key, F.lit("dormant-then-active").alias("rule")))
+    """(package, rule, severity): several roots; an oldest commit over 365 days after the package was first submitted that is
+    itself under 730 days old (times in seconds)."""
+    roots = packages.where("root_count > 1").select(key, F.lit("multiple-root-commits").alias("rule"), F.lit(1).alias("severity"))
+    days = lambda a, b: F.expr(f"({a} - {b}) div 86400")
+    wiped = packages.where((days("oldest_commit", "first_submitted") > 365) & (days("now", "oldest_commit") < 730))
+    return roots.unionByName(wiped.select(key, F.lit("history-recently-wiped").alias("rule"), F.lit(2).alias("severity")))

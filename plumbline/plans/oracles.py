@@ -78,8 +78,6 @@ ORACLES = {
  SELECT ecosystem, name, max_by(version, k) AS best FROM k WHERE k >= 1002000 AND k < 4000000 GROUP BY 1, 2""",
     "fix_plan": f"""WITH {DEPS}, {ADVS}, d AS (SELECT DISTINCT ecosystem, name, version FROM deps), j AS (SELECT d.*, fixed_in, CASE WHEN fixed_in = '' THEN false ELSE {vkey('fixed_in')} > {vkey('version')} END AS fwd FROM d JOIN advs USING (ecosystem, name))
  SELECT ecosystem, name, version, max_by(CASE WHEN fwd THEN fixed_in END, CASE WHEN fwd THEN {vkey("CASE WHEN fixed_in = '' THEN '0.0.0' ELSE fixed_in END")} END) AS target_version, CAST(count(*) FILTER (WHERE fwd) AS BIGINT) AS n_resolved, CAST(count(*) FILTER (WHERE NOT fwd) AS BIGINT) AS n_unresolved FROM j GROUP BY 1, 2, 3""",
-    "upgrade_commands": f"""WITH {ADVS} SELECT id, CASE ecosystem WHEN 'npm' THEN 'npm install ' || name || '@' || fixed_in WHEN 'pypi' THEN 'pip install ' || name || '==' || fixed_in WHEN 'crates' THEN 'cargo update -p ' || name || ' --precise ' || fixed_in
- WHEN 'go' THEN 'go get ' || name || '@v' || fixed_in WHEN 'maven' THEN 'mvn versions:use-dep-version -Dincludes=' || name || ' -DdepVersion=' || fixed_in WHEN 'rubygems' THEN 'bundle update ' || name || ' --conservative # ' || fixed_in END AS command FROM advs WHERE fixed_in <> ''""",
     "risk_scores": f"WITH {FLAGS} SELECT ecosystem, name, version, CAST(sum(weight) AS BIGINT) AS score FROM flags GROUP BY 1, 2, 3",
     "risk_flags": f"WITH {FLAGS} SELECT ecosystem, name, version, code, CAST(weight AS BIGINT) AS weight FROM flags",
     "allowlisted_scores": f"""WITH {FLAGS}, f AS (SELECT *, CASE WHEN ecosystem = 'npm' AND name = 'pkg-6' AND code NOT IN ('env-cred-read', 'install-hook') THEN true WHEN ecosystem = 'npm' AND code = 'shell-spawn' AND p_size >= 10 THEN true
@@ -102,27 +100,18 @@ ORACLES = {
     "maintainer_signals": """WITH r AS (SELECT o_custkey, o_orderkey, o_orderdate AS pubat, o_orderpriority AS pub, CAST(floor(o_totalprice) AS BIGINT) % 2000 AS dl, lag(o_orderdate) OVER w AS pat, lag(o_orderpriority) OVER w AS ppub FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, '1.0.' || o_orderkey)),
  s AS (SELECT *, (CASE WHEN (epoch(TIMESTAMP '1998-08-02') - epoch(pubat)) BETWEEN 0 AND 604800 THEN 1 ELSE 0 END) + (CASE WHEN pat IS NOT NULL AND epoch(pubat) - epoch(pat) >= 180 * 86400 THEN 1 ELSE 0 END) + (CASE WHEN dl > 0 AND dl < 1000 THEN 1 ELSE 0 END) AS pts FROM r)
  SELECT 'pkg-' || o_custkey AS name, '1.0.' || o_orderkey AS version, CAST(pts AS BIGINT) AS hijack_points, pts >= 2 AS hijack_risk, (ppub IS NOT NULL AND ppub <> pub) AS maintainer_changed FROM s""",
-    "go_retracted": f"WITH {DEPS} SELECT DISTINCT ecosystem, name, version FROM deps WHERE ecosystem = 'go' AND ((2 * {vnum('version')} + CASE WHEN contains(version, '-') THEN 0 ELSE 1 END BETWEEN 2000001 AND 4006011) OR version = '4.1.1') AND l_partkey % 10 = 0",
     "binary_droppers": "SELECT p_partkey FROM part WHERE p_size % 8 IN (1, 2, 4) OR (p_size % 8 = 3 AND p_partkey % 2 = 1)",
-    "dependency_sources": "SELECT p_partkey, CASE WHEN p_size % 6 IN (0, 1, 2) THEN 'vcs' WHEN p_size % 6 IN (3) THEN 'local' ELSE 'registry' END AS dep_source, p_size % 6 IN (0, 1, 2) AND p_partkey % 2 = 0 AS git_dep_in_optional FROM part",
     "source_patterns": """SELECT doc_id, cap AS capability FROM documents, (SELECT unnest(['obfuscated-payload','suspicious-url','install-hook-suspicious','known-malware-ioc']) AS cap)
  WHERE (cap = 'obfuscated-payload' AND doc_id % 10 = 1) OR (cap = 'suspicious-url' AND doc_id % 10 = 2) OR (cap = 'install-hook-suspicious' AND doc_id % 10 = 3) OR (cap = 'known-malware-ioc' AND doc_id % 10 = 4)""",
-    "suspicious_hooks": "SELECT doc_id, doc_id % 8 IN (1, 2, 3, 4, 6) AS suspicious FROM documents",
     "secrets": r"""SELECT doc_id, kind FROM (SELECT doc_id, text || CASE WHEN doc_id % 20 = 3 THEN ' AKIA' || 'ABCDEFGHIJKLMNOP' || ' ' WHEN doc_id % 20 = 5 THEN ' -----BEGIN RSA PRIVATE KEY-----' ELSE '' END AS t FROM documents) d,
  (SELECT unnest(['aws-access-key','private-key','assigned-token']) AS kind) k WHERE (kind = 'aws-access-key' AND regexp_matches(t, '\bAKIA[0-9A-Z]{16}\b')) OR (kind = 'private-key' AND regexp_matches(t, '-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----'))
  OR (kind = 'assigned-token' AND regexp_matches(t, '(?i)\b(?:token|secret|api_key)\s*=\s*["''][0-9a-f]{40}["'']'))""",
     "license_lines": r"""SELECT source, license, CAST(count(*) AS BIGINT) AS n FROM (SELECT source, CASE WHEN contains(text, 'MIT License') THEN 'mit' WHEN contains(text, 'Apache License') THEN 'apache-2.0' WHEN contains(text, 'GNU General Public License') THEN 'gpl-3.0' END AS license FROM documents) WHERE license IN ('mit', 'gpl-3.0') GROUP BY 1, 2""",
     "page_hosts": r"SELECT host, CAST(count(*) AS BIGINT) AS pages, CAST(sum(CASE WHEN html LIKE '%<script>%' THEN 1 ELSE 0 END) AS BIGINT) AS with_script FROM (SELECT lower(regexp_extract(url, '://([^/:]+)', 1)) AS host, html FROM pages) GROUP BY host",
-    "tarball_drift": """WITH f AS (SELECT l_partkey AS package, 'src/f' || l_linenumber || CASE l_suppkey % 3 WHEN 0 THEN '.js' WHEN 1 THEN '.sh' ELSE '.bin' END AS path, l_suppkey % 4 <> 0 AS tar, l_suppkey % 5 <> 0 AS repo FROM lineitem),
- t AS (SELECT DISTINCT package, path FROM f WHERE tar), r AS (SELECT DISTINCT package, path FROM f WHERE repo), k AS (SELECT * FROM t WHERE package IN (SELECT package FROM r)),
- e AS (SELECT *, CASE WHEN path LIKE '%.sh' THEN 'script' WHEN path LIKE '%.js' THEN 'code' ELSE 'binary' END AS kind FROM k WHERE (package, path) NOT IN (SELECT package, path FROM r)),
- g AS (SELECT package, count(*) AS c, count(*) FILTER (WHERE kind = 'script') AS s FROM e GROUP BY 1), n AS (SELECT package, count(*) AS n FROM k GROUP BY 1)
- SELECT e.package, e.path, e.kind FROM e JOIN g USING (package) JOIN n USING (package) WHERE s > 0 OR NOT (c > 4 AND c * 1.0 / n > 0.30)""",
     "glob_match": "SELECT p_partkey, p_size % 3 = 0 AS in_star, p_size % 3 IN (0, 1) AS in_deep FROM part",
     "layer_overlay": """WITH e AS (SELECT DISTINCT l_partkey AS image, CAST(l_suppkey % 4 AS INT) AS layer, 'd' || (l_linenumber % 3) || '/f' || (l_orderkey % 5) AS path, 'd' || (l_linenumber % 3) AS dir, CASE WHEN l_quantity < 5 THEN 'whiteout' WHEN l_quantity > 47 THEN 'opaque' ELSE 'file' END AS kind FROM lineitem),
  f AS (SELECT image, path, dir, max(layer) AS layer FROM e WHERE kind = 'file' GROUP BY 1, 2, 3), w AS (SELECT image, path, max(layer) AS l FROM e WHERE kind = 'whiteout' GROUP BY 1, 2), o AS (SELECT image, dir, max(layer) AS l FROM e WHERE kind = 'opaque' GROUP BY 1, 2)
  SELECT f.image, f.path, f.layer FROM f LEFT JOIN w ON f.image = w.image AND f.path = w.path LEFT JOIN o ON f.image = o.image AND f.dir = o.dir WHERE (w.l IS NULL OR w.l <= f.layer) AND (o.l IS NULL OR o.l <= f.layer)""",
-    "image_findings": "SELECT p_partkey AS image, CASE p_size % 4 WHEN 0 THEN 'tmp/x.sh' WHEN 1 THEN 'usr/bin/.hid' WHEN 2 THEN 'app/package.json' END AS path, CASE p_size % 4 WHEN 0 THEN 'temp-dropper' WHEN 1 THEN 'hidden-executable' WHEN 2 THEN 'embedded-manifest' END AS reason FROM part WHERE p_size % 4 < 3",
     "dep_keys": "SELECT p_partkey, CASE p_size % 7 WHEN 0 THEN '@s/pkg' WHEN 1 THEN '' WHEN 2 THEN 'os' WHEN 3 THEN 'github.com/a/b' WHEN 4 THEN 'serde' WHEN 5 THEN '' ELSE 'rack' END AS dep_key FROM part",
     "project_reachability": f"""WITH {DEPS}, d AS (SELECT DISTINCT ecosystem, name, l_partkey FROM deps) SELECT ecosystem, name, CASE WHEN ecosystem IN ('crates', 'maven', 'rubygems') THEN 'unknown' WHEN ecosystem = 'npm' AND l_partkey % 2 = 0 THEN 'used'
  WHEN ecosystem = 'pypi' AND l_partkey % 3 = 0 THEN 'used' WHEN ecosystem = 'go' THEN 'unused' ELSE 'unused' END AS reachability FROM d""",
@@ -132,14 +121,10 @@ ORACLES = {
     "sarif_results": f"""WITH {DEPS}, {ADVS} SELECT DISTINCT 'vulnerable-dependency' AS "ruleId", CASE WHEN sev >= 3 THEN 'error' WHEN sev = 2 THEN 'warning' ELSE 'note' END AS level, id || ': ' || summary || ' (' || ['info','low','medium','high','critical'][CAST(sev + 1 AS INT)] || ')' AS message, ecosystem || '/' || name || '@' || version AS location FROM deps JOIN advs USING (ecosystem, name)""",
     "cyclonedx_sizes": f"""WITH {DEPS} SELECT project, CAST(count(DISTINCT ecosystem || name || version || direct) AS BIGINT) AS components, CAST(count(DISTINCT CASE WHEN direct THEN ecosystem || name || version END) AS BIGINT) AS direct FROM deps GROUP BY project""",
     "spdx_sizes": f"WITH {DEPS} SELECT project, CAST(count(DISTINCT ecosystem || name || version) AS BIGINT) AS packages FROM deps GROUP BY project",
-    "build_findings": "SELECT doc_id AS package, CASE WHEN doc_id % 6 = 4 THEN 'build' WHEN doc_id % 6 = 5 THEN 'package' ELSE '' END AS function, CAST(CASE doc_id % 6 WHEN 4 THEN 3 WHEN 5 THEN 3 ELSE 2 END AS BIGINT) AS line, CASE doc_id % 6 WHEN 1 THEN 'download-exec' WHEN 2 THEN 'hex-obfuscation' WHEN 3 THEN 'credential-access' WHEN 4 THEN 'foreign-toolchain' WHEN 5 THEN 'privilege-escalation-in-build' END AS rule FROM documents WHERE doc_id % 6 IN (1, 2, 3, 4, 5)",
-    "install_script_findings": "SELECT doc_id AS package, CASE doc_id % 6 WHEN 1 THEN 'root-network' WHEN 2 THEN 'root-sudoers' WHEN 3 THEN 'root-setuid' WHEN 4 THEN 'root-enables-unit' END AS rule FROM documents WHERE doc_id % 6 IN (1, 2, 3, 4)",
-    "source_hosts": "SELECT doc_id AS package, CASE WHEN doc_id % 4 = 1 THEN 'bare-ip-source' ELSE 'untrusted-host' END AS rule FROM documents WHERE doc_id % 4 IN (1, 2)",
     "history_inversions": """WITH c AS (SELECT o_custkey AS package, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS position, epoch(o_orderdate)::BIGINT AS t FROM orders), n AS (SELECT *, lead(t) OVER (PARTITION BY package ORDER BY position) AS nt FROM c)
  SELECT package, CAST(min(position) AS BIGINT) AS at FROM n WHERE nt - t > 86400 GROUP BY package""",
     "package_entries": "SELECT p_partkey AS package, CASE p_size % 5 WHEN 0 THEN 'install-script' WHEN 1 THEN 'ld-preload' WHEN 2 THEN 'setuid-binary' WHEN 3 THEN 'file-outside-prefix' ELSE 'cron-drop-in' END AS rule, CAST(CASE p_size % 5 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 2 END AS BIGINT) AS severity FROM part",
     "package_verdicts": "SELECT p_partkey AS package, CASE p_size % 5 WHEN 0 THEN 'allow' WHEN 1 THEN 'block' WHEN 2 THEN 'warn' WHEN 3 THEN 'block' ELSE 'warn' END AS verdict FROM part",
-    "workflow_findings": """SELECT doc_id AS file, CAST(line AS BIGINT) AS line, rule FROM documents, (VALUES (0, 2, 'permissions-write-all'), (1, 5, 'unpinned-action-ref'), (2, 8, 'run-pipe-to-shell'), (3, 8, 'script-injection')) t(k, line, rule) WHERE doc_id % 5 = k""",
     "requirements_lock": "SELECT 'p' || l_orderkey || '/requirements.txt' AS path, 'pkg-' || l_partkey AS name, '1.' || l_linenumber || '.' || l_suppkey AS version FROM lineitem WHERE l_linenumber <> 3",
     "go_sum_lock": "SELECT DISTINCT 'p' || l_orderkey || '/go.sum' AS path, 'example.com/m' || l_partkey AS name, 'v1.' || l_linenumber || '.0' AS version FROM lineitem",
     "gradle_lock": "SELECT 'p' || l_orderkey || '/gradle.lockfile' AS path, 'org.x:a' || l_partkey AS name, '2.' || l_linenumber AS version FROM lineitem",
@@ -175,6 +160,8 @@ ORACLES = {
  ELSE ['v1.2', '1.2', 'p' || p_partkey || '@1.2', 'p' || p_partkey || '-v1.2', 'p' || p_partkey || '-1.2'] END AS t FROM part), range(1, 9) r(i) WHERE i <= len(t)""",
     "patch_drift": "SELECT p_partkey FROM part WHERE p_size % 2 = 0 AND p_size % 3 = 0",
     "unused_dependencies": "SELECT DISTINCT l_orderkey AS project, 'd' || (l_partkey % 20) AS dep_name FROM lineitem l WHERE l_linenumber % 2 = 1 AND NOT EXISTS (SELECT 1 FROM lineitem q WHERE q.l_orderkey = l.l_orderkey AND q.l_suppkey % 20 = l.l_partkey % 20)",
-    "checksum_counts": "SELECT doc_id AS package, 'checksum-count' AS rule FROM documents WHERE doc_id % 3 = 0",
-    "local_binaries": "SELECT p_partkey AS package, CASE WHEN p_partkey % 2 = 0 THEN 'local-binary-added' ELSE 'binary-in-source' END AS rule FROM part WHERE p_size % 4 <> 2",
 }
+
+from . import rule_queries  # noqa: E402
+
+ORACLES |= rule_queries.oracles(DEPS, vnum)

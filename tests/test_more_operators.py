@@ -103,9 +103,10 @@ def test_policies(spark):
 
 def test_more_script_rules(spark):
     day = 86400
-    rows = [("a", 1, 1000 * day, 600 * day, 1100 * day, 500 * day), ("b", 2, 0, 0, 0, 0), ("c", 1, 1000 * day, 635 * day, 1100 * day, 500 * day)]
-    got = SC.stale_history_findings(spark.createDataFrame(rows, "package string, root_count int, last_commit long, previous_commit long, now long, first_submitted long")).collect()
-    assert {(r["package"], r["rule"]) for r in got} == {("a", "dormant-then-active"), ("b", "multiple-roots")}
+    rows = [("a", 1, 1000 * day, 1100 * day, 500 * day), ("b", 2, 0, 0, 0), ("c", 1, 865 * day, 1100 * day, 500 * day), ("d", 1, 1000 * day, 1730 * day, 500 * day), ("e", 1, None, 0, None)]
+    got = SC.stale_history_findings(spark.createDataFrame(rows, "package string, root_count int, oldest_commit long, now long, first_submitted long")).collect()
+    assert {(r["package"], r["rule"]) for r in got} == {("a", "history-recently-wiped"), ("b", "multiple-root-commits")}
+    assert [r["package"] for r in SC.denied_packages(spark.createDataFrame([(" firefox-patch-bin ",), ("firefox",)], "package string")).collect()] == [" firefox-patch-bin "]
     text = "source=('a b' \"c\"\n d)\n"
     assert spark.createDataFrame([(text,)], "t string").select(SC.bash_array(F.col("t"), "source")).first()[0] == ["a b", "c", "d"]
 

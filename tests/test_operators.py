@@ -160,5 +160,30 @@ def test_hooks(spark):
 def test_hook_files_and_maintainer_capabilities(spark):
     got = spark.createDataFrame([("node ./a.js --x=b.js && sh 'c d.sh'; curl http://x/y.sh",)], "b string").select(H.hook_files(F.col("b"))).first()[0]
     assert got == ["./a.js", "d.sh"]
+    got = spark.createDataFrame([("node ./A.js --x=b.js && sh (c/d.sh); curl http://x/y.sh a. .profile",)], "b string").select(H.hook_paths(F.col("b"))).first()[0]
+    assert got == ["a.js", "c/d.sh", ".profile"]
     frame = spark.createDataFrame([(True, False, True), (False, True, None)], "hijack_risk boolean, maintainer_changed boolean, unpublished boolean")
     assert [r["capabilities"] for r in H.maintainer_capabilities(frame).collect()] == [["maintainer-hijack-risk", "version-unpublished"], ["maintainer-changed"]]
+
+
+def test_literals_are_joined_to_the_end(spark):
+    from plumbline.functions import rules as R
+
+    got = spark.createDataFrame([('x""+"+"y',), ('"cu" + "" + "rl"',), ("plain",)], "t string").select(R.join_literals(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["xy", '"curl"', "plain"]
+
+
+def test_image_deep_findings(spark):
+    rows = [(1, "a/x.js", b"eval(atob('x'))"), (1, "a/y.js", b"\x00eval(atob('x'))"), (1, "a/z.py", b"import subprocess\nsubprocess.run(['x'])\n"), (1, "a/w.py", b"\xff subprocess.run(x)"), (1, "b/router_init.js", b"")]
+    got = {(r["path"], r["capability"], r["depth"]) for r in FI.image_deep_findings(spark.createDataFrame(rows, "image int, path string, body binary")).collect()}
+    assert {("a/x.js", "obfuscated-payload", "source"), ("a/x.js", "dynamic-eval", "code"), ("a/z.py", "shell-spawn", "code"), ("b/router_init.js", "known-malware-ioc", "source")} <= got
+    assert not [x for x in got if x[0] == "a/y.js" or x[0] == "a/w.py" and x[2] == "code"]
+
+
+def test_many_rules_for_any_name(spark, monkeypatch):
+    monkeypatch.setattr(K, "MOST_BROADCAST", 1)
+    monkeypatch.setattr(K, "SALTS", 3)
+    flags = spark.createDataFrame([("npm", f"x{k}", "1.0.0", "shell-spawn", 10) for k in range(20)], "ecosystem string, name string, version string, code string, weight int")
+    rules = spark.createDataFrame([(1, "npm", "*", "^2", None, "no"), (2, "npm", "*", "^1", None, "yes"), (3, "pypi", "*", "", None, "other")], "rule_ord int, ecosystem string, name string, version_range string, capability string, reason string")
+    got = K.apply_allowlist(flags, rules).collect()
+    assert len(got) == 20 and {r["suppress_by"] for r in got} == {"allowlisted: yes"}
