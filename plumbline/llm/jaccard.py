@@ -339,11 +339,12 @@ def _block_pairs(tiles: DataFrame, roots: DataFrame, classes: DataFrame, percent
         at = F.when(F.col(n) > 0, F.sequence(F.lit(0), of(n) - 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda k: F.struct(lo.cast("int").alias("lo"), F.lit(int(n != "own")).alias("cross"), i(k).alias("i"), j(k).alias("j")))
 
-    each = F.concat(
+    alone = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("cross"), F.lit(0).alias("i"), F.lit(0).alias("j")))
+    each = F.when(F.col("total") <= BLOCK, alone).otherwise(F.concat(  # a tile that fits a block is one group
         meets("own", F.col("band"), lambda k: F.least(block, k), lambda k: F.greatest(block, k)),
         meets("above", F.col("band"), lambda k: block, lambda k: k),
         meets("below", F.col("band") - 1, lambda k: k, lambda k: block),
-    )
+    ))
     dealt = apart.withColumn("pair", F.explode(each)).select("tile", "pair.lo", "pair.cross", "pair.i", "pair.j", block.alias("block"), "band", "cls", "size", "root", "bits")
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -357,19 +358,22 @@ def _block_pairs(tiles: DataFrame, roots: DataFrame, classes: DataFrame, percent
         for width in sorted({len(w) for w in words}):  # partners of each bitmap width, the smaller of the two
             wide = np.array([k for k, w in enumerate(words) if len(w) >= width])
             folded = np.stack([fold(words[k], width) for k in wide])
-            own = [p for p, k in enumerate(wide) if len(words[k]) == width]
-            for p in own:
-                k = wide[p]
-                near = np.flatnonzero((size[wide] * percent <= size[k] * 100) & (size[k] * percent <= size[wide] * 100) & (root[wide] != root[k]) & (whole | (side[wide] != side[k])))
-                near = near[(wide[near] > k) | np.array([len(words[x]) > width for x in wide[near]], bool)]
+            sizes, roots_of, sides = size[wide], root[wide], side[wide]
+            last = np.searchsorted(sizes * percent, sizes * 100, "right")  # partners are at least as large, and not too large
+            for p in range(len(wide)):
+                if len(words[wide[p]]) > width or last[p] <= p + 1:
+                    continue
+                at = slice(p + 1, last[p])
+                other = roots_of[at] != roots_of[p]
+                near = p + 1 + np.flatnonzero(other if whole else other & (sides[at] != sides[p]))
                 if len(near):
                     xor = np.bitwise_count(folded[near] ^ folded[p]).sum(axis=1, dtype=np.int64)
-                    most = most_overlap(size[wide[near]], size[k], xor)
-                    fits = similar(size[wide[near]], size[k], most, percent)
+                    most = most_overlap(sizes[near], sizes[p], xor)
+                    fits = similar(sizes[near], sizes[p], most, percent)
                     good = wide[near[fits]]
-                    a.append(np.full(len(good), k))
+                    a.append(np.full(len(good), wide[p]))
                     b.append(good)
-                    lead.append((most / (size[wide[near]] + size[k] - most))[fits])
+                    lead.append((most / (sizes[near] + sizes[p] - most))[fits])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         if best and len(a):
             lead = np.concatenate(lead)
