@@ -343,7 +343,7 @@ def gem_lock(spark, d):
     pick = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col(c).alias("x")))), lambda x: x["x"]), "\n")
     files = rows.groupBy("l_orderkey").agg(pick("line").alias("specs"), pick("dep").alias("deps"))
     files = files.select(F.concat(F.lit("p"), "l_orderkey", F.lit("/Gemfile.lock")).alias("path"), F.concat(F.lit("GEM\n  remote: x\n  specs:\n"), "specs", F.lit("\n\nDEPENDENCIES\n"), "deps", F.lit("\n")).alias("text"))
-    return L.stateful(files).select("path", "name", "version", "direct")
+    return L.stateful(files).where("error is null").select("path", "name", "version", "direct")
 
 
 def audit_tail(spark, d):
@@ -518,6 +518,6 @@ def unused_dependencies(spark, d):
 
 QUERIES |= {f.__name__: f for f in (advisory_queries, advisory_lookup, ghsa_parse, npm_licenses, npm_provenance, packument_releases, resolved_requests, pypi_requests, tag_candidates, patch_drift, unused_dependencies)}
 
-from . import rule_queries  # noqa: E402
+from . import lock_queries, rule_queries  # noqa: E402
 
-QUERIES |= rule_queries.QUERIES
+QUERIES |= rule_queries.QUERIES | lock_queries.QUERIES

@@ -20,10 +20,10 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` once as Parquet in the shared folder; return what reads it, and its path."""
+def write_table(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
+    """Write ``df`` once as Parquet in the shared folder, in folders by the columns ``by``; return what reads it, and its path."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import lines
+from ..shared import write_table
 
 OUT = ("path", "ecosystem", "name", "version", "direct")
 
@@ -78,10 +79,10 @@ def cpan(files: DataFrame) -> DataFrame:
 
 
 def cabal(files: DataFrame) -> DataFrame:
-    """``any.name ==version`` pins of a freeze file."""
+    """``any.name ==version`` pins of a freeze file, one or more a line."""
     pin = r"(?:any\.)?([A-Za-z0-9-]+)\s*==\s*([0-9][0-9.]*)"
-    rows = _rows(files, "cabal.project.freeze").where(F.col("line").rlike(pin))
-    return _out(rows, "hackage", F.regexp_extract("line", pin, 1), F.regexp_extract("line", pin, 2))
+    rows = _rows(files, "cabal.project.freeze").where(~F.col("line").rlike(r"\A\s*--")).select("path", F.explode(F.regexp_extract_all("line", F.lit(pin), F.lit(0))).alias("pin"))
+    return _out(rows, "hackage", F.regexp_extract("pin", pin, 1), F.regexp_extract("pin", pin, 2))
 
 
 def stack(files: DataFrame) -> DataFrame:
@@ -339,38 +340,94 @@ PARSERS: dict[str, Callable[[str], Iterator[tuple]]] = {
     "yarn.lock": _yarn, "pnpm-lock.yaml": _pnpm, "bun.lock": _bun, "Gemfile.lock": _gemfile, "pom.xml": _pom, "manifest.toml": _gleam,
     "pubspec.lock": _pubspec, "Podfile.lock": _podfile, "Manifest.toml": _julia, "conda-lock.yml": _conda,
 }
-COLUMN_FORMS = (requirements, go_sum, gradle, mix, cpan, cabal, stack, cargo, poetry, uv, pipfile, npm, composer, nuget, renv, swift, conan, flake, nimble, elm)
+COLUMN_FORMS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "requirements.txt": requirements, "go.sum": go_sum, "gradle.lockfile": gradle, "mix.lock": mix, "cpanfile.snapshot": cpan, "cabal.project.freeze": cabal, "stack.yaml.lock": stack,
+    "Cargo.lock": cargo, "poetry.lock": poetry, "uv.lock": uv, "Pipfile.lock": pipfile, "package-lock.json": npm, "composer.lock": composer, "packages.lock.json": nuget, "renv.lock": renv,
+    "Package.resolved": swift, "conan.lock": conan, "flake.lock": flake, "nimble.lock": nimble, "elm.json": elm,
+}
+JSON_FORMS = ("Pipfile.lock", "package-lock.json", "composer.lock", "packages.lock.json", "renv.lock", "Package.resolved", "conan.lock", "flake.lock", "nimble.lock", "elm.json")
+OPAM = "*.opam.locked"
+# Lockfiles in order of preference, with their ecosystems; of a folder's files the first of an ecosystem counts.
+PREFERENCE = [
+    ("pnpm-lock.yaml", "npm"), ("yarn.lock", "npm"), ("bun.lock", "npm"), ("package-lock.json", "npm"), ("poetry.lock", "pypi"), ("uv.lock", "pypi"), ("Pipfile.lock", "pypi"),
+    ("requirements.txt", "pypi"), ("Cargo.lock", "crates"), ("go.sum", "go"), ("composer.lock", "packagist"), ("packages.lock.json", "nuget"), ("renv.lock", "cran"), ("Package.resolved", "swifturl"),
+    ("Gemfile.lock", "rubygems"), ("gradle.lockfile", "maven"), ("pom.xml", "maven"), ("manifest.toml", "hex"), ("mix.lock", "hex"), ("pubspec.lock", "pub"), ("Podfile.lock", "cocoapods"),
+    ("cpanfile.snapshot", "cpan"), ("cabal.project.freeze", "hackage"), ("stack.yaml.lock", "hackage"), ("conan.lock", "conan"), ("flake.lock", "nix"), ("Manifest.toml", "julia"),
+    ("conda-lock.yml", "conda"), ("nimble.lock", "nim"), ("elm.json", "elm"), (OPAM, "opam"),
+]
+PARSED = "path string, ecosystem string, name string, version string, direct boolean, error string"
+
+
+def lock_kind(path: str = "path") -> Column:
+    """The file name that picks a parser, or null."""
+    base = _base(path)
+    return F.when(base.isin(*[n for n, _ in PREFERENCE]), base).when(F.col(path).endswith(".opam.locked"), OPAM)
+
+
+def first_of_ecosystem(files: DataFrame) -> DataFrame:
+    """Of the lockfiles in one folder those that come first in their ecosystem; texts are not shuffled, only paths are."""
+    rank = F.create_map(*[F.lit(x) for k, (n, _) in enumerate(PREFERENCE) for x in (n, k)])
+    eco = F.create_map(*[F.lit(x) for n, e in PREFERENCE for x in (n, e)])
+    paths = files.select("path", lock_kind().alias("kind")).where("kind is not null")
+    paths = paths.select("path", F.regexp_replace("path", r"[^/\\\\]+\z", "").alias("folder"), F.element_at(eco, F.col("kind")).alias("eco"), F.element_at(rank, F.col("kind")).alias("rank"))
+    best = paths.groupBy("folder", "eco").agg(F.min_by("path", F.struct("rank", "path")).alias("path")).select("path")
+    return files.join(best, "path", "left_semi")
 
 
 def stateful(files: DataFrame) -> DataFrame:
-    """Files whose formats need a parser; a file that does not parse fails the job with its path."""
+    """Files whose formats need a parser; one that does not parse gives a single row with its ``error``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 base = re.split(r"[/\\]", path)[-1]
-                parse = PARSERS.get(base) or (_opam if base.endswith(".opam.locked") else _npm_v1 if base == "package-lock.json" else None)
-                if parse:
-                    try:
-                        rows += [(path, *r) for r in parse(text or "")]
-                    except Exception as e:
-                        raise ValueError(f"{path} is no valid {base}") from e
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], list(OUT))
-
-    old_npm = (_base("path") == "package-lock.json") & F.get_json_object("text", "$.packages").isNull()
+                parse = PARSERS.get(base) or (_opam if base.endswith(".opam.locked") else _npm_v1)
+                try:
+                    rows += [(path, *r, None) for r in list(parse(text or ""))]
+                except Exception as e:  # whatever a parser makes of a broken file
+                    rows.append((path, None, None, None, None, f"no valid {base}: {type(e).__name__}"))
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [*OUT, "error"])
+
+    old_npm = (_base("path") == "package-lock.json") & F.try_parse_json("text").isNotNull() & F.get_json_object("text", "$.packages").isNull()
     mine = files.where(_base("path").isin(*PARSERS) | F.col("path").endswith(".opam.locked") | old_npm)
-    return mine.select("path", "text").mapInArrow(run, "path string, ecosystem string, name string, version string, direct boolean")
+    return mine.select("path", "text").mapInArrow(run, PARSED)
 
 
 def parse_lockfiles(files: DataFrame) -> DataFrame:
-    """Dependencies of all files of known names."""
-    out = stateful(files)
-    for form in COLUMN_FORMS:
-        out = out.unionByName(form(files))
-    return out
+    """Dependencies (path, ecosystem, name, version, direct, error) of all files of known names.
+
+    Files are read once: those of known names are written to folders by name in the shared folder, and each parser reads
+    its own. A file that is no valid document of its kind gives one row with an ``error`` and nothing else.
+    """
+    table, _ = write_table(files.select("path", "text", lock_kind().alias("kind")).where("kind is not null"), "lockfiles", ("kind",))
+    out = stateful(table.where(F.col("kind").isin(*PARSERS, OPAM, "package-lock.json")))
+    for name, form in COLUMN_FORMS.items():
+        out = out.unionByName(form(table.where(F.col("kind") == name)).withColumn("error", F.lit(None).cast("string")))
+    broken = table.where(F.col("kind").isin(*JSON_FORMS) & F.try_parse_json("text").isNull())
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("ecosystem", "string"), ("name", "string"), ("version", "string"), ("direct", "boolean"))]
+    return out.unionByName(broken.select("path", *none, F.concat(F.lit("no valid "), "kind").alias("error")))
+
+
+def lockfile_dependencies(files: DataFrame) -> DataFrame:
+    """The dependencies of each folder's preferred lockfiles; broken files are left out."""
+    return parse_lockfiles(first_of_ecosystem(files)).where("error is null").drop("error")
+
+
+def npm_edges(files: DataFrame) -> DataFrame:
+    """(path, name, version, depends_on): for each package of a flat lockfile the keys ``npm/name@version`` it depends on.
+
+    A name stands for its shallowest copy; of copies of one version the shallowest tells the dependencies.
+    """
+    rows = _json(files, "package-lock.json", "packages map<string,struct<version:string,dependencies:map<string,string>>>").select("path", F.explode("d.packages").alias("at", "p"))
+    rows = rows.where("at <> '' and coalesce(p.version, '') <> ''").select("path", "at", F.element_at(F.split("at", "node_modules/"), -1).alias("name"), F.col("p.version").alias("version"), F.map_keys("p.dependencies").alias("needs")).where("name <> ''")
+    depth = F.struct(F.octet_length("at"), F.col("at"))
+    top = rows.groupBy("path", "name").agg(F.min_by("version", depth).alias("top"))
+    each = rows.groupBy("path", "name", "version").agg(F.min_by(F.struct("needs"), depth).alias("n")).select("path", "name", "version", F.explode("n.needs").alias("need"))
+    found = each.join(top.select("path", F.col("name").alias("need"), "top"), ["path", "need"])
+    return found.groupBy("path", "name", "version").agg(F.array_sort(F.collect_set(F.concat(F.lit("npm/"), "need", F.lit("@"), "top"))).alias("depends_on"))
 
 
 def read_files(spark, path: str, most_bytes: int = 4 << 20) -> DataFrame:

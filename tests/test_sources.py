@@ -50,9 +50,16 @@ def test_every_lockfile_format(spark):
     assert set(got) == set(CASES)
 
 
-def test_a_corrupt_file_fails(spark):
-    with pytest.raises(Exception, match="no valid pom.xml"):
-        L.stateful(spark.createDataFrame([("a/pom.xml", "<project>")], "path string, text string")).collect()
+def test_a_corrupt_file_gives_an_error_row(spark):
+    broken = spark.createDataFrame([("a/pom.xml", "<project>"), ("a/elm.json", "{"), ("a/notes.txt", "x"), ("b/package-lock.json", "")], "path string, text string")
+    got = {r["path"]: (r["error"], r["name"]) for r in L.parse_lockfiles(broken).collect()}
+    assert set(got) == {"a/pom.xml", "a/elm.json", "b/package-lock.json"} and all(e.startswith("no valid") and n is None for e, n in got.values())
+
+
+def test_one_lockfile_an_ecosystem(spark):
+    names = ["a/package-lock.json", "a/yarn.lock", "a/requirements.txt", "b/package-lock.json", "yarn.lock", "package-lock.json", "a/x.opam.locked", "a/y.opam.locked", "a/other"]
+    got = {r["path"] for r in L.first_of_ecosystem(spark.createDataFrame([(n, "") for n in names], "path string, text string")).collect()}
+    assert got == {"a/yarn.lock", "a/requirements.txt", "b/package-lock.json", "yarn.lock", "a/x.opam.locked"}
 
 
 def test_unpinned(spark):
