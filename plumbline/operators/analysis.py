@@ -10,16 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import code as C
-from .heuristics import binary_droppers, source_findings, suspicious_hook
+from ..functions.second_pass import second_pass
+from .heuristics import is_binary_dropper, source_findings, suspicious_hook
 
 PACKAGE = ["ecosystem", "name", "version"]
 
 
 def file_capabilities(files: DataFrame, text_col: str = "body") -> DataFrame:
-    """files with ``language``, ``capabilities`` and ``env_reads`` of their code; other files are left out."""
+    """files with ``language``, ``capabilities`` and ``env_reads`` of their code, JavaScript by two passes; other files are left out."""
     lang = files.withColumn("language", C.scanned_language(F.col("path"))).where("language is not null")
     plain = lang.withColumn("plain", C.without_comments(F.col(text_col), F.col("language")))
-    return plain.withColumns({"capabilities": C.capabilities(F.col("plain"), F.col("language")), "env_reads": C.env_reads(F.col("plain"), F.col("language"))}).drop("plain")
+    more = second_pass(F.col(text_col), F.col("language"))
+    return plain.withColumns({"capabilities": F.array_union(C.capabilities(F.col("plain"), F.col("language")), more), "env_reads": C.env_reads(F.col("plain"), F.col("language"))}).drop("plain")
 
 
 def file_imports(files: DataFrame, text_col: str = "body") -> DataFrame:
@@ -32,24 +34,26 @@ def fingerprints(files: DataFrame, hooks: DataFrame) -> DataFrame:
     """Package fingerprints from files (package columns, path, body) and hooks (package columns, phase, body).
 
     Capabilities are those of the code, of the heuristics over files, and of suspicious hooks; a declared hook adds
-    install-hook-exec. Sets are built by distinct rows before they are gathered, at most one a capability.
+    install-hook-exec. Each file is read once: one projection to sets and sizes, and one aggregate by package, which keeps
+    distinct sets (few, of capabilities) and combines before the shuffle. Environment names are as many as the code reads.
     """
-    code = file_capabilities(files)
-    caps = code.select(*PACKAGE, F.explode("capabilities").alias("cap"))
-    caps = caps.unionByName(source_findings(files).select(*PACKAGE, F.explode("capabilities").alias("cap")))
-    caps = caps.unionByName(binary_droppers(files).select(*PACKAGE, F.lit("binary-dropper").alias("cap")))
-    caps = caps.unionByName(hooks.where(suspicious_hook(F.col("body"))).select(*PACKAGE, F.lit("install-hook-suspicious").alias("cap")))
-    caps = caps.unionByName(hooks.select(*PACKAGE, F.lit("install-hook-exec").alias("cap"))).distinct()
-    sets = caps.groupBy(*PACKAGE).agg(F.array_sort(F.collect_list("cap")).alias("capabilities"))
-    env = code.select(*PACKAGE, F.explode("env_reads").alias("e")).distinct().groupBy(*PACKAGE).agg(F.array_sort(F.collect_list("e")).alias("env_reads"))
-    size = code.groupBy(*PACKAGE).agg(F.sum(F.octet_length("body")).alias("source_size_bytes"))
-    n_hooks = hooks.groupBy(*PACKAGE).agg(F.count(F.lit(1)).cast("int").alias("n_hooks"))
+    every = source_findings(files).withColumnRenamed("capabilities", "source_caps").withColumn("language", C.scanned_language(F.col("path")))
+    every = every.withColumn("plain", C.without_comments(F.col("body"), F.col("language")))
     none = F.array().cast("array<string>")
-    out = files.select(*PACKAGE).distinct().join(sets, PACKAGE, "left").join(env, PACKAGE, "left").join(size, PACKAGE, "left").join(n_hooks, PACKAGE, "left")
-    return out.withColumns({
-        "capabilities": F.coalesce("capabilities", none), "env_reads": F.coalesce("env_reads", none), "source_size_bytes": F.coalesce("source_size_bytes", F.lit(0)),
-        "n_hooks": F.coalesce("n_hooks", F.lit(0)), "analyzed": F.lit(True),
-    })
+    coded = F.col("language").isNotNull()
+    code = F.when(coded, F.array_union(C.capabilities(F.col("plain"), F.col("language")), second_pass(F.col("body"), F.col("language"))))
+    every = every.select(
+        *PACKAGE, F.array_union(F.coalesce(code, none), F.coalesce("source_caps", none)).alias("caps"), F.when(is_binary_dropper(F.col("path"), F.col("ecosystem")), F.array(F.lit("binary-dropper"))).otherwise(none).alias("drops"),
+        F.coalesce(F.when(coded, C.env_reads(F.col("plain"), F.col("language"))), none).alias("reads"), F.when(coded, F.octet_length("body")).otherwise(0).alias("bytes"), F.lit(0).alias("hook"),
+    )
+    hook = hooks.select(
+        *PACKAGE, F.array_compact(F.array(F.lit("install-hook-exec"), F.when(suspicious_hook(F.col("body")), "install-hook-suspicious"))).alias("caps"), none.alias("drops"), none.alias("reads"), F.lit(0).alias("bytes"), F.lit(1).alias("hook"),
+    )
+    gathered = every.unionByName(hook).withColumn("caps", F.array_union("caps", "drops")).groupBy(*PACKAGE).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("caps")))).alias("capabilities"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("reads")))).alias("env_reads"),
+        F.sum("bytes").alias("source_size_bytes"), F.sum("hook").cast("int").alias("n_hooks"), F.max(F.col("hook") == 0).alias("has_files"),
+    )
+    return gathered.where("has_files").drop("has_files").withColumn("analyzed", F.lit(True))
 
 
 def _python(text: str):

@@ -74,9 +74,13 @@ BINARIES = ["exe", "msi", "bat", "cmd", "dll", "so", "dylib", "scpt", "applescri
 PYPI_USUAL = r"\.cpython-[^/]*\.so\z|\.abi3\.so\z|\.pyd\z|/\.libs/|/_vendor/"
 
 
+def is_binary_dropper(path: Column, ecosystem: Column) -> Column:
+    return R.extension(path).isin(*BINARIES) & ~((ecosystem == "pypi") & path.rlike(PYPI_USUAL))
+
+
 def binary_droppers(files: DataFrame) -> DataFrame:
     """Files (ecosystem, path, ...) that are executables."""
-    return files.where(R.extension(F.col("path")).isin(*BINARIES) & ~((F.col("ecosystem") == "pypi") & F.col("path").rlike(PYPI_USUAL)))
+    return files.where(is_binary_dropper(F.col("path"), F.col("ecosystem")))
 
 
 # Folders of build output, and files that any package may have.

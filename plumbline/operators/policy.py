@@ -67,8 +67,8 @@ def schema_problems(snapshots: DataFrame, version: int = 1) -> DataFrame:
 
 
 def explain(spark: SparkSession) -> DataFrame:
-    """Capabilities by weight, heaviest first, then by name."""
-    return capability_dim(spark).select("capability", "code", "weight").orderBy(F.desc("weight"), "capability")
+    """Capabilities and what they mean, by weight, heaviest first, then by name."""
+    return capability_dim(spark).select("capability", "code", "weight", "description").orderBy(F.desc("weight"), "capability")
 
 
 def explain_package(flags: DataFrame, evidence: DataFrame, key: list[str]) -> DataFrame:

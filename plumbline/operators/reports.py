@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import purl
+from ..functions.names import purl, url_component
 from ..functions.scoring import severity_name, verdict_name
 
 
+# Names of hash algorithms by the prefix of an integrity field.
+HASHES = {"sha512": "SHA-512", "sha384": "SHA-384", "sha256": "SHA-256", "sha1": "SHA-1"}
+NOASSERTION = "NOASSERTION"
+
+
+def integrity_hash(integrity: Column) -> Column:
+    """struct(alg, content as hex) of an ``algorithm-base64`` integrity field of at most 512 bytes, or null."""
+    kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in HASHES.items() for x in kv]), F.lower(F.regexp_extract(integrity, r"\A([^-]*)-", 1)))
+    content = F.lower(F.hex(F.try_to_binary(F.regexp_extract(integrity, r"\A[^-]*-(.*)\z", 1), F.lit("base64"))))
+    return F.when((F.octet_length(integrity) <= 512) & kind.isNotNull() & content.isNotNull(), F.struct(kind.alias("alg"), content.alias("content")))
+
+
 def integrity_hex(integrity: Column) -> Column:
     """Hex of a ``sha512-<base64>`` integrity field, or null."""
-    return F.when(integrity.startswith("sha512-"), F.lower(F.hex(F.try_to_binary(F.substring(integrity, 8, 4096), F.lit("base64")))))
+    return F.when(integrity.startswith("sha512-"), integrity_hash(integrity)["content"])
 
 
 def components(deps: DataFrame) -> DataFrame:
@@ -23,41 +35,91 @@ def components(deps: DataFrame) -> DataFrame:
     )
 
 
-def cyclonedx(deps: DataFrame, advisories: DataFrame, project: str, timestamp: str, serial: str) -> DataFrame:
-    """(project, document): a CycloneDX 1.5 document for each project; components sorted by purl, vulnerabilities by id.
+def _optional(frame: DataFrame, name: str, kind: str = "string") -> Column:
+    return F.col(name) if name in frame.columns else F.lit(None).cast(kind)
+
+
+def versioned_key() -> Column:
+    return F.concat("ecosystem", F.lit("/"), "name", F.lit("@"), "version")
+
 
-    A document is one row; use ``components`` where a table is wanted.
+def dependency_nodes(deps: DataFrame, project: str) -> DataFrame:
+    """(project, ref, children): every component's children among the project's own, from ``depends_on`` keys, sorted."""
+    parts = deps.select(project, versioned_key().alias("key"), purl(F.col("ecosystem"), F.col("name"), F.col("version")).alias("ref"), F.coalesce(_optional(deps, "depends_on", "array<string>"), F.array().cast("array<string>")).alias("needs")).distinct()
+    refs = parts.select(project, "key", F.col("ref").alias("child")).distinct()
+    edges = parts.select(project, "ref", F.explode("needs").alias("key")).distinct().join(refs, [project, "key"]).select(project, "ref", "child")
+    every = parts.select(project, "ref", F.lit(None).cast("string").alias("child")).unionByName(edges)
+    return every.groupBy(project, "ref").agg(F.array_sort(F.collect_set("child")).alias("children"))
+
+
+def cyclonedx(deps: DataFrame, advisories: DataFrame, project: str, timestamp: str, serial: str, tool: str = "plumbline", tool_version: str = "") -> DataFrame:
+    """(project, document): a CycloneDX 1.5 document for each project; components sorted by purl, vulnerabilities by component, then id.
+
+    ``deps`` may have ``integrity``, ``license`` and ``depends_on``, ``advisories`` ``source``, ``url`` and ``summary``; what is
+    unknown is left out. A document is one row; use ``components`` and ``dependency_nodes`` where tables are wanted.
     """
-    parts = deps.withColumns(
-        {"purl": purl(F.col("ecosystem"), F.col("name"), F.col("version")), "scope": F.when(F.col("direct"), "required").otherwise("optional")}
+    parts = deps.withColumns({"purl": purl(F.col("ecosystem"), F.col("name"), F.col("version")), "scope": F.when(F.col("direct"), "required").otherwise("optional")})
+    hashed, license_ = integrity_hash(_optional(deps, "integrity")), F.nullif(_optional(deps, "license"), F.lit(""))
+    part = F.struct(
+        F.col("purl").alias("bom-ref"), F.lit("library").alias("type"), "name", "version", "purl", "scope", F.when(hashed.isNotNull(), F.array(hashed)).alias("hashes"),
+        F.when(license_.isNotNull(), F.array(F.struct(F.struct(license_.alias("id")).alias("license")))).alias("licenses"),
     )
-    part = F.struct(F.col("purl").alias("bom-ref"), F.lit("library").alias("type"), "name", "version", "purl", "scope")
     listed = parts.groupBy(project).agg(F.array_sort(F.collect_set(part)).alias("components"), F.array_sort(F.collect_set(F.when(F.col("direct"), F.col("purl")))).alias("direct"))
-    hits = parts.join(advisories.select("ecosystem", "name", "id", "severity"), ["ecosystem", "name"])
-    vuln = hits.groupBy(project, "id", "severity").agg(F.array_sort(F.collect_set("purl")).alias("refs"))
-    vuln = vuln.groupBy(project).agg(F.array_sort(F.collect_list(F.struct("id", F.array(F.struct(F.col("severity").alias("severity"))).alias("ratings"), F.transform("refs", lambda r: F.struct(r.alias("ref"))).alias("affects")))).alias("vulnerabilities"))
+    nodes = dependency_nodes(deps, project).groupBy(project).agg(F.array_sort(F.collect_list(F.struct("ref", F.col("children").alias("dependsOn")))).alias("nodes"))
+    source, url = (F.coalesce(_optional(advisories, c), F.lit("")) for c in ("source", "url"))
+    known = advisories.select("ecosystem", "name", "id", F.lower("severity").alias("severity"), source.alias("source"), url.alias("url"), _optional(advisories, "summary").alias("summary"))
+    hits = parts.select(project, "ecosystem", "name", "purl").distinct().join(known, ["ecosystem", "name"])
+    vuln = F.struct(
+        "purl", "id", F.when((F.col("source") != "") | (F.col("url") != ""), F.struct(F.col("source").alias("name"), "url")).alias("source"), F.array(F.struct("severity")).alias("ratings"), F.col("summary").alias("description"),
+        F.array(F.struct(F.col("purl").alias("ref"))).alias("affects"),
+    )
+    vulns = hits.groupBy(project).agg(F.transform(F.array_sort(F.collect_list(vuln)), lambda v: v.dropFields("purl")).alias("vulnerabilities"))
+    root = F.col(project).cast("string")
     doc = F.to_json(F.struct(
         F.lit("CycloneDX").alias("bomFormat"), F.lit("1.5").alias("specVersion"), F.lit(serial).alias("serialNumber"), F.lit(1).alias("version"),
-        F.struct(F.lit(timestamp).alias("timestamp")).alias("metadata"), "components",
-        F.array(F.struct(F.lit("root").alias("ref"), F.col("direct").alias("dependsOn"))).alias("dependencies"), "vulnerabilities",
+        F.struct(F.lit(timestamp).alias("timestamp"), F.struct(F.array(F.struct(F.lit("application").alias("type"), F.lit(tool).alias("name"), F.lit(tool_version).alias("version"))).alias("components")).alias("tools"),
+                 F.struct(F.lit("root").alias("bom-ref"), F.lit("application").alias("type"), root.alias("name")).alias("component")).alias("metadata"),
+        "components", F.concat(F.array(F.struct(F.lit("root").alias("ref"), F.col("direct").alias("dependsOn"))), "nodes").alias("dependencies"), "vulnerabilities",
     ))
-    return listed.join(vuln, project, "left").select(project, doc.alias("document"))
+    return listed.join(nodes, project, "left").join(vulns, project, "left").select(project, doc.alias("document"))
 
 
 def spdx_id(c: Column) -> Column:
     return F.concat(F.lit("SPDXRef-Package-"), F.regexp_replace(c, r"[^A-Za-z0-9.-]", "-"))
 
 
-def spdx(deps: DataFrame, project: str, created: str) -> DataFrame:
-    """(project, document): an SPDX 2.3 document for each project."""
+def spdx(deps: DataFrame, project: str, created: str, advisories: DataFrame | None = None, namespace: str = "urn:sbom", tool: str = "plumbline") -> DataFrame:
+    """(project, document): an SPDX 2.3 document for each project: its root, a package a dependency with its purl and its
+    advisories as SECURITY references (by ``url``, else ``id``), and who depends on what."""
+    own = purl(F.col("ecosystem"), F.col("name"), F.col("version"))
+    reference = lambda category, kind, at: F.struct(F.lit(category).alias("referenceCategory"), F.lit(kind).alias("referenceType"), at.alias("referenceLocator"))
+    rows = deps.withColumns({"own": own, "license_id": F.coalesce(F.nullif(_optional(deps, "license"), F.lit("")), F.lit(NOASSERTION))})
+    none = F.array().cast("array<struct<referenceCategory:string,referenceType:string,referenceLocator:string>>")
+    if advisories is not None:
+        at = F.coalesce(F.nullif(_optional(advisories, "url"), F.lit("")), F.col("id"))
+        known = advisories.groupBy("ecosystem", "name").agg(F.transform(F.array_sort(F.collect_set(F.struct("id", at.alias("at")))), lambda a: reference("SECURITY", "advisory", a["at"])).alias("known"))
+        rows = rows.join(known, ["ecosystem", "name"], "left")
+    else:
+        rows = rows.withColumn("known", none)
     pid = spdx_id(F.concat_ws("-", "ecosystem", "name", "version"))
+    blank = F.lit(NOASSERTION)
     package = F.struct(
-        pid.alias("SPDXID"), "name", F.col("version").alias("versionInfo"), F.lit("NOASSERTION").alias("downloadLocation"), F.lit("NOASSERTION").alias("licenseConcluded"),
-        F.array(F.struct(F.lit("PACKAGE-MANAGER").alias("referenceCategory"), F.lit("purl").alias("referenceType"), purl(F.col("ecosystem"), F.col("name"), F.col("version")).alias("referenceLocator"))).alias("externalRefs"),
+        pid.alias("SPDXID"), "name", F.col("version").alias("versionInfo"), blank.alias("downloadLocation"), F.lit(False).alias("filesAnalyzed"), F.concat(F.array(reference("PACKAGE-MANAGER", "purl", F.col("own"))), F.coalesce("known", none)).alias("externalRefs"),
+        F.col("license_id").alias("licenseConcluded"), F.col("license_id").alias("licenseDeclared"), blank.alias("copyrightText"),
     )
-    relation = F.struct(F.lit("SPDXRef-DOCUMENT").alias("spdxElementId"), F.when(F.col("direct"), "DEPENDS_ON").otherwise("DYNAMIC_LINK").alias("relationshipType"), pid.alias("relatedSpdxElement"))
-    doc = F.to_json(F.struct(F.lit("SPDX-2.3").alias("spdxVersion"), F.lit("CC0-1.0").alias("dataLicense"), F.lit("SPDXRef-DOCUMENT").alias("SPDXID"), F.struct(F.lit(created).alias("created")).alias("creationInfo"), "packages", "relationships"))
-    return deps.groupBy(project).agg(F.array_sort(F.collect_set(package)).alias("packages"), F.array_sort(F.collect_set(relation)).alias("relationships")).select(project, doc.alias("document"))
+    root = spdx_id(F.col(project).cast("string"))
+    relation = F.struct(root.alias("spdxElementId"), F.when(F.col("direct"), "DEPENDS_ON").otherwise("DYNAMIC_LINK").alias("relationshipType"), pid.alias("relatedSpdxElement"))
+    gathered = rows.groupBy(project).agg(F.array_sort(F.collect_set(package)).alias("packages"), F.array_sort(F.collect_set(relation)).alias("relations"))
+    top = F.struct(
+        root.alias("SPDXID"), F.col(project).cast("string").alias("name"), blank.alias("versionInfo"), blank.alias("downloadLocation"), F.lit(False).alias("filesAnalyzed"), none.alias("externalRefs"),
+        blank.alias("licenseConcluded"), blank.alias("licenseDeclared"), blank.alias("copyrightText"),
+    )
+    describes = F.struct(F.lit("SPDXRef-DOCUMENT").alias("spdxElementId"), F.lit("DESCRIBES").alias("relationshipType"), root.alias("relatedSpdxElement"))
+    doc = F.to_json(F.struct(
+        F.lit("SPDX-2.3").alias("spdxVersion"), F.lit("CC0-1.0").alias("dataLicense"), F.lit("SPDXRef-DOCUMENT").alias("SPDXID"), F.col(project).cast("string").alias("name"), F.concat(F.lit(namespace + "/"), url_component(F.col(project).cast("string"))).alias("documentNamespace"),
+        F.struct(F.lit(created).alias("created"), F.array(F.lit(f"Tool: {tool}")).alias("creators")).alias("creationInfo"), F.concat(F.array(top), "packages").alias("packages"), F.concat(F.array(describes), "relations").alias("relationships"),
+    ))
+    return gathered.select(project, doc.alias("document"))
 
 
 def sarif_results(findings: DataFrame) -> DataFrame:

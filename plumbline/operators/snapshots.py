@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scoring import advisory_verdict, downgrade, score_verdict
+from ..functions.versions import is_patch_step
+from ..schema import CAPABILITIES
+from .risk import apply_allowlist, drift_flags, provenance_flags, risk_flags, scores
+
 KEY = ["ecosystem", "name"]
 
 
@@ -39,3 +44,30 @@ def shown(snapshot: DataFrame, everything: bool = False) -> DataFrame:
         return snapshot
     any_direct = F.max(F.col("direct").cast("int")).over(Window.partitionBy("project"))
     return snapshot.withColumn("any", any_direct).where("direct or any = 0").drop("any")
+
+
+def score_diff(prev: DataFrame, nxt: DataFrame, rules: DataFrame, order: str) -> DataFrame:
+    """(ecosystem, name, kind, old_version, new_version, risk_score, drift_score, verdict rank) of added and upgraded packages.
+
+    Both snapshots have fingerprints: analyzed, capabilities, n_hooks, env_reads, hooks (map of phase to hash), size,
+    provenance_status, reachability, and severity (the rank of the worst advisory, or null). Risk: the next fingerprint's
+    flags, a missing attestation, and a patch step that gained a capability, less what the rules allow. Drift: what changed
+    since the previous fingerprint; none for added packages. The verdict is the worst of the larger score and the advisories,
+    these one level lower where the package is not used.
+    """
+    entries = diff(prev, nxt, order).where("kind <> 'removed'")
+    new = latest(nxt, order).join(entries.select(*KEY, "kind", "old_version"), KEY)
+    old = latest(prev, order).select(*KEY, *[F.col(c).alias(f"prev_{c}") for c in ("analyzed", "capabilities", "hooks", "size")])
+    both = new.join(old, KEY, "left")
+    pairs = both.where("kind = 'upgraded' and prev_analyzed and analyzed")
+    patch = pairs.where(is_patch_step(F.col("old_version"), F.col("version")) & (F.size(F.array_except("capabilities", "prev_capabilities")) > 0))
+    patch = patch.select(*KEY, "version", F.lit("patch-version-drift").alias("code"), F.lit(dict(CAPABILITIES)["patch-version-drift"]).alias("weight"))
+    flags = risk_flags(new).unionByName(provenance_flags(new)).unionByName(patch)
+    risk = scores(apply_allowlist(flags, rules), KEY).withColumnRenamed("score", "risk_score")
+    changed = pairs.select(*KEY, "prev_analyzed", "prev_capabilities", "prev_hooks", "prev_size", *[F.col(c).alias(f"next_{c}") for c in ("analyzed", "capabilities", "hooks", "size")])
+    drift = scores(drift_flags(changed, KEY), KEY).withColumnRenamed("score", "drift_score")
+    every = both.join(risk, KEY, "left").join(drift, KEY, "left").na.fill(0, ["risk_score", "drift_score"])
+    known = advisory_verdict(F.coalesce("severity", F.lit(0)))
+    known = F.when(F.col("reachability") == "unused", downgrade(known)).otherwise(known)
+    verdict = F.greatest(score_verdict(F.greatest("risk_score", "drift_score")), known)
+    return every.select(*KEY, "kind", "old_version", F.col("version").alias("new_version"), "risk_score", "drift_score", verdict.alias("verdict"))

@@ -119,8 +119,6 @@ ORACLES = {
     "callers_closure": """WITH RECURSIVE e AS (SELECT DISTINCT 'f' || (l_partkey % 300) AS caller, 'f' || ((l_partkey * 7 + l_suppkey) % 600) AS callee FROM lineitem), r(function) AS (SELECT 'f599' UNION SELECT caller FROM e JOIN r ON e.callee = r.function) SELECT function FROM r""",
     "package_urls": f"""WITH {DEPS} SELECT DISTINCT ecosystem, name, version, 'pkg:' || CASE ecosystem WHEN 'crates' THEN 'cargo' WHEN 'go' THEN 'golang' WHEN 'rubygems' THEN 'gem' ELSE ecosystem END || '/' || name || '@' || version AS purl, CASE WHEN direct THEN 'required' ELSE 'optional' END AS scope FROM deps""",
     "sarif_results": f"""WITH {DEPS}, {ADVS} SELECT DISTINCT 'vulnerable-dependency' AS "ruleId", CASE WHEN sev >= 3 THEN 'error' WHEN sev = 2 THEN 'warning' ELSE 'note' END AS level, id || ': ' || summary || ' (' || ['info','low','medium','high','critical'][CAST(sev + 1 AS INT)] || ')' AS message, ecosystem || '/' || name || '@' || version AS location FROM deps JOIN advs USING (ecosystem, name)""",
-    "cyclonedx_sizes": f"""WITH {DEPS} SELECT project, CAST(count(DISTINCT ecosystem || name || version || direct) AS BIGINT) AS components, CAST(count(DISTINCT CASE WHEN direct THEN ecosystem || name || version END) AS BIGINT) AS direct FROM deps GROUP BY project""",
-    "spdx_sizes": f"WITH {DEPS} SELECT project, CAST(count(DISTINCT ecosystem || name || version) AS BIGINT) AS packages FROM deps GROUP BY project",
     "history_inversions": """WITH c AS (SELECT o_custkey AS package, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS position, epoch(o_orderdate)::BIGINT AS t FROM orders), n AS (SELECT *, lead(t) OVER (PARTITION BY package ORDER BY position) AS nt FROM c)
  SELECT package, CAST(min(position) AS BIGINT) AS at FROM n WHERE nt - t > 86400 GROUP BY package""",
     "package_entries": "SELECT p_partkey AS package, CASE p_size % 5 WHEN 0 THEN 'install-script' WHEN 1 THEN 'ld-preload' WHEN 2 THEN 'setuid-binary' WHEN 3 THEN 'file-outside-prefix' ELSE 'cron-drop-in' END AS rule, CAST(CASE p_size % 5 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 2 END AS BIGINT) AS severity FROM part",
@@ -162,6 +160,6 @@ ORACLES = {
     "unused_dependencies": "SELECT DISTINCT l_orderkey AS project, 'd' || (l_partkey % 20) AS dep_name FROM lineitem l WHERE l_linenumber % 2 = 1 AND NOT EXISTS (SELECT 1 FROM lineitem q WHERE q.l_orderkey = l.l_orderkey AND q.l_suppkey % 20 = l.l_partkey % 20)",
 }
 
-from . import lock_queries, rule_queries  # noqa: E402
+from . import lock_queries, report_queries, rule_queries  # noqa: E402
 
-ORACLES |= rule_queries.oracles(DEPS, vnum) | lock_queries.ORACLES
+ORACLES |= rule_queries.oracles(DEPS, vnum) | lock_queries.ORACLES | report_queries.oracles(DEPS, ADVS)

@@ -270,19 +270,6 @@ def sarif_results(spark, d):
     return RP.sarif_results(hits)
 
 
-def cyclonedx_sizes(spark, d):
-    """Whole documents, read back to their sizes."""
-    deps = D.dependencies(spark, d).select("project", *KEY, "direct")
-    docs = RP.cyclonedx(deps, D.advisories(spark, d), "project", "2024-01-01T00:00:00Z", "urn:uuid:0")
-    back = F.from_json("document", "components array<struct<purl:string>>, dependencies array<struct<dependsOn:array<string>>>")
-    return docs.select("project", F.size(back["components"]).cast("long").alias("components"), F.size(back["dependencies"][0]["dependsOn"]).cast("long").alias("direct"))
-
-
-def spdx_sizes(spark, d):
-    docs = RP.spdx(D.dependencies(spark, d).select("project", *KEY, "direct"), "project", "2024-01-01T00:00:00Z")
-    return docs.select("project", F.size(F.from_json("document", "packages array<struct<SPDXID:string>>")["packages"]).cast("long").alias("packages"))
-
-
 def history_inversions(spark, d):
     from pyspark.sql import Window
 
@@ -376,7 +363,7 @@ NAMES = [
     dependency_verdicts, ci_gate, ci_findings, verdict_cube, max_severity, advisory_merge, advisory_merge_alias, epss_enrich, kev_enrich, cvss_score, osv_parse, version_order, version_satisfies, max_satisfying, fix_plan,
     risk_scores, risk_flags, allowlisted_scores, allowlist_matches, drift_scores, gate_policy, snapshot_diff, snapshot_rescan, snapshot_show, typosquats, maintainer_signals, binary_droppers,
     source_patterns, secrets, license_lines, page_hosts, glob_match, layer_overlay, dep_keys, project_reachability, functions_reaching, callers_closure,
-    package_urls, sarif_results, cyclonedx_sizes, spdx_sizes, history_inversions, package_entries, package_verdicts, requirements_lock, go_sum_lock,
+    package_urls, sarif_results, history_inversions, package_entries, package_verdicts, requirements_lock, go_sum_lock,
     gradle_lock, cargo_lock, npm_lock, gem_lock, audit_tail, audit_windows, audit_sessions, fleet, image_references, capability_docs,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
@@ -518,6 +505,6 @@ def unused_dependencies(spark, d):
 
 QUERIES |= {f.__name__: f for f in (advisory_queries, advisory_lookup, ghsa_parse, npm_licenses, npm_provenance, packument_releases, resolved_requests, pypi_requests, tag_candidates, patch_drift, unused_dependencies)}
 
-from . import lock_queries, rule_queries  # noqa: E402
+from . import lock_queries, report_queries, rule_queries  # noqa: E402
 
-QUERIES |= rule_queries.QUERIES | lock_queries.QUERIES
+QUERIES |= rule_queries.QUERIES | lock_queries.QUERIES | report_queries.QUERIES

@@ -118,7 +118,9 @@ def test_reports(spark):
     assert parts["a"]["sha512"] == bytes(range(64)).hex() and parts["b"]["sha512"] is None and parts["b"]["scope"] == "optional"
     adv = spark.createDataFrame([("npm", "a", "X", "high")], "ecosystem string, name string, id string, severity string")
     doc = RP.cyclonedx(deps, adv, "project", "t", "s").first()["document"]
-    assert '"specVersion":"1.5"' in doc and '"id":"X"' in doc and '"dependsOn":["pkg:npm/a@1"]' in doc
+    assert '"specVersion":"1.5"' in doc and '"id":"X"' in doc and '"dependsOn":["pkg:npm/a@1"]' in doc and f'"content":"{bytes(range(64)).hex()}"' in doc
+    nodes = {r["ref"]: r["children"] for r in RP.dependency_nodes(deps.withColumn("depends_on", F.expr("if(name = 'a', array('npm/b@2', 'npm/c@3'), null)")), "project").collect()}
+    assert nodes == {"pkg:npm/a@1": ["pkg:npm/b@2"], "pkg:npm/b@2": []}
     spdx = RP.spdx(deps, "project", "t").first()["document"]
     assert "DYNAMIC_LINK" in spdx and "SPDXRef-Package-npm-a-1" in spdx
     log = RP.sarif(RP.sarif_results(spark.createDataFrame([("npm", "a", "1", "X", "bad", 3)], "ecosystem string, name string, version string, id string, summary string, severity int")).withColumn("g", F.lit(1)), "tool", "g").first()["document"]
@@ -142,3 +144,26 @@ def test_lexical_symbols_and_calls(spark):
     assert got == {("a.go", "net/http", "Get"), ("a.go", "h/y", "Do"), ("b.rs", "a::b", "run"), ("b.rs", "c::d", "go"), ("c.php", "A\\B", "make"), ("e.rb", "json", "parse")}
     calls = {(r["file"], r["caller"], r["callee"]) for r in analysis.lexical_call_edges(frame).collect()}
     assert {("a.go", "f", "Get"), ("a.go", "g", "f"), ("c.php", "f", "strlen"), ("d.js", "<module>", "g"), ("d.js", "f", "h"), ("d.js", "k", "f")} <= calls
+
+
+def test_javascript_second_pass():
+    from plumbline.functions.second_pass import capabilities, declarations
+
+    codes = lambda t: ", ".join(str(ord(c)) for c in t)
+    url = "https://pastebin.com/x"
+    cases = {
+        f"const a = [{codes(url)}];": {"suspicious-url"}, f"a = [{codes(url)}];": set(), f"f(String.fromCharCode({codes('curl x | sh')}))": {"install-hook-suspicious"},
+        f"const a = [{codes(url)}], b = String.fromCharCode(...a)": {"suspicious-url"}, "const a = [1, x, 2]; eval(a)": set(), f"var a = [{codes('plain')}]": set(),
+        "const v = atob(x);\neval(v)": {"dynamic-eval"}, "const v = atob(x).length;\neval(v)": set(), "let v = Buffer.from(p(1, 2), 'base64'), w;\nnew Function (w, v)()": {"dynamic-eval"},
+        "let v = Buffer.from(p, 'hex');\neval(v)": set(), "const v = atob(x); medieval(v); my$eval(v); eval(vv); eval(a.v$)": set(), "const v = atob(x); fetch(u + v).then(f)": {"net-egress"}, "const v = atob(x)\nspawn(a(b), v)": set(),
+        "const { v } = atob(x); eval(v)": set(), "const é = atob(x); exec(é)": {"shell-spawn"}, "const a = [99999999999]": set(), "const s = `${'; const q = 1'}`; let v = btoa(s); execSync(v)": {"shell-spawn"}, "const": set(), "const a = [": set(), "let v = atob(": set(),
+    }
+    for text, want in cases.items():
+        assert capabilities(text) == want, text
+    assert dict(declarations("let a = f(1, 2), b = [3,\n4]\nvar c: string = 'x;y';")) == {"a": "f(1, 2)", "b": "[3,\n4]", "c": "'x;y'"}
+    import time
+
+    began = time.process_time()
+    for text in ("const a = " + "(" * 200000, "const a = 1, " * 50000, "eval(" * 100000 + "const v = atob(x)", "String.fromCharCode(" * 50000):
+        capabilities(text)
+    assert time.process_time() - began < 20
