@@ -3,11 +3,13 @@
 Texts are cut into windows of WINDOW bytes (A-Z lower-cased), which cover every byte. A forward and a backward gated
 recurrent layer read each window; every position gets a distribution over the learned languages, and a document's
 probabilities are the mean over all its positions. Training is backpropagation through time with Adam on windows drawn
-from a bounded sample of labelled rows: about ``per_lang`` documents of each of the ``most_langs`` commonest languages,
-chosen by a hash of the id, and ``per_doc`` windows of each. Prediction reads whole texts and nothing but them.
+from a bounded sample of labelled rows: about ``per_lang`` documents of every language (fewer where that came to more than
+``most_docs`` in all), chosen by a hash of the id, and ``per_doc`` windows of each. Prediction reads whole texts, of any
+length, and nothing but them.
 
 Null texts and texts without a letter: ``und`` with score 0. No labelled rows: ``und`` everywhere. Rows with a null
-label teach nothing. Ties go to the language that sorts first. Repeated rows get equal results; other columns are ignored.
+label teach nothing. Ties go to the language that sorts first. Repeated rows get equal results; empty tables give no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,6 +90,25 @@ def _back(layer: Layer, bytes_: np.ndarray, kept: list[tuple], grad: np.ndarray)
     return de, du
 
 
+def gradients(params: list[np.ndarray], x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Gradients, by backpropagation through time, of the weighted cross-entropy of all positions of windows (B, T)."""
+    layers, (w, b) = [Layer(params[0], params[1]), Layer(params[2], params[3])], params[4:]
+    size = params[1].shape[0]
+    runs = [_run(layers[0], x, mask, False), _run(layers[1], x, mask, True)]
+    h = np.zeros((x.shape[1], len(x), 2 * size), w.dtype)
+    for k, kept in enumerate(runs):
+        for t, *_, after in kept:
+            h[t, :, k * size : (k + 1) * size] = after
+    logit = h @ w + b
+    p = np.exp(logit - logit.max(axis=2, keepdims=True))
+    p /= p.sum(axis=2, keepdims=True)
+    p[:, np.arange(len(x)), y] -= 1
+    p *= (mask.T * weight / max(mask.sum(), 1))[:, :, None]
+    flat, states = p.reshape(-1, len(b)), h.reshape(-1, 2 * size)
+    dh = p @ w.T
+    return [*_back(layers[0], x, runs[0], dh[:, :, :size]), *_back(layers[1], x, runs[1], dh[:, :, size:]), states.T @ flat, flat.sum(axis=0)]
+
+
 def train(windows: list[bytes], labels: list[str], epochs: int = 3, batch: int = 256, rate: float = 0.01, least_steps: int = 400, seed: int = 7) -> Model:
     rng = np.random.Generator(np.random.PCG64(seed))
     langs = sorted(set(labels))
@@ -111,19 +132,7 @@ def train(windows: list[bytes], labels: list[str], epochs: int = 3, batch: int =
         for at in range(0, len(order), batch):
             i = order[at : at + batch]
             xb, mb = x[i], mask[i]
-            runs = [_run(layers[0], xb, mb, False), _run(layers[1], xb, mb, True)]
-            h = np.zeros((WINDOW, len(i), 2 * size), np.float32)
-            for k, kept in enumerate(runs):
-                for t, *_, after in kept:
-                    h[t, :, k * size : (k + 1) * size] = after
-            logit = h @ w + b
-            p = np.exp(logit - logit.max(axis=2, keepdims=True))
-            p /= p.sum(axis=2, keepdims=True)
-            p[:, np.arange(len(i)), y[i]] -= 1
-            p *= (mb.T * weight[y[i]] / max(mb.sum(), 1))[:, :, None]
-            flat, states = p.reshape(-1, len(langs)), h.reshape(-1, 2 * size)
-            dh = p @ w.T
-            grads = [*_back(layers[0], xb, runs[0], dh[:, :, :size]), *_back(layers[1], xb, runs[1], dh[:, :, size:]), states.T @ flat, flat.sum(axis=0)]
+            grads = gradients(params, xb, mb, y[i], weight[y[i]])
             norm = float(np.sqrt(sum((g * g).sum() for g in grads)))
             step += 1
             pace = rate * (1 - 0.9 * step / total) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
@@ -213,15 +222,16 @@ def has_letter(column: pa.Array, raw: np.ndarray, offsets: np.ndarray) -> np.nda
     return got
 
 
-def fit(docs: DataFrame, teach: Column | None = None, per_lang: int = 1500, per_doc: int = 4, most_langs: int = 64) -> Model | None:
-    """Train on windows of about ``per_lang`` documents a language (every document, where there are fewer)."""
+def fit(docs: DataFrame, teach: Column | None = None, per_lang: int = 1500, per_doc: int = 4, most_docs: int = 96000, id_col: str = "doc_id") -> Model | None:
+    """Train on windows of about ``per_lang`` documents of each language (every document, where there are fewer)."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows if teach is None else rows.where(teach)
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return None
-    rate = F.create_map(*[F.lit(v) for x in counts for v in (x["lang"], min(1.0, per_lang / x["count"]))])
-    drawn = rows.where((F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)) < F.element_at(rate, F.col("lang"))).select("lang", "text")
+    each = min(per_lang, max(1, most_docs // len(counts)))
+    rate = F.create_map(*[F.lit(v) for x in counts for v in (x["lang"], min(1.0, each / x["n"]))])
+    drawn = rows.where((F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1 << 30)) / float(1 << 30)) < F.element_at(rate, F.col("lang"))).select("lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tk.slices(batches, "text"):
