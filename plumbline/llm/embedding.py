@@ -5,7 +5,8 @@ partition them into cells of nearest pivots. A vector x of cell i can only have
 inequality lets it: d(x, pj) <= r + (largest distance from pj in cell j), d(x, pj) - d(x, pi) <= 2 r, and x lies within
 r of the plane between pi and pj. Then, and only then, x is replicated to j. Each cell is joined by itself, its own
 vectors in blocks of bounded size, candidates streamed past a block; so a vector meets all its partners in its own block.
-Links are counted there and only a spanning forest of them is written, never all pairs. Where vectors lie without
+Links are counted there and only a spanning forest of them is written, never all pairs. Pivots are as many as cells need
+to fit a block, up to PIVOT_BYTES of them in all (131,072 of 64 parts); beyond that cells take more blocks. Where vectors lie without
 structure (random ones), the bounds exclude little and the join compares all blocks; the results are the same.
 
 Equal vectors form a class and are compared once. Vectors that are null, empty, zero, or hold null or non-finite parts
@@ -30,9 +31,10 @@ from .store import cut
 LARGEST_BLOCK = 4096
 LEAST_BLOCK = 256
 LEAST_CELLS = 16
-MOST_PIVOTS = 2048
+PIVOT_BYTES = 64 << 20
+GRID = 1 << 22
 STREAM = 512
-SLACK = 1e-9
+SLACK = 1e-7  # more than the rounding of a distance, which is near sqrt(eps) for near vectors
 
 
 def unit_vectors(column: pa.Array) -> list[np.ndarray | None]:
@@ -86,34 +88,41 @@ def _by_dim(batch: pa.RecordBatch):
 
 
 def _owned(classes: DataFrame, sent) -> DataFrame:
+    most = max((len(p) for _, p in sent.value.values()), default=1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for dim, part in _by_dim(batch):
-                first, pivots = sent.value[dim]
-                d = _distances(_matrix(part.column(2), dim), pivots)
-                own = d.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(own + first, pa.int32()), pa.array(d[np.arange(len(own)), own])], ["cell", "far"])
+        for dim, part in (x for batch in batches for at in range(0, batch.num_rows, max(16, GRID // most)) for x in _by_dim(batch.slice(at, max(16, GRID // most)))):
+            first, pivots = sent.value[dim]
+            d = _distances(_matrix(part.column(2), dim), pivots)
+            own = d.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(own + first, pa.int32()), pa.array(d[np.arange(len(own)), own])], ["cell", "far"])
 
     return classes.select("cls", "dim", "vec").mapInArrow(run, "cell int, far double")
 
 
 def _dealt(classes: DataFrame, sent, cells: dict[int, tuple[int, float]], r: float, block: int) -> DataFrame:
     """(cell, block, kind, cls, dim, n, vec): a vector once among a block's own (kind 0), and as candidate (kind 1) wherever it may link."""
+    count = max(cells, default=-1) + 1
+    reaches = np.array([cells.get(j, (0, -1.0))[1] for j in range(count)])
+    blocks_of = np.array([-(-cells.get(j, (0, 0.0))[0] // block) for j in range(count)], np.int64)
+    most = max((len(p) for _, p in sent.value.values()), default=1)
+    pad = max((f + len(p) for f, p in sent.value.values()), default=0) - count
+    reaches, blocks_of = np.append(reaches, np.full(pad, -1.0)), np.append(blocks_of, np.zeros(pad, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                for dim, part in _by_dim(whole.slice(at, 2048)):
+            step = max(16, min(2048, GRID // most))
+            for at in range(0, whole.num_rows, step):
+                for dim, part in _by_dim(whole.slice(at, step)):
                     first, pivots = sent.value[dim]
                     d = _distances(_matrix(part.column(3), dim), pivots)
                     rows = np.arange(len(d))
                     own = d.argmin(axis=1)
                     mine = d[rows, own][:, None]
-                    between = np.maximum(_distances(pivots, pivots)[own], 1e-12)
-                    reach = np.array([cells.get(first + j, (0, -1.0))[1] for j in range(len(pivots))])
+                    between = np.maximum(_distances(pivots[own], pivots), 1e-12)
+                    reach, blocks = reaches[first : first + len(pivots)], blocks_of[first : first + len(pivots)]
                     far = (d <= r + reach + SLACK) & (d - mine <= 2 * r + SLACK) & ((d * d - mine * mine) / (2 * between) <= r + SLACK)
                     far[rows, own] = True
-                    blocks = np.array([-(-cells.get(first + j, (0, 0))[0] // block) for j in range(len(pivots))])
                     ids = part.column(0).to_numpy().view(np.uint64)
                     home = ((ids >> np.uint64(33)) % np.maximum(blocks[own], 1).astype(np.uint64)).astype(np.int64)
                     i, j = np.nonzero(far)
@@ -220,7 +229,7 @@ def link_vectors(frame: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
     sizes = {int(d): int(n) for d, n in classes.groupBy("dim").count().collect()}
     pivots, first = {}, 0
     for dim, n in sorted(sizes.items()):
-        most = min(MOST_PIVOTS, -(-n // block))
+        most = max(1, min(PIVOT_BYTES // len(sizes) // (8 * dim), -(-n // block)))
         drawn = classes.where(F.col("dim") == dim).select("vec", F.xxhash64("cls").alias("h"), "cls").orderBy("h", "cls").limit(most).collect()
         pivots[dim] = (first, np.stack([np.frombuffer(x.vec, np.float64) for x in drawn]))
         first += len(drawn)
