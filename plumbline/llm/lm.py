@@ -5,14 +5,18 @@ has STATES latent states. A state emits one of the VOCABULARY commonest words, t
 words (by a word's last bytes); within a class a word has the share (c + 0.1) of its count c, and all unseen words of a
 class share one symbol of count 0. So the probabilities of all known words, the unseen symbols and the end sum to 1.
 
-Training: a short Baum-Welch run on a bounded sample only sets the start; then ROUNDS rounds of Baum-Welch read all
-training documents (in segments of SEGMENT tokens), their expected counts added up across partitions. Scoring: the
-scaled forward recursion over each whole document, exactly.
+Training: symbols of all training documents are written once, in SLICES by a hash of the id. One sweep of stepwise
+Baum-Welch takes the slices in turn (expected counts of a slice are mixed into those so far), then ROUNDS rounds of
+Baum-Welch read them all; expected counts are added up across partitions. So what is gathered grows with the input.
+Documents are read in segments of SEGMENT tokens with CONTEXT tokens on either side: every token and every transition is
+counted once, with posteriors that know their surroundings. Scoring: the scaled forward recursion over each whole
+document, exactly.
 
 Counts of the KNOWN_MOST commonest words go to all executors (a list of bounded length); every other token is joined with
 the count table by its hash. A word is known by a 56-bit hash and its class; two words meet with a chance near n^2 / 2^57.
-Null texts are empty: one end. Repeated rows are scored each. Without training documents every token is the one unseen
-symbol, and both scores are 0. Extra columns are ignored.
+Null texts are empty: one end. Texts of any length are read whole. Repeated rows are scored each. Ties of counts are
+ordered by hash. Without training documents every token is the one unseen symbol, and both scores are 0. Empty tables
+give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .store import cut
+from .store import cut, release
 
 STATES, VOCABULARY, CLASSES = 16, 16384, 256
 KNOWN_MOST = 1 << 20
-SEGMENT, ROUNDS, START_ROUNDS = 128, 2, 15
+SEGMENT, CONTEXT, SLICES, ROUNDS = 128, 16, 8, 2
 SYMBOLS = VOCABULARY + CLASSES + 1
 END = SYMBOLS - 1
 ROWS = 256
@@ -144,9 +148,11 @@ def _grid(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return grid, np.searchsorted(-size[order], -np.arange(len(grid)), "left"), order
 
 
-def expected(model: Hmm, seqs: list[np.ndarray], firsts: np.ndarray, out: dict) -> None:
-    """Add the expected counts of sequences (firsts: begin a document) to ``out``."""
+def expected(model: Hmm, seqs: list[np.ndarray], firsts: np.ndarray, out: dict, spans: np.ndarray | None = None) -> None:
+    """Add the expected counts of sequences (firsts: begin a document) to ``out``; of each only the tokens in its span
+    (from, to) and the transitions into them."""
     grid, active, order = _grid(seqs)
+    spans = (np.array([(0, len(s)) for s in seqs]) if spans is None else spans)[order]
     steps, n = grid.shape
     emit, move = model.emit.astype(np.float32), model.move.astype(np.float32)
     alpha, scale = np.zeros((steps, n, STATES), np.float32), np.ones((steps, n), np.float32)
@@ -160,15 +166,16 @@ def expected(model: Hmm, seqs: list[np.ndarray], firsts: np.ndarray, out: dict)
     gammas, symbols = [], []
     for t in range(steps - 1, -1, -1):
         m = active[t]
-        gamma = alpha[t, :m] * beta[:m]
+        inside = ((spans[:m, 0] <= t) & (t < spans[:m, 1])).astype(np.float32)[:, None]
+        gamma = alpha[t, :m] * beta[:m] * inside
         gammas.append(gamma)
         symbols.append(grid[t, :m])
         if t:
             b = emit[grid[t, :m]] * beta[:m] / scale[t, :m, None]
-            out["move"] += (alpha[t - 1, :m].T @ b) * move
+            out["move"] += (alpha[t - 1, :m].T @ (b * inside)) * move
             beta[:m] = b @ move.T
         else:
-            out["start"] += gamma[firsts[order]].sum(axis=0)
+            out["start"] += gamma[firsts[order][:m]].sum(axis=0)
     gamma, symbol = np.concatenate(gammas), np.concatenate(symbols)
     for k in range(STATES):
         out["emit"][:, k] += np.bincount(symbol, gamma[:, k], minlength=SYMBOLS)
@@ -198,34 +205,55 @@ class Reader:
         return keys, at, symbol, rows
 
 
-def _segments(symbol: np.ndarray, rows: np.ndarray) -> tuple[list[np.ndarray], list[bool]]:
-    seqs, firsts = [], []
-    for a, b in zip(rows[:-1], rows[1:], strict=True):
-        s = np.append(symbol[a:b], np.int32(END))
+def segments(docs: list[np.ndarray]) -> tuple[list[np.ndarray], list[bool], list[tuple[int, int]]]:
+    """Segments of documents (symbols, ends included) with their surroundings, whether they begin one, and their own spans."""
+    seqs, firsts, spans = [], [], []
+    for s in docs:
         for k in range(0, len(s), SEGMENT):
-            seqs.append(s[k : k + SEGMENT])
-            firsts.append(k == 0)
-    return seqs, firsts
+            a, end = max(k - CONTEXT, 0), min(k + SEGMENT, len(s))
+            seqs.append(s[a : end + CONTEXT])
+            firsts.append(a == 0)
+            spans.append((k - a, end - a))
+    return seqs, firsts, spans
 
 
-def _collect(model: Hmm, seqs: list, firsts: list, out: dict, batch: int = 1024) -> None:
+def _collect(model: Hmm, docs: list[np.ndarray], out: dict, batch: int = 1024) -> None:
+    seqs, firsts, spans = segments(docs)
     order = np.argsort([len(s) for s in seqs], kind="stable")
     for k in range(0, len(order), batch):
         i = order[k : k + batch]
-        expected(model, [seqs[j] for j in i], np.array([firsts[j] for j in i]), out)
+        expected(model, [seqs[j] for j in i], np.array([firsts[j] for j in i]), out, np.array([spans[j] for j in i]))
 
 
-def _round(docs: DataFrame, counts_sent, model: Hmm) -> dict:
-    """Expected counts over all of ``docs``: added up in partitions, then across them in blocks of symbols."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def _symbols(docs: DataFrame, counts_sent) -> DataFrame:
+    """(slice, symbols) of documents (slice, text), ends included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, out, any_rows = Reader(counts_sent.value), empty_counts(), False
+        reader = Reader(counts_sent.value)
         for part in tk.slices(batches, "text"):
-            _, _, symbol, rows = reader.read(*tk.string_buffers(part.column(0)))
-            _collect(sent.value, *_segments(symbol, rows), out)
-            any_rows = True
-        if any_rows:
+            _, _, symbol, rows = reader.read(*tk.string_buffers(part.column(1)))
+            out = [np.append(symbol[a:b], END).astype(np.uint16).tobytes() for a, b in zip(rows[:-1], rows[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["slice", "symbols"])
+
+    return docs.select("slice", "text").mapInArrow(run, "slice int, symbols binary")
+
+
+def _round(symbols: DataFrame, model: Hmm) -> dict | None:
+    """Expected counts over a table of symbols: added up in partitions, then across them in blocks of symbols."""
+    sent = symbols.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held, size, seen = empty_counts(), [], 0, False
+        for batch in batches:
+            for x in batch.column(0):
+                held.append(np.frombuffer(x.as_buffer(), np.uint16).astype(np.int32))
+                size += len(held[-1])
+                if size > 1 << 19:
+                    _collect(sent.value, held, out)
+                    held, size, seen = [], 0, True
+        if held:
+            _collect(sent.value, held, out)
+        if held or seen:
             whole = np.concatenate([out["emit"], out["move"], out["start"][None]]).astype(np.float32)
             blocks = range(0, len(whole), ROWS)
             yield pa.RecordBatch.from_arrays([pa.array([k // ROWS for k in blocks], pa.int32()), pa.array([whole[k : k + ROWS].tobytes() for k in blocks], pa.binary())], ["block", "counts"])
@@ -234,30 +262,29 @@ def _round(docs: DataFrame, counts_sent, model: Hmm) -> dict:
         total = sum(np.frombuffer(b.as_buffer(), np.float32).astype(np.float64) for b in table.column("counts"))
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    got = docs.select("text").mapInArrow(run, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
+    got = symbols.select("symbols").mapInArrow(run, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
+    sent.destroy()
+    if not got:
+        return None
     whole = np.concatenate([np.frombuffer(r[1]) for r in sorted(got, key=lambda r: r[0])]).reshape(-1, STATES)
     return {"emit": whole[:SYMBOLS], "move": whole[SYMBOLS : SYMBOLS + STATES], "start": whole[-1]}
 
 
-def train(docs: DataFrame, counts: Counts, counts_sent, ends: int, start_docs: int = 1500) -> Hmm:
-    """The start from about ``start_docs`` documents, then rounds over all of ``docs``."""
-    sample = docs.where(F.pmod(F.xxhash64("text", F.lit(23)), F.lit(1 << 30)) / float(1 << 30) < min(1.0, start_docs / max(ends, 1))).select("text").distinct().toArrow()
-    model = first_model(counts.unigram)
-    if sample.num_rows:
-        seqs, firsts = [], []
-        reader = Reader(counts)
-        for part in tk.slices(iter(sample.combine_chunks().to_batches()), "text"):
-            _, _, symbol, rows = reader.read(*tk.string_buffers(part.column(0)))
-            s, f = _segments(symbol, rows)
-            seqs += s
-            firsts += f
-        keep = slice(0, 8192)  # of the start only; the rounds below read everything
-        for _ in range(START_ROUNDS):
-            out = empty_counts()
-            _collect(model, seqs[keep], firsts[keep], out)
-            model = maximise(out, counts.unigram)
+def train(docs: DataFrame, counts: Counts, counts_sent) -> Hmm:
+    """One sweep over the slices, then rounds over all of ``docs`` (doc_id, text)."""
+    sliced = docs.select(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(SLICES)).cast("int").alias("slice"), "text")
+    symbols = cut(_symbols(sliced, counts_sent), "symbols", ("slice",))
+    model, so_far, steps = first_model(counts.unigram), None, 0
+    for k in range(SLICES):
+        found = _round(symbols.where(F.col("slice") == k), model)
+        if found:
+            steps += 1
+            pace = steps**-0.7 if so_far else 1.0
+            so_far = {c: (1 - pace) * so_far[c] + pace * SLICES * found[c] if so_far else SLICES * found[c] for c in found}
+            model = maximise(so_far, counts.unigram)
     for _ in range(ROUNDS):
-        model = maximise(_round(docs, counts_sent, model), counts.unigram)
+        model = maximise(_round(symbols, model), counts.unigram)
+    release(symbols)
     return model
 
 
@@ -327,7 +354,7 @@ def score_documents(docs: DataFrame, teach: Column) -> DataFrame:
     counts_table = cut(_count(learn), "word-counts")
     counts = gather(counts_table, ends)
     counts_sent = spark.sparkContext.broadcast(counts)
-    model = train(learn, counts, counts_sent, ends) if ends else None
+    model = train(learn, counts, counts_sent) if ends else None
     rows = cut(_scored(docs, counts_sent, spark.sparkContext.broadcast(model)), "scored")
     tail = (
         rows.where("kind = 1").select("rid", "key").join(counts_table, "key", "left")

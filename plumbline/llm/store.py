@@ -2,35 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a local folder only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/plumbline-shared"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` once as Parquet in the shared folder; return what reads it, and its path."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+from pyspark.sql import DataFrame
 
+from ..shared import drop_table, shared_folder, write_table
 
+__all__ = ["cut", "drop_table", "release", "shared_folder", "write_table"]
 _written: dict[int, tuple[DataFrame, str]] = {}
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with its lineage cut by a written table."""
-    out, path = write_table(df, name)
+def cut(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with its lineage cut by a written table, in folders by the columns ``by``."""
+    out, path = write_table(df, name, by)
     _written[id(out)] = (out, path)
     return out
 
@@ -41,10 +23,3 @@ def release(*tables: DataFrame) -> None:
         found = _written.pop(id(t), None)
         if found:
             drop_table(t.sparkSession, found[1])
-
-
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Remove an intermediate table that nothing reads any more."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
