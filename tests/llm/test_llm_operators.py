@@ -73,6 +73,64 @@ def test_langid_gradients_are_right():
         assert abs((up - down) / 2e-5 - grad[at]) < 1e-2 * max(1, abs(grad[at]))
 
 
+def test_langid_gradients_of_every_parameter_are_right():
+    rng = np.random.default_rng(4)
+    size, langs = 3, 4
+    params = [rng.normal(0, 0.5, (256, 3 * size)), rng.normal(0, 0.5, (size, 3 * size)), rng.normal(0, 0.5, (256, 3 * size)), rng.normal(0, 0.5, (size, 3 * size)), rng.normal(0, 0.5, (2 * size, langs)), rng.normal(size=langs)]
+    x, mask = rng.integers(0, 4, (3, 5)).astype(np.uint8), np.ones((3, 5))
+    mask[2, 3:] = 0
+    y, weight = np.array([0, 3, 1]), np.array([1.0, 0.5, 2.0])
+
+    def states():
+        h = np.zeros((5, 3, 2 * size))
+        for k in (0, 1):
+            for t, *_, after in langid._run(langid.Layer(params[2 * k], params[2 * k + 1]), x, mask, bool(k)):
+                h[t, :, k * size : (k + 1) * size] = after
+        return h
+
+    def loss():
+        z = states() @ params[4] + params[5]
+        p = z - np.log(np.exp(z).sum(axis=2, keepdims=True))
+        return -(p[:, np.arange(3), y] * mask.T * weight).sum() / mask.sum()
+
+    grads = langid.gradients(params, x, mask, y, weight)
+    for array, grad in zip(params, grads, strict=True):
+        for at in [np.unravel_index(k, array.shape) for k in rng.permutation(array.size)[:12]] + [tuple(v[0] for v in np.nonzero(grad))]:
+            kept = array[at]
+            array[at] = kept + 1e-5
+            up = loss()
+            array[at] = kept - 1e-5
+            down = loss()
+            array[at] = kept
+            assert abs((up - down) / 2e-5 - grad[at]) < 1e-6 + 1e-3 * abs(grad[at])
+
+
+def test_langid_reader_equals_the_training_pass():
+    rng = np.random.default_rng(8)
+    size = 5
+    layers = [langid.Layer(rng.normal(0, 0.4, (256, 3 * size)).astype(np.float32), rng.normal(0, 0.4, (size, 3 * size)).astype(np.float32)) for _ in range(2)]
+    model = langid.Model(layers, rng.normal(size=(2 * size, 3)).astype(np.float32), rng.normal(size=3).astype(np.float32), ["a", "b", "c"])
+    texts = ["short", "x" * 64, "A longer text, with CAPITALS and ünïcödé " * 5, "y" * 129, ""]
+    got = langid.Reader(model).documents(*langid.tk.string_buffers(langid.pa.array(texts)))
+    for text, pooled in zip(texts, got, strict=True):
+        raw, total = langid._FOLD[np.frombuffer(text.encode(), np.uint8)], np.zeros(3)
+        for k in range(0, len(raw), langid.WINDOW):
+            x = raw[None, k : k + langid.WINDOW]
+            h = np.zeros((x.shape[1], 2 * size))
+            for j in (0, 1):
+                for t, *_, after in langid._run(layers[j], x, np.ones(x.shape, np.float32), bool(j)):
+                    h[t, j * size : (j + 1) * size] = after[0]
+            z = np.exp(h @ model.w + model.b)
+            total += (z / z.sum(axis=1, keepdims=True)).sum(axis=0)
+        assert np.abs(pooled - total / max(len(raw), 1)).max() < 1e-4
+
+
+def test_langid_learns_every_language(docs_frame):
+    docs = docs_frame([(i, chr(97 + i % 70 % 26) * (2 + i % 70 // 26) + f" {chr(97 + i % 70 // 26)}", f"l{i % 70:02d}") for i in range(210)])
+    model = langid.fit(docs, most_docs=140)
+    assert len(model.langs) > 64
+
+
 def test_langid_without_labels(docs_frame):
     docs = docs_frame([(1, "abc", None), (2, None, None)])
     assert {r["lang_pred"] for r in langid.identify(docs, langid.fit(docs)).collect()} == {"und"}
@@ -113,6 +171,25 @@ def test_fast_encoder_equals_the_tokenizer_file():
         assert encode.ids(text).tolist()[:-1] == encode.slow.encode(text, add_special_tokens=False).ids
 
 
+def test_fast_encoder_equals_the_tokenizer_file_on_every_token():
+    """All tokens of the vocabulary that common text can hold, alone, after a space, doubled, and before a letter or digit."""
+    import base64
+
+    encode = packing.encoder(*tokenizer_files())
+    texts = []
+    for line in open(tokenizer_files()[1], "rb"):
+        try:
+            token = base64.b64decode(line.split()[0]).decode()
+        except UnicodeDecodeError:
+            continue
+        if packing._COMMON.fullmatch(token):
+            texts += [token, " " + token + token, token + "a", token + "1\n"]
+    assert len(texts) > 100000
+    for k in range(0, len(texts), 20000):
+        for text, got in zip(texts[k : k + 20000], encode.slow.encode_batch(texts[k : k + 20000], add_special_tokens=False), strict=True):
+            assert encode.ids(text).tolist()[:-1] == got.ids, text
+
+
 def test_packing_retrieves_neighbours():
     import pyarrow as pa
 
@@ -277,6 +354,63 @@ def test_lm_forward_equals_enumeration():
     del rng
 
 
+def test_lm_expected_counts_equal_enumeration():
+    rng = np.random.default_rng(3)
+    unigram = rng.dirichlet(np.ones(lm.SYMBOLS))
+    model = lm.first_model(unigram)
+    model.start, model.mid = rng.dirichlet(np.ones(lm.STATES)), rng.dirichlet(np.ones(lm.STATES))
+    model.move = rng.dirichlet(np.ones(lm.STATES), lm.STATES)
+    for first in (True, False):
+        seq, out = [4, 9, lm.END], lm.empty_counts()
+        lm.expected(model, [np.array(seq, np.int32)], np.array([first]), out)
+        begin = model.start if first else model.mid
+        paths = np.einsum("i,ij,jk->ijk", begin * model.emit[seq[0]], model.move * model.emit[seq[1]], model.move * model.emit[seq[2]])
+        paths /= paths.sum()
+        want = np.zeros_like(out["emit"])
+        for t, s in enumerate(seq):
+            want[s] += paths.sum(axis=tuple(a for a in range(3) if a != t))
+        assert np.abs(out["emit"] - want).max() < 1e-4
+        assert np.abs(out["move"] - paths.sum(axis=2) - paths.sum(axis=0)).max() < 1e-4
+        assert np.abs(out["start"] - (paths.sum(axis=(1, 2)) if first else 0)).max() < 1e-4
+
+
+def test_lm_segments_count_every_token_and_transition_once():
+    rng = np.random.default_rng(7)
+    unigram = rng.dirichlet(np.full(lm.SYMBOLS, 0.01)) + 1e-9
+    model = lm.first_model(unigram / unigram.sum())
+    model.emit = model.emit * rng.gamma(0.3, 1.0, model.emit.shape) + 1e-12
+    model.emit /= model.emit.sum(axis=0)
+    docs = [np.append(rng.choice(lm.SYMBOLS - 1, n, p=unigram[:-1] / unigram[:-1].sum()), lm.END).astype(np.int32) for n in (1000, 127, 128, 129, 3, 0)]
+    cut, whole = lm.empty_counts(), lm.empty_counts()
+    lm._collect(model, docs, cut)
+    for d in docs:
+        lm.expected(model, [d], np.array([True]), whole)
+    tokens = sum(map(len, docs))
+    assert abs(cut["emit"].sum() - tokens) < 1e-2 and abs(cut["move"].sum() - (tokens - len(docs))) < 1e-2 and abs(cut["start"].sum() - len(docs)) < 1e-3
+    assert np.abs(cut["move"] - whole["move"]).max() < 0.02 * whole["move"].max() and np.abs(cut["emit"] - whole["emit"]).max() < 0.5
+
+
+def test_lm_baum_welch_raises_the_likelihood():
+    rng = np.random.default_rng(9)
+    docs = []
+    for _ in range(60):
+        state, doc = 0, []
+        for _ in range(80):
+            state = state if rng.random() < 0.9 else 1 - state
+            doc.append(int(rng.integers(20)) + 20 * state)
+        docs.append(np.array([*doc, lm.END], np.int32))
+    unigram = np.bincount(np.concatenate(docs), minlength=lm.SYMBOLS) + 1e-6
+    unigram = unigram / unigram.sum()
+    symbol, rows = np.concatenate([d[:-1] for d in docs]), np.cumsum([0] + [len(d) - 1 for d in docs])
+    model, said = lm.first_model(unigram), []
+    for _ in range(8):
+        said.append(lm.forward(model, symbol, rows).sum())
+        out = lm.empty_counts()
+        lm._collect(model, docs, out)
+        model = lm.maximise(out, unigram)
+    assert said[-1] > said[1] > said[0]
+
+
 def test_lm_without_training_or_rows(docs_frame):
     got = lm.score_documents(docs_frame([(1, "a b"), (2, None)]), F.lit(False)).collect()
     assert {r["score"] for r in got} == {0.0} and {r["n_tokens"] for r in got} == {3, 1}
@@ -445,25 +579,49 @@ def test_toxicity_learns_and_leaves_clean_texts(docs_frame, odd_texts, spark, se
     assert toxicity.keep_clean(docs, None).count() == docs.count()
 
 
+def test_toxicity_training_equals_plain_ftrl(sentences):
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = [sentences(i, 12, 60) + (" vile" if i % 3 == 0 else "") for i in range(60)] + ["", "one"]
+    labels = [int(i % 3 == 0) for i in range(60)] + [0, 1]
+    model = toxicity.train(pa.array(texts), labels, epochs=3)
+    rows = []
+    for text in texts:
+        found = [int(x) for places, _ in toxicity.features(*toxicity.tk.string_buffers(pa.array([text]))) for x in places]
+        rows.append({k: n / math.sqrt(len(found)) for k, n in Counter(found).items()})
+        assert len(found) == sum(max(len(words(text)) - gap, 0) for gap in (0, 1, 2))
+    alpha, beta, l1, l2 = 20.0, 1.0, 0.6, 0.01
+    z, n = Counter(), Counter()
+    rate = min(max(sum(labels) / len(labels), 0.001), 0.4)
+    bias = math.log(rate / (1 - rate))
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    for _ in range(3):
+        for row, y in zip(rows, labels, strict=True):
+            w = {k: weight(k) for k in row}
+            g = 1 / (1 + math.exp(-(bias + sum(w[k] * x for k, x in row.items())))) - y
+            for k, x in row.items():
+                step = (math.sqrt(n[k] + (g * x) ** 2) - math.sqrt(n[k])) / alpha
+                z[k] += g * x - step * w[k]
+                n[k] += (g * x) ** 2
+    want = {k: weight(k) for k in z if weight(k)}
+    got = dict(zip(model.places.tolist(), model.weights.tolist(), strict=True))
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-4 for k in want) and abs(model.bias - bias) < 1e-12
+    scores = toxicity.scores(model.dense(), model.bias, *toxicity.tk.string_buffers(pa.array(texts)))
+    for row, got_score in zip(rows, scores, strict=True):
+        assert abs(got_score - 1 / (1 + math.exp(-(bias + sum(want.get(k, 0) * x for k, x in row.items()))))) < 1e-5
+    del rng
+
+
 # 8 decontamination
 
 
-def test_decontamination_equals_brute_force(docs_frame, odd_texts, spark, sentences, monkeypatch):
-    rng = random.Random(8)
-    items = [(i, sentences(1000 + i, 8 + i % 60) + ". " + sentences(2000 + i, 6)) for i in range(80)] + [(90, None), (91, "  "), (92, "three word item"), (93, sentences(5000, 400))]
-    rows = list(odd_texts)
-    for k in range(150):
-        own = sentences(7000 + k, 200 + k)
-        item = items[k % 84][1] or ""
-        w = item.split()
-        cut = w if k % 3 == 0 else w[: int(len(w) * rng.random())] if k % 3 == 1 else [x if rng.random() > 0.02 else "zz" for x in w]
-        at = rng.randint(0, len(own))
-        cut = [x.upper() + "!!" for x in cut] if k % 5 == 0 else cut
-        rows.append((1000 + k, own[:at] + " " + " ".join(cut) + " " + own[at:]))
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    shards = decontaminate.index(bench)
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs_frame(rows), shards).collect()}
-    want = set()
+def brute_leaks(rows, items):
+    """(document, item) pairs by the rule alone: words in sets, no index."""
+    out = set()
     for d, t in rows:
         w = letters(t)
         grams, seen = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}, set(w)
@@ -479,7 +637,26 @@ def test_decontamination_equals_brute_force(docs_frame, odd_texts, spark, senten
             asked, answer = iw[: len(iw) - last], set(iw[len(iw) - last :])
             question = {tuple(asked[k : k + 5]) for k in range(len(asked) - 4)}
             if here >= 0.8 * len(own) and sum(g in grams for g in question) >= 0.5 * len(question) and (last < 5 or len(answer & seen) >= 0.5 * len(answer)):
-                want.add((d, i))
+                out.add((d, i))
+    return out
+
+
+def test_decontamination_equals_brute_force(docs_frame, odd_texts, spark, sentences, monkeypatch):
+    rng = random.Random(8)
+    items = [(i, sentences(1000 + i, 8 + i % 60) + ". " + sentences(2000 + i, 6)) for i in range(80)] + [(90, None), (91, "  "), (92, "three word item"), (93, sentences(5000, 400))]
+    rows = list(odd_texts)
+    for k in range(150):
+        own = sentences(7000 + k, 200 + k)
+        item = items[k % 84][1] or ""
+        w = item.split()
+        cut = w if k % 3 == 0 else w[: int(len(w) * rng.random())] if k % 3 == 1 else [x if rng.random() > 0.02 else "zz" for x in w]
+        at = rng.randint(0, len(own))
+        cut = [x.upper() + "!!" for x in cut] if k % 5 == 0 else cut
+        rows.append((1000 + k, own[:at] + " " + " ".join(cut) + " " + own[at:]))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    shards = decontaminate.index(bench)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs_frame(rows), shards).collect()}
+    want = brute_leaks(rows, items)
     assert got == want and len(want) > 40
     monkeypatch.setattr(decontaminate, "SHARD_WORDS", 600)
     monkeypatch.setattr(decontaminate, "PASS_BYTES", 1 << 14)
