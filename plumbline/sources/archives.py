@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import gzip
 import io
 import tarfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MOST_FILE, MOST_LAYER, MOST_ENTRIES = 8 << 20, 512 << 20, 200_000
 ENTRY = "image string, layer int, path string, kind string, mode int, size long, body binary"
@@ -25,23 +26,49 @@ def _clean(path: str) -> str:
 
 
 def entries(raw: bytes) -> Iterator[tuple[str, str, int, int, bytes]]:
-    """(path, kind file|whiteout|opaque, mode, size, body) of one layer, gzipped or not; caps bound what is read of it."""
-    data = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+    """(path, kind, mode, size, body) of one layer, compressed or not, unpacked as it is read.
+
+    Kinds: file, whiteout, opaque; ``truncated`` where a cap ended the reading (its size: the bytes read), or where a file's
+    body holds less than its size; ``broken`` where the archive cannot be read on.
+    """
     total = 0
-    with tarfile.open(fileobj=io.BytesIO(data)) as tar:
-        for count, member in enumerate(tar):
-            if count >= MOST_ENTRIES or total > MOST_LAYER:
-                return
-            path = _clean(member.name)
-            folder, _, base = path.rpartition("/")
-            if base == ".wh..wh..opq":
-                yield folder, "opaque", 0, 0, b""
-            elif base.startswith(".wh."):
-                yield f"{folder}/{base[4:]}".lstrip("/"), "whiteout", 0, 0, b""
-            elif member.isfile():
-                body = tar.extractfile(member).read(MOST_FILE)
-                total += len(body)
-                yield path, "file", member.mode, member.size, body
+    try:
+        with tarfile.open(fileobj=io.BytesIO(raw), mode="r|*") as tar:
+            for count, member in enumerate(tar):
+                if count >= MOST_ENTRIES or total > MOST_LAYER:
+                    yield "", "truncated", 0, total, b""
+                    return
+                path = _clean(member.name)
+                folder, _, base = path.rpartition("/")
+                if base == ".wh..wh..opq":
+                    yield folder, "opaque", 0, 0, b""
+                elif base.startswith(".wh."):
+                    yield f"{folder}/{base[4:]}".lstrip("/"), "whiteout", 0, 0, b""
+                elif member.isfile():
+                    body = tar.extractfile(member).read(MOST_FILE)
+                    total += len(body)
+                    yield path, "file", member.mode, member.size, body
+                    if len(body) < member.size:
+                        yield path, "truncated", member.mode, len(body), b""
+    except (tarfile.TarError, EOFError, OSError, zlib.error):
+        yield "", "broken", 0, total, b""
+
+
+def image_layers(files: DataFrame) -> DataFrame:
+    """(image, layer, content) from the files (image, path, content) of unpacked images: layers in order from 0.
+
+    A layout's ``index.json`` names manifests by digest, those their layers; a ``manifest.json`` lists layers by path. Layers
+    are joined by image and path, so that only the JSON documents are parsed.
+    """
+    text = F.col("content").cast("string")
+    digest = lambda c: F.concat(F.lit("blobs/"), F.replace(c, F.lit(":"), F.lit("/")))
+    small = files.where(F.length("content") <= MOST_FILE).select("image", "path", text.alias("text"))
+    index = small.where("path = 'index.json'").select("image", F.explode(F.from_json("text", "manifests array<struct<digest:string>>")["manifests"]).alias("m")).select("image", digest(F.col("m.digest")).alias("path"))
+    named = index.join(small, ["image", "path"]).select("image", F.posexplode(F.from_json("text", "layers array<struct<digest:string>>")["layers"]).alias("layer", "l")).select("image", "layer", digest(F.col("l.digest")).alias("path"))
+    saved = small.where("path = 'manifest.json'").select("image", F.posexplode(F.get(F.from_json("text", "array<struct<Layers:array<string>>>"), F.lit(0))["Layers"]).alias("layer", "path"))
+    first = named.select("image").distinct()
+    every = named.unionByName(saved.join(first, "image", "left_anti"))
+    return every.join(files, ["image", "path"]).select("image", "layer", "content")
 
 
 def layer_entries(layers: DataFrame) -> DataFrame:

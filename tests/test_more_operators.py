@@ -167,3 +167,33 @@ def test_javascript_second_pass():
     for text in ("const a = " + "(" * 200000, "const a = 1, " * 50000, "eval(" * 100000 + "const v = atob(x)", "String.fromCharCode(" * 50000):
         capabilities(text)
     assert time.process_time() - began < 20
+
+
+def test_layers_that_are_cut_or_broken(monkeypatch):
+    import io
+    import tarfile
+
+    def layer(names):
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w:gz") as tar:
+            for name in names:
+                info = tarfile.TarInfo(name)
+                info.size = 10
+                tar.addfile(info, io.BytesIO(b"0123456789"))
+        return out.getvalue()
+
+    whole = layer(["a", "b", "c"])
+    assert [(p, k) for p, k, *_ in archives.entries(whole)] == [("a", "file"), ("b", "file"), ("c", "file")]
+    assert [k for _, k, *_ in archives.entries(whole[:40])][-1] == "broken" and [k for _, k, *_ in archives.entries(b"no tar")] == ["broken"]
+    monkeypatch.setattr(archives, "MOST_ENTRIES", 2)
+    monkeypatch.setattr(archives, "MOST_FILE", 4)
+    assert [(p, k, n) for p, k, _, n, _ in archives.entries(whole)] == [("a", "file", 10), ("a", "truncated", 4), ("b", "file", 10), ("b", "truncated", 4), ("", "truncated", 8)]
+
+
+def test_image_layers(spark):
+    rows = [
+        ("i", "index.json", b'{"manifests":[{"digest":"sha256:m"}]}'), ("i", "blobs/sha256/m", b'{"layers":[{"digest":"sha256:x"},{"digest":"sha256:y"}]}'), ("i", "blobs/sha256/x", b"1"), ("i", "blobs/sha256/y", b"2"),
+        ("j", "manifest.json", b'[{"Layers":["b/layer.tar","a/layer.tar"]}]'), ("j", "a/layer.tar", b"3"), ("j", "b/layer.tar", b"4"), ("k", "manifest.json", b"broken"),
+    ]
+    got = archives.image_layers(spark.createDataFrame(rows, "image string, path string, content binary")).collect()
+    assert sorted((r["image"], r["layer"], bytes(r["content"])) for r in got) == [("i", 0, b"1"), ("i", 1, b"2"), ("j", 0, b"4"), ("j", 1, b"3")]
