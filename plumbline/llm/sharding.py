@@ -8,7 +8,7 @@ few hundred ranges times 256 sums to the driver, whatever the input, and the cap
 
 Within the least capacity cuts are then placed as evenly as it allows (a hot group may make it large).
 Nulls: a null text counts as an empty one (size 1, CRC 0). Empty input: no rows. Ties: rows with one text share a shard
-and get different slots. Other columns of the input are left alone and ignored.
+and get different slots. Texts of any length count whole. Other columns of the input are left alone and ignored.
 """
 
 from __future__ import annotations

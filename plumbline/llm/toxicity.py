@@ -7,7 +7,8 @@ most weights at zero, so the model that executors get is a short list of (place,
 
 Training reads a bounded sample of labelled rows (``max_train``); scoring reads every text whole. Nulls: a null text is
 an empty one and scores as the bias alone; null labels teach nothing. No labelled rows: the score is 0 everywhere.
-Ties and repeated rows are scored alike; other columns are kept out of the score.
+Ties and repeated rows are scored alike; texts of any length are read whole; empty tables give no rows; other columns are
+kept, but out of the score (an earlier ``toxic_score`` is replaced).
 """
 
 from __future__ import annotations
