@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents; the last returns pieces of token sequences.
+
+Null and empty texts pass all filters (they share nothing and leak nothing) and end as the one id 0; texts of any length
+are read whole. Rows with a null id are kept; repeated rows (same id and text) become one. Ties go to the least id. Empty
+tables give no rows. Columns beside doc_id and text are carried through, whatever their names. A benchmark or labels
+without rows filter nothing.
 """
 
 from __future__ import annotations
