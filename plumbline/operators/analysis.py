@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import code as C
 from ..functions.second_pass import second_pass
-from .heuristics import is_binary_dropper, source_findings, suspicious_hook
+from .heuristics import dependency_sources, is_binary_dropper, retracted, secrets, source_findings, suspicious_hook, typosquats, unlisted_large
 
 PACKAGE = ["ecosystem", "name", "version"]
 
@@ -30,8 +30,28 @@ def file_imports(files: DataFrame, text_col: str = "body") -> DataFrame:
     return lang.withColumn("module", F.explode(C.imports(C.without_comments(F.col(text_col), F.col("language")), F.col("language")))).drop(text_col)
 
 
-def fingerprints(files: DataFrame, hooks: DataFrame) -> DataFrame:
-    """Package fingerprints from files (package columns, path, body) and hooks (package columns, phase, body).
+def heuristic_capabilities(files: DataFrame, listed: DataFrame, manifest: DataFrame, retractions: DataFrame, top: DataFrame) -> DataFrame:
+    """(package columns, capability) of the detectors that look beyond one file: large files that ``listed`` (ecosystem, name,
+    path) leaves out, secrets, dependencies from repositories (``manifest``: package columns, spec, dep_group), retracted
+    versions, and names near those of ``top``."""
+    packages = files.select(*PACKAGE).distinct()
+    named = lambda f, c: f.select(*PACKAGE, F.lit(c).alias("capability")).distinct()
+    large = unlisted_large(files.select(*PACKAGE, "path", F.octet_length("body").alias("length")), listed)
+    sources = dependency_sources(manifest)
+    near = packages.join(typosquats(packages, top).select("ecosystem", "name").distinct(), ["ecosystem", "name"], "left_semi")
+    found = [
+        (large, "unlisted-large-file"), (secrets(files, "body"), "hardcoded-secret"), (sources.where("vcs_dependency"), "vcs-dependency"), (sources.where("git_dep_in_optional"), "git-dep-in-optional"),
+        (retracted(packages.where("ecosystem = 'go'"), retractions), "version-unpublished"), (near, "typosquat-risk"),
+    ]
+    out = named(*found[0])
+    for frame, capability in found[1:]:
+        out = out.unionByName(named(frame, capability))
+    return out
+
+
+def fingerprints(files: DataFrame, hooks: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """Package fingerprints from files (package columns, path, body) and hooks (package columns, phase, body), and, if given,
+    further capabilities (package columns, capability) such as those of ``heuristic_capabilities``.
 
     Capabilities are those of the code, of the heuristics over files, and of suspicious hooks; a declared hook adds
     install-hook-exec. Each file is read once: one projection to sets and sizes, and one aggregate by package, which keeps
@@ -44,14 +64,17 @@ def fingerprints(files: DataFrame, hooks: DataFrame) -> DataFrame:
     code = F.when(coded, F.array_union(C.capabilities(F.col("plain"), F.col("language")), second_pass(F.col("body"), F.col("language"))))
     every = every.select(
         *PACKAGE, F.array_union(F.coalesce(code, none), F.coalesce("source_caps", none)).alias("caps"), F.when(is_binary_dropper(F.col("path"), F.col("ecosystem")), F.array(F.lit("binary-dropper"))).otherwise(none).alias("drops"),
-        F.coalesce(F.when(coded, C.env_reads(F.col("plain"), F.col("language"))), none).alias("reads"), F.when(coded, F.octet_length("body")).otherwise(0).alias("bytes"), F.lit(0).alias("hook"),
+        F.coalesce(F.when(coded, C.env_reads(F.col("plain"), F.col("language"))), none).alias("reads"), F.when(coded, F.octet_length("body")).otherwise(0).alias("bytes"), F.lit(0).alias("hook"), F.lit(True).alias("file"),
     )
     hook = hooks.select(
-        *PACKAGE, F.array_compact(F.array(F.lit("install-hook-exec"), F.when(suspicious_hook(F.col("body")), "install-hook-suspicious"))).alias("caps"), none.alias("drops"), none.alias("reads"), F.lit(0).alias("bytes"), F.lit(1).alias("hook"),
+        *PACKAGE, F.array_compact(F.array(F.lit("install-hook-exec"), F.when(suspicious_hook(F.col("body")), "install-hook-suspicious"))).alias("caps"), none.alias("drops"), none.alias("reads"), F.lit(0).alias("bytes"), F.lit(1).alias("hook"), F.lit(False).alias("file"),
     )
+    if more is not None:
+        beyond = more.select(*PACKAGE, F.array("capability").alias("caps"), none.alias("drops"), none.alias("reads"), F.lit(0).alias("bytes"), F.lit(0).alias("hook"), F.lit(False).alias("file"))
+        hook = hook.unionByName(beyond)
     gathered = every.unionByName(hook).withColumn("caps", F.array_union("caps", "drops")).groupBy(*PACKAGE).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("caps")))).alias("capabilities"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("reads")))).alias("env_reads"),
-        F.sum("bytes").alias("source_size_bytes"), F.sum("hook").cast("int").alias("n_hooks"), F.max(F.col("hook") == 0).alias("has_files"),
+        F.sum("bytes").alias("source_size_bytes"), F.sum("hook").cast("int").alias("n_hooks"), F.max("file").alias("has_files"),
     )
     return gathered.where("has_files").drop("has_files").withColumn("analyzed", F.lit(True))
 

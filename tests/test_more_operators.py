@@ -197,3 +197,36 @@ def test_image_layers(spark):
     ]
     got = archives.image_layers(spark.createDataFrame(rows, "image string, path string, content binary")).collect()
     assert sorted((r["image"], r["layer"], bytes(r["content"])) for r in got) == [("i", 0, b"1"), ("i", 1, b"2"), ("j", 0, b"4"), ("j", 1, b"3")]
+
+
+def test_fleet_run(spark):
+    from plumbline.operators import fleet
+
+    task = "task string, ecosystem string, checks array<string>, deny_licenses array<string>"
+    tasks = spark.createDataFrame([("a", "npm", ["ast", "cve", "unused-deps"], None), ("b", "npm", ["deprecated", "license"], ["MIT", "gpl-3.0"]), ("c", "npm", ["license"], ["mit"]), ("d", "npm", [], ["mit"]), ("e", "npm", ["heuristics", "cve"], [])], task)
+    files = spark.createDataFrame([("a", "x.js", "require('left'); eval(1)"), ("e", "router_init.js", "1"), ("d", "router_init.js", "1")], "task string, path string, body string")
+    versioned = "ecosystem string, name string, version string"
+    deps = spark.createDataFrame([(t, "npm", n, v) for t in "abcde" for n, v in (("p", "1"), ("p", "1"), ("q", "2"), ("r", ""))], f"task string, {versioned}")
+    advisories = spark.createDataFrame([("npm", "p", "1", "A", 2), ("npm", "p", "1", "B", 1), ("npm", "q", "9", "C", 4), ("npm", "r", "", "D", 4)], f"{versioned}, id string, severity int")
+    health = spark.createDataFrame([("npm", "q", "2", True), ("npm", "p", "1", False)], f"{versioned}, deprecated boolean")
+    licenses = spark.createDataFrame([("npm", "p", "1", "mit"), ("npm", "q", "2", "Apache-2.0")], f"{versioned}, license string")
+    declared = spark.createDataFrame([("a", "left"), ("a", "right"), ("b", "right")], "task string, dep_name string")
+    rules = spark.createDataFrame([], "rule_ord int, ecosystem string, name string, version_range string, capability string, reason string")
+    got = {r["task"]: tuple(r)[1:] for r in fleet.run(tasks, files, deps, advisories, health, licenses, declared, rules).collect()}
+    assert got == {
+        "a": ("safe", 15, 2, 0, 0, ["right"], False), "b": (None, 0, 0, 1, 1, [], True), "c": (None, 0, 0, 0, 1, [], True), "d": (None, 0, 0, 0, 0, [], False), "e": ("block", 100, 2, 0, 0, [], True),
+    }
+
+
+def test_heuristics_beyond_one_file(spark):
+    files = spark.createDataFrame([("npm", "lodahs", "1", "big.js", "x" * 600000), ("npm", "ok", "1", "a.js", "AKIA" + "ABCDEFGHIJKLMNOP"), ("go", "m", "v1.1.0", "a.go", "package m")], "ecosystem string, name string, version string, path string, body string")
+    listed = spark.createDataFrame([("npm", "lodahs", "lib")], "ecosystem string, name string, path string")
+    manifest = spark.createDataFrame([("npm", "ok", "1", "github:a/b", "optional"), ("npm", "ok", "1", "^1", "runtime")], "ecosystem string, name string, version string, spec string, dep_group string")
+    retractions = spark.createDataFrame([("go", "m", "v1.0.0", "v1.2.0")], "ecosystem string, name string, low string, high string")
+    top = spark.createDataFrame([("npm", "lodash")], "ecosystem string, name string")
+    more = analysis.heuristic_capabilities(files, listed, manifest, retractions, top)
+    want = {("lodahs", "unlisted-large-file"), ("lodahs", "typosquat-risk"), ("ok", "hardcoded-secret"), ("ok", "vcs-dependency"), ("ok", "git-dep-in-optional"), ("m", "version-unpublished")}
+    assert {(r["name"], r["capability"]) for r in more.collect()} == want
+    hooks = spark.createDataFrame([], "ecosystem string, name string, version string, phase string, body string")
+    prints = {r["name"]: set(r["capabilities"]) for r in analysis.fingerprints(files, hooks, more).collect()}
+    assert all(c in prints[n] for n, c in want) and len(prints) == 3
