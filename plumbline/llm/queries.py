@@ -122,7 +122,25 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"), 16)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_embedding_near_dedup, op4_chat_formatting, op5_lm_scoring, op6_pii, op7_toxicity, op8_benchmark_decontamination, op9_ngram_jaccard, op10_sharding, chat_layouts)}
+def op11_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import topk
+
+    return topk.search(_table(spark, sf_dir, "embeddings"), asks=F.col("vec_id") % 50 == 0)
+
+
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import search
+
+    return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import importance
+
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_embedding_near_dedup, op4_chat_formatting, op5_lm_scoring, op6_pii, op7_toxicity, op8_benchmark_decontamination, op9_ngram_jaccard, op10_sharding, op11_exact_topk_search, op12_ranked_lexical_search, op13_importance_resampling, chat_layouts)}
 
 ORACLES = {
     "chat_layouts": r"""
@@ -178,4 +196,44 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   CAST(sum(14 + length(role) + length(text) + 3 * length(text) - length(replace(text, '\', '')) - length(replace(text, '<', ''))
     - length(replace(text, '#', ''))) AS BIGINT) AS formatted_chars
 FROM r GROUP BY conv_id""",
+    "op11_exact_topk_search": r"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score, c.r AS c
+  FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, c) AS INTEGER) AS rank, vec_id, score FROM s
+QUALIFY rank <= 5""",
+    "op12_ranked_lexical_search": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT row_number() OVER () AS i, item_id, list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark WHERE text IS NOT NULL),
+z AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+q AS (SELECT i, item_id, unnest(w) AS t FROM b),
+p AS (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d),
+f AS (SELECT r, doc_id, n, t, count(*) AS tf FROM p WHERE t IN (SELECT t FROM q) GROUP BY r, doc_id, n, t),
+k AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * (SELECT n FROM z) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM f GROUP BY t),
+s AS (SELECT i, item_id, r, doc_id, CAST(sum(k.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * f.n * z.n) // z.l)))) AS BIGINT) AS score
+  FROM q JOIN f USING (t) JOIN k USING (t), z GROUP BY i, item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, r) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10""",
+    "op13_importance_resampling": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS x FROM benchmark),
+f AS (SELECT r, unnest(w) AS x FROM d),
+step AS (SELECT list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c, n FROM (SELECT unnest(range(256)) AS n)),
+tab AS (SELECT list(c ORDER BY n) AS c FROM step),
+words AS (SELECT DISTINCT x FROM (SELECT x FROM f UNION ALL SELECT x FROM b)),
+k AS (SELECT x, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(hex(encode(x))), 2), lambda i: CAST('0x' || substr(hex(encode(x)), CAST(i AS INTEGER), 2) AS BIGINT))),
+  lambda c, y: xor(c >> 8, tab.c[(xor(c, y) & 255) + 1]))) % 10000 AS u FROM words, tab),
+s AS (SELECT u, count(*) AS n FROM f JOIN k USING (x) GROUP BY u), t AS (SELECT u, count(*) AS n FROM b JOIN k USING (x) GROUP BY u),
+z AS (SELECT (SELECT count(*) FROM f) AS s, (SELECT count(*) FROM b) AS t),
+g AS (SELECT k.x, CAST(floor(1000 * ln((CAST(coalesce(t.n, 0) AS DOUBLE) + 1) * (CAST(z.s AS DOUBLE) + 10000) / ((CAST(coalesce(s.n, 0) AS DOUBLE) + 1) * (CAST(z.t AS DOUBLE) + 10000)))) AS BIGINT) AS gain
+  FROM k LEFT JOIN s USING (u) LEFT JOIN t USING (u), z),
+m AS (SELECT r, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN g USING (x) GROUP BY r),
+o AS (SELECT d.r, doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN m ON m.r = d.r),
+e AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, r) AS rank, count(*) OVER () AS n FROM o WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (10 * n) // 100 THEN rank END AS rank FROM o LEFT JOIN e USING (r)""",
 }
