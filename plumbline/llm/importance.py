@@ -87,11 +87,11 @@ def _distinct(texts: DataFrame, longest: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tk.slices(batches, "text"):
             found, at, words = features(*tk.string_buffers(part.column(2)), longest, buckets)
-            packed = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer((at * 4).astype(np.int64).tobytes()), pa.py_buffer(found.tobytes())])
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words), packed.cast(pa.binary())], ["key", "copies", "words", "buckets"])
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found, pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words), lists], ["key", "copies", "words", "buckets"])
 
     grouped = texts.groupBy("text").agg(F.count(F.lit(1)).alias("copies")).select(_key(F.col("text")).alias("key"), "copies", "text")
-    return grouped.mapInArrow(run, "key binary, copies long, words long, buckets binary")
+    return grouped.mapInArrow(run, "key binary, copies long, words long, buckets array<int>")
 
 
 def _key(text):
@@ -100,20 +100,8 @@ def _key(text):
 
 def _counts(distinct: DataFrame, buckets: int) -> np.ndarray:
     """How often each bucket occurs in all texts, copies included: ``buckets`` numbers reach the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, np.int64)
-        for batch in batches:
-            for copies, packed in zip(batch.column(0).to_numpy(), batch.column(1), strict=True):
-                if len(found := np.frombuffer(packed.as_buffer(), np.int32)) < buckets:
-                    np.add.at(total, found, copies)
-                else:
-                    total += np.bincount(found, minlength=buckets) * copies
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], ["bucket", "n"])
-
     out = np.zeros(buckets, np.int64)
-    for x in distinct.select("copies", "buckets").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for x in distinct.select("copies", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.sum("copies").alias("n")).collect():
         out[x.bucket] = x.n
     return out
 
@@ -127,9 +115,10 @@ def gains(corpus: np.ndarray, target: np.ndarray) -> np.ndarray:
 def _weights(distinct: DataFrame, sent) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column(2)]
-            weight = [int(sent.value[x].sum()) for x in packed]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in packed], pa.int64()), pa.array(weight, pa.int64())], ["key", "words", "n_features", "weight"])
+            lists = batch.column(2)
+            at = lists.offsets.to_numpy()
+            weight = tk.sum_by_row(sent.value[lists.values.to_numpy()[at[0] : at[-1]]], at - at[0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(at), pa.int64()), pa.array(weight, pa.int64())], ["key", "words", "n_features", "weight"])
 
     return distinct.select("key", "words", "buckets").mapInArrow(run, "key binary, words long, n_features long, weight long")
 
