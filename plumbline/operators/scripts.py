@@ -12,32 +12,55 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.names import domain_match
 
-_FUNCTION = r"^\s*(prepare|build|package|pkgver|post_install|post_upgrade|pre_install|pre_upgrade)\s*\("
-
+_FUNCTION = re.compile(r"\s*(prepare|build|package|pkgver|post_install|post_upgrade|pre_install|pre_upgrade)\s*\(")
+
+
+_RUNNING = "array<struct<line:int,content:string,function:string>>"
+_FIELD = re.compile(rf"(?:{'|'.join(R.METADATA_FIELDS)})\+?=")
+_BLANK = " \t\n\x0b\f\r"
+
+
+def _running(text: str) -> list[dict]:
+    """The lines of one build file that run, with the function that was begun last."""
+    out, inside, function = [], False, ""
+    for number, raw in enumerate(text.removesuffix("\n").split("\n"), 1):
+        line = raw.strip(_BLANK)
+        if not line or line.startswith("#"):
+            continue
+        field = bool(_FIELD.match(line)) or (line.startswith("'") and ": " in line)
+        if not inside and not field:
+            begun = _FUNCTION.match(line)
+            function = begun[1] if begun else function
+            out.append({"line": number, "content": line, "function": function})
+        if ")" in line:
+            inside = False
+        elif field and "(" in line:
+            inside = True
+    return out
 
-def line_rows(files: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row a line: all other columns, ``line`` (from 1) and ``content``."""
-    keep = [c for c in files.columns if c != text_col]
-    return files.select(*keep, F.posexplode(R.lines(F.col(text_col))).alias("pos", "content")).withColumn("line", F.col("pos") + 1).drop("pos")
 
-
-def running_lines(files: DataFrame, key: str, text_col: str) -> DataFrame:
-    """(key, line, content, function) of the lines of build files that run: no comments, no fields that only describe.
+def with_running_lines(files: DataFrame, text_col: str) -> DataFrame:
+    """``files`` with ``running``: the lines of each build file that run: no comments, no fields that only describe.
 
     A field's list may go on over lines to its closing bracket. Whether a line is inside one, and which function was begun
-    last, is the last event before it: windows over one file's lines.
+    last, depends on the file's earlier lines alone, so the state stays within a row: nothing is shuffled, and files that
+    share a key do not touch. Null and empty texts have no lines.
     """
-    rows = line_rows(files.select(key, text_col), text_col).withColumn("content", F.regexp_replace("content", r"\A\s+|\s+\z", ""))
-    rows = rows.where((F.col("content") != "") & ~F.col("content").startswith("#"))
-    content = F.col("content")
-    field = content.rlike(rf"\A(?:{'|'.join(R.METADATA_FIELDS)})\+?=") | (content.startswith("'") & F.contains(content, F.lit(": ")))
-    event = F.when(F.contains(content, F.lit(")")), False).when(field & F.contains(content, F.lit("(")), True)
-    before = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"field": field, "event": event}).withColumn("inside", F.coalesce(F.last("event", ignorenulls=True).over(before), F.lit(False)))
-    runs = rows.where("not inside and not field")
-    name = F.nullif(F.regexp_extract("content", _FUNCTION, 1), F.lit(""))
-    last = F.last(name, ignorenulls=True).over(Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    return runs.select(key, "line", "content", F.coalesce(last, F.lit("")).alias("function"))
+    fields = [f for f in files.schema.fields if f.name != "running"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("line", pa.int32()), ("content", pa.string()), ("function", pa.string())]))
+        for batch in batches:
+            found = [_running(x or "") for x in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "running"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return files.select(*[f.name for f in fields]).mapInArrow(run, f"{schema}, running {_RUNNING}")
+
+
+def running_lines(files: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(key, line, content, function): a row for each line that runs; see ``with_running_lines``."""
+    return with_running_lines(files.select(key, text_col), text_col).select(key, F.inline("running"))
 
 
 def _denied_dependencies(files: DataFrame, key: str, text_col: str) -> DataFrame:
@@ -81,10 +104,10 @@ def url_host(url: Column) -> Column:
 def source_findings(files: DataFrame, key: str = "package", text_col: str = "text", upstream_col: str | None = None) -> DataFrame:
     """(package, url, rule, severity) of the distinct URLs of build files that list sources, comments left out: bare
     addresses, untrusted hosts, and code hosts other than that of the package's own page (``upstream_col``, its URL)."""
-    lists = running_lines(files, key, text_col).where(F.col("content").rlike(R.SOURCE_LINE)).select(key).distinct()
+    listing = with_running_lines(files, text_col).where(F.exists("running", lambda x: x["content"].rlike(R.SOURCE_LINE)))
     upstream = url_host(F.coalesce(F.col(upstream_col), F.lit(""))) if upstream_col else F.lit("")
     bare = F.array_join(F.filter(R.lines(F.col(text_col)), lambda x: ~x.rlike(r"\A\s*#")), "\n")
-    urls = files.join(lists, key, "left_semi").select(key, upstream.alias("own"), F.explode(F.array_distinct(F.regexp_extract_all(bare, F.lit(r"""(?i)\b(?:git\+)?https?://[^\s"')]+"""), F.lit(0)))).alias("url"))
+    urls = listing.select(key, upstream.alias("own"), F.explode(F.array_distinct(F.regexp_extract_all(bare, F.lit(r"""(?i)\b(?:git\+)?https?://[^\s"')]+"""), F.lit(0)))).alias("url"))
     urls = urls.withColumn("host", url_host(F.col("url")))
     bad = F.lit(False)
     for h in R.UNTRUSTED_HOSTS:

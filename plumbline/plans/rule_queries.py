@@ -98,6 +98,17 @@ def install_script_findings(spark, d):
     return got.select("package", "function", F.col("line").cast("long").alias("line"), "rule", F.col("severity").cast("long").alias("severity"))
 
 
+def shared_build_findings(spark, d):
+    """Two build files under every key: what one of them is inside of must not hide findings of the other."""
+    got = SC.build_file_findings(_scripts(spark, d, BUILD).withColumn("package", F.expr("package div 2")))
+    return got.select("package", "function", F.col("line").cast("long").alias("line"), "rule", F.col("severity").cast("long").alias("severity"))
+
+
+def shared_install_findings(spark, d):
+    got = SC.install_script_findings(_scripts(spark, d, INSTALL).withColumn("package", F.expr("package div 2")))
+    return got.select("package", "function", F.col("line").cast("long").alias("line"), "rule", F.col("severity").cast("long").alias("severity"))
+
+
 def _lines_sql(items, before: bool = True) -> str:
     """CTEs up to ``run`` (package, line, c, function): the lines of files that run."""
     fields = "|".join(R.METADATA_FIELDS)
@@ -140,6 +151,11 @@ def source_hosts(spark, d):
     return SC.source_findings(files, upstream_col="upstream").select("package", "url", "rule", F.col("severity").cast("long").alias("severity"))
 
 
+def shared_source_hosts(spark, d):
+    files = _scripts(spark, d, SOURCES).withColumn("upstream", pick(UPSTREAMS, F.expr("package div 11"))).withColumn("package", F.expr("package div 2"))
+    return SC.source_findings(files, upstream_col="upstream").select("package", "url", "rule", F.col("severity").cast("long").alias("severity"))
+
+
 def _host_sql(c: str) -> str:
     return f"lower(regexp_extract(regexp_replace({c}, '^(?:git\\+)?(?:https://|http://)?', ''), '^([^/:]*)', 1))"
 
@@ -346,11 +362,17 @@ def local_binaries(spark, d):
     return SC.binary_findings(rows).select("package", "rule")
 
 
-NAMES = [suspicious_hooks, build_findings, install_script_findings, source_hosts, workflow_findings, checksum_counts, tarball_drift, unlisted_files, image_findings, dependency_sources, pypi_imports, upgrade_commands, go_retracted, local_binaries]
+NAMES = [shared_build_findings, shared_install_findings, shared_source_hosts, suspicious_hooks, build_findings, install_script_findings, source_hosts, workflow_findings, checksum_counts, tarball_drift, unlisted_files, image_findings, dependency_sources, pypi_imports, upgrade_commands, go_retracted, local_binaries]
 QUERIES = {f.__name__: f for f in NAMES}
 
 
 def oracles(deps: str, vnum) -> dict[str, str]:
+    found = _oracles(deps, vnum)
+    shared = {"shared_build_findings": "build_findings", "shared_install_findings": "install_script_findings", "shared_source_hosts": "source_hosts"}
+    return found | {name: f"SELECT * REPLACE (package // 2 AS package) FROM ({found[of]})" for name, of in shared.items()}
+
+
+def _oracles(deps: str, vnum) -> dict[str, str]:
     sums = " OR ".join(f"coalesce(len({_array_sql(x)}) <> len(s), false)" for x in ("sha256sums", "sha512sums", "b2sums", "sha1sums", "md5sums"))
     return {
         "suspicious_hooks": f"WITH f AS (SELECT doc_id, regexp_replace({sql_text(HOOKS)}, '^\\s+|\\s+$', '', 'g') AS b FROM documents), g AS (SELECT doc_id, b, {_JOINED} AS j FROM f), h AS (SELECT *, {_INLINE.format(c='b')} AS b_i, {_INLINE.format(c='j')} AS j_i FROM g) "

