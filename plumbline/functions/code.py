@@ -1,7 +1,8 @@
-"""Lexical code scans as Column expressions: capabilities and imports, by rule tables of names.
+"""Code scans as Column expressions over masked texts (see ``lexer``): capabilities and imports, by rule tables of names.
 
-This approximates syntax queries: comments are taken out (strings are respected), then a language's calls, constructors
-and members are looked for by name. Python has an exact reader in ``operators.analysis``.
+``bare`` is a source without comments and insides of strings, ``code`` one without comments, whose strings are there but
+cannot look like code. A pattern that needs quotes is looked for in ``code``, any other in ``bare``; so a call that stands in
+a comment or a string is no call.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ SHELL, EVAL, BASE64, NET, ENV, FS, RAW_IP, HOOK = "shell-spawn", "dynamic-eval",
 
 def _f(names: str) -> str:
     """A free call of one of the names."""
-    return rf"(?<![.\w$:])(?:{names})\s*[!?]?\("
+    return rf"(?<![.\w$:])(?<!->)(?:{names})\s*[!?]?\("
 
 
 def _m(owner: str, names: str, sep: str = r"\s*(?:\.|::|->)\s*") -> str:
@@ -115,8 +116,6 @@ SCANNED = {
     "js": "js mjs cjs jsx ts tsx cts mts", "py": "py pyw", "ruby": "rb gemspec", "cocoapods": "podspec", "go": "go", "php": "php", "rust": "rs", "java": "java", "c#": "cs", "bash": "sh bash", "c": "c h", "cpp": "cc cpp cxx hpp",
     "elixir": "ex exs", "kotlin": "kt kts", "swift": "swift", "lua": "lua", "dart": "dart", "haskell": "hs", "gleam": "gleam",
 }
-_HASH = {"py", "ruby", "cocoapods", "bash", "elixir"}
-_DASH = {"lua", "haskell"}
 
 
 def scanned_language(path: Column) -> Column:
@@ -125,54 +124,112 @@ def scanned_language(path: Column) -> Column:
     return F.try_element_at(table, ext)
 
 
-def without_comments(text: Column, language: Column) -> Column:
-    """A text without comments; strings are left as they are."""
-    string = r"""("(?:\\.|[^"\\\n])*+"|'(?:\\.|[^'\\\n])*+'|`(?:\\.|[^`\\])*+`)"""
-    strip = lambda pattern: F.regexp_replace(text, string + "|" + pattern, "$1")
-    return F.when(language.isin(*_HASH), strip(r"(?<![\w$])#[^\n]*")).when(language.isin(*_DASH), strip(r"--[^\n]*")).otherwise(strip(r"(?s:/\*.*?\*/)|//[^\n]*"))
+def _found(patterns: list[str], code: Column, bare: Column) -> Column:
+    """Whether one of the patterns occurs, each in the text that fits it."""
+    quoted = [p for p in patterns if "'" in p or '"' in p]
+    plain = [p for p in patterns if p not in quoted]
+    hit = lambda text, ps: text.rlike("|".join(f"(?:{p})" for p in ps)) if ps else F.lit(False)
+    return hit(code, quoted) | hit(bare, plain)
 
 
-def capabilities(text: Column, language: Column) -> Column:
-    """Capabilities of a source text (comments already out), in the order of the capability table."""
+def capabilities(code: Column, bare: Column, language: Column) -> Column:
+    """Capabilities of a masked source text, in the order of the capability table."""
     found = []
     for cap in (SHELL, EVAL, BASE64, NET, ENV, FS, HOOK):
         hit = F.lit(False)
         for lang, table in CAPABILITY_RULES.items():
             if table.get(cap):
-                hit = F.when(language == lang, text.rlike("|".join(f"(?:{p})" for p in table[cap]))).otherwise(hit)
+                hit = F.when(language == lang, _found(table[cap], code, bare)).otherwise(hit)
         found.append(F.when(hit, cap))
-    found.insert(6, F.when(language.isNotNull() & text.rlike(IP), RAW_IP))
+    found.insert(6, F.when(language.isNotNull() & code.rlike(IP), RAW_IP))
     return F.array_compact(F.array(*found))
 
 
 # How each language reads an environment variable by name.
 _ENV_NAMES = {
-    "js": r"""\bprocess\s*\.\s*env\s*(?:\.\s*|\[\s*['"])([A-Za-z_][A-Za-z0-9_]*)""", "py": r"""\bos\s*\.\s*(?:environ\s*(?:\[|\.\s*get\s*\()|getenv\s*\()\s*['"]([A-Za-z_][A-Za-z0-9_]*)['"]""", "ruby": r"""\bENV\s*(?:\[|\.fetch\s*\(?)\s*['"]([A-Za-z_][A-Za-z0-9_]*)['"]""",
+    "js": r"""\bprocess\s*\.\s*env\s*\[\s*['"]([A-Za-z_][A-Za-z0-9_]*)""", "py": r"""\bos\s*\.\s*(?:environ\s*(?:\[|\.\s*get\s*\()|getenv\s*\()\s*['"]([A-Za-z_][A-Za-z0-9_]*)['"]""", "ruby": r"""\bENV\s*(?:\[|\.fetch\s*\(?)\s*['"]([A-Za-z_][A-Za-z0-9_]*)['"]""",
     "go": r'\bos\.(?:Getenv|LookupEnv)\s*\(\s*"([A-Za-z_][A-Za-z0-9_]*)"', "rust": r'\benv::(?:var|var_os)\s*\(\s*"([A-Za-z_][A-Za-z0-9_]*)"', "java": r'\bSystem\.getenv\s*\(\s*"([A-Za-z_][A-Za-z0-9_]*)"', "lua": r"""\bos\.getenv\s*\(\s*['"]([A-Za-z_][A-Za-z0-9_]*)['"]""",
 }
 
 
-def env_reads(text: Column, language: Column) -> Column:
-    """Names of environment variables that a source reads, sorted."""
+_ENV_MEMBER = r"\bprocess\s*\.\s*env\s*\.\s*([A-Za-z_][A-Za-z0-9_]*)"
+
+
+def env_reads(code: Column, bare: Column, language: Column) -> Column:
+    """Names of environment variables that a masked source reads, sorted."""
     out = F.array().cast("array<string>")
     for lang, pattern in _ENV_NAMES.items():
-        out = F.when(language == lang, F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(out)
+        found = F.regexp_extract_all(code, F.lit(pattern), F.lit(1))
+        found = F.concat(found, F.regexp_extract_all(bare, F.lit(_ENV_MEMBER), F.lit(1))) if lang == "js" else found
+        out = F.when(language == lang, found).otherwise(out)
     return F.array_sort(F.array_distinct(out))
 
 
-# Import forms by language.
-_IMPORTS = {
-    "js": [r"""\brequire\s*\(\s*['"]([^'"\n]+)['"]\s*\)""", r"""\bfrom\s*['"]([^'"\n]+)['"]""", r"""\bimport\s*\(?\s*['"]([^'"\n]+)['"]"""],
-    "py": [r"(?m)^\s*from\s+([.\w]+)\s+import\b", r"(?m)^\s*import\s+([.\w]+)"], "ruby": [r"""(?m)^\s*require\s*\(?\s*['"]([^'"\n]+)['"]"""],
-    "go": [r'(?m)^\s*import\s+(?:[\w.]+\s+)?"([^"\n]+)"', r'(?m)^\s+(?:[\w.]+\s+)?"([^"\n]+)"\s*$'], "php": [r"(?m)^\s*use\s+([\w\\]+)"], "rust": [r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)", r"(?m)^\s*extern\s+crate\s+(\w+)"],
-    "java": [r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)\s*;"], "c#": [r"(?m)^\s*using\s+(?:static\s+)?([\w.]+)\s*;"],
-}
+_QUOTED = r"""['"]([^'"\n]*)['"]"""
 
 
-def imports(text: Column, language: Column) -> Column:
-    """Modules that a source imports, in order of form, distinct."""
-    out = F.array().cast("array<string>")
-    for lang, patterns in _IMPORTS.items():
-        found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns])
+def _all(text: Column, pattern: str, group: int = 1) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+
+def _import(module: Column, key: Column | None = None) -> Column:
+    return F.struct(module.alias("module"), (module if key is None else key).alias("key"))
+
+
+def _same(modules: Column) -> Column:
+    return F.transform(modules, lambda m: _import(m))
+
+
+def _php_uses(statement: Column) -> Column:
+    """Names of one ``use`` statement, groups with their prefix."""
+    bare = F.regexp_replace(statement, r"(?i)\A\s*(?:function|const)\s+", "")
+    grouped = F.contains(bare, F.lit("{"))
+    prefix = F.regexp_extract(bare, r"\A\s*([^{]*?)[\s\\\\]*\{", 1)
+    items = F.split(F.when(grouped, F.regexp_extract(bare, r"\{([^}]*)", 1)).otherwise(bare), ",")
+    names = F.transform(items, lambda x: F.regexp_extract(x, r"(?i)\A\s*(?:(?:function|const)\s+)?([^\s]+)", 1))
+    return F.transform(F.filter(names, lambda x: x != ""), lambda x: F.when(grouped & (prefix != ""), F.concat(prefix, F.lit("\\"), x)).otherwise(x))
+
+
+def _java(statement: Column) -> Column:
+    name = F.regexp_replace(F.regexp_extract(statement, r"import\s+(?:static\s+)?([\w.$\s]+?)(?:\s*\.\s*\*)?\s*;", 1), r"\s+", "")
+    wild, static = statement.rlike(r"\*\s*;"), statement.rlike(r"\Aimport\s+static\b")
+    return _import(F.when(wild, F.concat(name, F.lit(".*"))).otherwise(name), F.when(static & ~wild, F.regexp_replace(name, r"\.[^.]*\z", "")).otherwise(name))
+
+
+def _csharp(statement: Column) -> Column:
+    name = F.regexp_extract(statement, r"([\w.]+)\s*;", 1)
+    return _import(name, F.when(statement.rlike(r"\busing\s+static\b"), F.regexp_replace(name, r"\.[^.]*\z", "")).otherwise(name))
+
+
+def imports(code: Column, bare: Column, top: Column, language: Column) -> Column:
+    """Imports of a masked source, distinct: array of (module as written, what its dependency key is taken from).
+
+    ``top`` is ``bare`` without what stands in braces, for PHP, where ``use`` in a class takes in a trait.
+    """
+    js = F.concat(
+        _all(code, r"""(?<![.\w$])(?:require|import)\s*\(\s*['"`]([^'"`\n]*)['"`]"""), _all(code, r"(?<![.\w$])import\s*[\w$*{},\s]*?\bfrom\s*" + _QUOTED),
+        _all(code, r"(?<![.\w$])import\s*" + _QUOTED),
+    )
+    lists = F.flatten(F.transform(_all(bare, r"(?m)(?:^|[;:])[ \t]*import[ \t]+((?:[^\n;\\]|\\\n)+)"), lambda x: F.split(F.replace(x, F.lit("\\\n"), F.lit(" ")), ",")))
+    py = F.concat(
+        _all(bare, r"(?m)(?:^|[;:])[ \t]*from[ \t]+([^\s,;]+)[ \t]+import\b"), F.filter(F.transform(lists, lambda x: F.regexp_extract(x, r"\A\s*([^\s,]+)", 1)), lambda x: x != ""),
+        _all(code, r"(?<![.\w])(?:__import__|importlib\s*\.\s*import_module)\s*\(\s*[rRuU]?" + _QUOTED),
+    )
+    go_path = r'["`]([^"`\n]*)["`]'
+    go = F.concat(F.flatten(F.transform(_all(code, r"(?m)^[ \t]*import\s*\(([^)]*)\)"), lambda x: _all(x, go_path))), _all(code, r"(?m)^[ \t]*import\s+(?:[\w.]+\s+)?" + go_path))
+    php = F.concat(
+        _same(F.flatten(F.transform(_all(top, r"(?i)(?<![\w$\\>])use\s+([^;(){}]*(?:\{[^{};]*\})?[^;(){}]*);"), _php_uses))),
+        F.transform(_all(code, r"""(?i)(?<![\w$>:])(?:include|require)(?:_once)?\s*(?:'([^'\n]*)'|"([^"\n$]*)")\s*(?=;|\?>|\)|,)""", 0), lambda x: _import(F.regexp_extract(x, _QUOTED, 1), F.lit(""))),
+    )
+    call = r"(?<![\w:@$])(?:%s)\s*\(?\s*" + _QUOTED
+    ruby = F.concat(
+        _same(F.filter(F.concat(_all(code, call % "require|load|gem"), _all(code, r"(?<![\w:@$])autoload\s*\(?\s*:\w+\s*,\s*" + _QUOTED)), lambda x: ~F.contains(x, F.lit("#{")))),
+        F.transform(_all(code, call % "require_relative"), lambda x: _import(x, F.lit(""))),
+    )
+    rust = F.concat(_all(bare, r"(?<![\w$])use\s+([\w:{}*,#\s]+?)\s*;"), _all(bare, r"(?<![\w$])extern\s+crate\s+(\w+)"))
+    java = F.transform(_all(bare, r"(?<![\w.$])import\s+(?:static\s+)?[\w.$\s]+?(?:\.\s*\*)?\s*;", 0), _java)
+    csharp = F.transform(_all(bare, r"(?<![\w.])using\s+(?:static\s+)?(?:\w+\s*=\s*)?[\w.]+\s*;", 0), _csharp)
+    out = F.array().cast("array<struct<module:string,key:string>>")
+    for lang, found in {"js": _same(F.filter(js, lambda x: ~F.contains(x, F.lit("${")))), "py": _same(py), "go": _same(go), "php": php, "ruby": ruby, "cocoapods": ruby, "rust": _same(rust), "java": java, "c#": csharp}.items():
         out = F.when(language == lang, found).otherwise(out)
     return F.array_distinct(out)

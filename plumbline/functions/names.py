@@ -110,8 +110,8 @@ def dep_key(language: Column, module: Column) -> Column:
     npm = F.when(module.startswith(".") | module.startswith("/") | module.startswith("node:"), "").when(
         module.startswith("@"), F.regexp_extract(module, r"\A(@[^/]+/[^/]+)", 1)
     ).otherwise(first)
-    rust = F.split_part(module, F.lit("::"), F.lit(1))
-    java = F.regexp_replace(module, r"\.[^.]*\z", "")
+    rust = F.regexp_extract(module, r"\A\s*(?:::)?\s*([^:{},\s]*)", 1)
+    java = F.regexp_replace(F.regexp_replace(module, r"\.\*\z", ""), r"\.[A-Z][^.]*\z", "")
     return (
         F.when(language == "js", npm)
         .when(language == "py", F.when(module.startswith("."), "").otherwise(F.split_part(module, F.lit("."), F.lit(1))))
@@ -119,8 +119,8 @@ def dep_key(language: Column, module: Column) -> Column:
         .when(language == "php", "")
         .when(language == "ruby", F.when(module.startswith("."), "").otherwise(first))
         .when(language == "rust", F.when(rust.isin("std", "core", "alloc", "crate", "self", "super", ""), "").otherwise(rust))
-        .when(language == "java", F.when(module.rlike(r"\Ajavax?\."), "").otherwise(java))
-        .when(language == "c#", F.when(module.rlike(r"\ASystem(?:\.|\z)"), "").otherwise(module))
+        .when(language == "java", F.when(java.rlike(r"\Ajavax?(?:\.|\z)"), "").otherwise(java))
+        .when(language == "c#", F.when(F.trim(module).isin("static", "global"), "").otherwise(F.trim(module)))
         .otherwise("")
     )
 

@@ -10,24 +10,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import code as C
+from ..functions.lexer import masked, outer
 from ..functions.second_pass import second_pass
+from ..functions.uses import uses
 from .heuristics import dependency_sources, is_binary_dropper, retracted, secrets, source_findings, suspicious_hook, typosquats, unlisted_large
 
 PACKAGE = ["ecosystem", "name", "version"]
 
 
+def lexed(files: DataFrame, text_col: str = "body", every: bool = False) -> DataFrame:
+    """``files`` with ``language``, and of sources the masked texts ``code``, ``bare`` and (PHP) ``top``; see ``functions.code``.
+
+    Other files are left out, or with ``every`` kept with nulls. One pass over the texts, nothing is shuffled. Null texts are
+    empty sources.
+    """
+    names = [c for c in files.columns if c not in ("language", "code", "bare", "top")]
+    lang = files.select(*names).withColumn("language", C.scanned_language(F.col("path")))
+    lang = lang if every else lang.where("language is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            texts, languages = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            found = [masked(t or "", x) if x else (None, None) for t, x in zip(texts, languages, strict=True)]
+            tops = [outer(bare) if x == "php" else None for (_, bare), x in zip(found, languages, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.string()) for c in ([f[0] for f in found], [f[1] for f in found], tops))], [*batch.schema.names, "code", "bare", "top"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lang.schema.fields)
+    return lang.mapInArrow(run, f"{schema}, code string, bare string, top string")
+
+
 def file_capabilities(files: DataFrame, text_col: str = "body") -> DataFrame:
     """files with ``language``, ``capabilities`` and ``env_reads`` of their code, JavaScript by two passes; other files are left out."""
-    lang = files.withColumn("language", C.scanned_language(F.col("path"))).where("language is not null")
-    plain = lang.withColumn("plain", C.without_comments(F.col(text_col), F.col("language")))
-    more = second_pass(F.col(text_col), F.col("language"))
-    return plain.withColumns({"capabilities": F.array_union(C.capabilities(F.col("plain"), F.col("language")), more), "env_reads": C.env_reads(F.col("plain"), F.col("language"))}).drop("plain")
+    rows, code, bare, lang = lexed(files, text_col), F.col("code"), F.col("bare"), F.col("language")
+    found = {"capabilities": F.array_union(C.capabilities(code, bare, lang), second_pass(code, lang)), "env_reads": C.env_reads(code, bare, lang)}
+    return rows.withColumns(found).drop("code", "bare", "top")
 
 
 def file_imports(files: DataFrame, text_col: str = "body") -> DataFrame:
-    """(file columns, language, module): one row an imported module."""
-    lang = files.withColumn("language", C.scanned_language(F.col("path"))).where("language is not null")
-    return lang.withColumn("module", F.explode(C.imports(C.without_comments(F.col(text_col), F.col("language")), F.col("language")))).drop(text_col)
+    """(file columns, language, module as written, key_of): one row an imported module; ``names.dep_key`` of key_of is its dependency."""
+    rows = lexed(files, text_col)
+    kept = [c for c in rows.columns if c not in (text_col, "code", "bare", "top", "module", "key_of")]
+    return rows.select(*kept, F.explode(C.imports(F.col("code"), F.col("bare"), F.col("top"), F.col("language"))).alias("i")).select(*kept, "i.module", F.col("i.key").alias("key_of"))
 
 
 def heuristic_capabilities(files: DataFrame, listed: DataFrame, manifest: DataFrame, retractions: DataFrame, top: DataFrame) -> DataFrame:
@@ -57,14 +81,14 @@ def fingerprints(files: DataFrame, hooks: DataFrame, more: DataFrame | None = No
     install-hook-exec. Each file is read once: one projection to sets and sizes, and one aggregate by package, which keeps
     distinct sets (few, of capabilities) and combines before the shuffle. Environment names are as many as the code reads.
     """
-    every = source_findings(files).withColumnRenamed("capabilities", "source_caps").withColumn("language", C.scanned_language(F.col("path")))
-    every = every.withColumn("plain", C.without_comments(F.col("body"), F.col("language")))
+    every = lexed(source_findings(files).withColumnRenamed("capabilities", "source_caps"), every=True)
     none = F.array().cast("array<string>")
     coded = F.col("language").isNotNull()
-    code = F.when(coded, F.array_union(C.capabilities(F.col("plain"), F.col("language")), second_pass(F.col("body"), F.col("language"))))
+    masks = F.col("code"), F.col("bare"), F.col("language")
+    code = F.when(coded, F.array_union(C.capabilities(*masks), second_pass(F.col("code"), F.col("language"))))
     every = every.select(
         *PACKAGE, F.array_union(F.coalesce(code, none), F.coalesce("source_caps", none)).alias("caps"), F.when(is_binary_dropper(F.col("path"), F.col("ecosystem")), F.array(F.lit("binary-dropper"))).otherwise(none).alias("drops"),
-        F.coalesce(F.when(coded, C.env_reads(F.col("plain"), F.col("language"))), none).alias("reads"), F.when(coded, F.octet_length("body")).otherwise(0).alias("bytes"), F.lit(0).alias("hook"), F.lit(True).alias("file"),
+        F.coalesce(F.when(coded, C.env_reads(*masks)), none).alias("reads"), F.when(coded, F.octet_length("body")).otherwise(0).alias("bytes"), F.lit(0).alias("hook"), F.lit(True).alias("file"),
     )
     hook = hooks.select(
         *PACKAGE, F.array_compact(F.array(F.lit("install-hook-exec"), F.when(suspicious_hook(F.col("body")), "install-hook-suspicious"))).alias("caps"), none.alias("drops"), none.alias("reads"), F.lit(0).alias("bytes"), F.lit(1).alias("hook"), F.lit(False).alias("file"),
@@ -94,6 +118,9 @@ def _python(text: str):
             for a in node.names:
                 members[a.asname or a.name] = (module, a.name)
 
+    def top(module):
+        return module if module.startswith(".") else module.split(".")[0]
+
     def dotted(node):
         parts = []
         while isinstance(node, ast.Attribute):
@@ -109,11 +136,11 @@ def _python(text: str):
             if isinstance(child, ast.Attribute):
                 root, parts = dotted(child)
                 if root in modules:
-                    yield "symbol", scope, modules[root], parts[-1], child.lineno
+                    yield "symbol", scope, top(modules[root]), parts[-1], child.lineno
                 elif root in members:
-                    yield "symbol", scope, members[root][0], members[root][1], child.lineno
+                    yield "symbol", scope, top(members[root][0]), members[root][1], child.lineno
             elif isinstance(child, ast.Name) and isinstance(child.ctx, ast.Load) and child.id in members:
-                yield "symbol", scope, *members[child.id], child.lineno
+                yield "symbol", scope, top(members[child.id][0]), members[child.id][1], child.lineno
             if isinstance(child, ast.Call):
                 f = child.func
                 name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None
@@ -153,65 +180,25 @@ def call_edges(facts: DataFrame) -> DataFrame:
     return facts.where("kind = 'call'").select(F.col("path").alias("file"), F.col("function").alias("caller"), F.col("symbol").alias("callee")).distinct()
 
 
-def js_symbols(files: DataFrame, text_col: str = "body") -> DataFrame:
-    """(path, module, symbol) used in scripts, lexically: members of required or imported names, and named imports."""
-    js = files.where(C.scanned_language(F.col("path")) == "js").select("path", C.without_comments(F.col(text_col), F.lit("js")).alias("t"))
-    name, quoted = r"([A-Za-z_$][\w$]*)", r"""['"]([^'"\n]+)['"]"""
-    forms = [rf"(?:const|let|var)\s+{name}\s*=\s*require\(\s*{quoted}\s*\)", rf"import\s+(?:\*\s+as\s+)?{name}\s+from\s+{quoted}"]
-    binds = F.concat(*[F.arrays_zip(F.regexp_extract_all("t", F.lit(f), F.lit(1)).alias("local"), F.regexp_extract_all("t", F.lit(f), F.lit(2)).alias("module")) for f in forms])
-    rows = js.withColumn("b", F.explode(binds)).select("path", "t", F.col("b.local").alias("local"), F.col("b.module").alias("module"))
-    uses = F.expr(r"regexp_extract_all(t, concat('(?<![\\w$.])', replace(local, '$', '[$]'), '\\s*\\.\\s*([A-Za-z_$][\\w$]*)'), 1)")
-    members = rows.select("path", "module", F.explode(uses).alias("symbol"))
-    named = rf"import\s*\{{([^}}]*)\}}\s*from\s*{quoted}"
-    taken = F.arrays_zip(F.regexp_extract_all("t", F.lit(named), F.lit(1)).alias("names"), F.regexp_extract_all("t", F.lit(named), F.lit(2)).alias("module"))
-    listed = js.withColumn("b", F.explode(taken)).select("path", F.col("b.module").alias("module"), F.explode(F.split("b.names", ",")).alias("s"))
-    listed = listed.select("path", "module", F.trim(F.split_part("s", F.lit(" as "), F.lit(1))).alias("symbol")).where("symbol <> ''")
-    return members.unionByName(listed).distinct()
-
-
-# Import forms that bind a local name to a module, and what parts a member from it: (language, pattern, group of the name or 0 for the module's last part, group of the module, separator).
-_BINDINGS = [
-    ("go", r'(?m)^\s*(?:import\s+)?([A-Za-z_]\w*)\s+"([^"\n]+)"\s*$', 1, 2, r"\."), ("go", r'(?m)^\s*(?:import\s+)?"([^"\n]+)"\s*$', 0, 1, r"\."),
-    ("php", r"(?m)^\s*use\s+([\w\\]+)\s*;", 0, 1, r"(?:::|->)"), ("php", r"(?m)^\s*use\s+([\w\\]+)\s+as\s+(\w+)\s*;", 2, 1, r"(?:::|->)"),
-    ("rust", r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)\s*;", 0, 1, "::"), ("rust", r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)\s+as\s+(\w+)\s*;", 2, 1, "::"),
-    ("ruby", r"""(?m)^\s*require\s*\(?\s*['"]([^'"\n]+)['"]""", 0, 1, r"(?:\.|::)"),
-]
-
-
-def lexical_symbols(files: DataFrame, text_col: str = "body") -> DataFrame:
-    """(path, language, module, symbol) used in Go, PHP, Rust and Ruby sources: members of names that imports bind, lexically."""
-    rows = files.withColumn("language", C.scanned_language(F.col("path"))).where(F.col("language").isin("go", "php", "rust", "ruby"))
-    rows = rows.select("path", "language", C.without_comments(F.col(text_col), F.col("language")).alias("t"))
-    out = None
-    for language, pattern, name, module, sep in _BINDINGS:
-        mine = rows.where(F.col("language") == language)
-        modules = F.regexp_extract_all("t", F.lit(pattern), F.lit(module))
-        names = F.regexp_extract_all("t", F.lit(pattern), F.lit(name)) if name else F.transform(modules, lambda m: F.regexp_extract(m, r"([^/\\:]+)\z", 1))
-        names = F.transform(names, F.initcap) if language == "ruby" else names
-        bound = mine.withColumn("b", F.explode(F.arrays_zip(names.alias("local"), modules.alias("module")))).select("path", "language", "t", "b.local", "b.module")
-        use = F.expr(f"regexp_extract_all(t, concat('\\\\b', local, '\\\\s*{sep}\\\\s*([A-Za-z_][A-Za-z0-9_]*)'), 1)".replace("\\.", "[.]"))
-        part = bound.select("path", "language", "module", F.explode(use).alias("symbol"))
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
-
-
-_HEADS = {
-    "js": r"(?m)(?:^|[\s;{(])(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)\s*\(|(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*=>",
-    "go": r"(?m)^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*\(()", "php": r"(?m)\bfunction\s+&?\s*([A-Za-z_]\w*)\s*\(()",
-}
-_NOT_CALLS = ("if", "for", "while", "switch", "catch", "function", "return", "func", "array", "isset", "unset", "foreach", "elseif", "typeof")
-
-
-def lexical_call_edges(files: DataFrame, text_col: str = "body") -> DataFrame:
-    """(file, caller, callee) of scripts, Go and PHP, lexically: calls from a function's head to the next head; before the first, ``<module>``."""
-    out = None
-    for language, head in _HEADS.items():
-        rows = files.where(C.scanned_language(F.col("path")) == language).select("path", C.without_comments(F.col(text_col), F.lit(language)).alias("t"))
-        marked = F.regexp_replace("t", head, "\x01$1$2\x02")
-        pieces = rows.select("path", F.posexplode(F.split(marked, "\x01")).alias("k", "piece"))
-        caller = F.when(F.col("k") == 0, "<module>").otherwise(F.split_part("piece", F.lit("\x02"), F.lit(1)))
-        body = F.when(F.col("k") == 0, F.col("piece")).otherwise(F.regexp_replace("piece", "(?s)\\A[^\x02]*\x02", ""))
-        calls = F.regexp_extract_all(body, F.lit(r"([A-Za-z_$][\w$]*)\s*\("), F.lit(1))
-        part = pieces.select(F.col("path").alias("file"), caller.alias("caller"), F.explode(calls).alias("callee")).where(~F.col("callee").isin(*_NOT_CALLS))
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+def code_facts(files: DataFrame, text_col: str = "body") -> DataFrame:
+    """(path, language, kind symbol|call, function, module, symbol, line) of JavaScript, Go, PHP and Rust (symbols only) sources.
+
+    Modules are in the form of their dependency where they have one, and as written where not; see ``functions.uses``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(path, language, *r) for path, language, *masks in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in uses(language, *masks)]
+            cols = list(zip(*rows, strict=True)) or [[]] * 7
+            kinds = [pa.string()] * 6 + [pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["path", "language", "kind", "function", "module", "symbol", "line"])
+
+    mine = files.select("path", text_col).where(C.scanned_language(F.col("path")).isin("js", "go", "php", "rust"))
+    masks = lexed(mine, text_col).select("path", "language", "code", "bare", "top")
+    return masks.mapInArrow(run, "path string, language string, kind string, function string, module string, symbol string, line long")
+
+
+def source_facts(files: DataFrame, text_col: str = "body") -> DataFrame:
+    """(path, kind, function, module, symbol, line) of Python, JavaScript, Go, PHP and Rust sources together."""
+    columns = ("path", "kind", "function", "module", "symbol", "line")
+    return python_facts(files, text_col).select(*columns).unionByName(code_facts(files, text_col).select(*columns))

@@ -12,8 +12,9 @@ from ..shared import drop_table, write_table
 
 
 def import_keys(imports: DataFrame) -> DataFrame:
-    """(language, dep_key) of import rows (language, module), empties left out."""
-    return imports.select("language", dep_key(F.col("language"), F.col("module")).alias("dep_key")).where("dep_key <> ''").distinct()
+    """(language, dep_key) of import rows (language, module or, where given, key_of), empties left out."""
+    of = F.col("key_of" if "key_of" in imports.columns else "module")
+    return imports.select("language", dep_key(F.col("language"), of).alias("dep_key")).where("dep_key <> ''").distinct()
 
 
 # The language whose imports tell about an ecosystem.
@@ -70,3 +71,43 @@ def callers_closure(edges: DataFrame, start: DataFrame) -> DataFrame:
             seen, _ = write_table(seen, "reached")
     drop_table(spark, edges_path)
     return seen
+
+
+def functions_reaching_transitive(sites: DataFrame, edges: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(module, symbol, file, function, line, direct): for many symbols at once, which functions reach them.
+
+    ``sites`` (file, function, module, symbol, line) are direct uses: their functions are direct, with the first line there.
+    All that call, through any chain, a function of a reached name have line 0; calls (``edges``: file, caller, callee) meet
+    functions by name over all files. A symbol without a direct use has no rows. ``wanted`` (module, symbol) restricts the
+    symbols; without it all that are used are followed together.
+
+    Rounds of one join: only (symbol, function) pairs that are new go on, so cycles end, each pair is joined once, and
+    chains of any length are followed. Rounds are written in the shared folder while this runs, and removed at its end but
+    for the pairs found. Null names reach nothing; repeated rows count once.
+    """
+    spark = sites.sparkSession
+    label = ["module", "symbol"]
+    direct = sites if wanted is None else sites.join(wanted.select(*label).distinct(), label, "left_semi")
+    direct, _ = write_table(direct.groupBy(*label, "file", "function").agg(F.min("line").alias("line")), "direct-uses")
+    calls, calls_path = write_table(edges.select("file", "caller", "callee").distinct(), "calls")
+    named = calls.select("caller", "callee").distinct()
+    frontier, path = write_table(direct.select(*label, "function").distinct(), "reaching")
+    seen, paths = frontier, [path]
+    for depth in count(1):
+        new = named.join(frontier.withColumnRenamed("function", "callee"), "callee").select(*label, F.col("caller").alias("function")).distinct()
+        frontier, path = write_table(new.join(seen, [*label, "function"], "left_anti"), "reaching")
+        paths.append(path)
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+        if depth % 16 == 0:  # a plan of few parts, whatever the depth
+            seen, path = write_table(seen, "reached")
+            for old in paths[:-1]:
+                drop_table(spark, old)
+            paths = [paths[-1], path]
+    callers = calls.join(seen.withColumnRenamed("function", "callee"), "callee").select(*label, "file", F.col("caller").alias("function"), F.lit(None).cast("long").alias("line"))
+    every = direct.unionByName(callers).groupBy(*label, "file", "function").agg(F.min("line").alias("line"))
+    out, _ = write_table(every.select(*label, "file", "function", F.coalesce("line", F.lit(0)).alias("line"), F.col("line").isNotNull().alias("direct")), "reaching-functions")
+    for old in (*paths, calls_path):
+        drop_table(spark, old)
+    return out

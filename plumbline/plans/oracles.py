@@ -137,7 +137,7 @@ ORACLES = {
     "image_references": "SELECT p_partkey, CASE p_size % 4 WHEN 2 THEN 'ghcr.io' WHEN 3 THEN 'localhost:5000' ELSE 'registry-1.docker.io' END AS registry, CASE p_size % 4 WHEN 0 THEN 'library/nginx' WHEN 1 THEN 'a/b' WHEN 2 THEN 'o/r' ELSE 'x' END AS repository, CASE p_size % 4 WHEN 0 THEN 'latest' WHEN 1 THEN '1.2' WHEN 2 THEN 'v3' ELSE 'latest' END AS tag FROM part",
     "capability_docs": "SELECT capability, CAST(weight AS BIGINT) AS weight FROM (VALUES ('shell-spawn',10),('dynamic-eval',15),('base64-decode',12),('net-egress',8),('env-read',15),('fs-write-outside-root',8),('raw-ip-literal',10),('install-hook-exec',20),('install-hook-suspicious',70),('obfuscated-payload',60),('suspicious-url',50),('binary-dropper',25),('typosquat-risk',45),('maintainer-hijack-risk',50),('patch-version-drift',35),('maintainer-changed',55),('tarball-source-drift',60),('git-dep-in-optional',65),('unlisted-large-file',55),('version-unpublished',75),('known-malware-ioc',100),('vcs-dependency',45),('hardcoded-secret',80)) t(capability, weight)",
     "code_capabilities": """SELECT doc_id, cap AS capability FROM documents, (VALUES (0, 'shell-spawn'), (0, 'dynamic-eval'), (0, 'env-read'), (1, 'shell-spawn'), (2, 'shell-spawn'), (3, 'fs-write-outside-root'), (3, 'raw-ip-literal'), (4, 'base64-decode')) t(k, cap) WHERE doc_id % 6 = k""",
-    "code_imports": "SELECT doc_id, m AS module FROM documents, (VALUES (0, 'child_process'), (1, 'yaml'), (1, 'subprocess'), (2, 'os/exec'), (3, 'std::fs')) t(k, m) WHERE doc_id % 6 = k",
+    "code_imports": "SELECT doc_id, m AS module FROM documents, (VALUES (0, 'child_process'), (1, 'yaml'), (1, 'subprocess'), (1, 'os'), (2, 'os/exec'), (3, 'std::fs')) t(k, m) WHERE doc_id % 6 = k",
     "python_symbols": "SELECT 'd' || doc_id || '.py' AS file, f AS function, m AS module, s AS symbol, CAST(l AS BIGINT) AS line FROM documents, (VALUES ('f', 'subprocess', 'run', 4), ('f', 'yaml', 'load', 5), ('<module>', 'os', 'getenv', 7)) t(f, m, s, l) WHERE doc_id % 6 = 1",
     "package_analysis": "SELECT 'p' || doc_id AS name, CAST(s AS BIGINT) AS score, v AS verdict FROM (SELECT doc_id, CASE WHEN doc_id % 12 = 0 THEN 140 WHEN doc_id % 6 = 0 THEN 40 WHEN doc_id % 6 IN (1, 2) THEN 10 WHEN doc_id % 6 = 3 THEN 18 WHEN doc_id % 6 = 4 THEN 12 END AS s FROM documents) JOIN (VALUES (140, 'block'), (40, 'review'), (10, 'safe'), (18, 'safe'), (12, 'safe')) t(k, v) ON s = k",
     "osv_parse": f"WITH {ADVS} SELECT ecosystem, name, id, summary, fixed_in, CASE WHEN severity = 'moderate' THEN 'medium' ELSE severity END AS severity FROM advs",
@@ -160,6 +160,6 @@ ORACLES = {
     "unused_dependencies": "SELECT DISTINCT l_orderkey AS project, 'd' || (l_partkey % 20) AS dep_name FROM lineitem l WHERE l_linenumber % 2 = 1 AND NOT EXISTS (SELECT 1 FROM lineitem q WHERE q.l_orderkey = l.l_orderkey AND q.l_suppkey % 20 = l.l_partkey % 20)",
 }
 
-from . import lock_queries, report_queries, rule_queries  # noqa: E402
+from . import code_queries, lock_queries, report_queries, rule_queries  # noqa: E402
 
-ORACLES |= rule_queries.oracles(DEPS, vnum) | lock_queries.ORACLES | report_queries.oracles(DEPS, ADVS)
+ORACLES |= rule_queries.oracles(DEPS, vnum) | lock_queries.ORACLES | report_queries.oracles(DEPS, ADVS) | code_queries.ORACLES

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import second_pass as J
+from ..operators.analysis import lexed
 from ..operators import reports as RP
 from ..operators import snapshots as SN
 from . import derived as D
@@ -95,7 +96,8 @@ def js_second_pass(spark, d):
     n = len(STRINGS)
     script = _script(pick(STRINGS, F.col("doc_id")), pick(SINKS, F.col("doc_id")), F.expr(f"doc_id div {n}"))
     body = F.concat(F.lit("/* "), F.replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z\s]", ""), F.lit("\n"), F.lit(" ")), F.lit(" */\n"), script)
-    return D.table(spark, d, "documents").select("doc_id", F.explode(J.second_pass(body, F.lit("js"))).alias("capability"))
+    files = D.table(spark, d, "documents").select("doc_id", F.lit("x.js").alias("path"), body.alias("body"))
+    return lexed(files).select("doc_id", F.explode(J.second_pass(F.col("code"), F.col("language"))).alias("capability"))
 
 
 NAMES = [cyclonedx_components, cyclonedx_edges, cyclonedx_vulnerabilities, spdx_packages, spdx_relationships, diff_scores, js_second_pass]

@@ -40,9 +40,10 @@ def test_python_facts_and_js_symbols(spark):
     text = "import a.b as c\nfrom d import e as f\nclass K:\n    def g(self):\n        c.run(1)\n        return f()\ng()\n"
     frame = spark.createDataFrame([("x.py", text), ("bad.py", "def ("), ("y.js", "const l = require('lodash'); l.merge(a); import { x, y as z } from 'm'; import * as q from 'n'; q.go()")], "path string, body string")
     facts = analysis.python_facts(frame)
-    assert {(r["function"], r["module"], r["symbol"]) for r in analysis.symbol_sites(facts).collect()} == {("g", "a.b", "run"), ("g", "d", "e")}
+    assert {(r["function"], r["module"], r["symbol"]) for r in analysis.symbol_sites(facts).collect()} == {("g", "a", "run"), ("g", "d", "e")}
     assert {(r["caller"], r["callee"]) for r in analysis.call_edges(facts).collect()} == {("g", "run"), ("g", "f"), ("<module>", "g")}
-    assert {(r["module"], r["symbol"]) for r in analysis.js_symbols(frame).collect()} == {("lodash", "merge"), ("m", "x"), ("m", "y"), ("n", "go")}
+    mine = analysis.symbol_sites(analysis.source_facts(frame)).where("file = 'y.js'").collect()
+    assert {(r["module"], r["symbol"]) for r in mine} == {("lodash", "merge"), ("n", "go")}  # names that are imported but not used count for nothing
 
 
 def test_layers_to_overlay(spark):
@@ -140,10 +141,17 @@ def test_lexical_symbols_and_calls(spark):
         ("c.php", "<?php\nuse A\\B;\nfunction f() { B::make(); strlen($x); }\nf();"), ("d.js", "g();\nfunction f(a) { if (a) { h(a); } }\nconst k = (x) => f(x);"), ("e.rb", "require 'json'\nJson.parse(x)"),
     ]
     frame = spark.createDataFrame(rows, "path string, body string")
-    got = {(r["path"], r["module"], r["symbol"]) for r in analysis.lexical_symbols(frame).collect()}
-    assert got == {("a.go", "net/http", "Get"), ("a.go", "h/y", "Do"), ("b.rs", "a::b", "run"), ("b.rs", "c::d", "go"), ("c.php", "A\\B", "make"), ("e.rb", "json", "parse")}
-    calls = {(r["file"], r["caller"], r["callee"]) for r in analysis.lexical_call_edges(frame).collect()}
-    assert {("a.go", "f", "Get"), ("a.go", "g", "f"), ("c.php", "f", "strlen"), ("d.js", "<module>", "g"), ("d.js", "f", "h"), ("d.js", "k", "f")} <= calls
+    facts = analysis.code_facts(frame)
+    got = {(r["file"], r["module"], r["symbol"]) for r in analysis.symbol_sites(facts).collect()}
+    assert got == {("a.go", "net/http", "Get"), ("a.go", "h/y", "Do"), ("b.rs", "a", "run"), ("b.rs", "c", "go"), ("c.php", "A\\B", "make")}
+    calls = {(r["file"], r["caller"], r["callee"]) for r in analysis.call_edges(facts).collect()}
+    assert calls == {("a.go", "f", "Get"), ("a.go", "f", "Do"), ("a.go", "g", "f"), ("c.php", "f", "make"), ("c.php", "f", "strlen"), ("c.php", "<module>", "f"), ("d.js", "<module>", "g"), ("d.js", "f", "h"), ("d.js", "k", "f")}
+
+
+def test_second_pass_reads_no_comments(spark):
+    rows = [("a.js", "/* let v = atob(p); */ fetch(v)"), ("b.js", "// const v = atob(p)\nre.exec(v)"), ("c.js", "const v = atob(p)\nre.exec(v) // x"), ("d.js", "use([1e2]); const a = [1.04e2, 116, 116, 112, 58, 47, 47, 112, 97, 115, 116, 101, 46, 101, 101]")]
+    got = {r["path"]: set(r["capabilities"]) for r in analysis.file_capabilities(spark.createDataFrame(rows, "path string, body string")).collect()}
+    assert got == {"a.js": {"net-egress"}, "b.js": set(), "c.js": {"base64-decode", "shell-spawn"}, "d.js": {"suspicious-url"}}
 
 
 def test_javascript_second_pass():
