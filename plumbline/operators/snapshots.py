@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import versions as V
 from ..functions.scoring import advisory_verdict, downgrade, score_verdict
 from ..functions.versions import is_patch_step
-from ..schema import CAPABILITIES
-from .risk import apply_allowlist, drift_flags, provenance_flags, risk_flags, scores
+from ..schema import CAPABILITIES, CAPABILITY_ADDED_WEIGHT, HOOK_CHANGED_WEIGHT, HOOK_WEIGHT, PROVENANCE_WEIGHT, SIZE_WEIGHT
+from .risk import MOST_BROADCAST, PACKAGE, apply_allowlist, credential_reads, scores
 
 KEY = ["ecosystem", "name"]
 
@@ -46,6 +47,69 @@ def shown(snapshot: DataFrame, everything: bool = False) -> DataFrame:
     return snapshot.withColumn("any", any_direct).where("direct or any = 0").drop("any")
 
 
+def _flag(code: str, weight: int):
+    return F.struct(F.lit(code).alias("code"), F.lit(weight).alias("weight"))
+
+
+def _when(condition, flag):
+    return F.when(condition, F.array(flag)).otherwise(F.array().cast("array<struct<code:string,weight:int>>"))
+
+
+def _risk_array():
+    """Flags of a row's next fingerprint, its attestation and its step from the previous one."""
+    weights = F.create_map(*[F.lit(x) for c, w in CAPABILITIES for x in (c, w)])
+    seen = F.col("analyzed") | (F.size("capabilities") > 0) | (F.col("n_hooks") > 0)
+    counts = lambda c: F.map_contains_key(weights, c) & ~((c == "install-hook-exec") & (F.col("n_hooks") > 0)) & ((c != "env-read") | (F.size(credential_reads(F.col("env_reads"))) > 0))
+    caps = F.transform(F.filter(F.array_distinct(F.array_compact("capabilities")), counts), lambda c: F.struct(c.alias("code"), F.element_at(weights, c).alias("weight")))
+    hooks = F.array_repeat(_flag("install-hook", HOOK_WEIGHT), F.greatest(F.coalesce("n_hooks", F.lit(0)), F.lit(0)))
+    missing = (F.col("ecosystem") == "npm") & (F.col("provenance_status") == "missing")
+    gained = F.col("changed") & is_patch_step(F.col("old_version"), F.col("version")) & (F.size(F.array_except("capabilities", "prev_capabilities")) > 0)
+    none = F.array().cast("array<struct<code:string,weight:int>>")
+    return F.concat(
+        F.coalesce(F.when(seen, F.concat(caps, hooks)), none), _when(missing, _flag("provenance-missing", PROVENANCE_WEIGHT)),
+        _when(gained, _flag("patch-version-drift", dict(CAPABILITIES)["patch-version-drift"])),
+    )
+
+
+def _drift_score():
+    """The sum of what changed since the previous fingerprint."""
+    has_hooks = F.size("hooks") > 0
+    caps = F.size(F.filter(F.array_except("capabilities", "prev_capabilities"), lambda c: ~((c == "install-hook-exec") & has_hooks)))
+    old = lambda phase: F.try_element_at("prev_hooks", phase)
+    added = F.size(F.map_filter("hooks", lambda phase, _: old(phase).isNull()))
+    changed = F.size(F.map_filter("hooks", lambda phase, now: (old(phase) != "") & (now != "") & (old(phase) != now)))
+    odd = (F.col("prev_size") != 0) & (F.col("size") != 0) & ((F.col("size") >= 2 * F.col("prev_size")) | (F.col("size") * 2 <= F.col("prev_size")))
+    parts = [(caps, CAPABILITY_ADDED_WEIGHT), (added, HOOK_WEIGHT), (changed, HOOK_CHANGED_WEIGHT), (odd.cast("int"), SIZE_WEIGHT)]
+    total = sum((F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)) * w for n, w in parts), F.lit(0))
+    return F.when(F.col("changed"), total).otherwise(0).cast("long")
+
+
+def _risk_scores(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rows`` (with ``flags``) and ``risk_score``: the flags that no rule allows.
+
+    Rules meet a row as two arrays, those of its name and those for any name of its ecosystem, and are tried within the row.
+    Where rules for any name are too many for that, flags are rows and rules are joined to them.
+    """
+    compiled = rules.select("ecosystem", F.col("name").alias("of"), F.struct(F.col("capability").alias("capability"), "version_range", V.compile_range(F.col("version_range")).alias("compiled")).alias("rule"))
+    wild = compiled.where("of = '*'")
+    if len(wild.limit(MOST_BROADCAST + 1).select("of").collect()) > MOST_BROADCAST:
+        flags = rows.select(*PACKAGE, F.inline("flags"))
+        found = scores(apply_allowlist(flags, rules), KEY).withColumnRenamed("score", "risk_score")
+        return rows.join(found, KEY, "left").na.fill(0, ["risk_score"])
+    named = compiled.where("of <> '*'").groupBy("ecosystem", F.col("of").alias("name")).agg(F.collect_list("rule").alias("named"))
+    every = F.broadcast(wild.groupBy("ecosystem").agg(F.collect_list("rule").alias("wild")))  # MOST_BROADCAST rules at most
+    met = rows.join(named, KEY, "left").join(every, "ecosystem", "left")
+    version = F.when(F.col("version") != "", V.parse_version(F.col("version")))
+    fits = lambda r: (r["version_range"] == "") | V.matches(r["compiled"], version)
+    fitting = [F.filter(F.coalesce(F.col(c), F.array().cast(met.schema[c].dataType)), fits) for c in ("named", "wild")]
+    allowed = F.concat(*[F.transform(x, lambda r: F.coalesce(r["capability"], F.lit("*"))) for x in fitting])
+    codes = F.array(*[F.lit(c) for c, _ in CAPABILITIES])
+    met = met.withColumn("allowed", allowed)
+    counts = lambda f: ~(F.array_contains(codes, f["code"]) & (F.array_contains("allowed", "*") | F.array_contains("allowed", f["code"])))
+    score = F.aggregate(F.filter("flags", counts), F.lit(0).cast("long"), lambda total, f: total + f["weight"])
+    return met.withColumn("risk_score", F.greatest(score, F.lit(0).cast("long"))).drop("named", "wild", "allowed")
+
+
 def score_diff(prev: DataFrame, nxt: DataFrame, rules: DataFrame, order: str) -> DataFrame:
     """(ecosystem, name, kind, old_version, new_version, risk_score, drift_score, verdict rank) of added and upgraded packages.
 
@@ -54,19 +118,14 @@ def score_diff(prev: DataFrame, nxt: DataFrame, rules: DataFrame, order: str) ->
     flags, a missing attestation, and a patch step that gained a capability, less what the rules allow. Drift: what changed
     since the previous fingerprint; none for added packages. The verdict is the worst of the larger score and the advisories,
     these one level lower where the package is not used.
+
+    A package is one row: each snapshot is shuffled once by name, both meet where they are, and flags are an array in the row.
     """
-    entries = diff(prev, nxt, order).where("kind <> 'removed'")
-    new = latest(nxt, order).join(entries.select(*KEY, "kind", "old_version"), KEY)
-    old = latest(prev, order).select(*KEY, *[F.col(c).alias(f"prev_{c}") for c in ("analyzed", "capabilities", "hooks", "size")])
-    both = new.join(old, KEY, "left")
-    pairs = both.where("kind = 'upgraded' and prev_analyzed and analyzed")
-    patch = pairs.where(is_patch_step(F.col("old_version"), F.col("version")) & (F.size(F.array_except("capabilities", "prev_capabilities")) > 0))
-    patch = patch.select(*KEY, "version", F.lit("patch-version-drift").alias("code"), F.lit(dict(CAPABILITIES)["patch-version-drift"]).alias("weight"))
-    flags = risk_flags(new).unionByName(provenance_flags(new)).unionByName(patch)
-    risk = scores(apply_allowlist(flags, rules), KEY).withColumnRenamed("score", "risk_score")
-    changed = pairs.select(*KEY, "prev_analyzed", "prev_capabilities", "prev_hooks", "prev_size", *[F.col(c).alias(f"next_{c}") for c in ("analyzed", "capabilities", "hooks", "size")])
-    drift = scores(drift_flags(changed, KEY), KEY).withColumnRenamed("score", "drift_score")
-    every = both.join(risk, KEY, "left").join(drift, KEY, "left").na.fill(0, ["risk_score", "drift_score"])
+    old = latest(prev, order).select(*KEY, F.col("version").alias("old_version"), *[F.col(c).alias(f"prev_{c}") for c in ("analyzed", "capabilities", "hooks", "size")])
+    kind = F.when(F.col("old_version").isNull(), "added").when(F.col("old_version") != F.col("version"), "upgraded")
+    both = latest(nxt, order).join(old, KEY, "left").withColumn("kind", kind).where("kind is not null")
+    both = both.withColumn("changed", F.coalesce((F.col("kind") == "upgraded") & F.col("prev_analyzed") & F.col("analyzed"), F.lit(False)))
+    every = _risk_scores(both.withColumns({"flags": _risk_array(), "drift_score": _drift_score()}), rules)
     known = advisory_verdict(F.coalesce("severity", F.lit(0)))
     known = F.when(F.col("reachability") == "unused", downgrade(known)).otherwise(known)
     verdict = F.greatest(score_verdict(F.greatest("risk_score", "drift_score")), known)

@@ -13,7 +13,7 @@ from .rule_queries import pick, q, sql_list
 #: File name, ecosystem, head, entry (N name, V version), what parts entries, foot, whether entries are direct; names begin with n.
 FORMATS = [
     ("pnpm-lock.yaml", "npm", "lockfileVersion: '9.0'\n\npackages:\n\n", "  'N@V':\n    resolution: {integrity: sha512-x}", "\n\n", "\n\nsnapshots:\n\n  zzz@9.9.9: {}\n", False),
-    ("yarn.lock", "npm", "# yarn lockfile v1\n\n", '"N@^1.0.0", N@~1:\n  version "V"\n  resolved "https://r.example/x.tgz"\n  dependencies:\n    zzz "^9.0.0"', "\n\n", '\n\n"local@file:../l":\n  version "0.0.0"\n', False),
+    ("yarn.lock", "npm", "# yarn lockfile v1\n\n", '"N@^1.0.0", N@~1:\n  version "V"\n  resolved "https://r.example/x.tgz"\n  dependencies:\n    zzz "^9.0.0"', "\n\n", '\n\n"local@file:../l":\n  version "0.0.0"\n\nfolder@^1.0.0:\n  version "1.0.0"\n  resolved "file:packages/x"\n\n"linked@npm:^1":\n  version: 1.0.0\n  resolution: "linked@workspace:y"\n', False),
     ("bun.lock", "npm", '{\n  // text\n  "lockfileVersion": 1,\n  "packages": {\n', '    "N": ["N@V", "", {}, "sha512-x"]', ",\n", ",\n  },\n}\n", False),
     ("poetry.lock", "pypi", "# generated\n\n", '[[package]]\nname = "N"\nversion = "V"\ndescription = "x"\n\n[package.dependencies]\nzzz = ">=9"', "\n\n", "\n\n[metadata]\nlock-version = \"2.0\"\n", False),
     ("uv.lock", "pypi", "version = 1\n\n", '[[package]]\nname = "N"\nversion = "V"\nsource = { registry = "https://r.example" }', "\n\n", "\n", False),

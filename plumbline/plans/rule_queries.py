@@ -280,11 +280,11 @@ def image_findings(spark, d):
 
 _IMAGE_SQL = f"""WITH f AS (SELECT p_partkey AS image, {sql_pick(PATHS, 'p_partkey')} AS path, {sql_pick(HEADS, 'p_partkey // 19')} AS head FROM part),
 g AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS base, starts_with(head, '7F454C46') AS elf, starts_with(head, '2321') AS script, regexp_matches(path, '^(?:tmp|var/tmp|dev/shm|run)/') OR contains(path, '/tmp/') AS temp FROM f),
-h AS (SELECT *, CASE WHEN temp AND (ends_with(path, '.sh') OR script) THEN 'shell script in world-writable/temp location (dropper pattern)' WHEN temp AND elf THEN 'ELF binary in world-writable/temp location (dropper pattern)'
-  WHEN NOT temp AND starts_with(base, '.') AND base <> '..' AND elf THEN 'hidden ELF binary (dotfile)' WHEN NOT temp AND starts_with(base, '.') AND base <> '..' AND script THEN 'hidden executable script (dotfile with shebang)'
-  WHEN base = 'package.json' AND contains(path, 'node_modules/') THEN 'embedded npm package manifest (deeper per-package capability scan is a follow-up)'
-  WHEN base = 'composer.json' AND contains(path, 'vendor/') THEN 'embedded composer package manifest (deeper per-package capability scan is a follow-up)'
-  WHEN base = 'METADATA' AND contains(path, '.dist-info/') THEN 'embedded PyPI dist-info manifest (deeper per-package capability scan is a follow-up)' END AS reason FROM g)
+h AS (SELECT *, CASE WHEN temp AND (ends_with(path, '.sh') OR script) THEN 'temp-script' WHEN temp AND elf THEN 'temp-binary'
+  WHEN NOT temp AND starts_with(base, '.') AND base <> '..' AND elf THEN 'hidden-binary' WHEN NOT temp AND starts_with(base, '.') AND base <> '..' AND script THEN 'hidden-script'
+  WHEN base = 'package.json' AND contains(path, 'node_modules/') THEN 'npm-manifest'
+  WHEN base = 'composer.json' AND contains(path, 'vendor/') THEN 'composer-manifest'
+  WHEN base = 'METADATA' AND contains(path, '.dist-info/') THEN 'pypi-manifest' END AS reason FROM g)
 SELECT image, path, reason FROM h WHERE reason IS NOT NULL"""
 
 SHA = "0123456789abcdefABCD0123456789abcdef0123"

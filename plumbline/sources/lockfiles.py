@@ -199,16 +199,24 @@ def elm(files: DataFrame) -> DataFrame:
 
 
 def _yarn(text: str):
-    name, seen, skip = None, set(), False
+    name, seen, skip, version = None, set(), False, None
+
+    def entry():
+        if name and version and not skip and (name, version) not in seen:
+            seen.add((name, version))
+            yield "npm", name, version, False
+
     for line in text.splitlines():
         if line and not line[0].isspace() and line.rstrip().endswith(":") and not line.startswith("#"):
+            yield from entry()
             head = line.rstrip()[:-1].split(",")[0].strip().strip('"')
             at = head.find("@", 1)
-            name, skip = (head[:at] if at > 0 else head), head == "__metadata" or bool(re.search(r"@(?:workspace|file|link|portal):", head))
-        elif name and not skip and (m := re.match(r"\s+version:?\s+\"?([^\"\s]+)\"?", line)):
-            if (name, m[1]) not in seen:
-                seen.add((name, m[1]))
-                yield "npm", name, m[1], False
+            name, version, skip = (head[:at] if at > 0 else head), None, head == "__metadata" or bool(re.search(r"@(?:workspace|file|link|portal):", head))
+        elif m := re.match(r"\s+version:?\s+\"?([^\"\s]+)\"?", line):
+            version = version or m[1]
+        elif re.match(r"\s+(?:resolved \s*\"?(?:file|link|portal):|resolution:.*@workspace:)", line):
+            skip = True  # a local folder, however the entry is named
+    yield from entry()
 
 
 def _pnpm(text: str):
