@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import versions as V
 from ..functions.scoring import advisory_verdict, downgrade, score_verdict
 from ..functions.versions import is_patch_step
 from ..schema import CAPABILITIES, CAPABILITY_ADDED_WEIGHT, HOOK_CHANGED_WEIGHT, HOOK_WEIGHT, PROVENANCE_WEIGHT, SIZE_WEIGHT
+from ..shared import write_table
 from .risk import MOST_BROADCAST, PACKAGE, apply_allowlist, credential_reads, scores
 
 KEY = ["ecosystem", "name"]
@@ -39,6 +42,70 @@ def to_enrich(snapshot: DataFrame) -> DataFrame:
     return snapshot.where("fingerprint is null or advisories is null")
 
 
+ENRICHED = ["fingerprint", "advisories", "reachability", "license", "deprecated", "provenance_status"]
+
+
+def carry_forward(saved: DataFrame, live: DataFrame, order: str, enriched: list[str] | None = None) -> DataFrame:
+    """``live`` rows (ecosystem, name, version and more) with what ``saved`` knows of the same version, and ``carried``.
+
+    A package's version is looked up as a whole: what was not known there (null) stays to be enriched, as does every version
+    that is new. Of repeated saved rows the first in ``order`` counts; repeated live rows stay.
+    """
+    enriched = ENRICHED if enriched is None else enriched
+    known = saved.groupBy(*KEY, "version").agg(F.min_by(F.struct(*enriched), order).alias("known"))
+    rest = [c for c in live.columns if c not in enriched]
+    return live.select(*rest).join(known, [*KEY, "version"], "left").select(*rest, *[F.col(f"known.{c}").alias(c) for c in enriched], F.col("known").isNotNull().alias("carried"))
+
+
+def maintain(saved: DataFrame, live: DataFrame, enrich: Callable[[DataFrame], DataFrame], order: str, enriched: list[str] | None = None) -> DataFrame:
+    """The next snapshot: ``enrich`` (package columns to package columns and the enriched ones) sees each version once, and only
+    those that ``saved`` has no fingerprint or advisories of; all others are carried over. ``scanned`` tells which it saw."""
+    enriched = ENRICHED if enriched is None else enriched
+    carried, _ = write_table(carry_forward(saved, live, order, enriched), "carried")
+    known = F.lit(True)
+    for c in [c for c in ("fingerprint", "advisories") if c in enriched]:
+        known = known & F.col(c).isNotNull()
+    todo, _ = write_table(carried.where(~known).select(*KEY, "version").distinct(), "to-enrich")
+    fresh = enrich(todo).select(*KEY, "version", F.struct(*enriched).alias("fresh"))
+    rows = carried.join(todo.withColumn("scanned", F.lit(True)), [*KEY, "version"], "left").join(fresh, [*KEY, "version"], "left")
+    rest = [c for c in carried.columns if c not in (*enriched, "carried")]
+    return rows.select(*rest, *[F.coalesce(F.col(f"fresh.{c}"), F.col(c)).alias(c) for c in enriched], F.coalesce("scanned", F.lit(False)).alias("scanned"))
+
+
+SCHEMA_VERSION = 1
+
+
+def save(snapshot: DataFrame, path: str, project: str, created_at: str) -> None:
+    """Write a snapshot beside earlier ones: rows first, then, once they are committed, its header; without that it is not there."""
+    folder = f"{path.rstrip('/')}/{created_at.replace(':', '')}"
+    snapshot.write.mode("overwrite").parquet(f"{folder}/rows")
+    header = [(SCHEMA_VERSION, project, created_at, snapshot.sparkSession.read.parquet(f"{folder}/rows").count())]
+    snapshot.sparkSession.createDataFrame(header, "schema_version int, project string, created_at string, deps long").coalesce(1).write.mode("overwrite").json(f"{folder}/header")
+
+
+def saved_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(folder, schema_version, project, created_at, deps, loadable): complete snapshots; other schemas cannot be loaded."""
+    schema = "schema_version int, project string, created_at string, deps long"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    marks = [str(x.getPath().getParent().getParent().toString()) for x in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(at, "*/header/_SUCCESS")) or []] if files.exists(at) else []
+    if not marks:
+        return spark.createDataFrame([], f"folder string, {schema}, loadable boolean")
+    rows = spark.read.schema(schema).json([f"{m}/header" for m in marks])
+    folder = F.regexp_replace(F.input_file_name(), "/header/[^/]*$", "")
+    return rows.select(folder.alias("folder"), *rows.columns, (F.col("schema_version") == SCHEMA_VERSION).alias("loadable"))
+
+
+def load_latest(spark: SparkSession, path: str) -> DataFrame | None:
+    """Rows of the newest complete snapshot, or None without one; one of another schema is an error."""
+    found = saved_headers(spark, path).orderBy(F.desc("created_at")).first()
+    if found is None:
+        return None
+    if not found.loadable:
+        raise ValueError(f"snapshot {found.folder} has schema {found.schema_version}, not {SCHEMA_VERSION}: save it again")
+    return spark.read.parquet(f"{found.folder}/rows")
+
+
 def shown(snapshot: DataFrame, everything: bool = False) -> DataFrame:
     """Direct rows of each project; all rows if asked for or if a project has no direct one."""
     if everything:

@@ -160,6 +160,6 @@ ORACLES = {
     "unused_dependencies": "SELECT DISTINCT l_orderkey AS project, 'd' || (l_partkey % 20) AS dep_name FROM lineitem l WHERE l_linenumber % 2 = 1 AND NOT EXISTS (SELECT 1 FROM lineitem q WHERE q.l_orderkey = l.l_orderkey AND q.l_suppkey % 20 = l.l_partkey % 20)",
 }
 
-from . import code_queries, lock_queries, report_queries, rule_queries  # noqa: E402
+from . import archive_queries, code_queries, lock_queries, report_queries, rule_queries, state_queries  # noqa: E402
 
-ORACLES |= rule_queries.oracles(DEPS, vnum) | lock_queries.ORACLES | report_queries.oracles(DEPS, ADVS) | code_queries.ORACLES
+ORACLES |= rule_queries.oracles(DEPS, vnum) | lock_queries.ORACLES | report_queries.oracles(DEPS, ADVS) | code_queries.ORACLES | state_queries.ORACLES | archive_queries.ORACLES

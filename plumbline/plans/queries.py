@@ -505,6 +505,6 @@ def unused_dependencies(spark, d):
 
 QUERIES |= {f.__name__: f for f in (advisory_queries, advisory_lookup, ghsa_parse, npm_licenses, npm_provenance, packument_releases, resolved_requests, pypi_requests, tag_candidates, patch_drift, unused_dependencies)}
 
-from . import code_queries, lock_queries, report_queries, rule_queries  # noqa: E402
+from . import archive_queries, code_queries, lock_queries, report_queries, rule_queries, state_queries  # noqa: E402
 
-QUERIES |= rule_queries.QUERIES | lock_queries.QUERIES | report_queries.QUERIES | code_queries.QUERIES
+QUERIES |= rule_queries.QUERIES | lock_queries.QUERIES | report_queries.QUERIES | code_queries.QUERIES | state_queries.QUERIES | archive_queries.QUERIES

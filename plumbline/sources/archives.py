@@ -54,21 +54,44 @@ def entries(raw: bytes) -> Iterator[tuple[str, str, int, int, bytes]]:
         yield "", "broken", 0, total, b""
 
 
+def image_files(images: DataFrame) -> DataFrame:
+    """(image, path, content) of saved images (image, content: one plain tar each), to be given to ``image_layers``.
+
+    Read entry by entry; entries beyond MOST_LAYER bytes, and what cannot be read on, are left out here and so are missing
+    layers there. A saved image is one binary cell, so one above 2 GB has to be unpacked beforehand.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image, content in zip(*(batch.column(k) for k in (0, 1)), strict=True):
+                try:
+                    with tarfile.open(fileobj=io.BytesIO(content.as_py() or b""), mode="r|") as tar:
+                        for member in tar:
+                            path = _clean(member.name)
+                            if member.isfile() and path and member.size <= MOST_LAYER:
+                                body = tar.extractfile(member).read()
+                                yield pa.RecordBatch.from_arrays([pa.array([image.as_py()], pa.string()), pa.array([path]), pa.array([body], pa.binary())], ["image", "path", "content"])
+                except (tarfile.TarError, EOFError, OSError):
+                    continue
+
+    return images.select("image", "content").mapInArrow(run, "image string, path string, content binary")
+
+
 def image_layers(files: DataFrame) -> DataFrame:
     """(image, layer, content) from the files (image, path, content) of unpacked images: layers in order from 0.
 
-    A layout's ``index.json`` names manifests by digest, those their layers; a ``manifest.json`` lists layers by path. Layers
-    are joined by image and path, so that only the JSON documents are parsed.
+    A ``manifest.json`` lists layers by path; without one, the first image manifest of a layout's ``index.json`` names them by
+    digest. Layers are joined by image and path, so that only the JSON documents are parsed.
     """
     text = F.col("content").cast("string")
     digest = lambda c: F.concat(F.lit("blobs/"), F.replace(c, F.lit(":"), F.lit("/")))
     small = files.where(F.length("content") <= MOST_FILE).select("image", "path", text.alias("text"))
-    index = small.where("path = 'index.json'").select("image", F.explode(F.from_json("text", "manifests array<struct<digest:string>>")["manifests"]).alias("m")).select("image", digest(F.col("m.digest")).alias("path"))
-    named = index.join(small, ["image", "path"]).select("image", F.posexplode(F.from_json("text", "layers array<struct<digest:string>>")["layers"]).alias("layer", "l")).select("image", "layer", digest(F.col("l.digest")).alias("path"))
     saved = small.where("path = 'manifest.json'").select("image", F.posexplode(F.get(F.from_json("text", "array<struct<Layers:array<string>>>"), F.lit(0))["Layers"]).alias("layer", "path"))
-    first = named.select("image").distinct()
-    every = named.unionByName(saved.join(first, "image", "left_anti"))
-    return every.join(files, ["image", "path"]).select("image", "layer", "content")
+    manifests = F.from_json("text", "manifests array<struct<digest:string,mediaType:string>>")["manifests"]
+    first = F.get(F.filter(manifests, lambda m: (F.coalesce(m["mediaType"], F.lit("")) == "") | F.contains(m["mediaType"], F.lit("manifest"))), F.lit(0))["digest"]
+    index = small.where("path = 'index.json'").select("image", digest(first).alias("path")).join(small.where("path = 'manifest.json'").select("image"), "image", "left_anti")
+    named = index.join(small, ["image", "path"]).select("image", F.posexplode(F.from_json("text", "layers array<struct<digest:string>>")["layers"]).alias("layer", "l")).select("image", "layer", digest(F.col("l.digest")).alias("path"))
+    return saved.unionByName(named).join(files, ["image", "path"]).select("image", "layer", "content")
 
 
 def layer_entries(layers: DataFrame) -> DataFrame:
