@@ -6,10 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import fleet as FL
 from ..operators import gate as G
 from ..operators import snapshots as SN
 from ..shared import shared_folder
+from ..sources import lockfiles as LO
+from ..sources import sinks as SI
 from . import derived as D
+from .rule_queries import pick, sql_pick
 
 DAY = 24 * 3600
 
@@ -55,6 +59,51 @@ def snapshot_chain(spark, d):
     return out
 
 
+def fleet_run(spark, d):
+    """Every document is a project with scripts, pinned dependencies and the checks it asks for; one row tells how it went."""
+    docs = D.table(spark, d, "documents")
+    task = lambda e: F.concat(F.lit("t"), F.expr(e))
+    tasks = docs.select(
+        task("doc_id").alias("task"), F.lit("npm").alias("ecosystem"),
+        F.expr("element_at(array(array('ast', 'cve'), array('cve', 'deprecated'), array('license', 'unused-deps'), array('heuristics', 'cve', 'license', 'deprecated', 'unused-deps'), cast(array() as array<string>)), cast(doc_id % 5 + 1 as int))").alias("checks"),
+        F.expr("if(doc_id % 5 = 2, array('GPL-3.0'), array('mit', 'isc'))").alias("deny_licenses"),
+    )
+    words = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z\s]", "")
+    code = F.expr("element_at(array('eval(1)', '1', 'true', 'eval(atob(x))'), cast(doc_id % 4 + 1 as int))")
+    body = F.concat(F.lit("/* "), words, F.lit(" */\nrequire('d"), F.expr("doc_id % 20"), F.lit("'); // require('d1')\n"), code)
+    files = docs.select(task("doc_id").alias("task"), F.expr("if(doc_id % 4 = 2, 'router_init.js', 'x.js')").alias("path"), body.alias("body"))
+    lines = D.table(spark, d, "lineitem")
+    deps = lines.select(task("l_orderkey").alias("task"), F.lit("npm").alias("ecosystem"), F.expr("concat('p', l_partkey)").alias("name"), F.expr("if(l_partkey % 6 = 0, '', concat(l_partkey % 5, '.0.0'))").alias("version"))
+    declared = lines.select(task("l_orderkey").alias("task"), F.expr("concat('d', l_suppkey % 20)").alias("dep_name"))
+    part = D.table(spark, d, "part")
+    known = lambda where, *more: part.where(where).selectExpr("'npm' as ecosystem", "concat('p', p_partkey) as name", "concat(p_partkey % 5, '.0.0') as version", *more)
+    advisories = known("p_partkey % 3 <> 0", "concat('A', p_partkey) as id", "cast(p_size % 4 as int) as severity").unionByName(known("p_partkey % 9 = 1", "'B' as id", "1 as severity"))
+    health, licenses = known("true", "p_partkey % 7 = 0 as deprecated"), known("true", "element_at(array('MIT', 'GPL-3.0', 'ISC'), cast(p_partkey % 3 + 1 as int)) as license")
+    rules = D.allow_rules(spark).limit(0)
+    got = FL.run(tasks, files, deps, advisories, health, licenses, declared, rules)
+    return got.select("task", "verdict", *[F.col(c).cast("long").alias(c) for c in ("score", "cve_findings", "deprecated_findings", "license_findings")], F.array_join("unused", ",").alias("unused"), "failed")
+
+
+LOCKS = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lock", "poetry.lock", "requirements.txt", "uv.lock", "Pipfile.lock", "pom.xml", "gradle.lockfile", "mix.lock", "manifest.toml", "Cargo.lock", "notes.txt", "x.opam.locked"]
+
+
+def chosen_lockfiles(spark, d):
+    """Of the lockfiles that a folder holds, the one that each ecosystem is read from."""
+    files = D.table(spark, d, "orders").select(F.concat(F.lit("p"), F.expr("o_orderkey % 2003"), F.lit("/"), pick(LOCKS, F.col("o_custkey"))).alias("path"), F.lit("").alias("text")).distinct()
+    return LO.first_of_ecosystem(files).select("path")
+
+
+def documents_written(spark, d):
+    """Bills of materials written one folder a project, written again for half of them, and read back."""
+    path = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    rows = D.table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 50).alias("project")).agg(F.sum("l_linenumber").alias("n"), F.max("l_returnflag").alias("c"))
+    told = lambda k: F.to_json(F.struct("n", "c", F.lit(k).alias("version")), {"pretty": "true"})
+    SI.write_documents(rows.select("project", told(1).alias("document")), path, "project")
+    SI.write_documents(rows.where("project % 2 = 0").select("project", told(2).alias("document")), path, "project")
+    back = SI.read_documents(spark, path, "project").select("project", F.from_json("document", "n long, c string, version long").alias("r"))
+    return back.select(F.col("project").cast("long").alias("project"), "r.n", "r.c", "r.version")
+
+
 _GATE = """WITH r AS (SELECT p_partkey AS k, p_size, p_partkey % 17 <> 0 AS resolved, p_partkey % 3 <> 0 AS named, p_partkey % 13 = 0 AS fails, p_size % 2 = 0 AS private,
   CASE WHEN p_partkey % 5 = 0 THEN CASE WHEN p_size % 4 >= 3 THEN 3 ELSE p_size % 4 END ELSE 0 END AS adv FROM part),
 s AS (SELECT *, named AND resolved AND NOT fails AND p_partkey_even = 0 AND k % 7 < 4 AS cached, CASE WHEN NOT resolved THEN CASE WHEN k % 34 = 0 THEN 'unreachable' ELSE 'not-found' END WHEN named AND fails THEN 'fetch failed' END AS unchecked
@@ -70,5 +119,25 @@ j AS (SELECT n.step, n.name, o.version AS old_version, w.version AS new_version,
 SELECT CAST(step AS BIGINT) AS step, name, CASE WHEN old_version IS NULL THEN 'added' WHEN new_version IS NULL THEN 'removed' ELSE 'upgraded' END AS kind, old_version, new_version, scanned, 'f-' || new_version AS fingerprint
 FROM j WHERE old_version IS DISTINCT FROM new_version"""
 
-QUERIES = {f.__name__: f for f in (gate_third_run, snapshot_chain)}
-ORACLES = {"gate_third_run": _GATE, "snapshot_chain": _CHAIN}
+_FLEET = """WITH t AS (SELECT doc_id, 't' || doc_id AS task, doc_id % 5 AS k, doc_id % 4 AS f FROM documents),
+d AS (SELECT DISTINCT t.doc_id, l_partkey AS p FROM t JOIN lineitem ON l_orderkey = doc_id WHERE l_partkey % 6 <> 0),
+a AS (SELECT p_partkey AS p, CAST(p_size % 4 AS INT) AS severity FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT p_partkey, 1 FROM part WHERE p_partkey % 9 = 1),
+c AS (SELECT doc_id, count(*) AS n, max(severity) AS worst FROM d JOIN a USING (p) GROUP BY 1), h AS (SELECT doc_id, count(*) AS n FROM d WHERE p % 7 = 0 GROUP BY 1),
+m AS (SELECT doc_id, count(*) FILTER (WHERE p % 3 = 1) AS gpl, count(*) FILTER (WHERE p % 3 <> 1) AS other FROM d GROUP BY 1),
+u AS (SELECT doc_id, string_agg(dep, ',' ORDER BY dep) AS unused FROM (SELECT DISTINCT doc_id, 'd' || (l_suppkey % 20) AS dep FROM t JOIN lineitem ON l_orderkey = doc_id WHERE l_suppkey % 20 <> doc_id % 20) GROUP BY 1),
+r AS (SELECT task, CASE WHEN k IN (0, 3) THEN [15, 0, 100, 87][f + 1] ELSE 0 END AS score, k IN (0, 3) AS scanned, CASE WHEN k IN (0, 1, 3) THEN coalesce(c.n, 0) ELSE 0 END AS cve, CASE WHEN k IN (0, 1, 3) THEN coalesce(worst, 0) ELSE 0 END AS worst,
+  CASE WHEN k IN (1, 3) THEN coalesce(h.n, 0) ELSE 0 END AS old, CASE k WHEN 2 THEN coalesce(gpl, 0) WHEN 3 THEN coalesce(other, 0) ELSE 0 END AS bad, CASE WHEN k IN (2, 3) THEN coalesce(unused, '') ELSE '' END AS unused
+  FROM t LEFT JOIN c USING (doc_id) LEFT JOIN h USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN u USING (doc_id))
+SELECT task, CASE WHEN scanned THEN CASE WHEN score >= 100 THEN 'block' WHEN score >= 61 THEN 'prompt' WHEN score >= 21 THEN 'review' ELSE 'safe' END END AS verdict, CAST(score AS BIGINT) AS score, cve AS cve_findings, old AS deprecated_findings,
+  bad AS license_findings, unused, score >= 100 OR worst >= 3 OR old > 0 OR bad > 0 AS failed FROM r"""
+
+#: The order within each ecosystem, stated apart from the library's.
+_LOCKS = f"""WITH f AS (SELECT DISTINCT 'p' || (o_orderkey % 2003) AS folder, {sql_pick(LOCKS, 'o_custkey')} AS base FROM orders),
+o AS (SELECT * FROM (VALUES ('pnpm-lock.yaml', 'npm', 1), ('yarn.lock', 'npm', 2), ('bun.lock', 'npm', 3), ('package-lock.json', 'npm', 4), ('poetry.lock', 'pypi', 1), ('uv.lock', 'pypi', 2), ('Pipfile.lock', 'pypi', 3), ('requirements.txt', 'pypi', 4),
+  ('gradle.lockfile', 'maven', 1), ('pom.xml', 'maven', 2), ('manifest.toml', 'hex', 1), ('mix.lock', 'hex', 2), ('Cargo.lock', 'crates', 1), ('x.opam.locked', 'opam', 1)) t(base, eco, rank))
+SELECT folder || '/' || base AS path FROM f JOIN o USING (base) QUALIFY row_number() OVER (PARTITION BY folder, eco ORDER BY rank) = 1"""
+
+_WRITTEN = """SELECT CAST(l_orderkey % 50 AS BIGINT) AS project, CAST(sum(l_linenumber) AS BIGINT) AS n, max(l_returnflag) AS c, CAST(CASE WHEN l_orderkey % 50 % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version FROM lineitem GROUP BY 1, 4"""
+
+QUERIES = {f.__name__: f for f in (gate_third_run, snapshot_chain, fleet_run, chosen_lockfiles, documents_written)}
+ORACLES = {"gate_third_run": _GATE, "snapshot_chain": _CHAIN, "fleet_run": _FLEET, "chosen_lockfiles": _LOCKS, "documents_written": _WRITTEN}
