@@ -165,6 +165,13 @@ def env_reads(code: Column, bare: Column, language: Column) -> Column:
     return F.array_sort(F.array_distinct(out))
 
 
+def build_scripts(code: Column, language: Column) -> Column:
+    """Shell commands that a Lua plugin specification runs after installing (``build = "..."``)."""
+    found = F.regexp_extract_all(code, F.lit(r"""[{,;]\s*build\s*=\s*(?:"([^"\n]*)"|'([^'\n]*)')"""), F.lit(0))
+    scripts = F.transform(found, lambda x: F.regexp_replace(x, r"""(?s)\A[^"']*["'](.*)["']\z""", "$1"))
+    return F.when(language == "lua", scripts).otherwise(F.array().cast("array<string>"))
+
+
 _QUOTED = r"""['"]([^'"\n]*)['"]"""
 
 

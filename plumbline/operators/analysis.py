@@ -77,29 +77,35 @@ def fingerprints(files: DataFrame, hooks: DataFrame, more: DataFrame | None = No
     """Package fingerprints from files (package columns, path, body) and hooks (package columns, phase, body), and, if given,
     further capabilities (package columns, capability) such as those of ``heuristic_capabilities``.
 
-    Capabilities are those of the code, of the heuristics over files, and of suspicious hooks; a declared hook adds
-    install-hook-exec. Each file is read once: one projection to sets and sizes, and one aggregate by package, which keeps
+    Capabilities are those of the code, of the heuristics over files, and of suspicious hooks, among them build commands of
+    Lua plugins; a declared hook adds install-hook-exec. ``hooks`` maps a hook's phase to the SHA-256 of its body, which is
+    what a difference of snapshots compares. Each file is read once: one projection to sets and sizes, and one aggregate by package, which keeps
     distinct sets (few, of capabilities) and combines before the shuffle. Environment names are as many as the code reads.
     """
     every = lexed(source_findings(files).withColumnRenamed("capabilities", "source_caps"), every=True)
-    none = F.array().cast("array<string>")
+    none, no_hook = F.array().cast("array<string>"), F.lit(None).cast("struct<phase:string,hash:string>")
     coded = F.col("language").isNotNull()
     masks = F.col("code"), F.col("bare"), F.col("language")
-    code = F.when(coded, F.array_union(C.capabilities(*masks), second_pass(F.col("code"), F.col("language"))))
+    lua = F.when(F.exists(C.build_scripts(F.col("code"), F.col("language")), suspicious_hook), F.array(F.lit("install-hook-suspicious"))).otherwise(none)
+    code = F.when(coded, F.concat(C.capabilities(*masks), second_pass(F.col("code"), F.col("language")), lua))
     every = every.select(
         *PACKAGE, F.array_union(F.coalesce(code, none), F.coalesce("source_caps", none)).alias("caps"), F.when(is_binary_dropper(F.col("path"), F.col("ecosystem")), F.array(F.lit("binary-dropper"))).otherwise(none).alias("drops"),
-        F.coalesce(F.when(coded, C.env_reads(*masks)), none).alias("reads"), F.when(coded, F.octet_length("body")).otherwise(0).alias("bytes"), F.lit(0).alias("hook"), F.lit(True).alias("file"),
+        F.coalesce(F.when(coded, C.env_reads(*masks)), none).alias("reads"), F.when(coded, F.octet_length("body")).otherwise(0).alias("bytes"), F.lit(0).alias("hook"), F.lit(True).alias("file"), no_hook.alias("told"),
     )
     hook = hooks.select(
         *PACKAGE, F.array_compact(F.array(F.lit("install-hook-exec"), F.when(suspicious_hook(F.col("body")), "install-hook-suspicious"))).alias("caps"), none.alias("drops"), none.alias("reads"), F.lit(0).alias("bytes"), F.lit(1).alias("hook"), F.lit(False).alias("file"),
+        F.struct(F.coalesce("phase", F.lit("")).alias("phase"), F.sha2(F.coalesce("body", F.lit("")), 256).alias("hash")).alias("told"),
     )
     if more is not None:
-        beyond = more.select(*PACKAGE, F.array("capability").alias("caps"), none.alias("drops"), none.alias("reads"), F.lit(0).alias("bytes"), F.lit(0).alias("hook"), F.lit(False).alias("file"))
+        beyond = more.select(*PACKAGE, F.array("capability").alias("caps"), none.alias("drops"), none.alias("reads"), F.lit(0).alias("bytes"), F.lit(0).alias("hook"), F.lit(False).alias("file"), no_hook.alias("told"))
         hook = hook.unionByName(beyond)
     gathered = every.unionByName(hook).withColumn("caps", F.array_union("caps", "drops")).groupBy(*PACKAGE).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("caps")))).alias("capabilities"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("reads")))).alias("env_reads"),
         F.sum("bytes").alias("source_size_bytes"), F.sum("hook").cast("int").alias("n_hooks"), F.max("file").alias("has_files"),
+        F.sort_array(F.collect_set("told")).alias("told"),
     )
+    first = F.filter("told", lambda x, i: (i == 0) | (F.get(F.col("told"), i - 1)["phase"] != x["phase"]))  # a phase once
+    gathered = gathered.withColumn("hooks", F.map_from_entries(first)).drop("told")
     return gathered.where("has_files").drop("has_files").withColumn("analyzed", F.lit(True))
 
 

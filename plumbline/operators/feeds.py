@@ -73,6 +73,18 @@ def license_of(doc: Column) -> Column:
     return F.coalesce(typed, F.when(~plain.startswith("{"), F.nullif(plain, F.lit(""))), joined)
 
 
+def registry_license(doc: Column, ecosystem: Column) -> Column:
+    """The licence that a registry's document of a version states, in the place where each of five registries has it; else null."""
+    v = F.try_parse_json(doc)
+    at = lambda path: F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.nullif(F.try_variant_get(v, path, "string"), F.lit("")))
+    every = F.filter(F.try_variant_get(v, "$.licenses", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING")
+    gems = F.nullif(F.array_join(F.filter(F.transform(every, lambda x: F.try_variant_get(x, "$", "string")), lambda x: x != ""), " OR "), F.lit(""))
+    return (
+        F.when(ecosystem == "npm", license_of(doc)).when(ecosystem == "pypi", at("$.info.license")).when(ecosystem == "crates", at("$.version.license"))
+        .when(ecosystem == "rubygems", gems).when(ecosystem == "nuget", F.coalesce(at("$.catalogEntry.licenseExpression"), at("$.catalogEntry.licenseUrl")))
+    )
+
+
 def provenance(attestations: DataFrame, payload_col: str = "payload") -> DataFrame:
     """Rows with ``source_uri`` and ``commit`` of a base64 SLSA statement's build definition; nulls where there is none."""
     schema = "predicate struct<buildDefinition:struct<resolvedDependencies:array<struct<uri:string,digest:struct<gitCommit:string>>>>>"

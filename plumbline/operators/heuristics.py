@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -22,28 +22,68 @@ def byte_text(c: Column) -> Column:
     return F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
 
 
-def typosquats(packages: DataFrame, top: DataFrame, most: int = 2) -> DataFrame:
-    """(ecosystem, name, near): names within ``most`` byte edits of a top name, but no top name themselves.
+def read_top_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """(ecosystem, name) of files ``<ecosystem>.txt``: a name a line, blank lines and those that begin with ``#`` left out."""
+    rows = spark.read.text(f"{folder.rstrip('/')}/*.txt").select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("ecosystem"), F.trim("value").alias("name"))
+    return rows.where((F.col("name") != "") & ~F.col("name").startswith("#")).distinct()
+
 
-    Candidates come from an equi-join, not a theta join: two strings within k edits share one of k+1 pieces of the
-    top name, moved by at most k places. The distance is then checked.
+def typosquat_index(top: DataFrame, most: int = 2) -> DataFrame:
+    """(ecosystem, top, near, piece, at, len): each top name in ``most`` + 1 pieces, with their places and the name's length.
+
+    Two strings within k edits share one of the k + 1 pieces of one of them, moved by at most k places. Pieces of names
+    shorter than that are empty and are shared by all names of a like length, so short names are found as well.
     """
-    names = packages.select("ecosystem", "name").distinct().withColumn("bare", byte_text(bare_name(F.col("name"))))
-    tops = top.select("ecosystem", byte_text(F.col("name")).alias("top"), F.col("name").alias("near")).distinct()
-    fresh = names.join(tops, (names.ecosystem == tops.ecosystem) & (names.bare == tops.top), "left_anti")
+    tops = top.where("name <> ''").select("ecosystem", byte_text(F.col("name")).alias("top"), F.col("name").alias("near")).distinct()
     n = most + 1
     cut = lambda i: (F.floor(F.length("top") * i / n)).cast("int")
-    pieces = F.array(*[F.struct(F.substring(F.col("top"), cut(i) + 1, cut(i + 1) - cut(i)).alias("piece"), cut(i).alias("at"), F.length("top").alias("len"), F.lit(i).alias("i")) for i in range(n)])
-    wanted = tops.withColumn("p", F.explode(pieces)).select("ecosystem", "top", "near", "p.piece", "p.at", "p.len")
-    # every piece length and place that may occur, from the bounded list of top names
-    shapes = wanted.select("ecosystem", F.length("piece").alias("plen"), "at", "len").distinct()
+    pieces = F.array(*[F.struct(F.substring(F.col("top"), cut(i) + 1, cut(i + 1) - cut(i)).alias("piece"), cut(i).alias("at"), F.length("top").alias("len")) for i in range(n)])
+    return tops.withColumn("p", F.explode(pieces)).select("ecosystem", "top", "near", "p.piece", "p.at", "p.len")
+
+
+def write_index(top: DataFrame, path: str, most: int = 2) -> list[str]:
+    """Store the index of top lists, a folder an ecosystem; only lists that differ from those stored are written again.
+
+    Returns the ecosystems that were (a few names). Readers see each ecosystem's old or new list, never a mixture.
+    """
+    spark = top.sparkSession
+    mark = lambda rows: {r["ecosystem"]: (r["n"], r["h"]) for r in rows.groupBy("ecosystem").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("near").cast("decimal(38,0)")).alias("h")).collect()}
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stored = mark(read_index(spark, path).select("ecosystem", "near").distinct()) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else {}
+    now = mark(top.where("name <> ''").select("ecosystem", F.col("name").alias("near")).distinct())
+    changed = sorted(e for e in now if now[e] != stored.get(e))
+    if changed:
+        rows = typosquat_index(top.where(F.col("ecosystem").isin(changed)), most)
+        rows.repartition("ecosystem").write.partitionBy("ecosystem").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    return changed
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("top string, near string, piece string, at int, len int, ecosystem string").parquet(path)
+
+
+def near_names(packages: DataFrame, index: DataFrame, most: int = 2) -> DataFrame:
+    """(ecosystem, name, near): names within ``most`` byte edits of an indexed top name, but no top name themselves.
+
+    Candidates come from an equi-join by piece, not a theta join; the distance is then checked. Ecosystems without a list, and
+    null and empty names, have no rows.
+    """
+    names = packages.where("name <> ''").select("ecosystem", "name").distinct().withColumn("bare", byte_text(bare_name(F.col("name"))))
+    fresh = names.join(index.select("ecosystem", F.col("top").alias("bare")).distinct(), ["ecosystem", "bare"], "left_anti")
+    # every piece length and place that may occur: three a length of a top name
+    shapes = index.select("ecosystem", F.length("piece").alias("plen"), "at", "len").distinct()
     moved = shapes.withColumn("s", F.explode(F.sequence(F.greatest(F.col("at") - most, F.lit(0)), F.col("at") + most)))
     probe = fresh.join(F.broadcast(moved), "ecosystem").where((F.abs(F.length("bare") - F.col("len")) <= most) & (F.col("s") + F.col("plen") <= F.length("bare")))
     probe = probe.select("ecosystem", "name", "bare", "at", "len", F.substring(F.col("bare"), F.col("s") + 1, F.col("plen")).alias("piece")).distinct()
-    found = probe.join(wanted, ["ecosystem", "piece", "at", "len"])
+    found = probe.join(index.select("ecosystem", "top", "near", "piece", "at", "len"), ["ecosystem", "piece", "at", "len"])
     return found.where(F.levenshtein("bare", "top") <= most).select("ecosystem", "name", "near").distinct()
 
 
+def typosquats(packages: DataFrame, top: DataFrame, most: int = 2) -> DataFrame:
+    """``near_names`` with an index that is made for this once."""
+    return near_names(packages, typosquat_index(top, most), most)
+
+
 def maintainer_signals(releases: DataFrame) -> DataFrame:
     """Releases (ecosystem, name, version, published_at, publisher) with the previous release's time and publisher."""
     w = Window.partitionBy(*KEY).orderBy("published_at", "version")

