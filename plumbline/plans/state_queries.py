@@ -37,7 +37,7 @@ def gate_third_run(spark, d):
 
     run(every.where("p_partkey % 2 = 0"), 0)
     run(every.where("p_partkey % 7 < 4"), 10)
-    return run(every, 35).select("p_partkey", F.col("verdict").cast("long").alias("verdict"), "unchecked", "cached", "action")
+    return run(every, 35).select("p_partkey", F.coalesce("verdict", F.lit(-1)).cast("long").alias("verdict"), "unchecked", "cached", "action")
 
 
 def snapshot_chain(spark, d):
@@ -165,7 +165,7 @@ _GATE = """WITH r AS (SELECT p_partkey AS k, p_size, p_partkey % 17 <> 0 AS reso
 s AS (SELECT *, named AND resolved AND NOT fails AND p_partkey_even = 0 AND k % 7 < 4 AS cached, CASE WHEN NOT resolved THEN CASE WHEN k % 34 = 0 THEN 'unreachable' ELSE 'not-found' END WHEN named AND fails THEN 'fetch failed' END AS unchecked
   FROM (SELECT *, CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS p_partkey_even FROM r)),
 v AS (SELECT *, CASE WHEN unchecked IS NULL THEN CAST(greatest(CASE WHEN named THEN k % 4 ELSE 0 END, adv) AS BIGINT) END AS verdict FROM s)
-SELECT k AS p_partkey, verdict, unchecked, cached, CASE WHEN unchecked = 'fetch failed' AND private THEN 'warn-unchecked' WHEN unchecked IS NOT NULL THEN 'block-unchecked' WHEN verdict >= 3 THEN 'block' ELSE 'proceed' END AS action FROM v"""
+SELECT k AS p_partkey, coalesce(verdict, -1) AS verdict, unchecked, cached, CASE WHEN unchecked = 'fetch failed' AND private THEN 'warn-unchecked' WHEN unchecked IS NOT NULL THEN 'block-unchecked' WHEN verdict >= 3 THEN 'block' ELSE 'proceed' END AS action FROM v"""
 
 _CHAIN = """WITH k AS (SELECT unnest([0, 1, 2]) AS k), l AS (SELECT k, p_partkey, 'pkg-' || p_partkey AS name, '1.' || CASE WHEN p_size % 3 < k THEN k ELSE 0 END || '.' || (p_size % 4) AS version FROM part, k WHERE (p_partkey + k) % 5 <> 0),
 s AS (SELECT a.*, b.version IS NULL AS scanned FROM l a LEFT JOIN l b ON b.k = a.k - 1 AND b.name = a.name AND b.version = a.version),
