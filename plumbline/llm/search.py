@@ -271,8 +271,8 @@ def _sizes(docs: DataFrame) -> tuple[int, int]:
     return got[0] or 0, got[1] or 0
 
 
-def _searched(postings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(item, item_id, doc_id, score): the best k of each shard for each item of one pass."""
+def _searched(postings: DataFrame, shards: int, queries: DataFrame, k: int) -> DataFrame:
+    """(item, item_id, doc_id, score): the best k of each shard for each item of one pass; as many tasks as there are shards."""
     asked: dict[int, tuple] = {}
     for x in queries.select("item", "item_id", "term", "weight").collect():
         of = asked.setdefault(x["item"], (x.item_id, [], []))
@@ -301,7 +301,7 @@ def _searched(postings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         if held:
             yield from answer(held)
 
-    return postings.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "item long, item_id long, doc_id long, score long")
+    return postings.repartition(max(shards, 1), "shard").sortWithinPartitions("shard").mapInArrow(run, "item long, item_id long, doc_id long, score long")
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", query_col: str = "text") -> DataFrame:
@@ -310,17 +310,18 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id
     terms = _terms(items.select(F.monotonically_increasing_id().alias("item"), F.col(item_col).cast("long").alias("item_id"), F.col(query_col).alias("text")))
     terms = cut(terms, "item-terms")
     total, words = _sizes(docs)
-    best, count = None, 0
+    best, count, shards = None, 0, 0
     if total:
         index = cut(_index(docs, total, words), "postings")
         postings = cut(index.join(terms.select("term").distinct(), "term", "left_semi").select(*_NAMES).unionByName(index.where("term is null")), "postings-asked")
         release(index)
+        shards = postings.where("term is null").count()
         weight = F.floor(1000 * F.log((2 * F.lit(float(total)) + 2) / (2 * F.col("df") + 1))).cast("long")
         df = postings.where("term is not null").groupBy("term").agg(F.sum("df").cast("double").alias("df")).select("term", weight.alias("weight"))
         queries = cut(terms.join(df, "term").where("weight > 0").withColumn("size", F.lit(32)), "item-weights")
         dealt, count = deal(queries, "item", "size", PASS_BYTES)
     for n in range(count):
-        one = _searched(postings, dealt.where(F.col("pass") == n), k)
+        one = _searched(postings, shards, dealt.where(F.col("pass") == n), k)
         if count > 1:
             one = cut(one, "shard-best")
         best = one if best is None else best.unionByName(one)
