@@ -272,7 +272,7 @@ def _sizes(docs: DataFrame) -> tuple[int, int]:
 
 
 def _searched(postings: DataFrame, shards: int, queries: DataFrame, k: int) -> DataFrame:
-    """(item, item_id, doc_id, score): the best k of each shard for each item of one pass; as many tasks as there are shards."""
+    """(item, item_id, doc_id, score): the best k of each shard for each item of one pass; as many tasks as there are shards, dealt by ranges."""
     asked: dict[int, tuple] = {}
     for x in queries.select("item", "item_id", "term", "weight").collect():
         of = asked.setdefault(x["item"], (x.item_id, [], []))
@@ -301,7 +301,7 @@ def _searched(postings: DataFrame, shards: int, queries: DataFrame, k: int) -> D
         if held:
             yield from answer(held)
 
-    return postings.repartition(max(shards, 1), "shard").sortWithinPartitions("shard").mapInArrow(run, "item long, item_id long, doc_id long, score long")
+    return postings.repartitionByRange(max(shards, 1), "shard").sortWithinPartitions("shard").mapInArrow(run, "item long, item_id long, doc_id long, score long")
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", query_col: str = "text") -> DataFrame:
