@@ -92,8 +92,8 @@ CAPABILITY_RULES: dict[str, dict[str, list[str]]] = {
         FS: [_m("File", "WriteAllText|WriteAllBytes|WriteAllLines|AppendAllText|AppendAllLines|Copy|Move|Replace|Create|CreateText|OpenWrite|AppendText"), _n("StreamWriter|BinaryWriter|FileStream"), _m("Directory", "CreateDirectory|Move|Delete")], ENV: [],
     },
     "bash": {
-        SHELL: [r"(?m)(?:^|[;&|(]\s*)(?:sh|bash|zsh|dash|ash|ksh|exec|source)\s"], EVAL: [r"(?m)(?:^|[;&|(]\s*)\s*eval\s"], BASE64: [r"(?m)(?:^|[;&|(]\s*)\s*(?:base64|base32|xxd|uudecode)\b"],
-        NET: [r"(?m)(?:^|[;&|(]\s*)\s*(?:curl|wget|nc|ncat|netcat|telnet|scp|sftp|ftp|ssh)\s"], FS: [], ENV: [],
+        SHELL: [r"(?m)(?:^|[;&|(]\s*)(?:sh|bash|zsh|dash|ash|ksh|exec|source)\s"], EVAL: [r"(?m)(?:^[ \t]*|[;&|(]\s*)eval\s"], BASE64: [r"(?m)(?:^[ \t]*|[;&|(]\s*)(?:base64|base32|xxd|uudecode)\b"],
+        NET: [r"(?m)(?:^[ \t]*|[;&|(]\s*)(?:curl|wget|nc|ncat|netcat|telnet|scp|sftp|ftp|ssh)\s"], FS: [], ENV: [],
     },
     "c": _C, "cpp": _C,
     "elixir": {
