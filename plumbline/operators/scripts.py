@@ -207,7 +207,7 @@ def workflow_findings(files: DataFrame, key: str = "file", text_col: str = "text
         hit(~F.col("run") & loose, "unpinned-action-ref", F.when(owner.isin("actions", "github"), 1).otherwise(2), line),
         hit(~F.col("run") & F.col("fork") & ref.startswith("actions/cache"), "cache-poisoning", F.lit(2), F.lit(1)),
     ]
-    for rule, severity, pattern in R.WORKFLOW_RUN_RULES:
+    for rule, severity, pattern in ((r, s, R.ascii_words(p)) for r, s, p in R.WORKFLOW_RUN_RULES):
         before = F.substring(content, F.lit(1), F.regexp_instr(content, F.lit(pattern)) - 1)
         found.append(hit(F.col("run") & content.rlike(pattern), rule, F.lit(severity), line + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))))
     hits = rows.select(key, F.explode(F.array_compact(F.array(*found))).alias("f")).select(key, "f.line", "f.rule", "f.severity")

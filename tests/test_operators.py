@@ -187,3 +187,11 @@ def test_many_rules_for_any_name(spark, monkeypatch):
     rules = spark.createDataFrame([(1, "npm", "*", "^2", None, "no"), (2, "npm", "*", "^1", None, "yes"), (3, "pypi", "*", "", None, "other")], "rule_ord int, ecosystem string, name string, version_range string, capability string, reason string")
     got = K.apply_allowlist(flags, rules).collect()
     assert len(got) == 20 and {r["suppress_by"] for r in got} == {"allowlisted: yes"}
+
+
+def test_word_boundaries_of_rules_are_those_of_sql(spark):
+    """A letter beside A to Z ends a word, whatever the Java release: so says the SQL of build files."""
+    texts = ["ódo su la", "todo su la", "x do su la", "ñsu la", "é; cat wallet.daté", "# ódo su la"]
+    files = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "package int, text string")
+    got = {(r["package"], r["rule"]) for r in SC.build_file_findings(files).collect()}
+    assert got == {(0, "privilege-escalation-in-build"), (2, "privilege-escalation-in-build"), (4, "credential-access")}
