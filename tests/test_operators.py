@@ -195,3 +195,8 @@ def test_word_boundaries_of_rules_are_those_of_sql(spark):
     files = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "package int, text string")
     got = {(r["package"], r["rule"]) for r in SC.build_file_findings(files).collect()}
     assert got == {(0, "privilege-escalation-in-build"), (2, "privilege-escalation-in-build"), (4, "credential-access")}
+
+
+def test_word_boundaries_hold_for_files_that_share_a_key(spark):
+    files = spark.createDataFrame([(1, "todo su la"), (1, "make\nódo su la")], "package int, text string")
+    assert [(r["package"], r["line"], r["rule"]) for r in SC.build_file_findings(files).collect()] == [(1, 2, "privilege-escalation-in-build")]
