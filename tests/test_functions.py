@@ -94,3 +94,25 @@ def test_hosts_and_lines(spark):
         assert values(spark, [(host,)], "h string", N.domain_match(F.col("h"), listed)) == [(want,)]
     assert values(spark, [("a\r\nb\n",), ("",), ("a",)], "t string", R.lines(F.col("t"))) == [(["a", "b"],), ([],), (["a"],)]
     assert values(spark, [('"cur" + "l" + "x"',)], "t string", R.join_literals(F.col("t"))) == [('"curlx"',)]
+
+
+def test_small_batches_bound_rows_and_bytes():
+    import pyarrow as pa
+
+    from plumbline.functions.batches import small
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(["x" * 2000] * 10_000)], ["n", "t"])
+    parts = list(small(iter([batch, batch.slice(0, 0), batch.slice(0, 1)])))
+    assert [n for p in parts for n in p.column(0).to_pylist()] == [*range(10_000), 0]
+    assert max(p.num_rows for p in parts) <= 128 and max(p.nbytes for p in parts) <= 1 << 20
+    wide = pa.RecordBatch.from_arrays([pa.array(["y" * (3 << 20)] * 4)], ["t"])
+    assert [p.num_rows for p in small([wide])] == [1, 1, 1, 1]
+
+
+def test_code_facts_are_one_pass_over_texts(spark):
+    """Masked texts do not leave the worker that makes them: one Arrow pass, where two sent three masks a file between them."""
+    from plumbline.operators import analysis
+
+    facts = analysis.code_facts(spark.createDataFrame([("a.mjs", "f(1)")], "path string, body string"))
+    assert facts._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert [(r["kind"], r["symbol"]) for r in facts.collect()] == [("call", "f")]
