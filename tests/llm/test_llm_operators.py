@@ -272,6 +272,27 @@ def test_embedding_links_equal_brute_force(spark, spread):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (len(near.get(i, [])), label[i], label[i] == i), i
 
 
+def test_embedding_vectors_are_written_once_however_many_blocks(spark, monkeypatch):
+    """Random vectors exclude no block; each is still in one block row, not in a copy for every block."""
+    monkeypatch.setattr(embedding, "LEAST_BLOCK", 32)
+    monkeypatch.setattr(embedding, "LARGEST_BLOCK", 32)
+    held, cut = {}, embedding.cut
+
+    def kept(df, name, *more):
+        out = cut(df, name, *more)
+        if name == "vector-blocks":
+            held[name] = sum(len(r["cls"]) // 8 for r in out.collect()), out.count()
+        return out
+
+    monkeypatch.setattr(embedding, "cut", kept)
+    x = np.random.default_rng(3).normal(size=(600, 8))
+    got = embedding.link_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"))
+    assert held["vector-blocks"][0] == 600 and held["vector-blocks"][1] >= 19
+    unit = x.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    assert {r["vec_id"]: r["n_links"] for r in got.collect()} == dict(enumerate((unit @ unit.T >= 0.9).sum(axis=1) - 1))
+
+
 def test_embedding_empty(spark):
     assert embedding.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
