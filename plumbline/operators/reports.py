@@ -43,13 +43,36 @@ def versioned_key() -> Column:
     return F.concat("ecosystem", F.lit("/"), "name", F.lit("@"), "version")
 
 
+def _dealt(rows: DataFrame, project: str) -> DataFrame:
+    """Rows by project, in all shuffle partitions: making documents costs far more than their bytes tell, so none are merged."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), project)
+
+
+def _linked(parts: DataFrame, project: str, own: Column) -> DataFrame:
+    """(project, ref, owns, children): per reference what ``own`` says of its rows, and its children, sorted.
+
+    ``parts`` has project, ``key``, ``ref`` and ``needs`` (keys). Every row gives its key, and asks for those it needs; both
+    meet in the project's own partition, so that parts which lie by project are not shuffled again.
+    """
+    none, word = F.lit(None).cast(parts.select(own.alias("own")).schema["own"].dataType), F.lit(None).cast("string")
+    asker = F.struct(F.col("ref").alias("ref"))
+    said = lambda key, ref, asks, own: F.struct(key.alias("key"), ref.alias("ref"), asks.alias("asks"), own.alias("own"))
+    rows = parts.select(project, F.explode(F.concat(F.array(said(F.col("key"), F.col("ref"), F.lit(None).cast("struct<ref:string>"), own)), F.transform("needs", lambda k: said(k, word, asker, none)))).alias("x")).select(project, "x.*")
+    met = rows.groupBy(project, "key").agg(F.collect_set("ref").alias("refs"), F.collect_set("asks").alias("asks"), F.collect_list(F.when(F.col("own").isNotNull(), F.struct("ref", "own"))).alias("owns"))
+    told = lambda ref, child, own: F.struct(ref.alias("ref"), child.alias("child"), own.alias("own"))
+    pairs = F.when(F.col("key").isNotNull(), F.flatten(F.transform("asks", lambda a: F.transform("refs", lambda r: told(a["ref"], r, none)))))
+    rows = met.select(project, F.explode(F.concat(F.transform("owns", lambda o: told(o["ref"], word, o["own"])), F.coalesce(pairs, F.array()))).alias("x")).select(project, "x.*")
+    return rows.groupBy(project, "ref").agg(F.collect_list("own").alias("owns"), F.array_sort(F.collect_set("child")).alias("children"))
+
+
+def _keyed(deps: DataFrame) -> DataFrame:
+    needs = F.coalesce(_optional(deps, "depends_on", "array<string>"), F.array().cast("array<string>"))
+    return deps.withColumns({"key": versioned_key(), "ref": purl(F.col("ecosystem"), F.col("name"), F.col("version")), "needs": needs})
+
+
 def dependency_nodes(deps: DataFrame, project: str) -> DataFrame:
     """(project, ref, children): every component's children among the project's own, from ``depends_on`` keys, sorted."""
-    parts = deps.select(project, versioned_key().alias("key"), purl(F.col("ecosystem"), F.col("name"), F.col("version")).alias("ref"), F.coalesce(_optional(deps, "depends_on", "array<string>"), F.array().cast("array<string>")).alias("needs")).distinct()
-    refs = parts.select(project, "key", F.col("ref").alias("child")).distinct()
-    edges = parts.select(project, "ref", F.explode("needs").alias("key")).distinct().join(refs, [project, "key"]).select(project, "ref", "child")
-    every = parts.select(project, "ref", F.lit(None).cast("string").alias("child")).unionByName(edges)
-    return every.groupBy(project, "ref").agg(F.array_sort(F.collect_set("child")).alias("children"))
+    return _linked(_keyed(deps).select(project, "key", "ref", "needs").distinct(), project, F.lit(True)).select(project, "ref", "children")
 
 
 def cyclonedx(deps: DataFrame, advisories: DataFrame, project: str, timestamp: str, serial: str, tool: str = "plumbline", tool_version: str = "") -> DataFrame:
@@ -57,31 +80,41 @@ def cyclonedx(deps: DataFrame, advisories: DataFrame, project: str, timestamp: s
 
     ``deps`` may have ``integrity``, ``license`` and ``depends_on``, ``advisories`` ``source``, ``url`` and ``summary``; what is
     unknown is left out. A document is one row; use ``components`` and ``dependency_nodes`` where tables are wanted.
+
+    Dependencies meet their advisories by package and are then dealt by project, once: all lists of a document are made there.
     """
-    parts = deps.withColumns({"purl": purl(F.col("ecosystem"), F.col("name"), F.col("version")), "scope": F.when(F.col("direct"), "required").otherwise("optional")})
+    source, url = (F.coalesce(_optional(advisories, c), F.lit("")) for c in ("source", "url"))
+    vuln = F.struct(
+        "id", F.when((source != "") | (url != ""), F.struct(source.alias("name"), url.alias("url"))).alias("source"), F.array(F.struct(F.lower("severity").alias("severity"))).alias("ratings"), _optional(advisories, "summary").alias("description"),
+    )
+    known = advisories.groupBy("ecosystem", "name").agg(F.collect_list(vuln).alias("known"))
     hashed, license_ = integrity_hash(_optional(deps, "integrity")), F.nullif(_optional(deps, "license"), F.lit(""))
     part = F.struct(
-        F.col("purl").alias("bom-ref"), F.lit("library").alias("type"), "name", "version", "purl", "scope", F.when(hashed.isNotNull(), F.array(hashed)).alias("hashes"),
+        F.col("ref").alias("bom-ref"), F.lit("library").alias("type"), "name", "version", F.col("ref").alias("purl"), F.when(F.col("direct"), "required").otherwise("optional").alias("scope"), F.when(hashed.isNotNull(), F.array(hashed)).alias("hashes"),
         F.when(license_.isNotNull(), F.array(F.struct(F.struct(license_.alias("id")).alias("license")))).alias("licenses"),
     )
-    listed = parts.groupBy(project).agg(F.array_sort(F.collect_set(part)).alias("components"), F.array_sort(F.collect_set(F.when(F.col("direct"), F.col("purl")))).alias("direct"))
-    nodes = dependency_nodes(deps, project).groupBy(project).agg(F.array_sort(F.collect_list(F.struct("ref", F.col("children").alias("dependsOn")))).alias("nodes"))
-    source, url = (F.coalesce(_optional(advisories, c), F.lit("")) for c in ("source", "url"))
-    known = advisories.select("ecosystem", "name", "id", F.lower("severity").alias("severity"), source.alias("source"), url.alias("url"), _optional(advisories, "summary").alias("summary"))
-    hits = parts.select(project, "ecosystem", "name", "purl").distinct().join(known, ["ecosystem", "name"])
-    vuln = F.struct(
-        "purl", "id", F.when((F.col("source") != "") | (F.col("url") != ""), F.struct(F.col("source").alias("name"), "url")).alias("source"), F.array(F.struct("severity")).alias("ratings"), F.col("summary").alias("description"),
-        F.array(F.struct(F.col("purl").alias("ref"))).alias("affects"),
+    rows = _dealt(deps.join(known, ["ecosystem", "name"], "left"), project)
+    package = F.struct("ecosystem", "name")
+    own = F.struct(part.alias("part"), F.coalesce("direct", F.lit(False)).alias("direct"), package.alias("package"), "known")
+    nodes = _linked(_keyed(rows), project, own)
+    # advisories of a component count once, however many rows it has
+    found = F.flatten(F.transform(F.array_distinct(F.transform("owns", lambda o: o["package"])), lambda p: F.coalesce(F.filter("owns", lambda o: o["package"].eqNullSafe(p))[0]["known"], F.array().cast(known.schema["known"].dataType))))
+    affects = F.array(F.struct(F.col("ref").alias("ref")))
+    hits = F.transform(found, lambda v: F.struct(F.col("ref").alias("purl"), v["id"].alias("id"), v["source"].alias("source"), v["ratings"].alias("ratings"), v["description"].alias("description"), affects.alias("affects")))
+    nodes = nodes.select(project, "ref", "children", F.array_distinct(F.transform("owns", lambda o: o["part"])).alias("parts"), F.exists("owns", lambda o: o["direct"]).alias("direct"), hits.alias("hits"))
+    listed = nodes.groupBy(project).agg(
+        F.array_sort(F.flatten(F.collect_list("parts"))).alias("components"), F.array_sort(F.collect_list(F.when(F.col("direct"), F.col("ref")))).alias("direct"),
+        F.array_sort(F.collect_list(F.struct("ref", F.col("children").alias("dependsOn")))).alias("nodes"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"),
     )
-    vulns = hits.groupBy(project).agg(F.transform(F.array_sort(F.collect_list(vuln)), lambda v: v.dropFields("purl")).alias("vulnerabilities"))
+    vulns = F.when(F.size("hits") > 0, F.transform("hits", lambda v: v.dropFields("purl")))
     root = F.col(project).cast("string")
     doc = F.to_json(F.struct(
         F.lit("CycloneDX").alias("bomFormat"), F.lit("1.5").alias("specVersion"), F.lit(serial).alias("serialNumber"), F.lit(1).alias("version"),
         F.struct(F.lit(timestamp).alias("timestamp"), F.struct(F.array(F.struct(F.lit("application").alias("type"), F.lit(tool).alias("name"), F.lit(tool_version).alias("version"))).alias("components")).alias("tools"),
                  F.struct(F.lit("root").alias("bom-ref"), F.lit("application").alias("type"), root.alias("name")).alias("component")).alias("metadata"),
-        "components", F.concat(F.array(F.struct(F.lit("root").alias("ref"), F.col("direct").alias("dependsOn"))), "nodes").alias("dependencies"), "vulnerabilities",
+        "components", F.concat(F.array(F.struct(F.lit("root").alias("ref"), F.col("direct").alias("dependsOn"))), "nodes").alias("dependencies"), vulns.alias("vulnerabilities"),
     ))
-    return listed.join(nodes, project, "left").join(vulns, project, "left").select(project, doc.alias("document"))
+    return listed.select(project, doc.alias("document"))
 
 
 def spdx_id(c: Column) -> Column:
@@ -98,7 +131,7 @@ def spdx(deps: DataFrame, project: str, created: str, advisories: DataFrame | No
     if advisories is not None:
         at = F.coalesce(F.nullif(_optional(advisories, "url"), F.lit("")), F.col("id"))
         known = advisories.groupBy("ecosystem", "name").agg(F.transform(F.array_sort(F.collect_set(F.struct("id", at.alias("at")))), lambda a: reference("SECURITY", "advisory", a["at"])).alias("known"))
-        rows = rows.join(known, ["ecosystem", "name"], "left")
+        rows = _dealt(rows.join(known, ["ecosystem", "name"], "left"), project)
     else:
         rows = rows.withColumn("known", none)
     pid = spdx_id(F.concat_ws("-", "ecosystem", "name", "version"))

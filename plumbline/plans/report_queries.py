@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import second_pass as J
 from ..operators.analysis import lexed
 from ..operators import reports as RP
 from ..operators import snapshots as SN
+from ..shared import spread
 from . import derived as D
 from .rule_queries import pick, q, sql_list, sql_pick
 
@@ -16,14 +18,14 @@ KEY = ["ecosystem", "name", "version"]
 
 def _bill(spark, d):
     """Dependencies with licences, hashes, and keys of what they depend on: a project's direct ones."""
-    deps = D.dependencies(spark, d).select("project", *KEY, "direct").distinct()
+    deps = spread(D.dependencies(spark, d).select("project", *KEY, "direct"), "project").distinct()
     number = F.substring("name", 5, 20).cast("long")
     deps = deps.withColumns({
         "license": pick(["MIT", "", "ISC"], number),
         "integrity": F.when(number % 4 == 0, F.concat(F.lit("sha512-"), F.base64(F.encode("name", "UTF-8")))).when(number % 4 == 1, F.concat(F.lit("sha1-"), F.base64(F.encode("version", "UTF-8")))).when(number % 4 == 2, "md5-AAAA").otherwise(""),
     })
-    first = deps.where("direct").groupBy("project").agg(F.collect_set(RP.versioned_key()).alias("keys"))
-    return deps.join(first, "project", "left").withColumn("depends_on", F.when(~F.col("direct"), F.concat(F.coalesce("keys", F.array().cast("array<string>")), F.array(F.lit("npm/none@0"))))).drop("keys")
+    keys = F.collect_set(F.when(F.col("direct"), RP.versioned_key())).over(Window.partitionBy("project"))
+    return deps.withColumn("depends_on", F.when(~F.col("direct"), F.concat(keys, F.array(F.lit("npm/none@0")))))
 
 
 def _cyclonedx(spark, d, field: str, schema: str):
