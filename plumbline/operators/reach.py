@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import dep_key, pypi_import_candidates
-from ..shared import drop_table, write_table
+from ..shared import drop_buckets, drop_table, write_buckets, write_table
 
 
 def import_keys(imports: DataFrame) -> DataFrame:
@@ -73,6 +74,15 @@ def callers_closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     return seen
 
 
+def _unseen(named: DataFrame, frontier: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """(module, symbol, function) that call the frontier and are in no round: new pairs are shuffled, written rounds are not."""
+    pair = ["module", "symbol", "function"]
+    new = named.join(frontier.withColumnRenamed("function", "callee"), "callee").select("module", "symbol", F.col("caller").alias("function")).distinct()
+    for old in rounds:
+        new = new.join(old, pair, "left_anti")
+    return new
+
+
 def functions_reaching_transitive(sites: DataFrame, edges: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(module, symbol, file, function, line, direct): for many symbols at once, which functions reach them.
 
@@ -82,32 +92,34 @@ def functions_reaching_transitive(sites: DataFrame, edges: DataFrame, wanted: Da
     symbols; without it all that are used are followed together.
 
     Rounds of one join: only (symbol, function) pairs that are new go on, so cycles end, each pair is joined once, and
-    chains of any length are followed. Rounds are written in the shared folder while this runs, and removed at its end but
+    chains of any length are followed. Rounds are written in buckets in the shared folder while this runs, and removed at its end but
     for the pairs found. Null names reach nothing; repeated rows count once.
     """
     spark = sites.sparkSession
     label = ["module", "symbol"]
+    pair = [*label, "function"]
     direct = sites if wanted is None else sites.join(wanted.select(*label).distinct(), label, "left_semi")
     direct, _ = write_table(direct.groupBy(*label, "file", "function").agg(F.min("line").alias("line")), "direct-uses")
     calls, calls_path = write_table(edges.select("file", "caller", "callee").distinct(), "calls")
-    named = calls.select("caller", "callee").distinct()
-    frontier, path = write_table(direct.select(*label, "function").distinct(), "reaching")
-    seen, paths = frontier, [path]
+    named = write_buckets(calls.select("caller", "callee").distinct(), "named_calls", ["callee"])
+    frontier = write_buckets(direct.select(*pair).distinct(), "reaching", pair)
+    rounds = [frontier]
     for depth in count(1):
-        new = named.join(frontier.withColumnRenamed("function", "callee"), "callee").select(*label, F.col("caller").alias("function")).distinct()
-        frontier, path = write_table(new.join(seen, [*label, "function"], "left_anti"), "reaching")
-        paths.append(path)
+        frontier = write_buckets(_unseen(named, frontier, rounds), "reaching", pair)
         if frontier.isEmpty():
+            drop_buckets(frontier)
             break
-        seen = seen.unionByName(frontier)
-        if depth % 16 == 0:  # a plan of few parts, whatever the depth
-            seen, path = write_table(seen, "reached")
-            for old in paths[:-1]:
-                drop_table(spark, old)
-            paths = [paths[-1], path]
+        rounds.append(frontier)
+        if depth % 16 == 0:  # a plan of few parts, whatever the depth; the frontier stays a part
+            merged = write_buckets(reduce(DataFrame.unionByName, rounds[:-1]), "reached", pair)
+            for old in rounds[:-1]:
+                drop_buckets(old)
+            rounds = [merged, frontier]
+    seen = reduce(DataFrame.unionByName, rounds)
     callers = calls.join(seen.withColumnRenamed("function", "callee"), "callee").select(*label, "file", F.col("caller").alias("function"), F.lit(None).cast("long").alias("line"))
     every = direct.unionByName(callers).groupBy(*label, "file", "function").agg(F.min("line").alias("line"))
     out, _ = write_table(every.select(*label, "file", "function", F.coalesce("line", F.lit(0)).alias("line"), F.col("line").isNotNull().alias("direct")), "reaching-functions")
-    for old in (*paths, calls_path):
-        drop_table(spark, old)
+    for old in (named, *rounds):
+        drop_buckets(old)
+    drop_table(spark, calls_path)
     return out
