@@ -18,6 +18,7 @@ from ..operators import risk as K
 from ..operators import scripts as SC
 from ..operators import snapshots as SN
 from ..schema import CAPABILITIES, capability_dim
+from ..shared import spread
 from ..sources import lockfiles as L
 from ..streaming import audit
 from . import derived as D
@@ -103,7 +104,8 @@ def osv_parse(spark, d):
 
 
 def version_order(spark, d):
-    once = D.dependencies(spark, d).select("ecosystem", "name", "version").distinct().withColumn("v", V.parse_version(F.col("version")))
+    # dealt out before anything is gathered: a task holds few rows, whatever the input
+    once = spread(D.dependencies(spark, d).select("ecosystem", "name", "version"), "ecosystem", "name", each=16).distinct().withColumn("v", V.parse_version(F.col("version")))
     return once.groupBy("ecosystem", "name").agg(F.max_by("version", "v").alias("newest"), F.min_by("version", "v").alias("oldest"), F.count(F.lit(1)).alias("n_versions"))
 
 
