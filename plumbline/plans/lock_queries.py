@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..shared import spread
 from ..sources import lockfiles as L
 from . import derived as D
 from .rule_queries import pick, q, sql_list
@@ -76,9 +78,9 @@ FROM l a JOIN l x ON x.l_orderkey = a.l_orderkey AND x.l_linenumber = a.l_linenu
 
 def npm_depends_on(spark, d):
     """Packages that depend on the next line item's; the deeper its folder, the later its line."""
-    line = D.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
-    after = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("need"))
-    rows = line.join(after, ["l_orderkey", "l_linenumber"], "left").selectExpr(
+    line = spread(D.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    after = F.min("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber").rangeBetween(1, 1))
+    rows = line.withColumn("need", after).selectExpr(
         "l_orderkey", "concat(repeat('node_modules/z/', cast(l_linenumber as int)), 'node_modules/n', l_partkey) as at", "concat('3.', l_linenumber, '.0') as v", "if(need is null, map('zzz', '*'), map(concat('n', need), '*')) as deps")
     packages = F.map_from_entries(F.collect_list(F.struct("at", F.struct(F.col("v").alias("version"), F.col("deps").alias("dependencies")))))
     files = rows.groupBy("l_orderkey").agg(F.to_json(F.struct(F.lit(3).alias("lockfileVersion"), packages.alias("packages"))).alias("text"))

@@ -433,10 +433,16 @@ def npm_edges(files: DataFrame) -> DataFrame:
     rows = _json(files, "package-lock.json", "packages map<string,struct<version:string,dependencies:map<string,string>>>").select("path", F.explode("d.packages").alias("at", "p"))
     rows = rows.where("at <> '' and coalesce(p.version, '') <> ''").select("path", "at", F.element_at(F.split("at", "node_modules/"), -1).alias("name"), F.col("p.version").alias("version"), F.map_keys("p.dependencies").alias("needs")).where("name <> ''")
     depth = F.struct(F.octet_length("at"), F.col("at"))
-    top = rows.groupBy("path", "name").agg(F.min_by("version", depth).alias("top"))
-    each = rows.groupBy("path", "name", "version").agg(F.min_by(F.struct("needs"), depth).alias("n")).select("path", "name", "version", F.explode("n.needs").alias("need"))
-    found = each.join(top.select("path", F.col("name").alias("need"), "top"), ["path", "need"])
-    return found.groupBy("path", "name", "version").agg(F.array_sort(F.collect_set(F.concat(F.lit("npm/"), "need", F.lit("@"), "top"))).alias("depends_on"))
+    # dealt by file once: versions, then names, then who needs a name meet there
+    each = rows.repartition("path").groupBy("path", "name", "version").agg(F.min(F.struct(depth.alias("depth"), F.struct("needs").alias("n"))).alias("first"))
+    named = each.groupBy("path", "name").agg(F.min_by("version", "first.depth").alias("top"), F.collect_list(F.struct("version", F.col("first.n.needs").alias("needs"))).alias("versions"))
+    word = F.lit(None).cast("string")
+    said = lambda key, top, name, version: F.struct(key.alias("key"), top.alias("top"), name.alias("name"), version.alias("version"))
+    asks = F.flatten(F.transform("versions", lambda v: F.transform(F.coalesce(v["needs"], F.array().cast("array<string>")), lambda k: said(k, word, F.col("name"), v["version"]))))
+    met = named.select("path", F.explode(F.concat(F.array(said(F.col("name"), F.col("top"), word, word)), asks)).alias("x")).select("path", "x.*")
+    met = met.groupBy("path", "key").agg(F.max("top").alias("top"), F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "version"))).alias("asks")).where("top is not null")
+    found = met.select("path", F.explode("asks").alias("a"), F.concat(F.lit("npm/"), "key", F.lit("@"), "top").alias("need")).select("path", "a.*", "need")
+    return found.groupBy("path", "name", "version").agg(F.array_sort(F.collect_set("need")).alias("depends_on"))
 
 
 def read_files(spark, path: str, most_bytes: int = 4 << 20) -> DataFrame:
