@@ -5,9 +5,15 @@ their component there: a posting segment is the run of vectors that share a comp
 query's component times it. Segments of all dimensions are processed by descending impact, one level of impacts after
 another, and their postings added to accumulators. An unread segment of a level adds at most that level, so a vector's
 score is at most its accumulator plus the level for each dimension in which it was not met yet. The best accumulators
-are scored exactly at every level, which gives a k-th best score that only rises. Reading stops when few vectors can
-still reach it (levels halve down to 0 and then go below it, where unread segments can only lower a score): all vectors that
-might, ties included, are the possible members, and they are scored exactly. No vector is left out without that proof.
+are scored exactly, which gives a k-th best score that only rises. Reading stops when few vectors can still reach it
+(levels halve down to 0 and then go below it, where unread segments can only lower a score): all vectors that might, ties
+included, are the possible members, and they are scored exactly. No vector is left out without that proof.
+
+Levels that can exclude no vector (a vector not met yet could still reach the k-th best score) are passed over. If the
+first level that can takes in few postings, they are added one by one, each query by itself. Otherwise reading goes on to
+level 0 at once, for many queries together: all segments of positive impact are the product of the positive parts of
+queries and vectors plus that of their negative parts. Vectors whose accumulators stay under the k-th best score are out;
+only the rest are scored.
 
 The index is made in place, block by block, without a shuffle. Queries are dealt into passes of at most PASS_BYTES,
 measured; each pass reads the index once and sends k rows for each query and task on to the last sort, never all pairs.
@@ -37,6 +43,10 @@ LARGEST = 1 << 25
 PASS_BYTES = 8 << 20
 FEW = 32
 STEPS = 16
+TOGETHER = 256
+SPARSE = 16
+PAIRS = 1 << 15
+NONE = np.iinfo(np.int64).min
 INDEX = "dim int, rows int, ids binary, known binary, numbers binary, ordered binary, components binary"
 
 
@@ -107,36 +117,49 @@ class Block:
             self.vectors[self.ordered[d], d] = self.components[d]
         self.low = self.components[:, 0].astype(np.int64) if rows else np.zeros(dim, np.int64)
         self.high = self.components[:, -1].astype(np.int64) if rows else np.zeros(dim, np.int64)
+        self.largest = np.maximum(np.abs(self.low), np.abs(self.high)).astype(np.float64)
         # all dimensions' components as one ascending array: a lookup for each dimension is one search
         self.width = int((self.high - self.low).max(initial=0)) + 3
         self.keys = (self.components - self.low[:, None] + 1 + np.arange(dim)[:, None] * self.width).ravel()
+        self.parts: dict[type, np.ndarray] = {}
 
     def score(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
         return self.vectors[rows].astype(np.int64) @ query
 
-    def ends(self, query: np.ndarray, level: int) -> np.ndarray:
+    def ends(self, query: np.ndarray, level: int | np.ndarray) -> np.ndarray:
         """For each dimension, how many postings lie before the segments whose impact exceeds ``level`` (query > 0) or in them (query < 0)."""
         bound = level // np.maximum(np.abs(query), 1)
         least = np.where(query > 0, bound + 1, -bound)  # components from it on exceed the level, or (query < 0) those before it
         at = np.clip(least - self.low + 1, 0, self.width - 1) + np.arange(self.dim) * self.width
         return np.searchsorted(self.keys, at) - np.arange(self.dim) * self.rows
 
-    def possible(self, query: np.ndarray, own: int, k: int, least: int | None) -> np.ndarray:
-        """Rows that may be among the query's best k, given that ``least`` (if any) is reached by k others already."""
+    def possible(self, query: np.ndarray, own: int, k: int, least: int | None, most: int | None = None) -> np.ndarray | None:
+        """Rows that may be among the query's best k, given that ``least`` (if any) is reached by k others already.
+
+        None, if that takes more than ``most`` postings.
+        """
         others = self.numbers != own
         live, rise = np.flatnonzero(query), query > 0
         impacts = np.where(rise, query * self.high, query * self.low)
         level = max(int(impacts.max(initial=0)), 1)
-        step = max(level // STEPS, 1)
+        step = low = max(level // STEPS, 1)
+        if least is not None and least > 0 and len(live):
+            first = (least - 1) // len(live)  # at any level above it, a row not met yet may still reach ``least``
+            level, low = min(level, 2 * first + 1), min(low, first)
         lowest = int(np.where(rise, query * self.low, query * self.high).min(initial=0))
+        reach = float(np.abs(query) @ self.largest)
+        slack = reach * 2.0**-40 if reach >= 1 << 53 else 0.0  # sums up to there are exact
         total, met = np.zeros(self.rows), np.zeros(self.rows, np.int64)
-        done = np.where(rise, self.rows, 0)
+        done, read = np.where(rise, self.rows, 0), 0
         while level > lowest:
-            level = level // 2 if level > step else 0 if level > 0 else 2 * level or -step
+            level = level // 2 if level > low else 0 if level > 0 else 2 * level or -step
             now = self.ends(query, level)
             spans = [(d, now[d], done[d]) if rise[d] else (d, done[d], now[d]) for d in live]
             spans = [(d, a, b) for d, a, b in spans if a < b]
             done = now
+            read += sum(b - a for _, a, b in spans)
+            if most is not None and read > most:
+                return None
             if spans:
                 rows = np.concatenate([self.ordered[d, a:b] for d, a, b in spans])
                 found = np.concatenate([self.components[d, a:b] for d, a, b in spans]) * np.repeat(query[[d for d, _, _ in spans]], [b - a for _, a, b in spans])
@@ -149,16 +172,99 @@ class Block:
                     floor = int(self.score(best, query).min())
                     least = floor if least is None else max(least, floor)
             if least is not None:
-                may = np.flatnonzero(others & (total + level * (len(live) - met) >= least))
+                may = np.flatnonzero(others & (total + level * (len(live) - met) + slack >= least))
                 if len(may) <= max(4 * k, self.rows // FEW):
                     return may
-        return np.flatnonzero(others) if least is None else np.flatnonzero(others & (total >= least))
+        return np.flatnonzero(others) if least is None else np.flatnonzero(others & (total + slack >= least))
+
+    def sparse(self, queries: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Queries for which the first level that can exclude rows takes in few postings."""
+        level = (np.maximum(least, 1) - 1) // np.maximum(np.count_nonzero(queries, axis=1), 1)
+        ends = self.ends(queries, level[:, None])
+        read = np.where(queries > 0, self.rows - ends, np.where(queries < 0, ends, 0)).sum(axis=1)
+        return (least > 0) & (read <= self.rows * self.dim // SPARSE)
+
+    def above(self, queries: np.ndarray, kind: type) -> np.ndarray:
+        """Accumulators at level 0, queries by rows: the sums of all positive impacts."""
+        if kind not in self.parts:
+            self.parts[kind] = np.concatenate([np.maximum(self.vectors, 0), np.maximum(-self.vectors, 0)], axis=1).astype(kind)
+        return np.concatenate([np.maximum(queries, 0), np.maximum(-queries, 0)], axis=1).astype(kind) @ self.parts[kind].T
+
+    def together(self, queries: np.ndarray, owns: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, row, score) of possible members, by level 0 for all queries; ``least`` (NONE: none) is raised in place."""
+        reach = float((np.abs(queries) @ self.largest).max(initial=0))
+        kind = np.float32 if reach < 1 << 24 else np.float64  # whole numbers, and their sums up to there, are exact
+        exact = kind if reach < 1 << 53 else np.int64
+        asked, vectors = queries.astype(exact), self.vectors.astype(exact)
+        total = self.above(queries, kind)
+        at = np.minimum(np.searchsorted(self.numbers, owns), self.rows - 1)  # numbers ascend in a block
+        own = np.flatnonzero(self.numbers[at] == owns)
+        total[own, at[own]] = -np.inf
+        new = np.flatnonzero(least == NONE)
+        if len(new) and self.rows > k:
+            n = min(8 * k, self.rows)
+            best = np.argpartition(total[new], self.rows - n, axis=1)[:, self.rows - n :]
+            score = np.einsum("qrd,qd->qr", vectors[best], asked[new]).astype(np.int64)
+            score[np.isneginf(np.take_along_axis(total[new], best, axis=1))] = NONE
+            least[new] = np.partition(score, n - k, axis=1)[:, n - k]
+        bound = np.maximum(least - np.abs(least.astype(np.float64)) * 2.0**-40, np.finfo(kind).min).astype(kind)
+        which, rows = np.nonzero(total >= bound[:, None])
+        for part in range(0, len(which), PAIRS):
+            q, r = which[part : part + PAIRS], rows[part : part + PAIRS]
+            score = np.einsum("pd,pd->p", vectors[r], asked[q]).astype(np.int64)
+            keep = score >= least[q]
+            yield q[keep], r[keep], score[keep]
+
+    def members(self, queries: np.ndarray, owns: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, rows, scores): for each query the rows that may be among its best k, ``least`` being reached by k others already.
+
+        A query may come more than once, with other rows.
+        """
+        for at in range(0, len(queries) if self.rows else 0, TOGETHER):
+            of = np.arange(at, min(at + TOGETHER, len(queries)))
+            sparse = self.sparse(queries[of], least[of])
+            for n in np.flatnonzero(sparse):
+                may = self.possible(queries[of[n]], owns[of[n]], k, int(least[of[n]]), self.rows * self.dim // SPARSE)
+                if may is None:
+                    sparse[n] = False
+                elif len(may):
+                    yield int(of[n]), may, self.score(may, queries[of[n]])
+            of = of[~sparse]
+            if len(of):
+                for q, rows, score in self.together(queries[of], owns[of], k, least[of]):
+                    cuts = np.flatnonzero(np.diff(q)) + 1
+                    for a, b in zip([0, *cuts], [*cuts, len(q)], strict=True):
+                        if a < b:
+                            yield int(of[q[a]]), rows[a:b], score[a:b]
 
 
 def _best(score: np.ndarray, unknown: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((rows, ids, unknown, -score))[:k]
 
 
+class Asked:
+    """The queries of one length in a task, with the best k of the blocks they met."""
+
+    def __init__(self, dim: int, rows: list[tuple[int, int | None, bytes]]):
+        self.owns, self.ids = np.array([n for n, _, _ in rows], np.int64), [i for _, i, _ in rows]
+        self.vectors = np.frombuffer(b"".join(v for _, _, v in rows), np.int32).reshape(len(rows), dim).astype(np.int64)
+        self.least = np.full(len(rows), NONE)
+        self.found: dict[int, tuple] = {}
+
+    def meet(self, block: Block, k: int) -> None:
+        for n, rows, score in block.members(self.vectors, self.owns, k, self.least):
+            if len(score) > k:
+                near = score >= np.partition(score, len(score) - k)[len(score) - k]
+                rows, score = rows[near], score[near]
+            new = score, ~block.known[rows], block.ids[rows], block.numbers[rows]
+            if n in self.found:
+                new = tuple(np.concatenate(c) for c in zip(self.found[n], new, strict=True))
+            keep = _best(*new, k)
+            self.found[n] = tuple(c[keep] for c in new)
+            if len(keep) == k:
+                self.least[n] = self.found[n][0][-1]
+
+
 def _search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The best k of each task for each query of one pass."""
     sets: dict[int, list] = {}
@@ -167,30 +273,17 @@ def _search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     sent = index.sparkSession.sparkContext.broadcast(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = {dim: [(n, i, np.frombuffer(v, np.int32).astype(np.int64)) for n, i, v in rows] for dim, rows in sent.value.items()}
-        found: dict[int, tuple] = {}
+        asked = {dim: Asked(dim, rows) for dim, rows in sent.value.items()}
         for batch in batches:
             for at in range(batch.num_rows):
-                dim = batch.column(0)[at].as_py()
-                if dim not in asked:
-                    continue
-                block = Block(*(c[at].as_py() for c in batch.columns))
-                for own, _, query in asked[dim]:
-                    have = found.get(own)
-                    least = int(have[0][-1]) if have is not None and len(have[0]) == k else None
-                    may = block.possible(query, own, k, least)
-                    if not len(may):
-                        continue
-                    new = block.score(may, query), ~block.known[may], block.ids[may], block.numbers[may]
-                    if have is not None:
-                        new = tuple(np.concatenate(c) for c in zip(have, new, strict=True))
-                    keep = _best(*new, k)
-                    found[own] = tuple(c[keep] for c in new)
-        names = {n: i for rows in asked.values() for n, i, _ in rows}
-        for own, (score, unknown, ids, rows) in found.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(score), own)), pa.array([names[own]] * len(score), pa.int64()), pa.array(score), pa.array(ids, pa.int64(), mask=unknown), pa.array(rows)], ["number", "query_id", "score", "vec_id", "row"]
-            )
+                if (dim := batch.column(0)[at].as_py()) in asked:
+                    asked[dim].meet(Block(*(c[at].as_py() for c in batch.columns)), k)
+        for queries in asked.values():
+            for n, (score, unknown, ids, rows) in queries.found.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(score), queries.owns[n])), pa.array([queries.ids[n]] * len(score), pa.int64()), pa.array(score), pa.array(ids, pa.int64(), mask=unknown), pa.array(rows)],
+                    ["number", "query_id", "score", "vec_id", "row"],
+                )
 
     return index.mapInArrow(run, "number long, query_id long, score long, vec_id long, row long")
 

@@ -81,6 +81,59 @@ def test_topk_stops_early_and_proves_it():
     assert len(block.possible(x[0].astype(np.int64), 0, 5, None)) < 300
 
 
+def block_of(x, first=0, ids=None):
+    order = np.argsort(x, axis=0, kind="stable").T
+    ids = np.arange(first, first + len(x)) if ids is None else ids
+    return topk.Block(x.shape[1], len(x), ids.tobytes(), np.ones(len(x), bool).tobytes(), np.arange(first, first + len(x)).tobytes(), order.astype(np.uint16).tobytes(), np.take_along_axis(x.T, order, axis=1).tobytes())
+
+
+@pytest.mark.parametrize("kind", ["plain", "heavy", "huge", "below", "copies", "zeros"])
+def test_topk_of_many_queries_over_blocks(kind, monkeypatch):
+    monkeypatch.setattr(topk, "TOGETHER", 7)
+    monkeypatch.setattr(topk, "PAIRS", 100)
+    rng = np.random.default_rng(11)
+    if kind == "heavy":  # few large components: the first level that can exclude takes in few postings
+        x = np.where(rng.random((900, 64)) < 0.04, rng.normal(0, 3000, (900, 64)), rng.normal(0, 1, (900, 64)))
+    elif kind == "huge":
+        x = rng.choice([-1, 1], (900, 64)) * (topk.LARGEST - rng.integers(0, 3, (900, 64)))
+    elif kind == "below":  # all scores of the only query that looks the other way are negative
+        x = rng.integers(1, 99, (900, 8))
+        x[20] *= -1
+    else:
+        x = rng.normal(0, 32, (900, 16))
+    x = x.astype(np.int32)
+    if kind == "copies":
+        x[100:700] = x[0]
+    if kind == "zeros":
+        x[::20] = 0
+    ids = rng.permutation(900)
+    asked = topk.Asked(x.shape[1], [(n, int(ids[n]), x[n].tobytes()) for n in range(0, 900, 20)])
+    few = 0
+    for a, b in ((0, 3), (3, 300), (300, 301), (301, 900)):
+        block = block_of(x[a:b], a, ids[a:b])
+        few += int(block.sparse(asked.vectors, asked.least).sum())
+        asked.meet(block, 5)
+    assert few > 9 or kind != "heavy"
+    for n, own in enumerate(range(0, 900, 20)):
+        score = x.astype(np.int64) @ x[own].astype(np.int64)
+        others = np.flatnonzero(np.arange(900) != own)
+        best = others[np.lexsort((ids[others], -score[others]))[:5]]
+        got, _, found, rows = asked.found[n]
+        assert (got.tolist(), found.tolist(), rows.tolist()) == (score[best].tolist(), ids[best].tolist(), best.tolist())
+
+
+def test_topk_reads_level_0_for_many_queries_together(monkeypatch):
+    """Without large impacts no query reads postings by itself, and few of the pairs are scored."""
+    x = np.random.default_rng(2).normal(0, 32, (8192, 64)).astype(np.int32)
+    calls, scored, einsum = [], [], np.einsum
+    monkeypatch.setattr(topk.Block, "possible", lambda *a: calls.append(a))
+    asked = topk.Asked(64, [(n, n, x[n].tobytes()) for n in range(512)])
+    asked.meet(block_of(x[:4096]), 5)
+    monkeypatch.setattr(np, "einsum", lambda form, a, b: (scored.append(a.size // 64), einsum(form, a, b))[1])
+    asked.meet(block_of(x[4096:], 4096), 5)
+    assert not calls and 0 < sum(scored) < 4096 * 512 // 5
+
+
 def test_quantise_keeps_lengths_apart_and_slices():
     column = pa.array([[1.0], [0.5, -0.001], None, [2.0, None], [], [float("nan")], [3.0, 4.0]], pa.list_(pa.float32()))
     got = {x.shape[1]: (of.tolist(), x.tolist()) for of, x in topk.quantise(column, 256)}
