@@ -45,7 +45,8 @@ FEW = 32
 STEPS = 16
 TOGETHER = 256
 SPARSE = 16
-PAIRS = 1 << 15
+PAIRS = 1 << 12
+THIN = 32
 NONE = np.iinfo(np.int64).min
 INDEX = "dim int, rows int, ids binary, known binary, numbers binary, ordered binary, components binary"
 
@@ -121,17 +122,22 @@ class Block:
         # all dimensions' components as one ascending array: a lookup for each dimension is one search
         self.width = int((self.high - self.low).max(initial=0)) + 3
         self.keys = (self.components - self.low[:, None] + 1 + np.arange(dim)[:, None] * self.width).ravel()
+        self.thin = self.keys.reshape(dim, rows)[:, ::THIN].ravel()
         self.parts: dict[type, np.ndarray] = {}
 
     def score(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
         return self.vectors[rows].astype(np.int64) @ query
 
-    def ends(self, query: np.ndarray, level: int | np.ndarray) -> np.ndarray:
-        """For each dimension, how many postings lie before the segments whose impact exceeds ``level`` (query > 0) or in them (query < 0)."""
+    def ends(self, query: np.ndarray, level: int | np.ndarray, every: int = 1) -> np.ndarray:
+        """For each dimension, how many postings lie before the segments whose impact exceeds ``level`` (query > 0) or in them (query < 0).
+
+        With ``every``, about as many: only one posting in so many is looked at.
+        """
         bound = level // np.maximum(np.abs(query), 1)
         least = np.where(query > 0, bound + 1, -bound)  # components from it on exceed the level, or (query < 0) those before it
         at = np.clip(least - self.low + 1, 0, self.width - 1) + np.arange(self.dim) * self.width
-        return np.searchsorted(self.keys, at) - np.arange(self.dim) * self.rows
+        keys = self.keys if every == 1 else self.thin
+        return (np.searchsorted(keys, at) - np.arange(self.dim) * -(-self.rows // every)) * every
 
     def possible(self, query: np.ndarray, own: int, k: int, least: int | None, most: int | None = None) -> np.ndarray | None:
         """Rows that may be among the query's best k, given that ``least`` (if any) is reached by k others already.
@@ -148,7 +154,7 @@ class Block:
             level, low = min(level, 2 * first + 1), min(low, first)
         lowest = int(np.where(rise, query * self.low, query * self.high).min(initial=0))
         reach = float(np.abs(query) @ self.largest)
-        slack = reach * 2.0**-40 if reach >= 1 << 53 else 0.0  # sums up to there are exact
+        slack = reach * 2.0**-32 if reach >= 1 << 53 else 0.0  # sums up to there are exact
         total, met = np.zeros(self.rows), np.zeros(self.rows, np.int64)
         done, read = np.where(rise, self.rows, 0), 0
         while level > lowest:
@@ -180,7 +186,7 @@ class Block:
     def sparse(self, queries: np.ndarray, least: np.ndarray) -> np.ndarray:
         """Queries for which the first level that can exclude rows takes in few postings."""
         level = (np.maximum(least, 1) - 1) // np.maximum(np.count_nonzero(queries, axis=1), 1)
-        ends = self.ends(queries, level[:, None])
+        ends = self.ends(queries, level[:, None], THIN)
         read = np.where(queries > 0, self.rows - ends, np.where(queries < 0, ends, 0)).sum(axis=1)
         return (least > 0) & (read <= self.rows * self.dim // SPARSE)
 
@@ -190,7 +196,7 @@ class Block:
             self.parts[kind] = np.concatenate([np.maximum(self.vectors, 0), np.maximum(-self.vectors, 0)], axis=1).astype(kind)
         return np.concatenate([np.maximum(queries, 0), np.maximum(-queries, 0)], axis=1).astype(kind) @ self.parts[kind].T
 
-    def together(self, queries: np.ndarray, owns: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def together(self, queries: np.ndarray, owns: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, row, score) of possible members, by level 0 for all queries; ``least`` (NONE: none) is raised in place."""
         reach = float((np.abs(queries) @ self.largest).max(initial=0))
         kind = np.float32 if reach < 1 << 24 else np.float64  # whole numbers, and their sums up to there, are exact
@@ -207,19 +213,18 @@ class Block:
             score = np.einsum("qrd,qd->qr", vectors[best], asked[new]).astype(np.int64)
             score[np.isneginf(np.take_along_axis(total[new], best, axis=1))] = NONE
             least[new] = np.partition(score, n - k, axis=1)[:, n - k]
-        bound = np.maximum(least - np.abs(least.astype(np.float64)) * 2.0**-40, np.finfo(kind).min).astype(kind)
-        which, rows = np.nonzero(total >= bound[:, None])
-        for part in range(0, len(which), PAIRS):
-            q, r = which[part : part + PAIRS], rows[part : part + PAIRS]
-            score = np.einsum("pd,pd->p", vectors[r], asked[q]).astype(np.int64)
+        bound = np.maximum(least - np.abs(least.astype(np.float64)) * 2.0**-32, np.finfo(kind).min).astype(kind)
+        pairs = np.flatnonzero(total >= bound[:, None])
+        found = [(np.zeros(0, np.int64),) * 3]
+        for part in range(0, len(pairs), PAIRS):
+            q, r = np.divmod(pairs[part : part + PAIRS], self.rows)
+            score = np.einsum("pd,pd->p", vectors.take(r, axis=0), asked.take(q, axis=0)).astype(np.int64)
             keep = score >= least[q]
-            yield q[keep], r[keep], score[keep]
+            found.append((q[keep], r[keep], score[keep]))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
-    def members(self, queries: np.ndarray, owns: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query, rows, scores): for each query the rows that may be among its best k, ``least`` being reached by k others already.
-
-        A query may come more than once, with other rows.
-        """
+    def members(self, queries: np.ndarray, owns: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, row, score) of rows that may be among a query's best k, ``least`` (NONE: none) being reached by k others already."""
         for at in range(0, len(queries) if self.rows else 0, TOGETHER):
             of = np.arange(at, min(at + TOGETHER, len(queries)))
             sparse = self.sparse(queries[of], least[of])
@@ -228,41 +233,49 @@ class Block:
                 if may is None:
                     sparse[n] = False
                 elif len(may):
-                    yield int(of[n]), may, self.score(may, queries[of[n]])
+                    yield np.full(len(may), of[n]), may, self.score(may, queries[of[n]])
             of = of[~sparse]
             if len(of):
-                for q, rows, score in self.together(queries[of], owns[of], k, least[of]):
-                    cuts = np.flatnonzero(np.diff(q)) + 1
-                    for a, b in zip([0, *cuts], [*cuts, len(q)], strict=True):
-                        if a < b:
-                            yield int(of[q[a]]), rows[a:b], score[a:b]
-
-
-def _best(score: np.ndarray, unknown: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((rows, ids, unknown, -score))[:k]
+                q, rows, score = self.together(queries[of], owns[of], k, least[of])
+                if len(q):
+                    yield of[q], rows, score
 
 
 class Asked:
     """The queries of one length in a task, with the best k of the blocks they met."""
 
-    def __init__(self, dim: int, rows: list[tuple[int, int | None, bytes]]):
+    def __init__(self, dim: int, rows: list[tuple[int, int | None, bytes]], k: int):
         self.owns, self.ids = np.array([n for n, _, _ in rows], np.int64), [i for _, i, _ in rows]
         self.vectors = np.frombuffer(b"".join(v for _, _, v in rows), np.int32).reshape(len(rows), dim).astype(np.int64)
-        self.least = np.full(len(rows), NONE)
-        self.found: dict[int, tuple] = {}
-
-    def meet(self, block: Block, k: int) -> None:
-        for n, rows, score in block.members(self.vectors, self.owns, k, self.least):
-            if len(score) > k:
-                near = score >= np.partition(score, len(score) - k)[len(score) - k]
-                rows, score = rows[near], score[near]
+        self.k, self.least, shape = k, np.full(len(rows), NONE), (len(rows), k)
+        self.filled, self.best = np.zeros(shape, bool), (np.zeros(shape, np.int64), np.zeros(shape, bool), np.zeros(shape, np.int64), np.zeros(shape, np.int64))
+
+    def meet(self, block: Block) -> None:
+        """Scores, whether the id is unknown, ids and rows of the best, with those of ``block``."""
+        for q, rows, score in block.members(self.vectors, self.owns, self.k, self.least):
+            touched = np.unique(q)
+            n, rank = np.nonzero(self.filled[touched])
+            q = np.concatenate([q, touched[n]])
             new = score, ~block.known[rows], block.ids[rows], block.numbers[rows]
-            if n in self.found:
-                new = tuple(np.concatenate(c) for c in zip(self.found[n], new, strict=True))
-            keep = _best(*new, k)
-            self.found[n] = tuple(c[keep] for c in new)
-            if len(keep) == k:
-                self.least[n] = self.found[n][0][-1]
+            new = [np.concatenate([a, b[touched[n], rank]]) for a, b in zip(new, self.best, strict=True)]
+            order = np.lexsort((new[3], new[2], new[1], -new[0], q))
+            q = q[order]
+            first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+            rank = np.arange(len(q)) - np.repeat(first, np.diff(first, append=len(q)))
+            keep = rank < self.k
+            to = q[keep], rank[keep]
+            for a, b in zip(self.best, new, strict=True):
+                a[to] = b[order[keep]]
+            self.filled[to] = True
+            self.least[touched] = np.where(self.filled[touched, -1], self.best[0][touched, -1], NONE)
+
+    def found(self) -> pa.RecordBatch:
+        n, rank = np.nonzero(self.filled)
+        score, unknown, ids, rows = (c[n, rank] for c in self.best)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(self.owns[n]), pa.array([self.ids[i] for i in n], pa.int64()), pa.array(score), pa.array(ids, pa.int64(), mask=unknown), pa.array(rows)],
+            ["number", "query_id", "score", "vec_id", "row"],
+        )
 
 
 def _search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -273,17 +286,13 @@ def _search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     sent = index.sparkSession.sparkContext.broadcast(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = {dim: Asked(dim, rows) for dim, rows in sent.value.items()}
+        asked = {dim: Asked(dim, rows, k) for dim, rows in sent.value.items()}
         for batch in batches:
             for at in range(batch.num_rows):
                 if (dim := batch.column(0)[at].as_py()) in asked:
-                    asked[dim].meet(Block(*(c[at].as_py() for c in batch.columns)), k)
+                    asked[dim].meet(Block(*(c[at].as_py() for c in batch.columns)))
         for queries in asked.values():
-            for n, (score, unknown, ids, rows) in queries.found.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(score), queries.owns[n])), pa.array([queries.ids[n]] * len(score), pa.int64()), pa.array(score), pa.array(ids, pa.int64(), mask=unknown), pa.array(rows)],
-                    ["number", "query_id", "score", "vec_id", "row"],
-                )
+            yield queries.found()
 
     return index.mapInArrow(run, "number long, query_id long, score long, vec_id long, row long")
 

@@ -107,18 +107,18 @@ def test_topk_of_many_queries_over_blocks(kind, monkeypatch):
     if kind == "zeros":
         x[::20] = 0
     ids = rng.permutation(900)
-    asked = topk.Asked(x.shape[1], [(n, int(ids[n]), x[n].tobytes()) for n in range(0, 900, 20)])
+    asked = topk.Asked(x.shape[1], [(n, int(ids[n]), x[n].tobytes()) for n in range(0, 900, 20)], 5)
     few = 0
     for a, b in ((0, 3), (3, 300), (300, 301), (301, 900)):
         block = block_of(x[a:b], a, ids[a:b])
         few += int(block.sparse(asked.vectors, asked.least).sum())
-        asked.meet(block, 5)
+        asked.meet(block)
     assert few > 9 or kind != "heavy"
     for n, own in enumerate(range(0, 900, 20)):
         score = x.astype(np.int64) @ x[own].astype(np.int64)
         others = np.flatnonzero(np.arange(900) != own)
         best = others[np.lexsort((ids[others], -score[others]))[:5]]
-        got, _, found, rows = asked.found[n]
+        got, _, found, rows = (c[n] for c in asked.best)
         assert (got.tolist(), found.tolist(), rows.tolist()) == (score[best].tolist(), ids[best].tolist(), best.tolist())
 
 
@@ -127,10 +127,10 @@ def test_topk_reads_level_0_for_many_queries_together(monkeypatch):
     x = np.random.default_rng(2).normal(0, 32, (8192, 64)).astype(np.int32)
     calls, scored, einsum = [], [], np.einsum
     monkeypatch.setattr(topk.Block, "possible", lambda *a: calls.append(a))
-    asked = topk.Asked(64, [(n, n, x[n].tobytes()) for n in range(512)])
-    asked.meet(block_of(x[:4096]), 5)
+    asked = topk.Asked(64, [(n, n, x[n].tobytes()) for n in range(512)], 5)
+    asked.meet(block_of(x[:4096]))
     monkeypatch.setattr(np, "einsum", lambda form, a, b: (scored.append(a.size // 64), einsum(form, a, b))[1])
-    asked.meet(block_of(x[4096:], 4096), 5)
+    asked.meet(block_of(x[4096:], 4096))
     assert not calls and 0 < sum(scored) < 4096 * 512 // 5
 
 
