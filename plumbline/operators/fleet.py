@@ -41,7 +41,7 @@ def _counted(tasks: DataFrame, check: str, deps: DataFrame, facts: DataFrame, ke
 def unused(tasks: DataFrame, files: DataFrame, declared: DataFrame) -> DataFrame:
     """(task, unused): runtime dependencies (task, dep_name) of tasks that ask for it and are imported by none of its scripts."""
     mine = files.join(_wants(tasks, "unused-deps").select("task"), "task")
-    seen = file_imports(mine).where(F.col("language") == NODE).select("task", dep_key(F.col("language"), F.col("key_of")).alias("dep_name")).distinct()
+    seen = file_imports(mine, every=True).where(F.col("language") == NODE).select("task", dep_key(F.col("language"), F.col("key_of")).alias("dep_name")).distinct()
     left = declared.join(_wants(tasks, "unused-deps").select("task"), "task").select("task", "dep_name").distinct().join(seen, ["task", "dep_name"], "left_anti")
     return left.groupBy("task").agg(F.array_sort(F.collect_list("dep_name")).alias("unused"))  # as many as a manifest names
 
